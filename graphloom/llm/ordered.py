@@ -1,0 +1,43 @@
+"""Tables dealt out by ranges of an id, with each range's neighbour at hand, without a global sort."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+
+def range_edges(ids: DataFrame, column: str, parts: int) -> list[int]:
+    """At most parts - 1 ascending cuts between ranges of about equal row counts; nulls are left out."""
+    probabilities = [i / parts for i in range(1, parts)]
+    found = ids.approxQuantile(column, probabilities, 1 / (4 * parts)) if probabilities else []
+    return sorted({int(x) for x in found})
+
+
+def range_of(column: str, edges: list[int]):
+    """The range of an id: 0 for the smallest ids and for null."""
+    cuts = np.array(edges, dtype=np.int64)
+
+    @pandas_udf("int")
+    def find(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in ids:
+            known = x.notna()
+            out = np.zeros(len(x), dtype=np.int32)
+            out[known] = np.searchsorted(cuts, x[known].astype(np.int64), side="left")
+            yield pd.Series(out)
+
+    return find(F.col(column))
+
+
+def default_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranged(df: DataFrame, column: str = "doc_id", parts: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with a column ``_range`` and the number of ranges; larger ids are in higher ranges."""
+    edges = range_edges(df.select(column), column, parts or default_parts(df))
+    return df.withColumn("_range", range_of(column, edges)), len(edges) + 1
