@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from graphloom.llm.memo import Codes, Runs, grouped
 from graphloom.llm.textarrays import blocks, ragged, text_bytes
@@ -167,7 +168,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     schema = docs.select(*keep).schema
     for c in extra:
-        schema = schema.add(c, "array<int>")
+        schema = schema.add(c, ArrayType(IntegerType()))
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
@@ -194,7 +195,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name:
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), binary.cast(pa.binary())], [*keep, name])
 
-    return encoded.mapInArrow(run, encoded.select(*keep).schema.add(name, "binary"))
+    return encoded.mapInArrow(run, encoded.select(*keep).schema.add(name, BinaryType()))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
