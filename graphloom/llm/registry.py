@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "quality", "token_files", "byte_bpe", "ngram_join"]
+MODULES = ["minhash", "quality", "mixing", "token_files", "byte_bpe", "ball_tree", "ngram_join"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
