@@ -99,14 +99,12 @@ def scan_words(h: np.ndarray, templates: Templates) -> list[tuple[int, int, int,
         width = span - WORDS + 1
         starts = np.arange(0, max(len(shingles) - width + step, 1), step)
         starts = starts[starts < len(shingles)]
-        full = len(shingles) >= width
         candidates: set[tuple[int, int]] = set()
         for b, (keys, owners) in enumerate(index):
             x = mix(shingles ^ seed(b))
-            if full:
-                low = np.append(_sliding_minimum(x, starts[starts + width <= len(x)], width), [x[s:].min() for s in starts[starts + width > len(x)]]).astype(np.uint64)
-            else:
-                low = np.array([x[s:].min() for s in starts], np.uint64)
+            whole = starts[starts + width <= len(x)]
+            cut = np.array([x[s:].min() for s in starts[len(whole) :]], np.uint64)
+            low = np.concatenate([_sliding_minimum(x, whole, width), cut]) if len(whole) else cut
             lo, hi = np.searchsorted(keys, low), np.searchsorted(keys, low, side="right")
             for w in np.flatnonzero(hi > lo):
                 candidates.update((int(w), int(t)) for t in owners[lo[w] : hi[w]])
