@@ -291,14 +291,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if not 0 < num <= den:
         raise ValueError("similarity must lie in (0, 1]")
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    parts = _partitions(spark)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), "doc_id long, n long, node long, prefix array<long>"), "signatures")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes, nodes_path = write_shared(nodes, "classes")
 
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"))
-    lists, lists_path = write_shared(entries.repartition("token").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists")
+    lists, lists_path = write_shared(entries.repartition(parts, "token").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists")
 
     heads = lists.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("x"), "n", "node", "pos")).alias("h"))
     need = F.ceil((F.col("n") + F.col("h.n")) * F.lit(num) / F.lit(num + den))
@@ -308,7 +309,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     first = connected_components(links)
     placed = nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
-    pairs = lists.join(placed, "node").repartition("token").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
+    pairs = lists.join(placed, "node").repartition(parts, "token").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
     pairs, pairs_path = write_shared(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     more, more_path = _verify(docs, nodes, pairs, k, num, den)
 
@@ -325,10 +326,19 @@ def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """Rows of ``docs`` with one document of each component left, that with the smallest doc_id.
 
     Rows with a null doc_id stay only if nothing else of their component has an id; of rows that repeat
-    a doc_id one stays.
+    a doc_id one stays. Texts are shuffled only where ids repeat or too many rows go to be broadcast.
     """
-    kept = jaccard_components(docs, k, num, den).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    found, path = write_shared(jaccard_components(docs, k, num, den), "components")
+    other = F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))
+    gone = found.where(other).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone, _ = write_shared(gone, "gone")
+    few = gone.count() <= MAX_BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    drop_shared(docs.sparkSession, path)
+    if not repeated:
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
