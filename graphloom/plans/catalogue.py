@@ -2,5 +2,494 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom import schemas
+from graphloom.functions import ids
+from graphloom.functions.text import keywords, last_segment, qualify, span_length, token_cost
+from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, visibility
+from graphloom.plans import context
+from graphloom.plans.stand_ins import Tables, with_ctes
+from graphloom.streaming import overlay_state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+AT = 1995 * 12 + 6
+NOW, KEEP = (1998 * 12) * 2592000, 3
+TASK = context.Task("fix small_ring hot", "Brand#2", ["Brand#3", "Brand#4"], 5000)
+CHANGED = ["Brand#3", "Brand#4"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(make: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return make
+
+    return add
+
+
+# ---- filters and projections
+
+
+@query("p1_visible_at", with_ctes("versions", f"SELECT identity, version, visible_from, visible_until FROM versions WHERE visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})"))
+def _(t):
+    return visibility.visible_at(t.versions, AT).select("identity", "version", "visible_from", "visible_until")
+
+
+@query("p2_open_rows", with_ctes("versions", "SELECT identity, count(*) AS open_versions FROM versions WHERE visible_until IS NULL GROUP BY identity"))
+def _(t):
+    return visibility.open_rows(t.versions).groupBy("identity").agg(F.count("*").alias("open_versions"))
+
+
+@query("p3_exact_name", with_ctes("nodes", "SELECT id, qualified_name FROM nodes WHERE name = 'small_ring'"))
+def _(t):
+    return graph.named(t.nodes, "small_ring").select("id", "qualified_name")
+
+
+@query("p4_name_at_snapshot", with_ctes("nodes versions", f"SELECT id, qualified_name, version, part_no FROM nodes JOIN versions ON identity = id WHERE name = 'small_ring' AND visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})"))
+def _(t):
+    own = graph.named(t.nodes, "small_ring")
+    return visibility.visible_at(t.versions, AT).join(own, F.col("identity") == F.col("id")).select("id", "qualified_name", "version", "part_no")
+
+
+@query("p5_search", with_ctes("nodes", "SELECT id, name, qualified_name FROM nodes WHERE contains(lower(name), 'ring') OR contains(lower(qualified_name), 'ring')"))
+def _(t):
+    return graph.search(t.nodes, "RING").select("id", "name", "qualified_name").orderBy("qualified_name", "id")
+
+
+@query("p6_point_lookup", with_ctes("nodes", "SELECT id, name, file_path FROM nodes WHERE id = 42"))
+def _(t):
+    return t.nodes.where("id = 42").select("id", "name", "file_path")
+
+
+@query("p7_edge_kind_filter", with_ctes("calls", "SELECT src, dst FROM calls WHERE 1 + (src + dst) % 5 = 1"))
+def _(t):
+    return t.calls.withColumn("kind", 1 + (F.col("src") + F.col("dst")) % 5).where("kind = 1").select("src", "dst")
+
+
+@query("p8_hit_projection", with_ctes("nodes", "SELECT qualified_name, kind, file_path, start_line FROM nodes"))
+def _(t):
+    return t.nodes.select("qualified_name", "kind", "file_path", "start_line")
+
+
+@query("p9_node_projection", "SELECT p_partkey AS id, greatest(0, (p_retailprice::BIGINT - 1000)::BIGINT)::BIGINT AS byte_len FROM part")
+def _(t):
+    return t.read("part").select(F.col("p_partkey").alias("id"), span_length(F.lit(1000), F.round("p_retailprice").cast("long")).alias("byte_len"))
+
+
+@query("p11_membership", with_ctes("nodes", "SELECT id, file_path FROM nodes WHERE file_path IN ('Brand#2', 'Brand#3', 'Brand#4')"))
+def _(t):
+    return t.nodes.where((F.col("file_path") == "Brand#2") | F.col("file_path").isin(CHANGED)).select("id", "file_path")
+
+
+@query("p13_active_projects", "SELECT s_suppkey AS project, s_name AS display_name FROM supplier WHERE s_acctbal >= 0")
+def _(t):
+    status = F.when(F.col("s_acctbal") < 0, "archived").otherwise("active")
+    return t.read("supplier").withColumn("status", status).where("status = 'active'").orderBy(F.desc("s_acctbal"), "s_suppkey").select(F.col("s_suppkey").alias("project"), F.col("s_name").alias("display_name"))
+
+
+# ---- joins
+
+
+@query("j1_symbols_at_snapshot", with_ctes("nodes versions", f"SELECT id, name, version, visible_from FROM versions JOIN nodes ON identity = id WHERE visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})"))
+def _(t):
+    return visibility.visible_at(t.versions, AT).join(t.nodes, F.col("identity") == F.col("id")).select("id", "name", "version", "visible_from")
+
+
+@query("j2_file_paths", with_ctes("nodes", "SELECT n.id, coalesce(f.path, '') AS path FROM nodes n LEFT JOIN (SELECT DISTINCT p_brand AS path FROM part WHERE p_size > 48) f ON f.path = n.file_path"))
+def _(t):
+    files = t.read("part").where("p_size > 48").select(F.col("p_brand").alias("path")).distinct()
+    return t.nodes.join(files, F.col("file_path") == F.col("path"), "left").select("id", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def _relation_sql(own: str, other: str) -> str:
+    return f"SELECT m.id AS match_id, r.id AS related_id, r.name AS related_name, r.file_path AS related_file FROM (SELECT id FROM nodes WHERE name = 'small_ring') m LEFT JOIN (SELECT c.{own} AS k, n.id, n.name, n.file_path FROM bag c JOIN nodes n ON n.id = c.{other}) r ON r.k = m.id"
+
+
+@query("j3_callers", with_ctes("nodes bag", _relation_sql("dst", "src")))
+def _(t):
+    return graph.relations(t.nodes, t.bag, "small_ring", "callers")
+
+
+@query("j3_callees", with_ctes("nodes bag", _relation_sql("src", "dst")))
+def _(t):
+    return graph.relations(t.nodes, t.bag, "small_ring", "callees")
+
+
+@query("j4_callers_at_snapshot", with_ctes("calls versions", f"SELECT dst AS id, count(*) AS callers FROM calls SEMI JOIN (SELECT identity FROM versions WHERE visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})) v ON v.identity = src GROUP BY dst"))
+def _(t):
+    alive = visibility.visible_at(t.versions, AT).select(F.col("identity").alias("src"))
+    return t.calls.join(alive, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
+
+
+_RESOLVED = """
+SELECT r.file_id, r.from_qualified_name, r.to_name, r.ord,
+  CASE WHEN l.local IS NOT NULL THEN l.local WHEN n.n = 1 THEN n.only END AS target,
+  CASE WHEN l.local IS NOT NULL THEN 'SameFile' WHEN n.n = 1 THEN 'Unique' WHEN n.n > 1 THEN 'Ambiguous' ELSE 'NotFound' END AS reason
+FROM refs r LEFT JOIN (SELECT name, count(*) AS n, min(identity) AS only FROM symbols GROUP BY name) n ON n.name = r.to_name
+LEFT JOIN (SELECT name, file_id, arg_min(identity, ord) AS local FROM symbols GROUP BY name, file_id) l ON l.name = r.to_name AND l.file_id = r.file_id"""
+
+
+@query("j5_resolve", with_ctes("refs symbols", _RESOLVED))
+def _(t):
+    return resolver.resolve_targets(t.references, t.symbols).select("file_id", "from_qualified_name", "to_name", "ord", "target", "reason")
+
+
+@query("j6_origin", with_ctes("refs symbols", "SELECT r.ord, o.from_identity FROM refs r JOIN (SELECT file_id, qualified_name, arg_max(identity, ord) AS from_identity FROM symbols GROUP BY ALL) o ON o.file_id = r.file_id AND o.qualified_name = r.from_qualified_name"))
+def _(t):
+    return t.references.join(resolver.origins(t.symbols), ["file_id", "from_qualified_name"]).select("ord", "from_identity")
+
+
+@query("j7_change_detection", """
+WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS h FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS h FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'Added' WHEN a.k IS NULL THEN 'Deleted' WHEN a.h = b.h THEN 'Unchanged' ELSE 'Modified' END AS change FROM a FULL JOIN b ON a.k = b.k""")
+def _(t):
+    side = lambda status: t.read("orders").where(F.col("o_orderstatus") != status).groupBy("o_custkey").agg(F.max("o_orderkey").alias("h"))
+    return changes.detect(side("F"), side("P"), "o_custkey", "h")
+
+
+@query("j8_new_symbol_versions", with_ctes("versions", "SELECT identity, version FROM (SELECT DISTINCT identity, version FROM versions) c ANTI JOIN (SELECT identity, version FROM versions WHERE visible_until IS NULL) o USING (identity, version)"))
+def _(t):
+    return changes.new_versions(t.versions.select("identity", "version").distinct(), t.versions, ["identity", "version"])
+
+
+@query("j9_new_edges", with_ctes("calls sparse", "SELECT src, dst FROM calls ANTI JOIN sparse USING (src, dst)"))
+def _(t):
+    return changes.new_versions(t.calls, t.sparse_calls.withColumn("visible_until", F.lit(None).cast("long")), ["src", "dst"])
+
+
+@query("j10_overlay_nodes", with_ctes("nodes", "SELECT id, name, file_path FROM nodes WHERE file_path NOT IN ('Brand#3', 'Brand#4') UNION ALL SELECT -id AS id, name, file_path FROM nodes WHERE file_path = 'Brand#3' AND id % 2 = 0"))
+def _(t):
+    changed = t.spark.createDataFrame([(c,) for c in CHANGED], "file_path string")
+    parsed = t.nodes.where("file_path = 'Brand#3' AND id % 2 = 0").select((-F.col("id")).alias("id"), "name", "file_path")
+    return changes.overlay_nodes(t.nodes.select("id", "name", "file_path"), changed, parsed)
+
+
+@query("j11_overlay_edges", with_ctes("nodes sparse", "SELECT src, dst FROM sparse WHERE src NOT IN (SELECT id FROM nodes WHERE file_path IN ('Brand#3', 'Brand#4')) UNION ALL SELECT -src, dst FROM sparse SEMI JOIN (SELECT id FROM nodes WHERE file_path = 'Brand#3' AND id % 2 = 0) n ON n.id = src"))
+def _(t):
+    changed = t.spark.createDataFrame([(c,) for c in CHANGED], "file_path string")
+    parsed = t.nodes.where("file_path = 'Brand#3' AND id % 2 = 0").select(F.col("id").alias("src"))
+    new = t.sparse_calls.join(parsed, "src", "left_semi").select((-F.col("src")).alias("src"), "dst")
+    return changes.overlay_edges(t.sparse_calls, t.nodes, changed, new)
+
+
+@query("j12_neighbours", with_ctes("nodes calls", "SELECT DISTINCT a.id AS anchor, x.o AS neighbour FROM (SELECT id FROM nodes WHERE name = 'small_ring') a JOIN (SELECT src AS i, dst AS o FROM calls UNION ALL SELECT dst, src FROM calls) x ON x.i = a.id"))
+def _(t):
+    own = graph.named(t.nodes, "small_ring").select(F.col("id").alias("anchor"))
+    both = t.calls.unionAll(t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.join(own, F.col("src") == F.col("anchor")).select("anchor", F.col("dst").alias("neighbour")).distinct()
+
+
+@query("j13_boost_lookup", with_ctes("nodes uses", "SELECT n.id, coalesce(u.times_included, 0)::BIGINT AS times_included, least(coalesce(u.times_included, 0) * 5, 100)::BIGINT AS boost FROM nodes n LEFT JOIN uses u ON u.id = n.id"))
+def _(t):
+    return t.nodes.select("id").join(t.uses, "id", "left").na.fill(0, ["times_included"]).select("id", "times_included", F.least(F.col("times_included") * 5, F.lit(100)).cast("long").alias("boost"))
+
+
+@query("j14_live_versions", with_ctes("versions snapshots", "SELECT s.id AS snapshot_id, count(*) AS live, sum(v.identity)::BIGINT AS checksum FROM snapshots s JOIN versions v ON v.visible_from <= s.id AND (v.visible_until IS NULL OR v.visible_until > s.id) GROUP BY s.id"))
+def _(t):
+    live = visibility.live_versions(t.versions, t.snapshots.select("id"))
+    return live.groupBy("snapshot_id").agg(F.count("*").alias("live"), F.sum("identity").alias("checksum"))
+
+
+@query("j15_keyword_match", with_ctes("nodes", "SELECT id, k AS keyword FROM nodes, (VALUES ('fix'), ('small_ring'), ('hot')) w(k) WHERE contains(lower(name), k) OR contains(lower(qualified_name), k)"))
+def _(t):
+    words = F.array(*(F.lit(w) for w in context.task_keywords(t.nodes, TASK.text)))
+    hit = F.filter(words, lambda w: F.contains(F.lower("name"), w) | F.contains(F.lower("qualified_name"), w))
+    return t.nodes.select("id", F.explode(hit).alias("keyword"))
+
+
+_EDGES = f"""
+resolved AS ({_RESOLVED}),
+known AS (SELECT o.from_identity AS src, r.to_name, r.target, r.reason, r.ord FROM resolved r JOIN
+  (SELECT file_id, qualified_name, arg_max(identity, ord) AS from_identity FROM symbols GROUP BY ALL) o ON o.file_id = r.file_id AND o.qualified_name = r.from_qualified_name)"""
+
+
+@query("j16_resolved_edges", with_ctes("refs symbols", "SELECT src, target AS dst, min(ord) AS ord FROM known WHERE target IS NOT NULL GROUP BY ALL", more=_EDGES))
+def _(t):
+    return resolver.resolve_edges(t.references, t.symbols)[0].select("src", "dst", "ord")
+
+
+@query("j16_unresolved", with_ctes("refs symbols", "SELECT src, to_name, reason FROM known WHERE target IS NULL", more=_EDGES))
+def _(t):
+    return resolver.resolve_edges(t.references, t.symbols)[1].select("src", "to_name", "reason")
+
+
+# ---- aggregates
+
+
+@query("a1_latest_snapshot", with_ctes("snapshots", "SELECT max(id) AS latest, count(*) AS n FROM snapshots"))
+def _(t):
+    return t.snapshots.agg(F.max("id").alias("latest"), F.count("*").alias("n"))
+
+
+@query("a3_events_by_kind", "SELECT event_type AS event_kind, count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    return t.read("events").groupBy(F.col("event_type").alias("event_kind")).agg(F.count("*").alias("n"))
+
+
+@query("a4_schema_version", "SELECT coalesce(max(r_regionkey), 0)::INTEGER AS version FROM region WHERE r_regionkey > 100")
+def _(t):
+    return t.read("region").where("r_regionkey > 100").agg(F.coalesce(F.max("r_regionkey"), F.lit(0)).alias("version"))
+
+
+@query("a5_running_mean", with_ctes("feedback", "SELECT identity_id, rn AS times_included, seen_at AS last_seen, m AS avg_score FROM r WHERE rn = n", recursive=True, more="""
+ordered AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY identity_id) AS n FROM feedback),
+r AS (SELECT identity_id, rn, n, seen_at, score AS m FROM ordered WHERE rn = 1 UNION ALL
+  SELECT o.identity_id, o.rn, o.n, o.seen_at, (r.m * r.rn + o.score) // (r.rn + 1) FROM r JOIN ordered o ON o.identity_id = r.identity_id AND o.rn = r.rn + 1)"""))
+def _(t):
+    return feedback.usefulness(t.feedback)
+
+
+@query("a6_name_index", with_ctes("nodes", "SELECT name, count(*) AS symbols, min(id) AS first_id, sum(id)::BIGINT AS id_sum FROM nodes GROUP BY name"))
+def _(t):
+    return t.nodes.groupBy("name").agg(F.count("*").alias("symbols"), F.min("id").alias("first_id"), F.sum("id").alias("id_sum"))
+
+
+@query("a7_adjacency", with_ctes("bag", "SELECT src, count(*) AS calls, count(DISTINCT dst) AS callees, sum(dst)::BIGINT AS dst_sum FROM bag GROUP BY src"))
+def _(t):
+    lists = t.bag.groupBy("src").agg(F.collect_list("dst").alias("out"))
+    return lists.select("src", F.size("out").cast("long").alias("calls"), F.size(F.array_distinct("out")).cast("long").alias("callees"), F.aggregate("out", F.lit(0).cast("long"), lambda a, x: a + x).alias("dst_sum"))
+
+
+@query("a8_degrees", with_ctes("nodes bag", "SELECT n.id, (SELECT count(*) FROM bag WHERE dst = n.id) AS callers, (SELECT count(*) FROM bag WHERE src = n.id) AS callees FROM nodes n"))
+def _(t):
+    return graph.degrees(t.nodes, t.bag)
+
+
+_ANCHORS = """
+words AS (SELECT * FROM (VALUES ('fix'), ('small_ring'), ('hot')) w(k)),
+anchors AS (SELECT id, max(CASE WHEN lower(name) = k THEN 1000 ELSE 600 END)::INTEGER AS anchor FROM nodes, words
+  WHERE contains(lower(name), k) OR contains(lower(qualified_name), k) GROUP BY id)"""
+
+
+@query("a9_anchor_scores", with_ctes("nodes", "SELECT id, anchor FROM anchors", more=_ANCHORS))
+def _(t):
+    return context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text))
+
+
+_NEAR = _ANCHORS + """,
+near AS (SELECT id, max(part)::INTEGER AS near FROM (SELECT dst AS id, anchor * 2 // 5 AS part FROM sparse JOIN anchors ON anchors.id = src
+  UNION ALL SELECT src, anchor * 2 // 5 FROM sparse JOIN anchors ON anchors.id = dst) GROUP BY id)"""
+
+
+@query("a10_proximity", with_ctes("nodes sparse", "SELECT id, near FROM near", more=_NEAR))
+def _(t):
+    return context.proximity(context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text)), t.sparse_calls)
+
+
+@query("a11_keep_first", "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    return dedup.keep_first(t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"])
+
+
+@query("a13_keep_last", "SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    return dedup.keep_last(t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"])
+
+
+@query("a12_dedup_edges", with_ctes("bag", "SELECT src, dst, count(*) AS repeats FROM bag GROUP BY src, dst"))
+def _(t):
+    return t.bag.groupBy("src", "dst").agg(F.count("*").alias("repeats"))
+
+
+@query("a15_gc_report", with_ctes("versions snapshots", "SELECT (SELECT count(*) FROM victims) AS freed_snapshots, (SELECT count(*) FROM versions WHERE visible_from IN (FROM victims) OR visible_until IN (FROM victims)) AS freed_versions", more=f"""
+victims AS (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') AND created_at < {NOW - 30 * 86400}
+  AND id NOT IN (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') ORDER BY created_at DESC, id DESC LIMIT {KEEP}))"""))
+def _(t):
+    gone = collection.victims(t.snapshots, NOW, KEEP)
+    return collection.report(t.snapshots, t.versions, gone)
+
+
+@query("a16_p99", "SELECT event_type, (list_sort(list(event_id)))[count(*) * 99 // 100 + 1] AS p99 FROM events GROUP BY event_type")
+def _(t):
+    return statistics.disc_quantile(t.read("events"), "event_type", "event_id", 99, 100).select("event_type", F.col("value").alias("p99"))
+
+
+# ---- windows, order, sets
+
+
+@query("w2_gc_victims", with_ctes("snapshots", f"""SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') AND created_at < {NOW - 30 * 86400}
+  AND id NOT IN (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') ORDER BY created_at DESC, id DESC LIMIT {KEEP})"""))
+def _(t):
+    return collection.victims(t.snapshots, NOW, KEEP)
+
+
+@query("w2_recency", with_ctes("snapshots", "SELECT id, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id DESC)::INTEGER AS recency FROM snapshots"))
+def _(t):
+    return collection.newest_rank(t.snapshots).select("id", "recency")
+
+
+@query("w4_interval_ends", with_ctes("versions", "SELECT identity, visible_from, lead(visible_from) OVER (PARTITION BY identity ORDER BY visible_from) AS visible_until FROM (SELECT DISTINCT identity, visible_from FROM versions)"))
+def _(t):
+    return visibility.interval_ends(t.versions.select("identity", "visible_from").distinct(), "identity")
+
+
+@query("w5_as_of", with_ctes("versions", f"SELECT identity, max(struct_pack(visible_from, version)).visible_from AS visible_from, max(struct_pack(visible_from, version)).version AS version FROM versions WHERE visible_from <= {AT} GROUP BY identity"))
+def _(t):
+    return visibility.latest_before(t.versions.select("identity", "visible_from", "version"), "identity", AT, "version")
+
+
+@query("o1_ranking", with_ctes("nodes uses", "SELECT id, rank FROM (SELECT n.id, row_number() OVER (ORDER BY coalesce(u.times_included, 0) DESC, qualified_name, n.id)::INTEGER AS rank FROM nodes n LEFT JOIN uses u ON u.id = n.id) WHERE rank <= 50"))
+def _(t):
+    top = t.nodes.join(t.uses, "id", "left").na.fill(0, ["times_included"]).orderBy(F.desc("times_included"), "qualified_name", "id").limit(50)
+    order = Window.orderBy(F.desc("times_included"), "qualified_name", "id")  # of fifty rows
+    return top.select("id", F.row_number().over(order).alias("rank"))
+
+
+@query("o3_top_anchors", with_ctes("nodes", "SELECT id, name FROM (SELECT a.id, n.name, row_number() OVER (ORDER BY anchor DESC, name, a.id) AS rn FROM anchors a JOIN nodes n ON n.id = a.id) WHERE rn <= 2", more=_ANCHORS))
+def _(t):
+    found = context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text)).join(t.nodes, "id")
+    return found.orderBy(F.desc("anchor"), "name", "id").limit(2).select("id", "name")
+
+
+_CANDIDATES = _NEAR + """,
+scored AS (SELECT n.id, n.name, n.qualified_name, n.file_path, greatest(n.byte_len // 4, 16) AS cost, coalesce(a.anchor, 0) AS anchor, coalesce(p.near, 0) AS near,
+    coalesce(u.times_included, 0) AS uses, n.file_path = 'Brand#2' AS cur, n.file_path IN ('Brand#3', 'Brand#4') AS dif
+  FROM nodes n LEFT JOIN anchors a ON a.id = n.id LEFT JOIN near p ON p.id = n.id LEFT JOIN uses u ON u.id = n.id),
+candidates AS (SELECT id, name, qualified_name, file_path, cost::BIGINT AS cost,
+    least(greatest(anchor, near) + CASE WHEN cur THEN 250 ELSE 0 END + CASE WHEN dif THEN 250 ELSE 0 END + least(uses * 5, 100), 1000)::INTEGER AS score,
+    concat_ws(' + ', CASE WHEN anchor = 1000 THEN 'exact name match' WHEN anchor > 0 THEN 'matches task token' END, CASE WHEN anchor = 0 AND near > 0 THEN 'near a task match' END,
+      CASE WHEN cur THEN 'current file' END, CASE WHEN dif THEN 'diff overlap' END, CASE WHEN uses > 0 THEN 'previously useful' END) AS reason
+  FROM scored WHERE greatest(anchor, near) + CASE WHEN cur THEN 250 ELSE 0 END + CASE WHEN dif THEN 250 ELSE 0 END > 0)"""
+_PACKED = _CANDIDATES + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, qualified_name, id) AS rn FROM candidates),
+pack AS (SELECT 0::BIGINT AS rn, 5000::BIGINT AS remaining, false AS kept UNION ALL
+  SELECT r.rn, CASE WHEN r.cost <= p.remaining THEN p.remaining - r.cost ELSE p.remaining END, r.cost <= p.remaining FROM pack p JOIN ranked r ON r.rn = p.rn + 1)"""
+
+
+@query("u1_candidates", with_ctes("nodes sparse uses", "SELECT id, score, reason FROM candidates", more=_CANDIDATES))
+def _(t):
+    return context.candidates(t.nodes, t.sparse_calls, t.uses, TASK).select("id", "score", "reason")
+
+
+@query("c1_context_plan", with_ctes("nodes sparse uses", "SELECT r.id, r.name, r.qualified_name, r.file_path, r.score, r.reason, r.cost, p.kept FROM ranked r JOIN pack p ON p.rn = r.rn", recursive=True, more=_PACKED))
+def _(t):
+    return context.context_plan(t.nodes, t.sparse_calls, t.uses, TASK)
+
+
+@query("o5_greedy_pack", with_ctes("nodes sparse uses", "SELECT r.id, r.cost, row_number() OVER (ORDER BY r.rn)::INTEGER AS rank FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept", recursive=True, more=_PACKED))
+def _(t):
+    return context.pack_rows(context.context_plan(t.nodes, t.sparse_calls, t.uses, TASK)).select("id", "cost", "rank")
+
+
+@query("u5_set_difference", with_ctes("nodes calls", "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM calls)"))
+def _(t):
+    return t.nodes.select("id").join(t.calls.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+@query("u7_snapshot_diff", with_ctes("versions", f"""SELECT identity, version, CASE WHEN h THEN 'added' ELSE 'removed' END AS change FROM (SELECT identity, version,
+  bool_or(visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})) AS b, bool_or(visible_from <= {AT + 6} AND (visible_until IS NULL OR visible_until > {AT + 6})) AS h FROM versions GROUP BY ALL) WHERE b <> h"""))
+def _(t):
+    return visibility.snapshot_diff(t.versions, AT, AT + 6, ["identity", "version"])
+
+
+# ---- graph walks
+
+
+def _most_called(t: Tables) -> DataFrame:
+    return t.sparse_calls.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
+
+
+_REACH = """
+start AS (SELECT dst AS id FROM sparse GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+walk AS (SELECT id, 0 AS depth FROM start UNION SELECT s.src, w.depth + 1 FROM walk w JOIN sparse s ON s.dst = w.id WHERE w.depth < 3),
+reach AS (SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0)"""
+
+
+@query("g3_reverse_reach", with_ctes("sparse", "SELECT id, depth FROM reach", recursive=True, more=_REACH))
+def _(t):
+    return graph.reverse_reach(t.sparse_calls, _most_called(t), 3)
+
+
+@query("g4_impact", with_ctes("nodes sparse", "SELECT file_path, count(*) AS symbols, min(depth) AS nearest, sum(CASE WHEN contains(lower(name), 'test') THEN 1 ELSE 0 END)::BIGINT AS tests FROM reach JOIN nodes USING (id) GROUP BY file_path", recursive=True, more=_REACH))
+def _(t):
+    return graph.impact(t.nodes, t.sparse_calls, _most_called(t), 3)
+
+
+@query("g6_trace", with_ctes("nodes bag", f"SELECT *, 'callers' AS direction FROM ({_relation_sql('dst', 'src')}) UNION ALL SELECT *, 'callees' FROM ({_relation_sql('src', 'dst')})"))
+def _(t):
+    return graph.trace(t.nodes, t.bag, "small_ring")
+
+
+# ---- scalar functions
+
+
+@query("f1_keywords", r"""SELECT doc_id, unnest(list_distinct_ordered) AS keyword FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered
+  FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 3), lambda x: lower(x)) AS w FROM documents))""")
+def _(t):
+    return t.read("documents").select("doc_id", F.explode(keywords(F.col("text"))).alias("keyword"))
+
+
+@query("f3_last_segment", "SELECT p_partkey, p_type AS rust_segment, trim(string_split(p_type, '.')[-1]) AS ts_segment FROM part")
+def _(t):
+    scoped = qualify(F.array("p_brand"), F.col("p_type"))
+    return t.read("part").select("p_partkey", last_segment(scoped, F.lit("rust")).alias("rust_segment"), last_segment(scoped, F.lit("typescript")).alias("ts_segment"))
+
+
+@query("f5_symbol_ids", """SELECT p_partkey, substr(sha256(unhex(project) || '\\x00'::BLOB || encode(p_brand) || '\\x00'::BLOB || encode(p_name) || '\\x00'::BLOB || unhex('01')), 1, 32) AS symbol_id
+  FROM part, (SELECT substr(sha256('project'), 1, 32) AS project)""")
+def _(t):
+    project = ids.project_id(F.lit("project"))
+    return t.read("part").select("p_partkey", ids.symbol_id(project, F.col("p_brand"), F.col("p_name"), F.lit(1)).alias("symbol_id"))
+
+
+@query("f6_content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def _(t):
+    return t.read("documents").select("doc_id", ids.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
+
+
+@query("f8_kind_numbers", "SELECT event_id, CASE event_type WHEN 'Function' THEN 1 ELSE 99 END::INTEGER AS symbol_kind, 1::INTEGER AS edge_kind FROM events")
+def _(t):
+    return t.read("events").select("event_id", schemas.symbol_kind_number(F.col("event_type")).alias("symbol_kind"), schemas.edge_kind_number(F.col("event_type")).alias("edge_kind"))
+
+
+@query("f11_token_cost", with_ctes("nodes", "SELECT id, greatest(byte_len // 4, 16)::BIGINT AS cost FROM nodes"))
+def _(t):
+    return t.nodes.select("id", token_cost(F.col("byte_len")).alias("cost"))
+
+
+@query("f23_json_payload", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(t):
+    return t.read("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# ---- writes as sets, collection, overlay state
+
+
+@query("d1_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS language FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 = 0")
+def _(t):
+    own = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("language"))
+    return changes.upsert(own.where("id % 5 <> 0"), own.where("id % 7 = 0").withColumn("language", F.concat(F.upper("language"), F.lit("!"))), ["id"])
+
+
+@query("d4_close_versions", with_ctes("versions", f"SELECT identity, version, CASE WHEN visible_until IS NULL AND identity % 3 = 0 THEN {AT + 100} ELSE visible_until END AS visible_until FROM versions"))
+def _(t):
+    changed = t.versions.where("identity % 3 = 0").select("identity")
+    return changes.close_versions(t.versions, changed, ["identity"], AT + 100).select("identity", "version", "visible_until")
+
+
+@query("d10_surviving_versions", with_ctes("versions snapshots", "SELECT identity, version, visible_from, visible_until FROM versions WHERE visible_from NOT IN (FROM victims) AND (visible_until IS NULL OR visible_until NOT IN (FROM victims))", more=f"""
+victims AS (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') AND created_at < {NOW - 30 * 86400}
+  AND id NOT IN (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') ORDER BY created_at DESC, id DESC LIMIT {KEEP}))"""))
+def _(t):
+    gone = collection.victims(t.snapshots, NOW, KEEP)
+    return collection.surviving_versions(t.versions, gone).select("identity", "version", "visible_from", "visible_until")
+
+
+@query("x2_debounce_sessions", """SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def _(t):
+    rows = t.read("events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("w.start").alias("session_start"), "n")
+
+
+@query("x4_dirty_paths", "SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS content FROM events GROUP BY user_id")
+def _(t):
+    changes_ = t.read("events").select(F.col("user_id").alias("path"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return overlay_state.latest(changes_).select("path", "content")
