@@ -14,11 +14,11 @@ from graphloom.functions import ids
 from graphloom.functions.text import span_length
 from graphloom.operators import changes, feedback, graph, resolver
 from graphloom.operators.dedup import keep_first
-from graphloom.operators.visibility import open_rows, visible_at
+from graphloom.operators.visibility import open_rows, snapshot_diff, visible_at
 from graphloom.plans import context
 from graphloom.schemas import EDGE_KINDS, EVENT_KINDS
 from graphloom.sources import parser, tree
-from graphloom.sources.store import Store
+from graphloom.sources.store import Registry, Store
 
 MAX_ACTIVE = 5
 CONFIDENCE = 100
@@ -65,6 +65,8 @@ class Project:
         self.spark, self.root, self.clock = spark, tree.canonical(root), clock
         self.id = spark.range(1).select(ids.project_id(F.lit(self.root)).alias("id")).first()["id"]
         self.store = Store(spark, warehouse, self.id)
+        self.registry = Registry(spark, warehouse)
+        self.registry.attached(self.id, self.root, self.clock())
         self.overlay: tuple[DataFrame, DataFrame] | None = None
 
     # -- indexing
@@ -97,6 +99,7 @@ class Project:
             "symbol_identity": symbols.select(F.col("identity").alias("id"), F.col("file_id").alias("file_identity_id"), "qualified_name", "name", "kind"),
         }
         self.store.publish(opened, closed, identities, snapshot, kind, self.clock())
+        self.registry.indexed(self.id, self.clock())
         for df in (walked, parsed, symbols, *opened.values(), *closed.values()):
             df.unpersist()
         return result
@@ -129,6 +132,20 @@ class Project:
     def symbol(self, name: str) -> DataFrame:
         return graph.named(self.graph()[0], name)
 
+    def impact(self, name: str, max_depth: int = 3) -> DataFrame:
+        """Files that a change to the symbols of this name can reach through callers, with their tests."""
+        nodes, calls = self.graph()
+        return graph.impact(nodes, calls, graph.named(nodes, name).select("id"), max_depth)
+
+    def explain(self, base: int, head: int, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
+        """What changed between two snapshots: (id, change) of symbols, and the files that callers carry it to."""
+        rows = self.store.versions("symbol")
+        changed = snapshot_diff(rows, base, head, ["identity_id", "id"]).groupBy(F.col("identity_id").alias("symbol"))
+        sides = changed.agg(F.collect_set("change").alias("c"))
+        named = sides.select(F.col("symbol").alias("id"), F.when(F.size("c") == 2, "modified").otherwise(F.element_at("c", 1)).alias("change"))
+        nodes, calls = self.graph(head)
+        return named, graph.impact(nodes, calls, named.select("id"), max_depth)
+
     # -- overlay
 
     def set_overlay(self, files: DataFrame) -> None:
@@ -207,3 +224,7 @@ class Engine:
     def projects(self) -> list[str]:
         """Attached roots, the most recently used first."""
         return list(reversed(self.active))
+
+    def known(self) -> DataFrame:
+        """Every project that was attached to this warehouse and not archived, the last attached first."""
+        return Registry(self.spark, self.warehouse).active()

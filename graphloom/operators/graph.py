@@ -62,7 +62,7 @@ def reverse_reach(calls: DataFrame, start: DataFrame, max_depth: int) -> DataFra
     steps = calls.select("src", "dst").distinct()
     if max_depth > 1:
         steps, steps_path = write_shared(steps, "reverse-edges")
-    frontier = start.select(F.col("id").cast("long").alias("id")).distinct()
+    frontier = start.select("id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     paths = []
     for depth in range(1, max_depth + 1):

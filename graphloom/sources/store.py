@@ -109,3 +109,36 @@ class Store:
         left.write.mode("overwrite").parquet(f"{target}/manifest")
         self.spark.createDataFrame([(number,)], "number int").write.mode("append").parquet(f"{self.base}/generation")
         return {"freed_snapshots": freed, "freed_versions": dropped}
+
+
+class Registry:
+    """All projects of a warehouse, as a log of what became known of each; the last known value counts."""
+
+    FIELDS = ["canonical_path", "display_name", "snapshot_source", "created_at", "last_attached_at", "last_indexed_at", "db_size_bytes", "status"]
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.store = Store(spark, root, "registry")
+        self.spark = spark
+
+    def _log(self, at: int, uuid: str, **values) -> None:
+        row = {"uuid": uuid, **{k: values.get(k) for k in self.FIELDS}}
+        df = self.spark.createDataFrame([tuple(row.values())], TABLES["project"]).withColumn("at", F.lit(at).cast("long"))
+        self.store.append("project", df)
+
+    def attached(self, uuid: str, path: str, at: int) -> None:
+        self._log(at, uuid, canonical_path=path, display_name=path.rsplit("/", 1)[-1], snapshot_source="unknown", created_at=at, last_attached_at=at, status="active")
+
+    def indexed(self, uuid: str, at: int) -> None:
+        self._log(at, uuid, last_indexed_at=at)
+
+    def archive(self, uuid: str, at: int) -> None:
+        self._log(at, uuid, status="archived")
+
+    def all(self) -> DataFrame:
+        """One row per project: the first time it was created, else the last value written for each field."""
+        log = self.store._read(f"{self.store.base}/project", TABLES["project"] + ", at bigint")
+        last = [F.max(F.when(F.col(f).isNotNull(), F.struct("at", f)))[f].alias(f) for f in self.FIELDS if f != "created_at"]
+        return log.groupBy("uuid").agg(F.min("created_at").alias("created_at"), *last)
+
+    def active(self) -> DataFrame:
+        return self.all().where("status = 'active'").orderBy(F.desc("last_attached_at"), "uuid")

@@ -66,6 +66,10 @@ def test_index_ask_overlay_collect(spark, root, tmp_path):
     (root / "src/math.rs").write_text(changed)
     third = project.index(kind="filehash")
     assert third.new_symbols == 1 and project.symbol("square").count() == 0
+    changed_symbols, reached = project.explain(2, 3)
+    assert sorted(r["change"] for r in changed_symbols.collect()) == ["added", "removed"] and reached.count() == 0
+    assert [(r["file_path"], r["symbols"]) for r in project.impact("add").orderBy("file_path").collect()] == [("src/lib.rs", 1), ("src/math.rs", 1)]
+    assert [r["last_indexed_at"] for r in engine.known().collect()] == [clock[0]]
     assert [tuple(r) for r in project.graph(2)[0].select("id").orderBy("id").collect()] == old
     clock[0] += 40 * 86400
     freed = project.collect_garbage(keep=1)
