@@ -9,6 +9,7 @@ whose bytes are split over tokens comes out whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from graphloom.llm.memo import Codes, Runs, grouped
-from graphloom.llm.textarrays import blocks, ragged, text_bytes
+from graphloom.llm.textarrays import blocks, bounded_batches, ragged, text_bytes
 
 #: Words that a worker keeps with their ids; beyond it the memory starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
+#: Ids decoded at once.
+DECODE_IDS = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -144,6 +147,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     within a partition and repeated rows stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     description = spark.sparkContext.broadcast(model_json(ranks))
     table = spark.sparkContext.broadcast(_token_bytes(ranks)[1])
     extra = ["ids", "starts", "ends"] if offsets else ["ids"]
@@ -165,6 +169,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                     begun = char[np.minimum(end - width + 1, len(data))] - 1 - first
                     out += [ragged(begun.astype(np.int32), bounds), ragged((char[end] - first).astype(np.int32), bounds)]
                 yield pa.RecordBatch.from_arrays(out, keep + extra)
+        encoder.reset()  # an idle worker holds no words
 
     schema = docs.select(*keep).schema
     for c in extra:
@@ -172,6 +177,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def joined_bytes(ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of consecutive documents' ids, and where each document's begin and end; data, bounds: the table of bytes."""
+    width = bounds[ids + 1] - bounds[ids]
+    total = np.concatenate([[0], np.cumsum(width)])
+    return data[np.arange(total[-1]) + np.repeat(bounds[ids] - total[:-1], width)], total[cuts]
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with a binary column of the decoded bytes; a null list gives no bytes, unknown ids are an error."""
     table = encoded.sparkSession.sparkContext.broadcast(_token_bytes(ranks))
@@ -181,32 +193,46 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name:
         data, bounds = table.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
-            out = []
-            step = 1 << 18
-            for lo in range(0, len(flat), step):
-                part = flat[lo : lo + step]
-                width = bounds[part + 1] - bounds[part]
-                total = np.cumsum(width)
-                out.append(data[np.arange(total[-1]) + np.repeat(bounds[part] - total + width, width)])
-            text = np.concatenate([np.zeros(0, np.uint8), *out])
-            at = np.concatenate([[0], np.cumsum(bounds[flat + 1] - bounds[flat])])[ends]
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), binary.cast(pa.binary())], [*keep, name])
+            first = 0
+            while first < batch.num_rows:  # rows with about DECODE_IDS ids at a time
+                last = min(max(int(np.searchsorted(ends, ends[first] + DECODE_IDS, side="right")) - 1, first + 1), batch.num_rows)
+                rows = batch.slice(first, last - first)
+                flat = rows.column(batch.schema.get_field_index(ids)).flatten().to_numpy(zero_copy_only=False)
+                text, at = joined_bytes(flat, ends[first : last + 1] - ends[first], data, bounds)
+                binary = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([*(rows.column(batch.schema.get_field_index(c)) for c in keep), binary], [*keep, name])
+                first = last
 
     return encoded.mapInArrow(run, encoded.select(*keep).schema.add(name, BinaryType()))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per document the number of ids, and digests of the ids and of the bytes that decoding them gives."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Per document the number of ids, and digests of the ids and of the bytes that decoding them gives.
+
+    Encodes, decodes and digests in one worker, so that neither ids nor bytes travel and an executor
+    runs one worker for each core.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    description = spark.sparkContext.broadcast(model_json(ranks))
+    table = spark.sparkContext.broadcast(_token_bytes(ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(description.value, pattern)
+        data, bounds = table.value
+        names = [str(i) for i in range(len(bounds) - 1)]
+        for batch in batches:
+            for block in blocks(batch):
+                ids, cuts = encoder.encode([t or "" for t in block.column(1).to_pylist()])
+                text, at = joined_bytes(ids, cuts, data, bounds)
+                listed = ids.tolist()
+                of_ids = [hashlib.sha256(" ".join(map(names.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]
+                of_text = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(cuts)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.reset()  # an idle worker holds no words
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_ranks(path: str | None = None) -> tuple[dict[bytes, int], str]:

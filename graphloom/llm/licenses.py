@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.textarrays import blocks, mix, text_bytes, word_bounds, word_hashes
+from graphloom.llm.textarrays import blocks, bounded_batches, mix, text_bytes, word_bounds, word_hashes
 
 #: Words of a shingle, share of a template's shingles that a window must hold, chance to miss a whole template.
 WORDS, CONTAINMENT, MISS = 3, 0.8, 1e-6
@@ -128,6 +128,7 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     match nothing, repeated rows and repeated passages are all reported, empty tables give an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = templates.select("license", "text").distinct().orderBy("license", "text").limit(MAX_TEMPLATES + 1).collect()
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")

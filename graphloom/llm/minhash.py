@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.ordered import ranged
-from graphloom.llm.textarrays import blocks, mix, shingles
+from graphloom.llm.textarrays import blocks, bounded_batches, mix, shingles
 
 #: Words of a shingle, bins (a power of two) and stored bits per bin (1, 2, 4 or 8).
 WORDS, BINS, BITS = 5, 512, 4
@@ -150,6 +150,7 @@ def edit_fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bit
     empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows, parts = ranged(docs.select("doc_id", "text"))
     heads = rows.groupBy("_range").agg(F.max("doc_id").alias("head")).orderBy("_range").collect()  # a row per range
     if not heads:

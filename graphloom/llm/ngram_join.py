@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.textarrays import blocks, distinct_sorted, ragged, shingles
+from graphloom.llm.textarrays import blocks, bounded_batches, distinct_sorted, ragged, shingles
 from graphloom.operators.components import connected_components
 from graphloom.sources.shared_storage import drop_shared, write_shared
 
@@ -169,9 +169,10 @@ def _needed(n_a, n_b, num: int, den: int):
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of index lists that hold two sets or more."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     token = table.column("token").to_numpy()
     order = np.argsort(token, kind="stable")
     token = token[order]
@@ -210,15 +211,16 @@ def _cross_pairs(num: int, den: int):
                     yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         token, node, comp, n, pos = (table.column(c).to_numpy() for c in ("token", "node", "comp", "n", "pos"))
         order = np.argsort(token, kind="stable")
         token, node, comp, n, rem = token[order], node[order], comp[order], n[order], (n - pos)[order]
         cut = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
         mixed = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
-        held, size = [], 0
+        held, size = [], 0  # pairs now
 
         def flush():
             a, b = (np.concatenate(x) for x in zip(*held))
@@ -291,6 +293,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if not 0 < num <= den:
         raise ValueError("similarity must lie in (0, 1]")
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = _partitions(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))

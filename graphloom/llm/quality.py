@@ -1,6 +1,6 @@
 """Quality of whole documents by a byte-level convolutional network in numpy.
 
-A document's bytes are covered by overlapping chunks of ``2 * STEP`` bytes, one every ``STEP`` bytes.
+A document's bytes are covered by overlapping chunks of ``2 * STEP`` places, one every ``STEP`` places.
 Learned filters of ``WIDTH`` bytes slide over each chunk and are max-pooled; the document's vector holds,
 for each filter, the mean and the largest of its chunks' rectified maxima, and a logistic layer turns it
 into one probability. The network sees nothing but the text.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from graphloom.llm.textarrays import blocks, text_bytes
+from graphloom.llm.textarrays import blocks, bounded_batches, text_bytes
 
 STEP, WIDTH, FILTERS = 128, 4, 16
 #: Bounds of the training sample.
@@ -40,7 +40,8 @@ class Network:
     offset: float
 
     def probability(self, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(mean @ self.weights[0] + most @ self.weights[1] + self.offset)))
+        # Row by row, so that a text's score does not depend on the texts beside it.
+        return 1 / (1 + np.exp(-((mean * self.weights[0]).sum(axis=1) + (most * self.weights[1]).sum(axis=1) + self.offset)))
 
 
 def _steps(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +174,7 @@ def score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
     Rows, other columns and repeated rows stay; an existing column of that name is replaced.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @pandas_udf("double")

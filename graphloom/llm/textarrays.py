@@ -11,7 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of text handled at once: arrays of 64-bit hashes take some ten to twenty times as much.
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch between Spark and a worker, where the session keeps the default of 10,000.
+BATCH_ROWS = 2000
 
 # An odd base for polynomial hashes and the multipliers of the splitmix64 finaliser.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,6 +48,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def bounded_batches(spark) -> None:
+    """Sets smaller Arrow batches for whole texts, unless the session sets a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offsets of the texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
