@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,21 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.memo import Codes, Runs, grouped
 from graphloom.llm.ordered import ranged
-from graphloom.llm.textarrays import blocks
+from graphloom.llm.textarrays import blocks, bounded_batches
 from graphloom.sources.shared_storage import new_path
 
 MAGIC = b"GLTOKID1"
 HEAD = struct.Struct("<8sQQ")
 #: Words that a worker keeps with their ids.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: Documents and bytes that the dictionary is trained on at most, and its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 64 << 10
-LEVEL = 3
+LEVEL = 1
+PROBES = ["a", "the", "tokens", "xyzzyqqj", "internationalization"]
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, with a bounded memory of words met before.
+    """Ids of texts by a tokenizer that lower-cases and drops white space, with a bounded memory of words met before.
 
     Such a tokenizer treats what stands between ASCII spaces, tabs and line ends alike wherever it stands.
     """
@@ -51,32 +53,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Whether lower-case ASCII letters alone pass to the model as they are, so that the steps before it can be left out.
+        self.plain = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.ids = Codes(), Runs()
+        self.words, self.word_ids = Codes(), Runs()
+        self.stems, self.stem_ids = Codes(), Runs()
 
     def learn(self, step: int = 4000) -> None:
-        """Encodes words met since the last call, many in one text; a token belongs to the word it starts in."""
-        new = self.words.new
-        for lo in range(0, len(new), step):
-            words = [w.decode("utf-8", "replace") for w in new[lo : lo + step]]
-            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
-            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            owner = np.searchsorted(starts, at, side="right") - 1
-            self.ids.append(np.array(found.ids, np.int32), np.bincount(owner, minlength=len(words)).astype(np.int64))
+        """Encodes words met since the last call: new stems, many in one text; a token belongs to the stem it starts in.
+
+        A full stop or comma after an ASCII letter or digit ends a word, so it is a stem of its own.
+        """
+        codes, sizes = [], []
+        for word in self.words.new:
+            if word[-1:] in (b".", b",") and word[-2:-1].isalnum():
+                codes += (self.stems[word[:-1]], self.stems[word[-1:]])
+                sizes.append(2)
+            else:
+                codes.append(self.stems[word])
+                sizes.append(1)
+        new = self.stems.new
+        found: list[list[int]] = [[t.id for t in self.model.tokenize(w.decode())] if self.plain and w.isalpha() and w.islower() else [] for w in new]
+        others = [i for i, w in enumerate(new) if not (self.plain and w.isalpha() and w.islower())]
+        for lo in range(0, len(others), step):
+            stems = [new[i].decode("utf-8", "replace") for i in others[lo : lo + step]]
+            got = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in stems)])
+            at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got.ids))
+            cut, ids = np.searchsorted(at, starts), got.ids
+            for i, x, y in zip(others[lo : lo + step], cut[:-1], cut[1:]):
+                found[i] = ids[x:y]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.stem_ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
         new.clear()
+        self.words.new.clear()
+        ids, lengths = self.stem_ids.take(np.array(codes, np.int64))
+        self.word_ids.append(ids, grouped(lengths, np.array(sizes, np.int64)))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the number of ids of each."""
         if len(self.words) > MEMO_WORDS:
             self.reset()
-        words = [t.split() for t in texts]
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the tokenizer lower-cases, but for special tokens
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         self.learn()
-        ids, lengths = self.ids.take(codes)
+        ids, lengths = self.word_ids.take(codes)
         return ids, grouped(lengths, sizes)
 
 
@@ -96,8 +121,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
     """A dictionary from at most SAMPLE_DOCS documents (those with the smallest hashes of doc_id), or b''."""
     import zstandard
 
-    sample = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where(F.length("text") > 0)
-    rows = sample.orderBy("h").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_BYTES // SAMPLE_DOCS).alias("text")).toArrow()
+    picked = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    chosen = docs.join(F.broadcast(picked), "doc_id").select("h", F.substring("text", 1, SAMPLE_BYTES // SAMPLE_DOCS).alias("text"))
+    rows = chosen.orderBy("h", "text").limit(SAMPLE_DOCS).select("text").toArrow()
     if rows.num_rows < 8:
         return b""
     parts = [x.tobytes() for b in rows.to_batches() for x in _encoded(b, "text", path, end_id)]
@@ -186,9 +212,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     text, null ids come first. The files' names ascend with doc_id.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id)
     shared = spark.sparkContext.broadcast(dictionary)
-    rows, parts = ranged(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows, parts = ranged(docs)
     ordered = rows.repartitionById(parts, "_range").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +269,7 @@ def read_token_files(files: DataFrame, dictionary: bytes) -> DataFrame:
                 if held:
                     yield flush()
 
-    return files.select("file", "path").repartition("path").mapInArrow(run, "file int, doc_id long, at long, ids array<int>")
+    return files.select("file", "path").repartition(max(1, files.count())).mapInArrow(run, "file int, doc_id long, at long, ids array<int>")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +285,9 @@ def token_file_digests(docs: DataFrame, tokenizer_path: str, end_id: int) -> Dat
     spark = docs.sparkSession
     files, dictionary = write_token_files(docs, tokenizer_path, new_path(spark, "token-files"), end_id)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # a row per file
+    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # a row per file, and no more files than ranges
     digests = read_token_files(files, dictionary).mapInArrow(_crc, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return digests.join(starts, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return digests.join(F.broadcast(starts), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
