@@ -93,8 +93,7 @@ def search(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floor
         all_ids = np.concatenate([ids[active], np.broadcast_to(own, found.shape)], axis=1)
         all_scores = np.concatenate([scores[active], np.where(ok, found, none)], axis=1)
         all_ids = np.where(all_scores == none, -1, all_ids)
-        order = np.argsort(all_ids, axis=1, kind="stable")
-        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(all_scores.astype(np.float64) if exact else all_scores, order, 1), axis=1, kind="stable"), 1)[:, :k]
+        order = np.lexsort((all_ids, ~all_scores))[:, :k]  # ~ reverses the order of integers without overflow
         scores[active] = np.take_along_axis(all_scores, order, 1)
         ids[active] = np.take_along_axis(all_ids, order, 1)
         floor[active] = np.maximum(floor[active], scores[active, k - 1])

@@ -83,6 +83,23 @@ def test_top_k_against_all_products(spark, monkeypatch, shape):
     assert ball_tree.top_k(vectors, vectors.limit(0), 20).count() == 0
 
 
+def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
+    """Scores beyond double precision: the other candidates keep their places."""
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(ball_tree, "LEAF_ROWS", 8)
+    x = np.random.default_rng(7).normal(size=(120, 4)).astype(np.float32)
+    x[17] = 1e13
+    vectors = ball_tree.integer_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    got = {tuple(r) for r in ball_tree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 9).collect()}
+    v = np.floor(64 * x.astype(np.float64)).astype(np.int64)
+    expected = set()
+    for q in range(0, 120, 20):
+        score = v @ v[q]
+        order = [j for j in np.lexsort((np.arange(120), ~score)) if j != q][:9]
+        expected |= {(q, r + 1, int(j), int(score[j])) for r, j in enumerate(order)}
+    assert got == expected
+
+
 # ---- archives
 
 
