@@ -288,7 +288,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component_id is the smallest doc_id reachable over links. Null and empty texts, or texts without
     words, have no shingles and link with nothing; a row with a null doc_id takes part and gets the
     smallest known doc_id of its component, or null. Repeated rows stay repeated. An empty table gives
-    an empty result.
+    an empty result. doc_id may be of any type with an order.
     """
     if not 0 < num <= den:
         raise ValueError("similarity must lie in (0, 1]")
@@ -297,7 +297,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     parts = _partitions(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), "doc_id long, n long, node long, prefix array<long>"), "signatures")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), f"doc_id {id_type}, n long, node long, prefix array<long>"), "signatures")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes, nodes_path = write_shared(nodes, "classes")
 
@@ -326,22 +327,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of ``docs`` with one document of each component left, that with the smallest doc_id.
+    """Rows of ``docs`` with one row of each component left.
 
-    Rows with a null doc_id stay only if nothing else of their component has an id; of rows that repeat
-    a doc_id one stays. Texts are shuffled only where ids repeat or too many rows go to be broadcast.
+    Rows get a written number, and components are those of rows: the row with the smallest doc_id stays
+    (null behind all others), and of rows that share it the one with the smallest number. Null and empty
+    texts link with nothing and stay, whatever their doc_id; rows that repeat a doc_id with texts that do
+    not link all stay.
     """
-    found, path = write_shared(jaccard_components(docs, k, num, den), "components")
-    other = F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))
-    gone = found.where(other).select(F.col("doc_id").alias("gone_id")).distinct()
-    gone, _ = write_shared(gone, "gone")
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    rows, _ = write_shared(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = jaccard_components(rows.select(key.alias("doc_id"), "text"), k, num, den)
+    gone, _ = write_shared(found.where("component_id.row <> doc_id.row").select(F.col("doc_id.row").alias("gone_row")), "gone")
     few = gone.count() <= MAX_BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    drop_shared(docs.sparkSession, path)
-    if not repeated:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return rows.join(F.broadcast(gone) if few else gone, rows[row] == gone["gone_row"], "left_anti").drop(row)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

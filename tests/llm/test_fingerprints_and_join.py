@@ -120,3 +120,18 @@ def test_join_with_awkward_rows(spark):
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert ids == sorted({c for i, (n, c) in expected.items() if n} | {i for i, (n, _) in expected.items() if not n})
+
+
+def test_one_per_group_without_or_with_repeated_ids(spark):
+    """Only linked rows go: not others without an id, nor other texts under the same id."""
+    rng = random.Random(12)
+    a, b, c, d, e = (H.prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, ""), (None, None), (None, c), (None, c + " end"), (7, d), (7, e), (7, a), (8, d), (9, ""), (9, ""), (3, b)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+    got = ngram_join.one_per_group(docs, 4, 85, 100)
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    kept_c = [r for r in left if r in [(None, c), (None, c + " end")]]
+    assert len(kept_c) == 1
+    expected = [(1, a), (3, b), (None, ""), (None, None), *kept_c, (7, d), (7, e), (9, ""), (9, "")]
+    assert sorted(left, key=str) == sorted(expected, key=str)
