@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def running_mean(scores: str = "scores"):
-    """Integer mean updated in order, ``(mean * n + x) div (n + 1)``: it truncates at every step, so order counts."""
-    fold = F.aggregate(
-        F.col(scores),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m")),
-        lambda a, x: F.struct((a["n"] + 1).alias("n"), F.floor((a["m"] * a["n"] + x["score"]) / (a["n"] + 1)).cast("long").alias("m")),
-    )
-    return fold["m"]
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per symbol of rows sorted by (symbol, seq); only the open symbol's count and mean are held.
+
+    The mean is updated in order, ``(mean * n + x) div (n + 1)``: it truncates at every step, so order counts.
+    """
+    schema, open_row = None, None  # open_row: symbol, count, mean, last seq, its seen_at
+    for batch in batches:
+        if schema is None:
+            kinds = [batch.schema.field(0).type, pa.int64(), batch.schema.field(3).type, pa.int64()]
+            schema = pa.schema(list(zip(["identity_id", "times_included", "last_seen", "avg_score"], kinds)))
+        done = []
+        for symbol, seq, score, seen in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if open_row is None or open_row[0] != symbol:
+                if open_row is not None:
+                    done.append((open_row[0], open_row[1], open_row[4], open_row[2]))
+                open_row = [symbol, 0, 0, seq, seen]
+            n, mean = open_row[1:3]
+            open_row[1] = n + 1
+            open_row[2] = None if mean is None or score is None else (mean * n + score) // (n + 1)
+            if seq != open_row[3] or open_row[4] is None or (seen is not None and seen > open_row[4]):
+                open_row[3:] = [seq, seen]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+    if open_row is not None:
+        last = (open_row[0], open_row[1], open_row[4], open_row[2])
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last, schema)], schema=schema)
 
 
 def usefulness(events: DataFrame) -> DataFrame:
     """(identity_id, times_included, last_seen, avg_score) of events (identity_id, seq, score >= 0, seen_at).
 
-    The mean depends on all of a symbol's events in order, so they meet as one array of two numbers each.
+    The mean depends on all of a symbol's events in order, so one task folds them one after the other; they
+    are sorted by Spark, which spills, and pass through the fold in batches.
     """
-    per = events.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("score").cast("long").alias("score")))).alias("scores"), F.max(F.struct("seq", "seen_at"))["seen_at"].alias("last_seen"))
-    return per.select("identity_id", F.size("scores").cast("long").alias("times_included"), "last_seen", running_mean().alias("avg_score"))
+    rows = events.select("identity_id", "seq", F.col("score").cast("long").alias("score"), "seen_at")
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    ordered = rows.repartition("identity_id").sortWithinPartitions("identity_id", "seq", "score")
+    return ordered.mapInArrow(_folded, f"identity_id {kind('identity_id')}, times_included long, last_seen {kind('seen_at')}, avg_score long")
 
 
 def clamped(usefulness_rows: DataFrame) -> DataFrame:

@@ -39,3 +39,7 @@ def test_matches_duckdb(name, spark, duck):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
+
+
+def test_adjacency_gathers_no_lists(spark):
+    assert "collect_list" not in catalogue.QUERIES["a7_adjacency"](spark, SF_DIR)._jdf.queryExecution().toString()

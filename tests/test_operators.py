@@ -69,6 +69,25 @@ def test_running_mean_truncates_in_order(spark):
     assert pairs(feedback.usefulness(events)) == [("x", 3, 6, 800)]
 
 
+def test_running_mean_over_many_batches(spark):
+    """A symbol's events are never gathered into one array, and its fold goes on from batch to batch."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["x", "x", "x", "y", None]), i, rng.randrange(1001), i % 13) for i in range(3000)] + [("z", 1, None, None), ("z", 2, 7, 5)]
+    expected = {}
+    for symbol, _, score, seen in rows:
+        n, mean, _ = expected.get(symbol, (0, 0, None))
+        expected[symbol] = (n + 1, None if mean is None or score is None else (mean * n + score) // (n + 1), seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        used = feedback.usefulness(spark.createDataFrame(rows, "identity_id string, seq long, score long, seen_at long").repartition(3))
+        got = {r["identity_id"]: (r["times_included"], r["avg_score"], r["last_seen"]) for r in used.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == expected
+    assert "collect_list" not in used._jdf.queryExecution().toString()
+
+
 def snapshots(spark, rows):
     return spark.createDataFrame(rows, "id long, kind string, created_at long, parent_id long")
 
