@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared_storage import write_shared
+
 WIDTH = 4096
 
 
@@ -25,3 +27,17 @@ def disc_quantile(rows: DataFrame, key: str, value: str, num: int, den: int, wid
     counts = inside.groupBy(key, "_before", "_place", F.col(value).alias("value")).agg(F.count("*").alias("_n"))
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(key).orderBy("value"))
     return counts.withColumn("_upto", upto).where("_upto > _place AND _upto - _n <= _place").select(key, "value")
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with ``rank`` from 1 on, for all rows: ranges of the order are ranked alone and moved by an offset."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, _ = write_shared(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").count().orderBy("_range").collect()  # a row per range
+    offsets, total = [], 0
+    for r in sizes:
+        offsets.append((r["_range"], total))
+        total += r["count"]
+    offset = rows.sparkSession.createDataFrame(offsets, "_range int, _offset long")
+    within = Window.partitionBy("_range").orderBy(*order)
+    return dealt.join(F.broadcast(offset), "_range").withColumn("rank", F.row_number().over(within) + F.col("_offset")).drop("_range", "_offset")

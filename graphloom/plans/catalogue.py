@@ -12,7 +12,7 @@ from graphloom.functions import ids
 from graphloom.functions.text import keywords, last_segment, qualify, span_length, token_cost
 from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, visibility
 from graphloom.plans import context
-from graphloom.plans.stand_ins import Tables, with_ctes
+from graphloom.plans.stand_ins import AllTables, Tables, with_ctes, without_cuts
 from graphloom.streaming import overlay_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,10 +25,15 @@ CHANGED = ["Brand#3", "Brand#4"]
 
 
 def query(name: str, sql: str | None = None):
+    """Registers a query; one whose SQL reads cut stand-ins also as ``<name>_all``, over all calls and nodes."""
+
     def add(make: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = sql
+            if without_cuts(sql) != sql and name != "j9_new_edges":  # j9 compares all calls with the cut ones
+                QUERIES[f"{name}_all"] = lambda spark, sf_dir: make(AllTables(spark, sf_dir))
+                ORACLE_SQL[f"{name}_all"] = without_cuts(sql)
         return make
 
     return add
@@ -342,6 +347,12 @@ def _(t):
     return top.select("id", F.row_number().over(order).alias("rank"))
 
 
+@query("o1_ranking_all", with_ctes("nodes uses", "SELECT n.id, row_number() OVER (ORDER BY coalesce(u.times_included, 0) DESC, qualified_name, n.id)::INTEGER AS rank FROM nodes n LEFT JOIN uses u ON u.id = n.id"))
+def _(t):
+    rows = t.nodes.join(t.uses, "id", "left").na.fill(0, ["times_included"]).select("id", "times_included", "qualified_name")
+    return statistics.ranked(rows, F.desc("times_included"), "qualified_name", "id").select("id", F.col("rank").cast("int").alias("rank"))
+
+
 @query("o3_top_anchors", with_ctes("nodes", "SELECT id, name FROM (SELECT a.id, n.name, row_number() OVER (ORDER BY anchor DESC, name, a.id) AS rn FROM anchors a JOIN nodes n ON n.id = a.id) WHERE rn <= 2", more=_ANCHORS))
 def _(t):
     found = context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text)).join(t.nodes, "id")

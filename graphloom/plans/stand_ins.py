@@ -82,6 +82,18 @@ class Tables:
         return self.read("events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("times_included"))
 
 
+class AllTables(Tables):
+    """The same tables without the cuts: every call is walked and resolved, every node is a symbol."""
+
+    @property
+    def sparse_calls(self) -> DataFrame:
+        return self.calls
+
+    @property
+    def symbols(self) -> DataFrame:
+        return self.nodes.select(F.col("id").alias("identity"), F.col("file_path").alias("file_id"), "qualified_name", "name", F.col("id").alias("ord"))
+
+
 CTES = {
     "nodes": """nodes AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, p_brand || '::' || replace(p_name, ' ', '_') AS qualified_name,
   p_brand AS file_path, p_type AS kind, p_size AS start_line, (p_size * 40)::BIGINT AS byte_len FROM part)""",
@@ -115,3 +127,8 @@ def with_ctes(names: str, body: str, recursive: bool = False, more: str = "") ->
                 order.append(need)
     parts = [CTES[n] for n in order] + ([more] if more else [])
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
+
+
+def without_cuts(sql: str) -> str:
+    """SQL of a query over ``Tables`` as SQL over ``AllTables``."""
+    return sql.replace(CTES["sparse"], "sparse AS (SELECT DISTINCT src, dst FROM bag)").replace(CTES["symbols"], CTES["symbols"].replace(" WHERE id % 29 = 0", ""))

@@ -6,9 +6,14 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import catalogue
+from pyspark.sql import functions as F
+
+from graphloom.operators import statistics
+from graphloom.plans import catalogue, stand_ins
 
 SF_DIR = "/root/testdata/sf0.001"
+#: Queries whose SQL reads part of the calls, symbols or ranks.
+CUT = "c1_context_plan o5_greedy_pack u1_candidates a10_proximity g3_reverse_reach g4_impact j5_resolve j6_origin j16_resolved_edges j16_unresolved j11_overlay_edges o1_ranking".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
 
 
@@ -43,3 +48,20 @@ def test_every_query_has_sql():
 
 def test_adjacency_gathers_no_lists(spark):
     assert "collect_list" not in catalogue.QUERIES["a7_adjacency"](spark, SF_DIR)._jdf.queryExecution().toString()
+
+
+def test_all_calls_and_nodes_are_read(spark):
+    t = stand_ins.AllTables(spark, SF_DIR)
+    assert t.sparse_calls.count() == t.references.count() == t.calls.count() and t.symbols.count() == t.nodes.count()
+    assert {n for n in catalogue.QUERIES if n.endswith("_all")} == {f"{n}_all" for n in CUT}
+    for name in CUT:
+        assert "% 11" not in catalogue.ORACLE_SQL[f"{name}_all"] and "% 29" not in catalogue.ORACLE_SQL[f"{name}_all"]
+    assert catalogue.QUERIES["o1_ranking_all"](spark, SF_DIR).count() == t.nodes.count()
+
+
+def test_ranked_over_many_ranges(spark):
+    rows = spark.range(1000).select((999 - F.col("id")).alias("id"), (F.col("id") % 7).alias("n"))
+    got = {r["id"]: r["rank"] for r in statistics.ranked(rows, F.desc("n"), "id").collect()}
+    order = sorted(got, key=lambda i: (-((999 - i) % 7), i))
+    assert got == {i: k + 1 for k, i in enumerate(order)} and len(got) == 1000
+    assert statistics.ranked(rows.limit(0), "id").count() == 0
