@@ -1,16 +1,25 @@
 """Language-model scores by online logistic context mixing, with a word-frequency base score beside it.
 
-The model predicts a text as its lower-cased words joined by spaces and closed by an end mark, bit by bit:
-each byte is a path in a binary code tree, and at every node ``len(PREDICTORS)`` hashed contexts give a
-bit prediction from corpus counts. A text's own mixer adds the predictions in the logistic domain, with
-weights gated by the node; a learned map refines the mixed value, and the text's own additions to the
-weights, a factor and an addition are adapted online, segment by segment. The bits' log probabilities add up to the score.
-
-Corpus counts (of word hashes, of bytes, and of contexts) are gathered from all training texts: every
-task counts its texts into tables, which are shuffled in parts and summed. The context tables have a
-fixed size and are broadcast; of the word counts, which grow with the corpus, the ``MAX_FREQUENT`` most
-frequent at most are broadcast and the others are found by a join. Only the mixer's starting weights are
-fitted on a sample, of ``MIXER_DOCS`` training documents at most, which the context tables leave out.
+*Symbols and bits.* A text is its lower-cased words and one end. Frequent training words and the end are
+symbols of a Huffman tree; any other word is an escape, then its bytes (all 256) and a word end, which are
+symbols of a second tree. So every text is a sequence of bits: the turns taken at the trees' nodes.
+
+*Predictors.* At each node several contexts give a probability: at words the corpus' word frequencies, the
+word before (hashed), and the text's own last continuation of its last two words; at bytes the two bytes
+before, the four before (hashed), and the text's own last continuation of the word so far. Corpus contexts
+count the turns that training texts took there and back off to the next shorter context, the shortest to
+the symbols' frequencies; the text's own ones are updated after each symbol.
+
+*Mixing.* The predictions are added in the logistic domain with weights gated by tree, depth and state of
+the text's own match; a map of the text's own refines the sum. Weights and map start from constants and are
+learned online from the text itself, segment by segment (segments grow with the position), so a score
+depends on nothing but the text and the counts. The bits add up to the score and to bits per byte.
+
+*Counts at any size.* Nothing that grows with the corpus is broadcast. Texts lie in blocks; a block sends
+the distinct (context, symbol) pairs that its texts use, with their training counts, to the ranges of
+contexts (packed arrays, shuffled); a range adds up all counts and answers each block with the turns at
+the nodes on its pairs' paths; the block then scores its texts. Word counts take the same way. There are
+no samples, prefixes or left-out rows: every training row is counted, every whole text is scored.
 """
 
 from __future__ import annotations
@@ -22,437 +31,710 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.memo import Runs
 from graphloom.llm.quality import in_fold
-from graphloom.llm.textarrays import LOWER, blocks, bounded_batches, text_bytes, word_bounds, word_hashes
+from graphloom.llm.textarrays import LOWER, blocks, bounded_batches, mix, text_bytes, word_bounds, word_hashes
 from graphloom.sources.shared_storage import drop_shared, write_shared
 
-#: Symbols: the SYMBOLS - 1 most frequent bytes, and one for all others.
-SYMBOLS = 64
-#: Contexts (bits of their number): the last three symbols, the last five hashed, the word so far hashed.
-PREDICTORS = (("three", 18), ("five", 17), ("word", 17))
-PART_CELLS = 1 << 20
-MIXER_DOCS = 500
-LEARN = 0.1
-MAX_FREQUENT = 1 << 20
-#: Bytes of text handled at once; contexts and inputs take some hundred times as much.
-TILE = 1 << 18
-#: Where a text's segments end, in bytes: they double up to 8192 bytes, so long texts take few rounds.
-CUTS = np.concatenate([[0], 128 << np.arange(7), np.arange(16384, 1 << 26, 8192), [1 << 40]])
-BUCKETS = 24
-#: Scale of stored predictions: ln(p / (1 - p)) in steps of 1 / STEP.
-STEP = 15.5
-#: Steps of a text's own weights and refinement, and the bits that its starting weights count for.
-RATE, TILT_RATE, PRIOR = 1.0 / STEP**2, 0.5, 500
-SPACE, END = 0x20, 0x0A
-# Odd multipliers of the context hashes.
-WORD_BASE, HASH_1, HASH_2 = 0x9E3779B1, np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+#: Words that are symbols: at most so many, each counted so often at least.
+VOCABULARY, LEAST_COUNT = 1 << 16, 2
+#: Bytes of text in a block, and symbols that are mixed at once.
+BLOCK_BYTES, TILE = 2 << 20, 1 << 15
+#: Weight of the shorter context when a longer one backs off to it.
+BACK_OFF = 1.0
+#: Where a text's segments end, in symbols: each is half as long as all before it, up to 4096.
+CUTS = [0, 24]
+while CUTS[-1] < 12288:
+    CUTS.append(CUTS[-1] * 3 // 2)
+CUTS = np.concatenate([CUTS, np.arange(CUTS[-1] + 4096, 1 << 22, 4096), [1 << 40]])
+SEGMENTS = len(CUTS) - 1
+#: Inputs of the mixer, sets of weights, buckets of the refinement map.
+INPUTS, DEPTHS, RUNS, BUCKETS = 3, 4, 4, 24
+GATES = 2 * DEPTHS * RUNS
+#: What a starting weight and a starting map entry count for, in curvature.
+WEIGHT_PRIOR, MAP_PRIOR = 30.0, 40.0
+#: Log odds of the text's own match after 0, 1, 2 and more matches in a row.
+MATCH_ODDS = np.array([0.5, 1.5, 2.5, 4.0], np.float32)
+# Odd multipliers and tags that keep kinds of contexts apart.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+TAGS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
+#: Turns at a node are answered as one byte: exact pairs of counts up to EXACT in sum, else their log odds.
+EXACT, ODDS_STEP, MANY = 10, 0.07, 60.0
+
+
+def _turn_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte of each exact pair of counts (on, off), and the counts that each byte stands for."""
+    code = np.zeros((EXACT + 1, EXACT + 1), np.uint8)
+    on, off = np.zeros(256, np.float32), np.zeros(256, np.float32)
+    n = 0
+    for total in range(EXACT + 1):
+        for i in range(total + 1):
+            code[i, total - i], on[n], off[n] = n, i, total - i
+            n += 1
+    share = 1 / (1 + np.exp(-(np.arange(n, 256) - (n + 255) / 2) * ODDS_STEP))
+    on[n:], off[n:] = MANY * share, MANY * (1 - share)
+    return code, on, off
+
+
+TURN_CODE, TURN_ON, TURN_OFF = _turn_tables()
+FIRST_ODDS = (EXACT + 1) * (EXACT + 2) // 2
+
+
+def turn_codes(on: np.ndarray, off: np.ndarray) -> np.ndarray:
+    odds = np.log((on + 0.3) / (off + 0.3)) / ODDS_STEP + (FIRST_ODDS + 255) / 2
+    out = np.clip(np.rint(odds), FIRST_ODDS, 255).astype(np.uint8)
+    few = on + off <= EXACT
+    out[few] = TURN_CODE[on[few], off[few]]
+    return out
 
 
 @dataclass
 class Code:
-    """A binary code tree over the symbols, made from byte counts (Huffman)."""
+    """The two code trees. Symbols: words (in the order of ``hashes``), end, escape, 256 bytes, word end."""
 
-    symbol: np.ndarray  # of each byte
-    escape: np.ndarray  # ln probability of each byte given that it has the shared symbol
-    lengths: np.ndarray
+    hashes: np.ndarray  # of the words that are symbols, ascending
+    counts: np.ndarray  # of these words in training texts
+    leaf: np.ndarray  # of each symbol: its place among all leaves
+    lengths: np.ndarray  # of each symbol's path
     starts: np.ndarray
     nodes: np.ndarray  # paths of all symbols, one after another
     bits: np.ndarray
-    leaf: np.ndarray  # place of each symbol among the leaves
-    spans: np.ndarray  # of each node: first leaf, first leaf of its 1 side, end
-
-
-def make_code(counts: np.ndarray) -> Code:
-    order = np.lexsort((np.arange(256), -counts))
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[order[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-    rest = order[SYMBOLS - 1 :]
-    escape = np.zeros(256)
-    escape[rest] = np.log((counts[rest] + 0.5) / (counts[rest].sum() + 0.5 * len(rest)))
-    weight = np.bincount(symbol, weights=counts + 0.5, minlength=SYMBOLS)
-    heap = [(w, i, i) for i, w in enumerate(weight)]
+    odds: np.ndarray  # log odds of each turn of these paths, by the symbols' frequencies
+    share: np.ndarray  # their probabilities
+    signs: np.ndarray  # of each turn: 1 for a 1, -1 for a 0
+    gates: np.ndarray  # of each turn: the set of weights, but for the text's own match
+    word: np.ndarray  # of each symbol: its path as the leading bits of a number
+    middle: np.ndarray  # of each node: first leaf of its 1 side
+    tokens: int
+    distinct: int
+    documents: int
+
+    @property
+    def end(self) -> int:
+        return len(self.hashes)
+
+
+def _tree(weights: np.ndarray, first_leaf: int, first_node: int):
+    """Huffman tree of these symbols: (leaf, path) per symbol and (middle, log odds) per node."""
+    heap = [(float(w), i, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    n = SYMBOLS
+    n = len(weights)
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        heapq.heappush(heap, (a[0] + b[0], n, (a[2], b[2])))
+        heapq.heappush(heap, (a[0] + b[0], n, (a, b)))
         n += 1
-    paths: dict[int, list[tuple[int, int]]] = {}
-    leaf, spans = np.zeros(SYMBOLS, np.int64), []
-
-    def walk(tree, path) -> None:
-        if isinstance(tree, tuple):
-            node, lo = len(spans), len(paths)
-            spans.append([lo, lo, lo])
-            walk(tree[0], [*path, (node, 0)])
-            spans[node][1] = len(paths)
-            walk(tree[1], [*path, (node, 1)])
-            spans[node][2] = len(paths)
+    leaf, paths = np.zeros(len(weights), np.int64), [None] * len(weights)
+    middle, odds, placed = [], [], 0
+    stack = [(heap[0], ())]
+    while stack:
+        item, path = stack.pop()
+        if item is None:  # the 0 side of a node is done
+            middle[path] = first_leaf + placed
+        elif isinstance(item[2], tuple):
+            node = len(middle)
+            middle.append(0)
+            zero, one = item[2]
+            odds.append(math.log(one[0] / zero[0]))
+            stack += [(one, (*path, (first_node + node, 1))), (None, node), (zero, (*path, (first_node + node, 0)))]
         else:
-            leaf[tree] = len(paths)
-            paths[tree] = path
+            leaf[item[2]] = first_leaf + placed
+            paths[item[2]] = path
+            placed += 1
+    return leaf, paths, middle, odds
+
+
+def make_code(hashes: np.ndarray, counts: np.ndarray, byte_counts: np.ndarray, tokens: int, distinct: int, documents: int) -> Code:
+    escapes = tokens - documents - int(counts.sum())
+    leaf, paths, middle, odds = _tree(np.concatenate([counts, [documents, escapes]]) + 0.5, 0, 0)
+    leaf_b, paths_b, middle_b, odds_b = _tree(np.concatenate([byte_counts, [tokens - documents]]) + 0.5, len(leaf), len(middle))
+    paths += paths_b
+    lengths = np.array([len(p) for p in paths], np.int64)
+    flat = [step for p in paths for step in p]
+    nodes, bits = np.array([a for a, _ in flat], np.int32), np.array([b for _, b in flat], np.int8)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    turn = np.array(odds + odds_b, np.float32)[nodes] * (2 * bits - 1)
+    depth = np.arange(len(nodes)) - np.repeat(starts, lengths)
+    word = np.add.reduceat(np.where(depth < 64, bits.astype(np.uint64) << np.minimum(63 - depth, 63).clip(0).astype(np.uint64), np.uint64(0)), starts)
+    gates = (RUNS * (np.minimum(depth // 3, DEPTHS - 1) + DEPTHS * (nodes >= len(middle)))).astype(np.int16)
+    share = 1 / (1 + np.exp(-turn))
+    return Code(hashes, counts, np.concatenate([leaf, leaf_b]), lengths, starts, nodes, bits, turn, share, (2 * bits - 1).astype(np.float32), gates, word, np.array(middle + middle_b), tokens, distinct, documents)
+
+
+# ---- a block's symbols and contexts
+
+
+def order_of(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A stable order of unsigned keys of so many bits: sorts their leading bits packed with their places, which
+    is much faster than an indirect sort, and then mends the rare runs that differ in the bits cut off."""
+    keys = keys.astype(np.uint64, copy=False)
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    b = np.uint64((n - 1).bit_length())
+    high = keys << np.uint64(64 - bits) if bits < 64 else keys
+    order = ((high >> b) << b) | np.arange(n, dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << b) - np.uint64(1))).astype(np.int64)
+    if bits + int(b) > 64:
+        ranked = high[order]
+        top = ranked >> b
+        same = top[1:] == top[:-1]
+        odd = np.flatnonzero(same & (ranked[1:] != ranked[:-1]))
+        if len(odd):  # whole runs with equal leading bits, in order of all bits
+            rows = np.flatnonzero(np.isin(top, top[odd]))
+            order[rows] = order[rows][np.argsort(ranked[rows], kind="stable")]
+    return order
+
+
+def _dense(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key occurs first, in ascending order, and every key's number among them."""
+    order = order_of(keys, bits)
+    if not len(order):
+        return order, order
+    ranked = keys[order]
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
-    walk(heap[0][2], [])
-    lengths = np.array([len(paths[s]) for s in range(SYMBOLS)], np.int64)
-    flat = [step for s in range(SYMBOLS) for step in paths[s]]
-    return Code(symbol, escape, lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.array([a for a, _ in flat], np.int32), np.array([b for _, b in flat], np.int8), leaf, np.array(spans))
 
-
-def normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased words, each followed by a space or, if last, the end mark; and each text's bounds."""
+@dataclass
+class Stream:
+    """Symbols of a block's texts, one after another."""
+
+    symbols: np.ndarray
+    bounds: np.ndarray  # of the texts
+    at_byte: np.ndarray  # places of the symbols of the byte tree
+    contexts: list[np.ndarray]  # hashes: the first of every symbol, the others of those at at_byte
+    own: np.ndarray  # hash of the text's own context of every symbol
+    n_words: np.ndarray
+    words: np.ndarray  # hashes of all words
+    known: np.ndarray  # place of each word among the code's, or -1
+
+
+def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
+    starts, ends, first = word_bounds(data, offsets)
+    words = word_hashes(data, starts, ends)
     n_words = np.diff(first)
-    empty = np.flatnonzero(n_words == 0)
-    lengths = ends - starts
-    size = lengths + 1
+    n, n_texts = len(words), len(n_words)
+    at = np.searchsorted(code.hashes, words)
+    at[at == len(code.hashes)] = 0
+    is_known = code.hashes[at] == words if len(code.hashes) else np.zeros(n, bool)
+    rare = np.flatnonzero(~is_known)
+    size = np.ones(n, np.int64)
+    size[rare] = ends[rare] - starts[rare] + 2
     total = np.concatenate([[0], np.cumsum(size)])
-    bounds = total[first] + np.concatenate([[0], np.cumsum(n_words == 0)])
-    shift = np.searchsorted(empty, np.searchsorted(first[1:], np.arange(len(starts)), side="right")) if len(empty) else 0
-    at = total[:-1] + shift
-    out = np.full(int(bounds[-1]), SPACE, np.uint8)
-    step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(at, lengths) + step] = LOWER[data[np.repeat(starts, lengths) + step]]
-    out[bounds[1:] - 1] = END
-    return out, bounds
-
-
-def _hash(x: np.ndarray, bits: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(15))) * HASH_1
-    return ((x ^ (x >> np.uint32(13))) * HASH_2) >> np.uint32(32 - bits)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 2 * TILE), base, np.uint32)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint32)
-    return _powers[base][:n]
-
-
-def contexts(symbols: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """For each predictor the number of every position's context; before a text stands the shared symbol."""
-    n, sizes = len(symbols), np.diff(bounds)
+    bounds = total[first] + np.arange(n_texts + 1)
+    place = total[:-1] + np.repeat(np.arange(n_texts), n_words)  # of each word's first symbol
+    symbols = np.full(int(bounds[-1]), code.end, np.int32)
+    symbols[place] = np.where(is_known, at, code.end + 1)
+    # Contexts of words: the one or two words before, in the same text.
+    before = np.zeros(n + n_texts, np.uint64)
+    slot = np.arange(n) + np.repeat(np.arange(n_texts), n_words)
+    last = slot + 1  # the word after, or the end
+    before[last] = words
+    two = np.zeros(n + n_texts, np.uint64)
+    not_first = np.ones(n, bool)
+    not_first[first[:-1][n_words > 0]] = False
+    two[last[not_first]] = words[np.flatnonzero(not_first) - 1]
+    begin = first[:-1] + np.arange(n_texts)
+    before[begin] = two[begin] = 0
+    word_places = np.empty(n + n_texts, np.int64)
+    word_places[slot] = place
+    word_places[first[1:] + np.arange(n_texts)] = bounds[1:] - 1
+    context, own = np.zeros(len(symbols), np.uint64), np.zeros(len(symbols), np.uint64)
+    context[word_places] = mix(before + TAGS[0])
+    own[word_places] = mix(before * ODD + two)
+    # Bytes of the other words.
+    letters = ends[rare] - starts[rare]
+    each = letters + 1
+    upto = np.cumsum(each)
+    step = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - each, each)
+    at_byte = np.repeat(place[rare], each) + 1 + step
+    letter = np.zeros(len(step), np.int64)
+    inner = step < np.repeat(letters, each)
+    letter[inner] = LOWER[data[(np.repeat(starts[rare], each) + step)[inner]]]
+    symbols[at_byte] = np.where(inner, letter, 256) + code.end + 2
     back = []
-    for k in range(1, 6):
-        prior = np.empty(n, np.uint32)
-        prior[k:] = symbols[:-k] if k < n else 0
-        for j in range(k):
-            prior[bounds[:-1][sizes > j] + j] = SYMBOLS - 1
+    for k in range(1, 5):
+        prior = np.zeros(len(step), np.uint64)
+        prior[k:] = letter[:-k] + 1 if k < len(step) else 0
+        prior[step < k] = 0
         back.append(prior)
-    three = back[0] | back[1] << np.uint32(6) | back[2] << np.uint32(12)
-    five = _hash(three | back[3] << np.uint32(18) | back[4] << np.uint32(24), 17)
-    begin = np.zeros(n, np.int32)
-    new = np.flatnonzero((text[:-1] == SPACE) | (text[:-1] == END)) + 1
-    begin[new] = new
-    np.maximum.accumulate(begin, out=begin)
-    total = np.zeros(n + 1, np.uint32)
-    np.cumsum((text.astype(np.uint32) + np.uint32(1)) * _powers_of(WORD_BASE, n), dtype=np.uint32, out=total[1:])
-    word = _hash((total[:-1] - total[begin]) * _powers_of(pow(WORD_BASE, -1, 1 << 32), n)[begin], 17)
-    return [three, five, word]
-
-
-SIZES = [SYMBOLS << bits for _, bits in PREDICTORS]
-OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
-PARTS = -(-int(OFFSETS[-1]) // PART_CELLS)
-
-
-def predictions(counts: np.ndarray, code: Code) -> np.ndarray:
-    """Stored predictions of nodes from symbol counts (contexts x symbols)."""
-    by_leaf = np.zeros((len(counts), SYMBOLS + 1))
-    by_leaf[:, code.leaf + 1] = counts
-    total = np.cumsum(by_leaf, axis=1)
-    lo, middle, hi = code.spans.T
-    zero, one = total[:, middle] - total[:, lo], total[:, hi] - total[:, middle]
-    out = np.zeros((len(counts), SYMBOLS), np.int8)
-    out[:, : len(code.spans)] = np.clip(np.rint(np.log((one + 0.3) / (zero + 0.3)) * STEP), -127, 127)
-    return out
+    two_back = back[0] + back[1] * np.uint64(257)
+    four_back = two_back + back[2] * np.uint64(257**2) + back[3] * np.uint64(257**3)
+    context[at_byte] = mix(two_back + TAGS[1])
+    own[at_byte] = _so_far(letter, step)
+    return Stream(symbols, bounds, at_byte, [context, mix(four_back ^ TAGS[2])], own, n_words, words, np.where(is_known, at, -1))
+
+
+def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word before each of its bytes."""
+    n = len(letter)
+    steps = np.full(n + 1, ODD, np.uint64)
+    steps[0] = 1
+    np.cumprod(steps, out=steps)
+    inverse = np.full(n + 1, np.uint64(pow(int(ODD), -1, 1 << 64)), np.uint64)
+    inverse[0] = 1
+    np.cumprod(inverse, out=inverse)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((letter.astype(np.uint64) + np.uint64(1)) * steps[:-1], out=total[1:])
+    begin = np.arange(n) - step
+    return (total[:-1] - total[begin]) * inverse[begin]
 
 
 @dataclass
-class Mixer:
-    weights: np.ndarray  # predictors x nodes
-    map: np.ndarray  # additions to the mixed value per bucket
-
-    @staticmethod
-    def start() -> Mixer:
-        return Mixer(np.full((len(PREDICTORS), SYMBOLS), 0.4 / STEP, np.float32), np.zeros(BUCKETS, np.float32))
-
-
-def mixed(code: Code, table: np.ndarray, mixer: Mixer, text: np.ndarray, bounds: np.ndarray, learn: float = 0) -> np.ndarray:
-    """ln probability of each text. With ``learn`` the shared weights and map follow the gradients as well."""
-    symbols = code.symbol[text]
-    numbers = contexts(symbols, text, bounds)
-    out = np.zeros(len(bounds) - 1)
-    shared = np.flatnonzero(symbols == SYMBOLS - 1)
-    np.add.at(out, np.searchsorted(bounds, shared, side="right") - 1, code.escape[text[shared]])
-    # Pieces: a text's segments. Rounds: all first segments, all second ones, and so on, in one order of positions.
-    whole = np.diff(bounds)
-    n_pieces = np.searchsorted(CUTS[1:], whole, side="left") + 1
-    doc = np.repeat(np.arange(len(whole)), n_pieces)
-    segment = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-    by_round = np.lexsort((doc, segment))
-    piece_doc, segment = doc[by_round], segment[by_round]
-    size = np.minimum(CUTS[segment + 1], whole[piece_doc]) - CUTS[segment]
-    upto = np.cumsum(size)
-    order = np.arange(len(text)) + np.repeat(bounds[piece_doc] + CUTS[segment] - upto + size, size)
-    symbols = symbols[order]
-    lengths = code.lengths[symbols]
-    total = np.cumsum(lengths)
-    step = np.arange(int(total[-1])) + np.repeat(code.starts[symbols] - total + lengths, lengths)
-    node, bit = np.take(code.nodes, step), np.take(code.bits, step)
-    inputs, fixed = [], np.zeros(len(node), np.float32)
-    for i, number in enumerate(numbers):
-        cell = np.repeat(OFFSETS[i] + (number[order].astype(np.int64) << 6), lengths)
-        cell += node
-        x = np.take(table, cell).astype(np.float32)
-        inputs.append(x)
-        if not learn:
-            fixed += np.take(mixer.weights[i], node) * x
-    piece_bits = np.concatenate([[0], total[upto - 1]])
-    rounds = np.flatnonzero(np.concatenate([[True], np.diff(segment) != 0]))
-    own = np.zeros((len(PREDICTORS), len(bounds) - 1), np.float32)
-    tilt = np.zeros((2, len(bounds) - 1), np.float32)  # a text's own refinement: a factor and an addition
-    for r, first in enumerate(rounds):
-        last = rounds[r + 1] if r + 1 < len(rounds) else len(piece_doc)
-        a, b = piece_bits[first], piece_bits[last]
-        docs, cuts = piece_doc[first:last], piece_bits[first:last] - a
-        sizes = np.diff(np.append(cuts, b - a))
-        x = [v[a:b] for v in inputs]
-        z = fixed[a:b].copy()
-        if learn:
-            for i, v in enumerate(x):
-                z += mixer.weights[i][node[a:b]] * v
-        if r:  # nothing is known of a text before its second segment
-            for i, v in enumerate(x):
-                z += np.repeat(own[i, docs], sizes) * v
-            z += np.repeat(tilt[0, docs], sizes) * z
-            z += np.repeat(tilt[1, docs], sizes)
+class Pairs:
+    """Distinct (context, symbol) pairs of a block in ascending order of the context's hash, and which each symbol uses."""
+
+    contexts: np.ndarray
+    symbols: np.ndarray
+    of: np.ndarray  # of every context of a stream, one kind after another
+    place: np.ndarray  # where each pair occurs first
+
+
+def pairs(code: Code, s: Stream) -> Pairs:
+    contexts = np.concatenate(s.contexts)
+    symbols = np.concatenate([s.symbols, s.symbols[s.at_byte]])
+    _, number = _dense(contexts)
+    place, of = _dense(number * len(code.leaf) + code.leaf[symbols], (len(contexts) * len(code.leaf)).bit_length())
+    return Pairs(contexts[place], symbols[place], of, place)
+
+
+def rare_words(s: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the words that are no symbols, ascending, and the number of each such word."""
+    rare = s.words[s.known < 0]
+    place, of = _dense(rare)
+    return rare[place], of
+
+
+# ---- a range's counts
+
+
+def answers(code: Code, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """Turns at the nodes on the path of each distinct pair, and the pair's number for every given one."""
+    _, number = _dense(contexts)
+    leaves = len(code.leaf)
+    place, of = _dense(number * leaves + code.leaf[symbols], (len(contexts) * leaves).bit_length())
+    own_context, own_symbol = number[place], symbols[place]
+    key = own_context * leaves + code.leaf[own_symbol]
+    upto = np.zeros(len(key) + 1, np.int64)
+    np.cumsum(np.bincount(of, weights=counts, minlength=len(key)), out=upto[1:])
+    lengths, starts = code.lengths[own_symbol], code.starts[own_symbol]
+    out_at = np.concatenate([[0], np.cumsum(lengths)])
+    on, off = np.zeros(int(out_at[-1]), np.int64), np.zeros(int(out_at[-1]), np.int64)
+    # All pairs of a context and tree, then at each level those on the same side of the node.
+    words = code.end + 2
+    tree = own_context * 2 + (own_symbol >= words)
+    lo, hi = np.searchsorted(tree, tree, side="left"), np.searchsorted(tree, tree, side="right")
+    active, depth = np.arange(len(key)), 0
+    while len(active):
+        step = starts[active] + depth
+        node, bit = code.nodes[step], code.bits[step]
+        a, b = lo[active], hi[active]
+        middle = np.full(len(active), -1, np.int64)
+        several = b - a > 1
+        middle[several] = np.searchsorted(key, own_context[active[several]] * leaves + code.middle[node[several]])
+        alone = ~several
+        middle[alone] = np.where(bit[alone] == 1, a[alone], b[alone])
+        left, right = upto[middle] - upto[a], upto[b] - upto[middle]
+        on[out_at[active] + depth] = np.where(bit == 1, right, left)
+        off[out_at[active] + depth] = np.where(bit == 1, left, right)
+        lo[active], hi[active] = np.where(bit == 1, middle, a), np.where(bit == 1, b, middle)
+        depth += 1
+        active = active[lengths[active] > depth]
+    runs = Runs()
+    runs.values, runs.starts, runs.lengths = turn_codes(on, off), out_at[:-1], lengths
+    return runs, of
+
+
+# ---- mixing
+
+
+def _own_match(code: Code, s: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """How many turns the symbol that followed last in the text's own context shares with each symbol (-1: there is
+    none), and how many times in a row (RUNS - 1 at most) such symbols were right before."""
+    n = len(s.symbols)
+    text = np.repeat(np.arange(len(s.bounds) - 1, dtype=np.uint64), np.diff(s.bounds))
+    key = mix(s.own + text * ODD)
+    order = order_of(key)
+    ranked = key[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+    shared = np.full(n, -1, np.int8)
+    now, before = s.symbols[order[same]], s.symbols[order[same - 1]]
+    differ = code.word[now] ^ code.word[before]
+    shared[order[same]] = np.where(now == before, code.lengths[now], 63 - np.log2(np.maximum(differ, 1).astype(np.float64)).astype(np.int64))
+    right = np.zeros(n, bool)
+    right[order[same]] = now == before
+    miss = np.where(right, -1, np.arange(n))
+    miss[s.bounds[:-1]] = s.bounds[:-1]  # a text starts anew
+    np.maximum.accumulate(miss, out=miss)
+    run = np.zeros(n, np.int64)
+    run[1:] = np.arange(n - 1) - miss[:-1]
+    run[s.bounds[:-1]] = 0
+    return shared, np.minimum(run, RUNS - 1).astype(np.int8)
+
+
+def _paths(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for all runs of these lengths."""
+    upto = np.cumsum(lengths)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + lengths, lengths)
+
+
+def pair_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
+    """Log odds of each turn of each pair's path, backed off to the shorter context of the same place."""
+    n = len(s.symbols)
+    path = _paths(code.starts[p.symbols], turns.lengths)
+    share = code.share[path]
+    longer = np.flatnonzero(p.place >= n)
+    on, off = TURN_ON[turns.values] + BACK_OFF * share, TURN_OFF[turns.values] + BACK_OFF * (1 - share)
+    if len(longer):  # of four bytes before: back off to the two bytes before
+        own = _paths(turns.starts[longer], turns.lengths[longer])
+        shorter = p.of[s.at_byte[p.place[longer] - n]]
+        base = _paths(turns.starts[shorter], turns.lengths[longer])
+        share = on[base] / (on[base] + off[base])
+        on[own], off[own] = TURN_ON[turns.values[own]] + BACK_OFF * share, TURN_OFF[turns.values[own]] + BACK_OFF * (1 - share)
+    return np.log(on / off)
+
+
+# What the text's own match says of a turn: nothing, against it, for it; after 0, 1, 2 or more matches in a row.
+MATCH_INPUT = np.stack([0 * MATCH_ODDS, -MATCH_ODDS, MATCH_ODDS], 1).ravel()
+MATCH_GATE = np.repeat(np.arange(RUNS), 3).clip(1).astype(np.int16)
+MATCH_GATE[::3] = 0
+
+
+def mixed(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
+    """ln probability of each text of the block; ``turns`` are those at the nodes of the pairs' paths."""
+    out = np.zeros(len(s.bounds) - 1)
+    n = len(s.symbols)
+    shared, run = _own_match(code, s)
+    odds = pair_odds(code, s, p, turns)
+    # The two corpus inputs of each symbol: words have their frequency and the word before, bytes two and four bytes before.
+    short = code.starts[s.symbols]
+    long = len(code.odds) + turns.starts[p.of[:n]]
+    short[s.at_byte] = long[s.at_byte]
+    long[s.at_byte] = len(code.odds) + turns.starts[p.of[n:]]
+    odds = np.concatenate([code.odds, odds])
+    sizes = np.diff(s.bounds)
+    tile = 0
+    while tile < len(sizes):  # consecutive texts with about TILE symbols
+        stop = max(tile + 1, int(np.searchsorted(s.bounds, s.bounds[tile] + TILE, side="right")) - 1)
+        docs = tile + np.argsort(-sizes[tile:stop], kind="stable")
+        out[docs] = _mixed_tile(code, s, odds, short, long, shared, run, docs)
+        tile = stop
+    return out
+
+
+def _mixed_tile(code: Code, s: Stream, odds, short, long, shared, run, docs: np.ndarray) -> np.ndarray:
+    """``docs`` are ordered by falling size, so that those with a further segment come first."""
+    sizes, begin = np.diff(s.bounds)[docs], s.bounds[docs]
+    out = np.zeros(len(docs))
+    weights = np.zeros((INPUTS, len(docs) * GATES), np.float32)
+    weights[1:] = 1.0  # the longer corpus context, and the text's own match
+    bend = np.full((INPUTS, len(docs) * GATES), WEIGHT_PRIOR, np.float32)
+    tilt, tilt_bend = np.zeros(len(docs) * BUCKETS, np.float32), np.full(len(docs) * BUCKETS, MAP_PRIOR, np.float32)
+    for r in range(SEGMENTS):
+        live = int(np.searchsorted(-sizes, -CUTS[r], side="left"))
+        if not live:
+            break
+        going = int(np.searchsorted(-sizes, -CUTS[r + 1], side="left"))
+        length = np.minimum(CUTS[r + 1], sizes[:live]) - CUTS[r]
+        at = _paths(begin[:live] + CUTS[r], length)
+        symbol = s.symbols[at]
+        n_bits = code.lengths[symbol]
+        upto = np.cumsum(n_bits)
+        depth = np.arange(int(upto[-1]), dtype=np.int32) - np.repeat((upto - n_bits).astype(np.int32), n_bits)
+        step = np.repeat(code.starts[symbol].astype(np.int32), n_bits) + depth
+        # All log odds are those of the turn taken, so the wanted outcome is always 1.
+        x = [odds[np.repeat(short[at], n_bits) + depth], odds[np.repeat(long[at], n_bits) + depth]]
+        said = np.repeat(run[at] * np.int8(3), n_bits) + (np.clip(np.repeat(shared[at], n_bits) - depth, -1, 1) + 1).astype(np.int8)
+        x.append(MATCH_INPUT[said])
+        doc_bits = np.add.reduceat(n_bits, np.cumsum(length) - length)
+        doc = np.repeat(np.arange(live, dtype=np.int32), doc_bits)
+        key = doc * GATES + code.gates[step] + MATCH_GATE[said]
+        z = weights[0][key] * x[0] + weights[1][key] * x[1] + weights[2][key] * x[2]
         np.clip(z, -11.9, 11.9, out=z)
-        place = ((z + 12) * (BUCKETS / 24)).astype(np.int32)
-        z += np.take(mixer.map, place)
-        y = bit[a:b]
-        p = 1 / (1 + np.exp(-z))
-        error = y - p
-        out[docs] += np.add.reduceat(np.log(1 - np.abs(error)), cuts, dtype=np.float64)
-        if learn or r + 1 < len(rounds):
-            for i, v in enumerate(x):
-                own[i, docs] += RATE * np.add.reduceat(error * v, cuts) / (sizes + PRIOR)
-            tilt[0, docs] += TILT_RATE * np.add.reduceat(error * z, cuts) / (sizes + PRIOR)
-            tilt[1, docs] += TILT_RATE * np.add.reduceat(error, cuts) / (sizes + PRIOR)
-        if learn:  # damped steps by the curvature of each weight
-            bend = p * (1 - p)
-            for i, v in enumerate(x):
-                mixer.weights[i] += (learn * np.bincount(node[a:b], weights=error * v, minlength=SYMBOLS) / (np.bincount(node[a:b], weights=bend * v * v, minlength=SYMBOLS) + 50 * STEP**2)).astype(np.float32)
-            mixer.map += (learn * np.bincount(place, weights=error, minlength=BUCKETS) / (np.bincount(place, weights=bend, minlength=BUCKETS) + 200)).astype(np.float32)
+        sign = code.signs[step]
+        bucket = doc * BUCKETS + ((z * sign + 12) * (BUCKETS / 24)).astype(np.int32)
+        z += sign * tilt[bucket]
+        chance = 1 / (1 + np.exp(-z))
+        out[:live] += np.add.reduceat(np.log(chance), np.cumsum(doc_bits) - doc_bits, dtype=np.float64)
+        if going:
+            m = int(doc_bits[:going].sum())
+            error, key, bucket = 1 - chance[:m], key[:m], bucket[:m]
+            curve = chance[:m] * error
+            for i in range(INPUTS):
+                v = x[i][:m]
+                bend[i] += np.bincount(key, weights=curve * v * v, minlength=bend.shape[1])
+                weights[i] += np.bincount(key, weights=error * v, minlength=bend.shape[1]) / bend[i]
+            tilt_bend += np.bincount(bucket, weights=curve, minlength=len(tilt))
+            tilt += np.bincount(bucket, weights=error * sign[:m], minlength=len(tilt)) / tilt_bend
     return out
 
 
-# ---- gathering
+# ---- Spark
 
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(256, np.int64)
-    for batch in batches:
-        for block in blocks(batch):
-            counts += np.bincount(LOWER[text_bytes(block.column(0))[0]], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(counts)], ["byte", "n"])
+def _packed(data: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(data).tobytes())
+
 
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-def _gathered(code, left_out: int | None, parts: int):
-    """Per task: word hashes with counts, dealt by their top bits, and the filled cells of the context tables."""
+
+def _word_counts(parts: int):
+    """Per task: packed counts of word hashes, dealt by their leading bits, and of bytes (then documents)."""
     bits = parts.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(int(OFFSETS[-1]), np.int32)
-        held, size, n_docs = [], 0, 0
-        names = ["kind", "part", "keys", "counts"]
-
-        def words() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
-            keys = keys[first]
+        totals = np.zeros(257, np.int64)
+        held, size = [], 0
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "keys", "counts"])
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(parts + 1))
-            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([0] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], names)
+            return rows([(p, keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for p, a, b in zip(range(parts), cut[:-1], cut[1:]) if a < b])
 
         for batch in batches:
-            for block in blocks(batch, limit=TILE):
+            for block in blocks(batch):
                 data, offsets = text_bytes(block.column(0))
-                starts, ends, first = word_bounds(data, offsets)
+                starts, ends, _ = word_bounds(data, offsets)
                 held.append(word_hashes(data, starts, ends))
                 size += len(starts)
-                n_docs += block.num_rows
-                if size >= 1 << 21:
-                    yield words()
+                totals[:256] += np.bincount(LOWER[data], minlength=256)
+                totals[256] += block.num_rows
+                if size >= 1 << 20:
+                    yield flush()
                     held, size = [], 0
-                text, bounds = normalised(data, starts, ends, first)
-                if left_out is not None and (h := block.column(1).to_numpy(zero_copy_only=False)).min(initial=2**63 - 1) <= left_out:
-                    keep = h > left_out
-                    text = text[np.repeat(keep, np.diff(bounds))]
-                    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[keep])])
-                symbols = code.value.symbol[text]
-                for i, number in enumerate(contexts(symbols, text, bounds)):
-                    cell = ((number << np.uint32(6)) + (symbols + np.uint32(OFFSETS[i]))).view(np.int32)
-                    cell.sort()  # sorted runs are counted much faster than scattered additions
-                    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-                    cells[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.int32)
         if size:
-            yield words()
-        if n_docs:
-            filled = np.flatnonzero(cells)
-            cut = np.searchsorted(filled, np.arange(PARTS + 1) * PART_CELLS)
-            for p in range(PARTS):
-                own = filled[cut[p] : cut[p + 1]]
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([p], pa.int32()), pa.array([(own - p * PART_CELLS).astype(np.uint32).tobytes()], pa.binary()), pa.array([cells[own].astype(np.uint32).tobytes()], pa.binary())], names)
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([n_docs], np.uint32).tobytes()], pa.binary())], names)
+            yield flush()
+        if totals[256]:
+            totals[[9, 10, 11, 12, 13, 32]] = 0  # between words
+            yield rows([(0, b"", totals.tobytes())])
 
     return run
 
 
 def _merged_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """(word, n) of a part's words; the totals of the part that has them as kind 1, numbered from 0."""
+    keys, counts, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(257, np.int64)
     more, size = [], 0
 
     def merged():
-        k = np.concatenate([keys, *(a for a, _ in more)])
-        n = np.concatenate([counts, *(b for _, b in more)])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        return k[first], np.add.reduceat(n, first) if len(k) else n
+        k, n = np.concatenate([keys, *(a for a, _ in more)]), np.concatenate([counts, *(b for _, b in more)])
+        place, of = _dense(k)
+        return k[place], np.bincount(of, weights=n, minlength=len(place)).astype(np.int64)
 
     for batch in batches:
-        for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            more.append((np.frombuffer(k, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
-            size += len(more[-1][0])
-        if size > max(1 << 21, len(keys)):
+        for k, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if k:
+                more.append((np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)))
+                size += len(more[-1][0])
+            else:
+                totals += np.frombuffer(n, np.int64)
+        if size > max(1 << 20, len(keys)):
             keys, counts = merged()
             more, size = [], 0
     keys, counts = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], ["kind", "word", "n"])
+    if totals.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(257, np.int32)), pa.array(np.arange(257)), pa.array(totals)], ["kind", "word", "n"])
+
+
+def train(docs: DataFrame, training: Column) -> Code:
+    """The code of those ``docs`` (text) for which ``training`` holds; all their words are counted."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = _parts(spark)
+    texts = docs.where(training).select(F.col("text").cast("string").alias("text"))
+    counted = texts.mapInArrow(_word_counts(parts), "part int, keys binary, counts binary")
+    counted, path = write_shared(counted.repartitionById(parts, "part").mapInArrow(_merged_words, "kind int, word long, n long"), "lm-words")
+    totals = np.zeros(257, np.int64)
+    for row in counted.where("kind = 1").collect():  # 257 rows
+        totals[row["word"]] += row["n"]
+    words = counted.where("kind = 0")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    tokens, distinct, start, total = int(totals[256]), int(totals[256] > 0), 1 << 20, 0
+    for row in words.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # 504 rows at most
+        tokens, distinct, total = tokens + row["n"], distinct + row["rows"], total + row["rows"]
+        start = row["level"] if total <= VOCABULARY and row["least"] >= LEAST_COUNT else start
+    top = words.where(level >= start).select("word", "n").toArrow()  # VOCABULARY rows at most
+    drop_shared(spark, path)
+    keys, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(keys)
+    return make_code(keys[order], counts[order], totals[:256], tokens, distinct, int(totals[256]))
+
+
+def _parts(spark: SparkSession) -> int:
+    """Ranges of hashes, a power of two: twice the shuffle partitions or more."""
+    return 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, ids, training, offsets, texts): consecutive texts of about BLOCK_BYTES, or one longer text."""
+    from pyspark import TaskContext
+
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def row():
+        table = pa.Table.from_batches(held).combine_chunks()
+        data, offsets = text_bytes(table.column(1))
+        ids = table.column(0).combine_chunks()
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        training = np.array(table.column(2).to_pylist(), np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), listed, *(pa.array([_packed(x)], pa.binary()) for x in (training, offsets, data))], ["block", "ids", "training", "offsets", "texts"])
+
+    for batch in batches:
+        for part in blocks(batch, "text", BLOCK_BYTES // 8):
+            n = len(text_bytes(part.column(1))[0])
+            if held and size + n > BLOCK_BYTES:
+                yield row()
+                block, held, size = block + 1, [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield row()
 
 
-def _merged_cells(code):
+def _stream_of(code: Code, row) -> tuple[Stream, np.ndarray, np.ndarray]:
+    """Symbols of a stored block, which of its texts are training texts, and the texts' bounds."""
+    offsets = _unpacked(row["offsets"].as_py(), np.int64)
+    return stream(code, _unpacked(row["texts"].as_py(), np.uint8), offsets), _unpacked(row["training"].as_py(), np.uint8), offsets
+
+
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each range of ascending hashes begins (total last)."""
+    return np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(64 - parts.bit_length() + 1)), len(keys))
+
+
+def _requests(shared, parts: int):
+    names = ["part", "block", "contexts", "runs", "symbols", "counts", "words", "word_counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        code = shared.value
         for batch in batches:
-            for p, k, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = sums.setdefault(p, np.zeros(PART_CELLS, np.int64))
-                own[np.frombuffer(k, np.uint32)] += np.frombuffer(n, np.uint32)
-        for p, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([predictions(own.reshape(-1, SYMBOLS), code.value).tobytes()], pa.binary())], ["part", "cells"])
+            for row in pa.Table.from_batches([batch]).to_batches(max_chunksize=1):
+                row = {c: row.column(i)[0] for i, c in enumerate(row.schema.names)}
+                s, training, _ = _stream_of(code, row)
+                p = pairs(code, s)
+                own = np.repeat(training, np.diff(s.bounds))
+                counts = np.bincount(p.of, weights=np.concatenate([own, own[s.at_byte]]), minlength=len(p.symbols)).astype(np.uint32)
+                words, of = rare_words(s)
+                own = np.repeat(training, s.n_words)[s.known < 0]
+                word_counts = np.bincount(of, weights=own, minlength=len(words)).astype(np.uint32)
+                cut, word_cut = _ranges(p.contexts, parts), _ranges(words, parts)
+                out = []
+                for i in range(parts):
+                    a, b, c, d = cut[i], cut[i + 1], word_cut[i], word_cut[i + 1]
+                    if a < b or c < d:
+                        contexts = p.contexts[a:b]
+                        first = np.flatnonzero(np.concatenate([np.ones(min(1, b - a), bool), contexts[1:] != contexts[:-1]]))
+                        runs = np.diff(np.append(first, b - a)).astype(np.uint32)
+                        out.append((i, row["block"].as_py(), *map(_packed, (contexts[first], runs, p.symbols[a:b], counts[a:b], words[c:d], word_counts[c:d]))))
+                if out:
+                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
-@dataclass
-class Model:
-    code: Code
-    table: np.ndarray
-    mixer: Mixer
-    tokens: int
-    distinct: int
-    documents: int
-    frequent: tuple[np.ndarray, np.ndarray]  # hashes ascending, counts
+def _answered(shared):
+    """Answers to the requests of one range, which are held together: every block's in the order it asked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
+        where, contexts, symbols, counts, words, word_counts = [], [], [], [], [], []
+        for batch in batches:
+            for part, block, c, r, s, n, w, m in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                contexts.append(np.repeat(_unpacked(c, np.uint64), _unpacked(r, np.uint32)))
+                symbols.append(_unpacked(s, np.int32))
+                counts.append(_unpacked(n, np.uint32))
+                words.append(_unpacked(w, np.uint64))
+                word_counts.append(_unpacked(m, np.uint32))
+                where.append((part, block))
+        if not where:
+            return
+        runs, of = answers(code, *map(np.concatenate, (contexts, symbols, counts)))
+        place, word_of = _dense(np.concatenate(words))
+        total = np.bincount(word_of, weights=np.concatenate(word_counts), minlength=len(place)).astype(np.int64)
+        a = c = 0
+        for (part, block), x, y in zip(where, symbols, words):
+            turns, _ = runs.take(of[a : a + len(x)])
+            own = total[word_of[c : c + len(y)]]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(turns)], pa.binary()), pa.array([_packed(own)], pa.binary())], ["block", "part", "turns", "word_counts"])
+            a, c = a + len(x), c + len(y)
 
-def train(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
-    """The model of those ``docs`` (doc_id, text) for which ``training`` holds, and its table of less frequent words."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.where(training).select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    per_byte = np.zeros(256, np.int64)
-    for row in texts.select("text").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        per_byte[row["byte"]] = row["n"]
-    code = make_code(per_byte)
-    shared_code = spark.sparkContext.broadcast(code)
-    sample = texts.where(F.length("text") > 0).orderBy("h").limit(MIXER_DOCS).select(F.substring("text", 1, 20_000).alias("text"), "h").toArrow()
-    left_out = max(sample.column(1).to_pylist(), default=None) if sample.num_rows == MIXER_DOCS else None  # a small corpus leaves nothing out
-    parts = 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    tasks = 4 * spark.sparkContext.defaultParallelism  # bounds how many context tables are shuffled
-    gathered = texts.coalesce(tasks).mapInArrow(_gathered(shared_code, left_out, parts), "kind int, part int, keys binary, counts binary")
-    gathered, path = write_shared(gathered, "lm-counts")
-    words, _ = write_shared(gathered.where("kind = 0").repartitionById(parts, "part").select("keys", "counts").mapInArrow(_merged_words, "word long, n long"), "lm-words")
-    table = np.zeros(PARTS * PART_CELLS, np.int8)
-    cells = gathered.where("kind = 1").repartitionById(PARTS, "part").select("part", "keys", "counts").mapInArrow(_merged_cells(shared_code), "part int, cells binary")
-    for row in cells.toLocalIterator():  # PARTS rows of PART_CELLS bytes
-        table[row["part"] * PART_CELLS : (row["part"] + 1) * PART_CELLS] = np.frombuffer(row["cells"], np.int8)
-    documents = sum(int(np.frombuffer(r["counts"], np.uint32)[0]) for r in gathered.where("kind = 2").select("counts").collect())  # a row per task
-    drop_shared(spark, path)
-    level = F.floor(F.log2("n")).cast("int")
-    start, total, tokens, distinct = 63, 0, documents, int(documents > 0)
-    for row in words.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # 63 rows at most
-        tokens, distinct, total = tokens + row["n"], distinct + row["rows"], total + row["rows"]
-        start = row["level"] if total <= MAX_FREQUENT else start
-    top = words.where(level >= start).select("word", "n").toArrow()
-    keys, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.argsort(keys)
-    mixer = Mixer.start()
-    for _ in range(3 if sample.num_rows else 0):
-        for batch in sample.to_batches():
-            for block in blocks(batch, limit=1 << 17):
-                data, offsets = text_bytes(block.column(0))
-                mixed(code, table, mixer, *normalised(data, *word_bounds(data, offsets)), learn=LEARN)
-    return Model(code, table, mixer, tokens, distinct, documents, (keys[order], counts[order])), words.where(level < start)
+    return run
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        keys, counts = m.frequent
-        floor = math.log10(m.tokens + 0.1 * (m.distinct + 1)) if m.tokens or m.distinct else math.log10(0.1)
-        end = math.log10(m.documents + 0.1) - floor
-        for batch in batches:
-            for block in blocks(batch, limit=TILE):
-                data, offsets = text_bytes(block.column(1))
-                starts, ends, first = word_bounds(data, offsets)
-                text, bounds = normalised(data, starts, ends, first)
-                score = mixed(m.code, m.table, m.mixer, text, bounds) / math.log(10)
-                h = word_hashes(data, starts, ends)
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                n_words = np.diff(first)
-                doc = np.repeat(np.arange(len(n_words)), n_words)
-                value = np.where(known, np.log10((counts[at] if len(keys) else np.zeros(len(h))) + 0.1) - floor, 0)
-                base = np.bincount(doc, weights=value, minlength=len(n_words)) + end
-                n_known = np.bincount(doc, weights=known, minlength=len(n_words)).astype(np.int64) + (m.documents > 0)
-                rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~known], minlength=len(n_words)))])
-                lists = pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(h[~known].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(score), lists], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+def _scored(shared, id_type: pa.DataType):
+    def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+        code = shared.value
+        row = {c: block.column(c)[0] for c in block.column_names}
+        s, _, offsets = _stream_of(code, row)
+        p = pairs(code, s)
+        order = np.argsort(answered.column("part").to_numpy())
+        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(_unpacked(answered.column(c)[int(i)].as_py(), kind) for i in order)])
+        turns = Runs()
+        turns.values, turns.lengths = joined("turns", np.uint8), code.lengths[p.symbols]
+        turns.starts = np.cumsum(turns.lengths) - turns.lengths
+        ln = mixed(code, s, p, turns)
+        floor = math.log10(code.tokens + 0.1 * (code.distinct + 1)) if code.tokens else math.log10(0.1)
+        count = np.zeros(len(s.words), np.int64)
+        count[s.known >= 0] = code.counts[s.known[s.known >= 0]]
+        count[s.known < 0] = joined("word_counts", np.int64)[rare_words(s)[1]]
+        doc = np.repeat(np.arange(len(s.n_words)), s.n_words)
+        base = np.bincount(doc, weights=np.log10(count + 0.1) - floor, minlength=len(s.n_words)) + math.log10(code.documents + 0.1) - floor
+        known = np.bincount(doc, weights=count > 0, minlength=len(s.n_words)).astype(np.int64) + (code.documents > 0)
+        bits = -ln / math.log(2) / np.maximum(np.diff(offsets), 1)
+        ids = pa.array(row["ids"].values, id_type)
+        return pa.table([ids, pa.array(s.n_words + 1), pa.array(known), pa.array(base), pa.array(ln / math.log(10)), pa.array(bits)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, rare_words: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
+def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs`` (doc_id, text).
 
-    Null texts and texts without words consist of the end mark alone. Repeated rows stay repeated. Word
-    counts that are not broadcast are joined per distinct word and document.
+    The model learns from the rows for which ``training`` (over the columns of ``docs``; null: no) holds.
+    Null texts and texts without words consist of the end alone. Repeated rows stay repeated and count
+    each; equal texts have equal scores. Without training rows everything is predicted from nothing; an
+    empty table gives an empty result. Other columns are ignored. A very long text is a block of its own,
+    whose arrays take some fifty times its bytes in one worker; mixing itself goes by segments.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scored(shared), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>")
-    scored, _ = write_shared(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    floor = math.log10(model.tokens + 0.1 * (model.distinct + 1)) if model.tokens or model.distinct else math.log10(0.1)
-    wanted = scored.select("row", F.explode("rare").alias("word"))
-    found = wanted.join(rare_words, "word", "left")
-    added = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(floor)).alias("more"), F.count("n").alias("more_known"))
-    out = scored.drop("rare").join(added, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    training = F.coalesce(training, F.lit(False))
+    code = spark.sparkContext.broadcast(train(docs, training))
+    parts = _parts(spark)
+    id_field = docs.select("doc_id").schema[0].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), training.alias("training"))
+    packed, _ = write_shared(rows.mapInArrow(_blocks, f"block long, ids array<{id_field}>, training binary, offsets binary, texts binary"), "lm-blocks")
+    asked = packed.mapInArrow(_requests(code, parts), "part int, block long, contexts binary, runs binary, symbols binary, counts binary, words binary, word_counts binary")
+    answered = asked.repartitionById(parts, "part").mapInArrow(_answered(code), "block long, part int, turns binary, word_counts binary")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    run = _scored(code, to_arrow_type(docs.schema["doc_id"].dataType))
+    scored = packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"doc_id {id_field}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return scored.withColumn("train_tokens", F.lit(code.value.tokens).cast("long"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = in_fold("doc_id", 10, 0)
-    scored = score(docs, *train(docs, ~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = lm_scores(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 QUERIES = {"op3_lm_scores": op3_lm_scores}
