@@ -10,6 +10,7 @@ import duckdb
 import helpers as H
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import ball_tree, mixing, registry, warc
@@ -62,16 +63,16 @@ def test_all_sources_empty(spark):
 
 @pytest.mark.parametrize("shape", ["spread", "ties"])
 def test_top_k_against_all_products(spark, monkeypatch, shape):
-    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 90)
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 30)
     monkeypatch.setattr(ball_tree, "LEAF_ROWS", 8)
-    monkeypatch.setattr(ball_tree, "QUERY_ROWS", 7)
+    monkeypatch.setattr(ball_tree, "SHARD_BYTES", 40 * 6 * 8)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 6)) if shape == "spread" else rng.integers(-1, 2, (300, 6)) / 4
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
     rows += [(1000, None, ""), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (1040, [float("nan")] * 6, ""), (1060, [float("inf")] * 6, ""), (1080, [], ""), (None, [1.0] * 6, ""), (1100, [2.0, 1.0], ""), (1101, [1.0, 1.0], "")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     vectors = ball_tree.integer_vectors(table)
-    got = {tuple(r) for r in ball_tree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()}
+    got = {tuple(r) for r in ball_tree.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()}
     v = np.floor(64 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
     expected = {(1100, 1, 1101, 128 * 64 + 64 * 64)}
     for q in range(0, 300, 20):
@@ -79,8 +80,8 @@ def test_top_k_against_all_products(spark, monkeypatch, shape):
         order = [j for j in np.lexsort((np.arange(300), -score)) if j != q][:20]
         expected |= {(q, r + 1, int(j), int(score[j])) for r, j in enumerate(order)}
     assert got == expected
-    assert ball_tree.top_k(vectors.limit(0), vectors, 20).count() == 0
-    assert ball_tree.top_k(vectors, vectors.limit(0), 20).count() == 0
+    assert ball_tree.top_k(vectors.limit(0), F.col("vec_id") > 0, 20).count() == 0
+    assert ball_tree.top_k(vectors, F.lit(None).cast("boolean"), 20).count() == 0
 
 
 def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
@@ -90,7 +91,7 @@ def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
     x = np.random.default_rng(7).normal(size=(120, 4)).astype(np.float32)
     x[17] = 1e13
     vectors = ball_tree.integer_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
-    got = {tuple(r) for r in ball_tree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 9).collect()}
+    got = {tuple(r) for r in ball_tree.top_k(vectors, F.col("vec_id") % 20 == 0, 9).collect()}
     v = np.floor(64 * x.astype(np.float64)).astype(np.int64)
     expected = set()
     for q in range(0, 120, 20):
@@ -100,6 +101,26 @@ def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
     assert got == expected
 
 
+def test_top_k_of_repeated_and_huge_vectors(spark, monkeypatch):
+    """Rows of one vec_id are candidates and queries of their own; scores beyond 64 bits stop at the ends."""
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 10)
+    monkeypatch.setattr(ball_tree, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3)).round(2)
+    x[5], x[40], x[41] = 1e30, -1e30, 3e17
+    ids = [i % 25 for i in range(60)]
+    vectors = ball_tree.integer_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in ball_tree.top_k(vectors, F.col("vec_id") % 20 == 0, 7).collect())
+    top = 2**63 - 1
+    v = [[max(-top, min(top, int(np.floor(64 * c)) if abs(c) < 1e17 else int(64 * c))) for c in row] for row in x.tolist()]
+    expected = []
+    for q in range(60):
+        if ids[q] % 20 == 0:
+            score = [(-max(-top, min(top, sum(a * b for a, b in zip(v[q], v[j])))), ids[j]) for j in range(60) if j != q]
+            expected += [(ids[q], r + 1, i, -s) for r, (s, i) in enumerate(sorted(score)[:7])]
+    assert got == sorted(expected)
+
+
 # ---- archives
 
 
