@@ -1,9 +1,10 @@
 """WARC records in ZIP archives: written one archive per task, read by range without extraction.
 
 An archive holds stored (uncompressed) members: ``archive/data.warc.gz``, whose records are gzip members
-of their own, and ``indexes/index.cdxj`` with a JSON line for each record. The reader parses the end of
-the file, the ZIP64 locator where there is one, and the central directory; finds where the stored
-members begin; reads the index; and then reads only the bytes of the records it wants.
+of their own, and ``indexes/index.cdxj``, a sorted CDXJ line for each record: search key of its URL,
+timestamp, and JSON with place and digest. The reader parses the end of the file, the ZIP64 locator where
+there is one, and the central directory; finds where the stored members begin; reads the indexes; and then
+reads only the bytes of the records it wants, from whichever member the index names.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from itertools import chain
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared_storage import new_path
+from graphloom.sources.shared_storage import drop_shared, new_path, write_shared
 
 # Fixed values of the formats.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -33,6 +35,8 @@ PAGE_URN = "urn:page:"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records of neighbouring ranges are read together up to so many bytes.
 READ_BYTES = 4 << 20
+#: Most repeated payloads whose leaders are broadcast.
+MAX_BROADCAST_LEADERS = 1 << 18
 
 
 @dataclass
@@ -52,12 +56,15 @@ def _filesystem(path: str):
 def central_directory(f) -> list[Member]:
     """Members of a ZIP archive, from its central directory; ``f`` has size() and read_at(bytes, offset)."""
     size = f.size()
-    tail = f.read_at(min(size, 65557), max(0, size - 65557))
+    begin = max(0, size - 22 - 65535 - 20)  # end record, longest comment, ZIP64 locator
+    tail = f.read_at(size - begin, begin)
     at = tail.rfind(END)
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail)):
+        at = tail.rfind(END, 0, at + 3)  # a signature inside the comment: its comment would not end the file
     if at < 0:
         raise ValueError("not a ZIP archive: it has no end of central directory")
     count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
-    if tail[at - 20 : at - 16] == LOCATOR64:
+    if at >= 20 and tail[at - 20 : at - 16] == LOCATOR64:
         (end64,) = struct.unpack("<Q", tail[at - 12 : at - 4])
         record = f.read_at(56, end64)
         if record[:4] != END64:
@@ -99,16 +106,35 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header, with the payload's length, and leaves the payload out."""
+def record_urn(page_id: int | None, row: int) -> str:
+    """Rows have a number of their own, so that repeated and missing page ids give different records."""
+    return f"<{PAGE_URN}{'' if page_id is None else page_id}/{row}>"
+
+
+def search_key(url: str | None) -> str:
+    """The URL as CDXJ lines are sorted by: host labels reversed, then the path."""
+    try:
+        parts = urlsplit(url or "")
+        host, path = (parts.hostname or "").lower(), parts.path or "/"
+    except ValueError:
+        host, path, parts = "", url or "", None
+    query = f"?{parts.query}" if parts and parts.query else ""
+    return quote(",".join(reversed(host.split("."))) + ")" + (path + query).lower(), safe=":/?#[]@!$&()*+,;=%~-._")
+
+
+def record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, int] | None, date: str) -> bytes:
+    """One WARC record; a revisit keeps the HTTP header, with the payload's length, and leaves the payload out.
+
+    ``refers_to`` is the page id and row of the response that a revisit repeats.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PAGE_URN}{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(page_id, row)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <{PAGE_URN}{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_urn(*refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -125,87 +151,114 @@ def parse(data: bytes) -> dict:
 
 
 def _page(urn: str | None) -> int | None:
-    number = (urn or "").strip("<>").removeprefix(PAGE_URN)
+    number = (urn or "").strip("<>").removeprefix(PAGE_URN).partition("/")[0]
     return int(number) if number else None
 
 
 def write_archive(path: str, rows: Iterator[tuple], date: str) -> int:
-    """Writes (page_id, url, payload, digest, refers_to) rows; the archive appears under its name when complete."""
+    """Writes (page_id, row, url, payload, digest, refers_to) rows; the archive appears under its name when complete."""
     system, name = _filesystem(path)
     parent, own = name.rsplit("/", 1)
     system.create_dir(parent, recursive=True)
     draft = f"{parent}/_{own}.{uuid.uuid4().hex}"
-    index, at = io.BytesIO(), 0
+    index, at, stamp = [], 0, "".join(c for c in date if c.isdigit())
     with system.open_output_stream(draft) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
         with archive.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as member:
-            n = 0
-            for page_id, url, payload, digest, refers_to in rows:
-                packed = gzip.compress(record(page_id, url, payload, digest, refers_to, date), 1, mtime=0)
+            for page_id, row, url, payload, digest, refers_to in rows:
+                packed = gzip.compress(record(page_id, row, url, payload, digest, refers_to, date), 1, mtime=0)
                 member.write(packed)
-                index.write(json.dumps({"page": page_id, "offset": at, "length": len(packed), "digest": digest}).encode() + b"\n")
+                place = {"url": url, "mime": "text/html" if refers_to is None else "warc/revisit", "status": "200", "digest": f"sha1:{digest}", "length": str(len(packed)), "offset": str(at), "filename": DATA.rpartition("/")[2], "page": page_id}
+                index.append(f"{search_key(url)} {stamp} {json.dumps(place)}\n".encode())
                 at += len(packed)
-                n += 1
         with archive.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as member:
-            member.write(index.getbuffer())
+            for line in sorted(index):
+                member.write(line)
     system.move(draft, name)
-    return n
+    return len(index)
 
 
 def read_archive(path: str, wanted: set[int] | None = None) -> Iterator[dict]:
-    """Records of an archive, or of the wanted pages only; reads the directory, the index and their ranges."""
+    """Records of an archive in the order they lie in, or those of the wanted pages only.
+
+    Reads the directory, all stored ``indexes/*.cdxj`` and the ranges they name in ``archive/*``; entries
+    may come from other writers (numbers as text or not, several WARC members, no page).
+    """
     system, name = _filesystem(path)
     with system.open_input_file(name) as f:
         members = {m.name: m for m in central_directory(f)}
-        start = stored_start(f, members[DATA])
-        lines = f.read_at(members[INDEX].size, stored_start(f, members[INDEX])).splitlines()
-        entries = [e for e in map(json.loads, lines) if wanted is None or e["page"] in wanted]
+        starts = {m.rpartition("/")[2]: stored_start(f, members[m]) for m in members if m.startswith("archive/") and not m.endswith("/")}
+        entries = []
+        for m in members.values():
+            if m.name.startswith("indexes/") and m.name.endswith(".cdxj"):
+                for line in f.read_at(m.size, stored_start(f, m)).splitlines():
+                    if line.strip() and not line.startswith(b"!"):
+                        e = json.loads(line.split(b" ", 2)[2])
+                        if wanted is None or e.get("page") in wanted:
+                            begin = starts[e["filename"].rpartition("/")[2]] + int(e["offset"])
+                            entries.append((begin, begin + int(e["length"])))
+        entries.sort()
         i = 0
         while i < len(entries):
-            j = i + 1
-            base = entries[i]["offset"]
-            while j < len(entries) and entries[j]["offset"] == entries[j - 1]["offset"] + entries[j - 1]["length"] and entries[j]["offset"] + entries[j]["length"] - base <= READ_BYTES:
+            j, base = i + 1, entries[i][0]
+            while j < len(entries) and entries[j][0] == entries[j - 1][1] and entries[j][1] - base <= READ_BYTES:
                 j += 1
-            data = memoryview(f.read_at(entries[j - 1]["offset"] + entries[j - 1]["length"] - base, start + base))
-            for e in entries[i:j]:
-                yield parse(gzip.decompress(data[e["offset"] - base : e["offset"] - base + e["length"]]))
+            data = memoryview(f.read_at(entries[j - 1][1] - base, base))
+            for a, b in entries[i:j]:
+                yield parse(gzip.decompress(data[a - base : b - base]))
             i = j
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, sha1, refers_to): of equal payloads of at least ``least_bytes`` the largest page_id leads.
+def with_revisits(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``rows`` (row, page_id, sha1, bytes ...) with leader (page_id, row) for those that revisit it.
 
-    Digests are gathered by partial maxima; only payloads that occur more than once are joined back.
+    Of equal payloads of at least ``least_bytes`` the largest page_id leads, of rows that share it the
+    first; all others revisit it. Leaders are found from the small columns. Where the repeated payloads
+    are few, they are broadcast; else each row's leader is looked up by digest on small columns alone and
+    joined to the payloads by row, so payloads never meet at a digest.
     """
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("bytes"))
-    repeated = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1 AND leader IS NOT NULL")
-    joined = rows.join(repeated.select("sha1", "leader"), "sha1", "left")
-    revisit = F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
-    return joined.select("page_id", "url", "html", "sha1", F.when(revisit, F.col("leader")).alias("refers_to"))
+    small = rows.select("row", "page_id", "sha1").where(F.col("bytes") >= least_bytes)
+    first = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", (-F.col("row")).alias("last")))).alias("first")
+    repeated = small.groupBy("sha1").agg(first, F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    repeated, _ = write_shared(repeated.select("sha1", F.struct(F.col("first.page_id").alias("page_id"), (-F.col("first.last")).alias("row")).alias("leader")), "leaders")
+    own = F.col("leader.row") == F.col("row")
+    leader = F.when((F.col("bytes") >= least_bytes) & ~own, F.col("leader")).alias("leader")
+    if repeated.count() <= MAX_BROADCAST_LEADERS:
+        return rows.join(F.broadcast(repeated), "sha1", "left").select(*rows.columns, leader)
+    found = small.join(repeated, "sha1").where(~own).select("row", "leader")
+    return rows.join(found, "row", "left").select(*rows.columns, "leader")
 
 
 def write_archives(pages: DataFrame, out: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
     """Writes a record for every row of ``pages`` (page_id, url, html) and returns the stored table of archives.
 
-    Null html is an empty payload, a null url leaves its header out, a null page_id has an empty record
-    number. Repeated rows are repeated records; of rows that repeat the leading page_id all are responses.
+    Null html is an empty payload, a null url leaves its header out, a null page_id has an empty page in
+    its record id and never leads. Repeated rows are repeated records, of which one is the response. Other
+    columns are ignored; an empty table gives no archive. A very long page is held whole by one task, in
+    some five copies.
     """
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    rows, rows_path = write_shared(rows, "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        def rows():
-            for batch in batches:
-                for page_id, url, html, sha1, refers_to in zip(*(batch.column(i) for i in range(5))):
-                    payload = (html.as_py() or "").encode()
-                    yield page_id.as_py(), url.as_py(), payload, base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), refers_to.as_py()
+        def records(first: pa.RecordBatch):
+            for batch in chain([first], batches):
+                for page_id, row, url, html, sha1, leader in zip(*(batch.column(i) for i in range(6))):
+                    leader = leader.as_py()
+                    yield page_id.as_py(), row.as_py(), url.as_py(), (html.as_py() or "").encode(), base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), leader and (leader["page_id"], leader["row"])
 
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
         path = f"{out}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.wacz"
-        n = write_archive(path, rows(), date)
+        n = write_archive(path, records(first), date)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
-    archives = with_revisits(pages, least_bytes).mapInArrow(run, "path string, records long")
+    archives = with_revisits(rows, least_bytes).select("page_id", "row", "url", "html", "sha1", "leader").mapInArrow(run, "path string, records long")
     archives.write.parquet(f"{out}/_archives")
+    drop_shared(pages.sparkSession, rows_path)
     return pages.sparkSession.read.schema(archives.schema).parquet(f"{out}/_archives")
 
 

@@ -1,9 +1,12 @@
 """Mixing, search, archives and the whole pipeline."""
 
 import base64
+import gzip
 import hashlib
+import json
 import os
 import random
+import struct
 import zipfile
 
 import duckdb
@@ -133,22 +136,39 @@ def pages(spark):
 def test_archives_round_trip(spark, least):
     got = warc.read_archives(warc.write_archives(pages(spark), new_path(spark, "test-warc"), least))
     table = [(r["page_id"], (r["html"] or "").encode()) for r in pages(spark).collect()]
-    expected = []
+    expected, led = [], set()
     for i, payload in table:
         lead = max((j for j, p in table if p == payload and j is not None), default=None)
         repeated = sum(p == payload for _, p in table) > 1 and len(payload) >= least
-        again = repeated and lead is not None and lead != i
+        again = repeated and lead is not None and (lead != i or payload in led)
+        led |= {payload} if lead == i else set()
         expected.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", lead if again else None))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
     assert warc.read_archives(warc.write_archives(pages(spark).limit(0), new_path(spark, "test-warc"))).count() == 0
 
 
+def test_many_repeated_payloads(spark, monkeypatch):
+    """Beyond the bound of the broadcast leaders are joined by row, with the same records."""
+    few = sorted(map(tuple, warc.read_archives(warc.write_archives(pages(spark), new_path(spark, "test-warc"))).collect()), key=str)
+    monkeypatch.setattr(warc, "MAX_BROADCAST_LEADERS", 0)
+    assert few == sorted(map(tuple, warc.read_archives(warc.write_archives(pages(spark), new_path(spark, "test-warc"))).collect()), key=str)
+
+
 def test_reader_against_zipfile(tmp_path):
     path = f"{tmp_path}/a.wacz"
-    rows = [(i, "u", b"x" * i, warc.payload_digest(b"x" * i), None) for i in range(30)]
+    rows = [(i, i, f"http://B.example/{i}", b"x" * i, warc.payload_digest(b"x" * i), None) for i in range(30)]
     assert warc.write_archive(path, iter(rows), "2020-01-01T00:00:00Z") == 30
     assert zipfile.ZipFile(path).testzip() is None
     assert [r["payload_bytes"] for r in warc.read_archive(path, {3, 4, 29})] == [3, 4, 29]
+    with zipfile.ZipFile(path) as z:
+        lines, data = z.read(warc.INDEX).decode().splitlines(), z.read(warc.DATA)
+    assert lines == sorted(lines) and len(lines) == 30
+    for line in lines:
+        key, stamp, place = line.split(" ", 2)
+        place = json.loads(place)
+        assert key == f"example,b)/{place['page']}" and stamp == "20200101000000"
+        own = gzip.decompress(data[int(place["offset"]) : int(place["offset"]) + int(place["length"])])
+        assert own.startswith(b"WARC/1.1") and f"urn:page:{place['page']}/".encode() in own
     with zipfile.ZipFile(f"{tmp_path}/b.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x", "y" * 100)
     from pyarrow import fs
@@ -173,6 +193,23 @@ def test_zip64_fields(tmp_path):
 
     with fs.LocalFileSystem().open_input_file(path) as f:
         assert [m.name for m in warc.central_directory(f)] == [str(i) for i in range(66_000)]
+    whole = (tmp_path / "many.zip").read_bytes()
+    for comment in (b"c" * 65_535, b"x" * 40_000 + warc.END + b"\0" * 300, warc.END * 5000):
+        (tmp_path / "many.zip").write_bytes(whole[:-2] + struct.pack("<H", len(comment)) + comment)
+        with fs.LocalFileSystem().open_input_file(path) as f:
+            assert len(warc.central_directory(f)) == 66_000
+
+
+def test_archive_of_another_writer(tmp_path):
+    """Two WARC members, an index with numbers and without pages, and one member that is no index."""
+    records = [gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {9 + i}\r\n\r\nHTTP\r\n\r\n{'y' * (i + 1)}\r\n\r\n".encode()) for i in range(4)]
+    lines = [json.dumps({"offset": 0 if i % 2 == 0 else len(records[i - 1]), "length": len(records[i]), "filename": f"{'ab'[i // 2]}.warc.gz"}) for i in range(4)]
+    with zipfile.ZipFile(f"{tmp_path}/other.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/a.warc.gz", records[0] + records[1])
+        z.writestr("indexes/index.cdxj", "!meta 0 {}\n" + "".join(f"k{i} 2021 {line}\n" for i, line in reversed(list(enumerate(lines)))))
+        z.writestr("archive/b.warc.gz", records[2] + records[3])
+        z.writestr("pages/pages.jsonl", "{}")
+    assert [r["payload"] for r in warc.read_archive(f"{tmp_path}/other.wacz")] == [b"y", b"yy", b"yyy", b"yyyy"]
 
 
 # ---- everything together
