@@ -99,7 +99,8 @@ class Project:
             "symbol_identity": symbols.select(F.col("identity").alias("id"), F.col("file_id").alias("file_identity_id"), "qualified_name", "name", "kind"),
         }
         self.store.publish(opened, closed, identities, snapshot, kind, self.clock())
-        self.registry.indexed(self.id, self.clock())
+        self.store.set_meta("project_uuid", self.id)
+        self.registry.indexed(self.id, self.clock(), self.store.size())
         for df in (walked, parsed, symbols, *opened.values(), *closed.values()):
             df.unpersist()
         return result
@@ -139,12 +140,13 @@ class Project:
 
     def explain(self, base: int, head: int, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
         """What changed between two snapshots: (id, change) of symbols, and the files that callers carry it to."""
-        rows = self.store.versions("symbol")
-        changed = snapshot_diff(rows, base, head, ["identity_id", "id"]).groupBy(F.col("identity_id").alias("symbol"))
-        sides = changed.agg(F.collect_set("change").alias("c"))
-        named = sides.select(F.col("symbol").alias("id"), F.when(F.size("c") == 2, "modified").otherwise(F.element_at("c", 1)).alias("change"))
-        nodes, calls = self.graph(head)
-        return named, graph.impact(nodes, calls, named.select("id"), max_depth)
+        changed = snapshot_diff(self.store.versions("symbol"), base, head, ["identity_id", "id"])
+        return graph.explained(*self.graph(head), changed, "identity_id", max_depth)
+
+    def edges(self, snapshot: int | None = None) -> DataFrame:
+        """(src, dst, kind) of every kind at a snapshot, the latest unless one is named."""
+        rows = visible_at(self.store.versions("edge"), self.store.latest() if snapshot is None else snapshot)
+        return rows.select(F.col("from_symbol_identity").alias("src"), F.col("to_symbol_identity").alias("dst"), "kind")
 
     # -- overlay
 

@@ -10,8 +10,11 @@ MIN_TOKENS = 16
 
 
 def keywords(task: Column) -> Column:
-    """Lower-cased words of at least three bytes, in order of first occurrence; letters, digits and _ make words."""
-    words = F.filter(F.split(F.coalesce(task, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: F.octet_length(w) >= MIN_KEYWORD_BYTES)
+    """Lower-cased words of at least three bytes, in order of first occurrence.
+
+    Alphabetic characters (vowel signs too, but no other marks), numbers and _ make words.
+    """
+    words = F.filter(F.split(F.coalesce(task, F.lit("")), r"[^\p{IsAlphabetic}\p{N}_]+"), lambda w: F.octet_length(w) >= MIN_KEYWORD_BYTES)
     return F.array_distinct(F.transform(words, F.lower))
 
 
@@ -28,17 +31,13 @@ def qualify(scope: Column, name: Column) -> Column:
 
 
 def token_cost(byte_len: Column) -> Column:
-    return F.greatest(F.floor(byte_len / 4).cast("long"), F.lit(MIN_TOKENS).cast("long"))
+    return F.greatest(F.call_function("div", byte_len.cast("long"), F.lit(4)), F.lit(MIN_TOKENS).cast("long"))
 
 
 def span_length(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), (end - start).cast("long"))
 
 
-def clamp_unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-
-
 def contains_any_case(column: Column, needle: str) -> Column:
     """Literal, case-insensitive containment; ``%`` and ``_`` have no special meaning."""
     return F.contains(F.lower(column), F.lit(needle.lower()))

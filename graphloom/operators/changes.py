@@ -25,6 +25,16 @@ def close_versions(versions: DataFrame, changed: DataFrame, keys: list[str], sna
     return marked.withColumn("visible_until", end).select(*versions.columns)
 
 
+def difference(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are not in ``gone``; nulls in ``gone`` take nothing away."""
+    return rows.join(gone.select(*keys), keys, "left_anti")
+
+
+def last_values(written: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, value): of all that was set under each key the last; ties go to the larger value."""
+    return written.groupBy(key).agg(F.max(F.struct(at, value)).alias("_v")).select(key, F.col(f"_v.{value}").alias(value))
+
+
 def detect(walked: DataFrame, known: DataFrame, key: str, content: str) -> DataFrame:
     """(key, change): Added, Deleted, Modified or Unchanged, by a full join of both sides on the key."""
     a, b = walked.select(key, F.col(content).alias("_new")), known.select(key, F.col(content).alias("_old"))

@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("hi <> lo").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every vertex of an edge; component is the smallest vertex reachable.
 
     Nulls and loops are ignored, repeated edges count once, an empty table gives an empty result.
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now, path = write_shared(now.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         new, new_path = write_shared(_star(_star(now, True), False), "cc")
         drop_shared(spark, path)
         now, path = new, new_path
@@ -45,7 +45,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if mark == seen:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     members = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return members.unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -49,7 +49,7 @@ def usefulness(events: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_folded, f"identity_id {kind('identity_id')}, times_included long, last_seen {kind('seen_at')}, avg_score long")
 
 
-def clamped(usefulness_rows: DataFrame) -> DataFrame:
-    """Stored counters never read as negative."""
-    counters = [c for c in ("times_included", "times_accepted", "avg_score") if c in usefulness_rows.columns]
-    return usefulness_rows.withColumns({c: F.greatest(F.lit(0), F.col(c)) for c in counters})
+def with_inclusions(uses: DataFrame, included: DataFrame) -> DataFrame:
+    """(id, times_included) after each row of ``included`` (id) counts once more."""
+    both = uses.select("id", F.col("times_included").cast("long").alias("n")).unionAll(included.select("id", F.lit(1).cast("long")))
+    return both.groupBy("id").agg(F.sum("n").alias("times_included"))

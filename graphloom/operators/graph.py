@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import contains_any_case
+from graphloom.operators.visibility import visible_at
+from graphloom.schemas import EDGE_KINDS
 from graphloom.sources.shared_storage import drop_shared, write_shared
 
 
@@ -55,27 +57,42 @@ def degrees(nodes: DataFrame, calls: DataFrame) -> DataFrame:
 def reverse_reach(calls: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(id, depth): every transitive caller of the ``start`` ids at its smallest depth, up to ``max_depth``.
 
-    The start itself is never reported, in cycles either. Each round joins the frontier to the edges and
-    drops what was seen; rounds are written to the shared folder, so the plan stays short.
+    The start itself is never reported, in cycles either. What was seen is one table, written to the
+    shared folder after each round, so the plan stays short; a round joins its last ring to the edges and
+    takes the smallest depth of each id, which keeps what was seen before.
     """
     spark = calls.sparkSession
-    steps = calls.select("src", "dst").distinct()
-    if max_depth > 1:
-        steps, steps_path = write_shared(steps, "reverse-edges")
-    frontier = start.select("id").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    paths = []
+    steps, steps_path = write_shared(calls.select("src", "dst").distinct(), "reverse-edges") if max_depth > 1 else (calls.select("src", "dst"), None)
+    seen, path, size = start.select("id").distinct().withColumn("depth", F.lit(0)), None, -1
     for depth in range(1, max_depth + 1):
-        found = steps.join(frontier, steps["dst"] == frontier["id"]).select(F.col("src").alias("id")).distinct()
-        new, path = write_shared(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        paths.append(path)
-        if new.isEmpty():
+        ring = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("dst"))
+        found = steps.join(ring, "dst", "left_semi").select(F.col("src").alias("id"), F.lit(depth).alias("depth"))
+        new, new_path = write_shared(seen.unionAll(found).groupBy("id").agg(F.min("depth").alias("depth")), "reached")
+        if path:
+            drop_shared(spark, path)
+        seen, path = new, new_path
+        now = seen.count()
+        if now == size:
             break
-        seen = seen.unionByName(new)
-        frontier = new.select("id")
+        size = now
+    if steps_path:
+        drop_shared(spark, steps_path)
     return seen.where("depth > 0")
 
 
+def explained(nodes: DataFrame, calls: DataFrame, versions_changed: DataFrame, identity: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """What changed: (id, change) of symbols (both added and removed: modified), and the files that callers carry it to."""
+    sides = versions_changed.groupBy(F.col(identity).alias("id")).agg(F.min("change").alias("a"), F.max("change").alias("b"))
+    named = sides.select("id", F.when(F.col("a") != F.col("b"), "modified").otherwise(F.col("a")).alias("change"))
+    return named, impact(nodes, calls, named.select("id"), max_depth)
+
+
+def at_snapshot(versions: DataFrame, identities: DataFrame, edge_versions: DataFrame, snapshot: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, calls) visible at a snapshot: versions (identity, ...) with their identities (id, name ...), and the calls among edges."""
+    nodes = visible_at(versions, snapshot).join(identities, F.col("identity") == F.col("id"))
+    return nodes, visible_at(edge_versions, snapshot).where(F.col("kind") == EDGE_KINDS["Calls"]).select("src", "dst")
+
+
 def impact(nodes: DataFrame, calls: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(file_path, symbols, nearest, tests) of what a change to ``start`` can reach through callers."""
     reached = reverse_reach(calls, start, max_depth).join(nodes, "id")

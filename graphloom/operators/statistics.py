@@ -21,7 +21,7 @@ def disc_quantile(rows: DataFrame, key: str, value: str, num: int, den: int, wid
     spread = known.groupBy(key, bucket.alias("_b")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(Window.partitionBy(key))
-    place = F.least(F.floor(total * num / den), total - 1)
+    place = F.least(F.call_function("div", total * num, F.lit(den)), total - 1)
     target = spread.withColumn("_before", before).withColumn("_place", place).where("_place >= _before AND _place < _before + _n").select(F.col(key).alias("_k"), F.col("_b").alias("_t"), "_before", "_place")
     inside = known.withColumn("_b", bucket).join(target, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_t")))
     counts = inside.groupBy(key, "_before", "_place", F.col(value).alias("value")).agg(F.count("*").alias("_n"))
@@ -29,6 +29,12 @@ def disc_quantile(rows: DataFrame, key: str, value: str, num: int, den: int, wid
     return counts.withColumn("_upto", upto).where("_upto > _place AND _upto - _n <= _place").select(key, "value")
 
 
+def latest_version(projects: DataFrame, migrations: DataFrame, key: str) -> DataFrame:
+    """(key, version): the largest version of each project, 0 where it has none."""
+    newest = migrations.groupBy(key).agg(F.max("version").alias("version"))
+    return projects.select(key).join(newest, key, "left").na.fill(0, ["version"])
+
+
 def ranked(rows: DataFrame, *order) -> DataFrame:
     """``rows`` with ``rank`` from 1 on, for all rows: ranges of the order are ranked alone and moved by an offset."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

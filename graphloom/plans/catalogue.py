@@ -12,7 +12,7 @@ from graphloom.functions import ids
 from graphloom.functions.text import keywords, last_segment, qualify, span_length, token_cost
 from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, visibility
 from graphloom.plans import context
-from graphloom.plans.stand_ins import AllTables, Tables, with_ctes, without_cuts
+from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.streaming import overlay_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,15 +25,10 @@ CHANGED = ["Brand#3", "Brand#4"]
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a query; one whose SQL reads cut stand-ins also as ``<name>_all``, over all calls and nodes."""
-
     def add(make: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = sql
-            if without_cuts(sql) != sql and name != "j9_new_edges":  # j9 compares all calls with the cut ones
-                QUERIES[f"{name}_all"] = lambda spark, sf_dir: make(AllTables(spark, sf_dir))
-                ORACLE_SQL[f"{name}_all"] = without_cuts(sql)
         return make
 
     return add
@@ -73,9 +68,14 @@ def _(t):
     return t.nodes.where("id = 42").select("id", "name", "file_path")
 
 
-@query("p7_edge_kind_filter", with_ctes("calls", "SELECT src, dst FROM calls WHERE 1 + (src + dst) % 5 = 1"))
+@query("p7_edge_kind_filter", with_ctes("edges", "SELECT src, dst, visible_from FROM edges WHERE kind = 'Calls'"))
 def _(t):
-    return t.calls.withColumn("kind", 1 + (F.col("src") + F.col("dst")) % 5).where("kind = 1").select("src", "dst")
+    return t.edge_versions.where(schemas.edge_kind_number(F.col("kind")) == schemas.EDGE_KINDS["Calls"]).select("src", "dst", "visible_from")
+
+
+@query("s20_edges_at_snapshot", with_ctes("edges", f"SELECT src, dst, CASE kind WHEN 'Calls' THEN 1 WHEN 'Imports' THEN 2 ELSE 4 END::INTEGER AS kind FROM edges WHERE visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})"))
+def _(t):
+    return visibility.visible_at(t.edge_versions, AT).select("src", "dst", schemas.edge_kind_number(F.col("kind")).alias("kind"))
 
 
 @query("p8_hit_projection", with_ctes("nodes", "SELECT qualified_name, kind, file_path, start_line FROM nodes"))
@@ -164,24 +164,24 @@ def _(t):
     return changes.new_versions(t.versions.select("identity", "version").distinct(), t.versions, ["identity", "version"])
 
 
-@query("j9_new_edges", with_ctes("calls sparse", "SELECT src, dst FROM calls ANTI JOIN sparse USING (src, dst)"))
+@query("j9_new_edges", with_ctes("calls closed", "SELECT src, dst FROM calls ANTI JOIN closed USING (src, dst)"))
 def _(t):
-    return changes.new_versions(t.calls, t.sparse_calls.withColumn("visible_until", F.lit(None).cast("long")), ["src", "dst"])
+    return changes.new_versions(t.calls, t.closed_calls.withColumn("visible_until", F.lit(None).cast("long")), ["src", "dst"])
 
 
-@query("j10_overlay_nodes", with_ctes("nodes", "SELECT id, name, file_path FROM nodes WHERE file_path NOT IN ('Brand#3', 'Brand#4') UNION ALL SELECT -id AS id, name, file_path FROM nodes WHERE file_path = 'Brand#3' AND id % 2 = 0"))
+@query("j10_overlay_nodes", with_ctes("nodes", "SELECT id, name, file_path FROM nodes WHERE file_path NOT IN ('Brand#3', 'Brand#4') UNION ALL SELECT -id AS id, name, file_path FROM nodes WHERE file_path = 'Brand#3' AND start_line > 20"))
 def _(t):
     changed = t.spark.createDataFrame([(c,) for c in CHANGED], "file_path string")
-    parsed = t.nodes.where("file_path = 'Brand#3' AND id % 2 = 0").select((-F.col("id")).alias("id"), "name", "file_path")
+    parsed = t.nodes.where("file_path = 'Brand#3' AND start_line > 20").select((-F.col("id")).alias("id"), "name", "file_path")
     return changes.overlay_nodes(t.nodes.select("id", "name", "file_path"), changed, parsed)
 
 
-@query("j11_overlay_edges", with_ctes("nodes sparse", "SELECT src, dst FROM sparse WHERE src NOT IN (SELECT id FROM nodes WHERE file_path IN ('Brand#3', 'Brand#4')) UNION ALL SELECT -src, dst FROM sparse SEMI JOIN (SELECT id FROM nodes WHERE file_path = 'Brand#3' AND id % 2 = 0) n ON n.id = src"))
+@query("j11_overlay_edges", with_ctes("nodes calls", "SELECT src, dst FROM calls WHERE src NOT IN (SELECT id FROM nodes WHERE file_path IN ('Brand#3', 'Brand#4')) UNION ALL SELECT -src, dst FROM calls SEMI JOIN (SELECT id FROM nodes WHERE file_path = 'Brand#3' AND start_line > 20) n ON n.id = src"))
 def _(t):
     changed = t.spark.createDataFrame([(c,) for c in CHANGED], "file_path string")
-    parsed = t.nodes.where("file_path = 'Brand#3' AND id % 2 = 0").select(F.col("id").alias("src"))
-    new = t.sparse_calls.join(parsed, "src", "left_semi").select((-F.col("src")).alias("src"), "dst")
-    return changes.overlay_edges(t.sparse_calls, t.nodes, changed, new)
+    parsed = t.nodes.where("file_path = 'Brand#3' AND start_line > 20").select(F.col("id").alias("src"))
+    new = t.calls.join(parsed, "src", "left_semi").select((-F.col("src")).alias("src"), "dst")
+    return changes.overlay_edges(t.calls, t.nodes, changed, new)
 
 
 @query("j12_neighbours", with_ctes("nodes calls", "SELECT DISTINCT a.id AS anchor, x.o AS neighbour FROM (SELECT id FROM nodes WHERE name = 'small_ring') a JOIN (SELECT src AS i, dst AS o FROM calls UNION ALL SELECT dst, src FROM calls) x ON x.i = a.id"))
@@ -238,9 +238,10 @@ def _(t):
     return t.read("events").groupBy(F.col("event_type").alias("event_kind")).agg(F.count("*").alias("n"))
 
 
-@query("a4_schema_version", "SELECT coalesce(max(r_regionkey), 0)::INTEGER AS version FROM region WHERE r_regionkey > 100")
+@query("a4_schema_version", "SELECT c_custkey AS project, coalesce(max(o_orderkey), 0)::BIGINT AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
 def _(t):
-    return t.read("region").where("r_regionkey > 100").agg(F.coalesce(F.max("r_regionkey"), F.lit(0)).alias("version"))
+    migrations = t.read("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("version"))
+    return statistics.latest_version(t.read("customer").select(F.col("c_custkey").alias("project")), migrations, "project")
 
 
 @query("a5_running_mean", with_ctes("feedback", "SELECT identity_id, rn AS times_included, seen_at AS last_seen, m AS avg_score FROM r WHERE rn = n", recursive=True, more="""
@@ -279,13 +280,13 @@ def _(t):
 
 
 _NEAR = _ANCHORS + """,
-near AS (SELECT id, max(part)::INTEGER AS near FROM (SELECT dst AS id, anchor * 2 // 5 AS part FROM sparse JOIN anchors ON anchors.id = src
-  UNION ALL SELECT src, anchor * 2 // 5 FROM sparse JOIN anchors ON anchors.id = dst) GROUP BY id)"""
+near AS (SELECT id, max(part)::INTEGER AS near FROM (SELECT dst AS id, anchor * 2 // 5 AS part FROM calls JOIN anchors ON anchors.id = src
+  UNION ALL SELECT src, anchor * 2 // 5 FROM calls JOIN anchors ON anchors.id = dst) GROUP BY id)"""
 
 
-@query("a10_proximity", with_ctes("nodes sparse", "SELECT id, near FROM near", more=_NEAR))
+@query("a10_proximity", with_ctes("nodes calls", "SELECT id, near FROM near", more=_NEAR))
 def _(t):
-    return context.proximity(context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text)), t.sparse_calls)
+    return context.proximity(context.anchors(t.nodes, context.task_keywords(t.nodes, TASK.text)), t.calls)
 
 
 @query("a11_keep_first", "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
@@ -340,14 +341,7 @@ def _(t):
     return visibility.latest_before(t.versions.select("identity", "visible_from", "version"), "identity", AT, "version")
 
 
-@query("o1_ranking", with_ctes("nodes uses", "SELECT id, rank FROM (SELECT n.id, row_number() OVER (ORDER BY coalesce(u.times_included, 0) DESC, qualified_name, n.id)::INTEGER AS rank FROM nodes n LEFT JOIN uses u ON u.id = n.id) WHERE rank <= 50"))
-def _(t):
-    top = t.nodes.join(t.uses, "id", "left").na.fill(0, ["times_included"]).orderBy(F.desc("times_included"), "qualified_name", "id").limit(50)
-    order = Window.orderBy(F.desc("times_included"), "qualified_name", "id")  # of fifty rows
-    return top.select("id", F.row_number().over(order).alias("rank"))
-
-
-@query("o1_ranking_all", with_ctes("nodes uses", "SELECT n.id, row_number() OVER (ORDER BY coalesce(u.times_included, 0) DESC, qualified_name, n.id)::INTEGER AS rank FROM nodes n LEFT JOIN uses u ON u.id = n.id"))
+@query("o1_ranking", with_ctes("nodes uses", "SELECT n.id, row_number() OVER (ORDER BY coalesce(u.times_included, 0) DESC, qualified_name, n.id)::INTEGER AS rank FROM nodes n LEFT JOIN uses u ON u.id = n.id"))
 def _(t):
     rows = t.nodes.join(t.uses, "id", "left").na.fill(0, ["times_included"]).select("id", "times_included", "qualified_name")
     return statistics.ranked(rows, F.desc("times_included"), "qualified_name", "id").select("id", F.col("rank").cast("int").alias("rank"))
@@ -374,24 +368,47 @@ pack AS (SELECT 0::BIGINT AS rn, 5000::BIGINT AS remaining, false AS kept UNION
   SELECT r.rn, CASE WHEN r.cost <= p.remaining THEN p.remaining - r.cost ELSE p.remaining END, r.cost <= p.remaining FROM pack p JOIN ranked r ON r.rn = p.rn + 1)"""
 
 
-@query("u1_candidates", with_ctes("nodes sparse uses", "SELECT id, score, reason FROM candidates", more=_CANDIDATES))
+@query("u1_candidates", with_ctes("nodes calls uses", "SELECT id, score, reason FROM candidates", more=_CANDIDATES))
+def _(t):
+    return context.candidates(t.nodes, t.calls, t.uses, TASK).select("id", "score", "reason")
+
+
+@query("c1_context_plan", with_ctes("nodes calls uses", "SELECT r.id, r.name, r.qualified_name, r.file_path, r.score, r.reason, r.cost, p.kept FROM ranked r JOIN pack p ON p.rn = r.rn", recursive=True, more=_PACKED))
 def _(t):
-    return context.candidates(t.nodes, t.sparse_calls, t.uses, TASK).select("id", "score", "reason")
+    return context.context_plan(t.nodes, t.calls, t.uses, TASK)
 
 
-@query("c1_context_plan", with_ctes("nodes sparse uses", "SELECT r.id, r.name, r.qualified_name, r.file_path, r.score, r.reason, r.cost, p.kept FROM ranked r JOIN pack p ON p.rn = r.rn", recursive=True, more=_PACKED))
+@query("o5_greedy_pack", with_ctes("nodes calls uses", "SELECT r.id, r.cost, row_number() OVER (ORDER BY r.rn)::INTEGER AS rank FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept", recursive=True, more=_PACKED))
 def _(t):
-    return context.context_plan(t.nodes, t.sparse_calls, t.uses, TASK)
+    return context.pack_rows(context.context_plan(t.nodes, t.calls, t.uses, TASK)).select("id", "cost", "rank")
 
 
-@query("o5_greedy_pack", with_ctes("nodes sparse uses", "SELECT r.id, r.cost, row_number() OVER (ORDER BY r.rn)::INTEGER AS rank FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept", recursive=True, more=_PACKED))
+@query("a14_pack_budget", with_ctes("nodes calls uses", "SELECT 5000::BIGINT AS requested, sum(CASE WHEN p.kept THEN r.cost ELSE 0 END)::BIGINT AS estimated, count(*) FILTER (p.kept) AS items, count(*) FILTER (NOT p.kept) AS omitted FROM ranked r JOIN pack p ON p.rn = r.rn", recursive=True, more=_PACKED))
 def _(t):
-    return context.pack_rows(context.context_plan(t.nodes, t.sparse_calls, t.uses, TASK)).select("id", "cost", "rank")
+    return context.pack_budget(context.context_plan(t.nodes, t.calls, t.uses, TASK), TASK)
 
 
-@query("u5_set_difference", with_ctes("nodes calls", "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM calls)"))
+@query("c1_omitted", with_ctes("nodes calls uses", "SELECT r.id, r.file_path, 'token budget' AS reason FROM ranked r JOIN pack p ON p.rn = r.rn WHERE NOT p.kept", recursive=True, more=_PACKED))
 def _(t):
-    return t.nodes.select("id").join(t.calls.select(F.col("dst").alias("id")), "id", "left_anti")
+    return context.omitted(context.context_plan(t.nodes, t.calls, t.uses, TASK)).select("id", "file_path", "reason")
+
+
+@query("c2_feedback_after_pack", with_ctes("nodes calls uses", "SELECT u.id, (coalesce(a.times_included, 0) + CASE WHEN k.id IS NULL THEN 0 ELSE 1 END)::BIGINT AS times_included FROM (SELECT id FROM uses UNION SELECT r.id FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept) u LEFT JOIN uses a ON a.id = u.id LEFT JOIN (SELECT r.id FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept) k ON k.id = u.id", recursive=True, more=_PACKED))
+def _(t):
+    packed = context.pack_rows(context.context_plan(t.nodes, t.calls, t.uses, TASK))
+    return feedback.with_inclusions(t.uses, packed.select("id"))
+
+
+@query("f17_summary", with_ctes("nodes calls uses", """SELECT 'Found ' || (SELECT count(*) FROM ranked r JOIN pack p ON p.rn = r.rn WHERE p.kept) || ' candidate(s) anchored on ' || string_agg(name, ', ' ORDER BY anchor DESC, name) || '.' AS summary
+  FROM (SELECT n.name, a.anchor FROM anchors a JOIN nodes n ON n.id = a.id ORDER BY a.anchor DESC, n.name LIMIT 2)""", recursive=True, more=_PACKED))
+def _(t):
+    return context.summary_row(context.context_plan(t.nodes, t.calls, t.uses, TASK), t.nodes, TASK)
+
+
+@query("u5_set_difference", with_ctes("nodes calls", "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM calls WHERE src IN (SELECT id FROM nodes WHERE file_path = 'Brand#2'))"))
+def _(t):
+    called = t.calls.join(t.nodes.where("file_path = 'Brand#2'").select(F.col("id").alias("src")), "src", "left_semi")
+    return changes.difference(t.nodes.select("id"), called.select(F.col("dst").alias("id")), ["id"])
 
 
 @query("u7_snapshot_diff", with_ctes("versions", f"""SELECT identity, version, CASE WHEN h THEN 'added' ELSE 'removed' END AS change FROM (SELECT identity, version,
@@ -404,23 +421,45 @@ def _(t):
 
 
 def _most_called(t: Tables) -> DataFrame:
-    return t.sparse_calls.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
+    return t.calls.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
 
 
 _REACH = """
-start AS (SELECT dst AS id FROM sparse GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
-walk AS (SELECT id, 0 AS depth FROM start UNION SELECT s.src, w.depth + 1 FROM walk w JOIN sparse s ON s.dst = w.id WHERE w.depth < 3),
+start AS (SELECT dst AS id FROM calls GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+walk AS (SELECT id, 0 AS depth FROM start UNION SELECT s.src, w.depth + 1 FROM walk w JOIN calls s ON s.dst = w.id WHERE w.depth < 3),
 reach AS (SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0)"""
 
 
-@query("g3_reverse_reach", with_ctes("sparse", "SELECT id, depth FROM reach", recursive=True, more=_REACH))
+@query("g3_reverse_reach", with_ctes("calls", "SELECT id, depth FROM reach", recursive=True, more=_REACH))
 def _(t):
-    return graph.reverse_reach(t.sparse_calls, _most_called(t), 3)
+    return graph.reverse_reach(t.calls, _most_called(t), 3)
 
 
-@query("g4_impact", with_ctes("nodes sparse", "SELECT file_path, count(*) AS symbols, min(depth) AS nearest, sum(CASE WHEN contains(lower(name), 'test') THEN 1 ELSE 0 END)::BIGINT AS tests FROM reach JOIN nodes USING (id) GROUP BY file_path", recursive=True, more=_REACH))
+@query("g4_impact", with_ctes("nodes calls", """SELECT file_path, count(*) AS symbols, min(depth) AS nearest, sum(CASE WHEN contains(lower(name), 'test') OR contains(lower(file_path), 'test') THEN 1 ELSE 0 END)::BIGINT AS tests
+  FROM reach JOIN (SELECT id, name, CASE WHEN kind LIKE 'PROMO%' THEN 'tests/' ELSE '' END || file_path AS file_path FROM nodes) USING (id) GROUP BY file_path""", recursive=True, more=_REACH))
 def _(t):
-    return graph.impact(t.nodes, t.sparse_calls, _most_called(t), 3)
+    path = F.concat(F.when(F.startswith("kind", F.lit("PROMO")), F.lit("tests/")).otherwise(F.lit("")), "file_path")
+    return graph.impact(t.nodes.withColumn("file_path", path), t.calls, _most_called(t), 3)
+
+
+@query("g5_explain", with_ctes("nodes calls versions", f"""SELECT file_path, count(*) AS symbols, min(depth) AS nearest FROM reach JOIN nodes USING (id) GROUP BY file_path""", recursive=True, more=f"""
+changed AS (SELECT identity AS id FROM (SELECT identity, version, bool_or(visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})) AS b,
+  bool_or(visible_from <= {AT + 1} AND (visible_until IS NULL OR visible_until > {AT + 1})) AS h FROM versions GROUP BY ALL) WHERE b <> h GROUP BY identity),
+walk AS (SELECT id, 0 AS depth FROM changed UNION SELECT s.src, w.depth + 1 FROM walk w JOIN calls s ON s.dst = w.id WHERE w.depth < 2),
+reach AS (SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0)"""))
+def _(t):
+    changed, reached = graph.explained(t.nodes, t.calls, visibility.snapshot_diff(t.versions, AT, AT + 1, ["identity", "version"]), "identity", 2)
+    return reached.select("file_path", "symbols", "nearest")
+
+
+@query("g1_graph_at_snapshot", with_ctes("nodes versions edges", f"""SELECT id, any_value(name) AS name, max(version) AS version, coalesce(any_value(e.n), 0)::BIGINT AS edges
+  FROM versions JOIN nodes ON identity = id LEFT JOIN (SELECT src, count(*) AS n FROM edges WHERE kind = 'Calls' AND visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT}) GROUP BY src) e ON e.src = id
+  WHERE visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT}) GROUP BY id"""))
+def _(t):
+    nodes, edges = graph.at_snapshot(t.versions, t.nodes, t.edge_versions.withColumn("kind", schemas.edge_kind_number(F.col("kind"))), AT)
+    own = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"))
+    newest = nodes.groupBy("id", "name").agg(F.max("version").alias("version"))
+    return newest.join(own, "id", "left").na.fill(0, ["edges"]).select("id", "name", "version", "edges")
 
 
 @query("g6_trace", with_ctes("nodes bag", f"SELECT *, 'callers' AS direction FROM ({_relation_sql('dst', 'src')}) UNION ALL SELECT *, 'callees' FROM ({_relation_sql('src', 'dst')})"))
@@ -428,6 +467,16 @@ def _(t):
     return graph.trace(t.nodes, t.bag, "small_ring")
 
 
+@query("g6_trace_directions", with_ctes("nodes bag", f"""SELECT asked, match_id, count(*) AS n FROM (SELECT 'callers' AS asked, * FROM ({_relation_sql('dst', 'src')}) UNION ALL SELECT 'callees', * FROM ({_relation_sql('src', 'dst')})
+  UNION ALL SELECT 'both', * FROM ({_relation_sql('dst', 'src')}) UNION ALL SELECT 'both', * FROM ({_relation_sql('src', 'dst')})) GROUP BY ALL"""))
+def _(t):
+    parts = [graph.trace(t.nodes, t.bag, "small_ring", d).select(F.lit(d).alias("asked"), "match_id") for d in ("callers", "callees", "both", "sideways")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out.groupBy("asked", "match_id").agg(F.count("*").alias("n"))
+
+
 # ---- scalar functions
 
 
@@ -437,10 +486,11 @@ def _(t):
     return t.read("documents").select("doc_id", F.explode(keywords(F.col("text"))).alias("keyword"))
 
 
-@query("f3_last_segment", "SELECT p_partkey, p_type AS rust_segment, trim(string_split(p_type, '.')[-1]) AS ts_segment FROM part")
+@query("f3_last_segment", "SELECT p_partkey, replace(p_name, ' ', '_') AS rust_segment, string_split(p_name, ' ')[-1] AS ts_segment FROM part")
 def _(t):
-    scoped = qualify(F.array("p_brand"), F.col("p_type"))
-    return t.read("part").select("p_partkey", last_segment(scoped, F.lit("rust")).alias("rust_segment"), last_segment(scoped, F.lit("typescript")).alias("ts_segment"))
+    rust = qualify(F.array("p_brand", "p_type"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    typescript = F.concat_ws(".", "p_brand", F.replace("p_name", F.lit(" "), F.lit(":")))
+    return t.read("part").select("p_partkey", last_segment(rust, F.lit("rust")).alias("rust_segment"), last_segment(typescript, F.lit("typescript")).alias("ts_segment"))
 
 
 @query("f5_symbol_ids", """SELECT p_partkey, substr(sha256(unhex(project) || '\\x00'::BLOB || encode(p_brand) || '\\x00'::BLOB || encode(p_name) || '\\x00'::BLOB || unhex('01')), 1, 32) AS symbol_id
@@ -450,14 +500,37 @@ def _(t):
     return t.read("part").select("p_partkey", ids.symbol_id(project, F.col("p_brand"), F.col("p_name"), F.lit(1)).alias("symbol_id"))
 
 
+@query("f5_file_and_version_ids", """SELECT p_partkey, project, substr(sha256(unhex(project) || '\\x00'::BLOB || encode(p_name)), 1, 32) AS file,
+  substr(sha256(unhex(project) || '\\x00'::BLOB || unhex(sha256(p_type))), 1, 32) AS version, substr(project, 1, 8) AS short FROM (SELECT *, substr(sha256(p_brand), 1, 32) AS project FROM part)""")
+def _(t):
+    rows = t.read("part").withColumn("project", ids.project_id(F.col("p_brand")))
+    version = ids.symbol_version_id(F.col("project"), ids.content_hash(F.col("p_type")))
+    return rows.select("p_partkey", ids.checked(F.col("project")).alias("project"), ids.file_id(F.col("project"), F.col("p_name")).alias("file"), version.alias("version"), ids.short_id(F.col("project")).alias("short"))
+
+
+@query("f24_memory_kinds", """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'semantic' WHEN '2-HIGH' THEN 'semantic' WHEN '3-MEDIUM' THEN 'episodic' WHEN '4-NOT SPECIFIED' THEN 'procedural' ELSE 'working' END AS memory_group,
+  o_orderpriority <> '5-LOW' AS persistent FROM orders""")
+def _(t):
+    names = dict(zip(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], schemas.MEMORY_GROUPS))
+    kind = F.coalesce(*(F.when(F.col("o_orderpriority") == k, F.lit(v)) for k, v in names.items()))
+    return t.read("orders").select("o_orderkey", schemas.memory_group(kind).alias("memory_group"), schemas.is_persistent(kind).alias("persistent"))
+
+
 @query("f6_content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def _(t):
     return t.read("documents").select("doc_id", ids.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
-@query("f8_kind_numbers", "SELECT event_id, CASE event_type WHEN 'Function' THEN 1 ELSE 99 END::INTEGER AS symbol_kind, 1::INTEGER AS edge_kind FROM events")
+_KIND_LABELS = {"o_orderstatus": {"F": "Function", "O": "Trait", "P": "Gadget"}, "o_orderpriority": {"1-URGENT": "Imports", "2-HIGH": "Contains", "3-MEDIUM": "Implements", "4-NOT SPECIFIED": "FileDepends"}}
+
+
+@query("f8_kind_numbers", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 5 ELSE 99 END::INTEGER AS symbol_kind,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 4 WHEN '4-NOT SPECIFIED' THEN 5 ELSE 1 END::INTEGER AS edge_kind,
+  CASE o_orderstatus WHEN 'F' THEN 'Function' WHEN 'O' THEN 'Trait' ELSE 'Other' END AS kind_name FROM orders""")
 def _(t):
-    return t.read("events").select("event_id", schemas.symbol_kind_number(F.col("event_type")).alias("symbol_kind"), schemas.edge_kind_number(F.col("event_type")).alias("edge_kind"))
+    label = lambda c: F.coalesce(*(F.when(F.col(c) == k, F.lit(v)) for k, v in _KIND_LABELS[c].items()), F.lit("?"))
+    rows = t.read("orders").select("o_orderkey", schemas.symbol_kind_number(label("o_orderstatus")).alias("symbol_kind"), schemas.edge_kind_number(label("o_orderpriority")).alias("edge_kind"))
+    return rows.withColumn("kind_name", schemas.symbol_kind_name(F.col("symbol_kind")))
 
 
 @query("f11_token_cost", with_ctes("nodes", "SELECT id, greatest(byte_len // 4, 16)::BIGINT AS cost FROM nodes"))
@@ -473,15 +546,22 @@ def _(t):
 # ---- writes as sets, collection, overlay state
 
 
-@query("d1_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS language FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 = 0")
+@query("d1_upsert", "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS language FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal < 0")
+def _(t):
+    own = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("language"), "c_acctbal")
+    new = own.where("c_acctbal < 0").withColumn("language", F.concat(F.upper("language"), F.lit("!")))
+    return changes.upsert(own.where("language <> 'BUILDING'").select("id", "language"), new, ["id"])
+
+
+@query("d7_meta", "SELECT c_mktsegment AS key, arg_max(c_name, c_custkey) AS value FROM customer GROUP BY c_mktsegment")
 def _(t):
-    own = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("language"))
-    return changes.upsert(own.where("id % 5 <> 0"), own.where("id % 7 = 0").withColumn("language", F.concat(F.upper("language"), F.lit("!"))), ["id"])
+    written = t.read("customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("value"), F.col("c_custkey").alias("at"))
+    return changes.last_values(written, "key", "value", "at")
 
 
-@query("d4_close_versions", with_ctes("versions", f"SELECT identity, version, CASE WHEN visible_until IS NULL AND identity % 3 = 0 THEN {AT + 100} ELSE visible_until END AS visible_until FROM versions"))
+@query("d4_close_versions", with_ctes("versions nodes", f"SELECT identity, version, CASE WHEN visible_until IS NULL AND identity IN (SELECT id FROM nodes WHERE start_line <= 15) THEN {AT + 100} ELSE visible_until END AS visible_until FROM versions"))
 def _(t):
-    changed = t.versions.where("identity % 3 = 0").select("identity")
+    changed = t.nodes.where("start_line <= 15").select(F.col("id").alias("identity"))
     return changes.close_versions(t.versions, changed, ["identity"], AT + 100).select("identity", "version", "visible_until")
 
 
@@ -493,11 +573,11 @@ def _(t):
     return collection.surviving_versions(t.versions, gone).select("identity", "version", "visible_from", "visible_until")
 
 
-@query("x2_debounce_sessions", """SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+@query("x2_debounce_sessions", """SELECT user_id, min(ts) AS session_start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
   FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def _(t):
-    rows = t.read("events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
-    return rows.select("user_id", F.col("w.start").alias("session_start"), "n")
+    changed = t.read("events").select(F.col("user_id").alias("root"), F.col("ts").alias("at"), F.col("event_type").alias("path"))
+    return overlay_state.debounced(changed, "2 hours").select(F.col("root").alias("user_id"), F.col("started").alias("session_start"), F.col("changes").alias("n"), F.array_join("paths", ",").alias("paths"))
 
 
 @query("x4_dirty_paths", "SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS content FROM events GROUP BY user_id")

@@ -40,8 +40,19 @@ class Tables:
         return self.bag.distinct()
 
     @property
-    def sparse_calls(self) -> DataFrame:
-        return self.bag.where("(src + dst) % 11 = 0").distinct()
+    def closed_calls(self) -> DataFrame:
+        """Calls between finished lines."""
+        lines = self.read("lineitem").where("l_linestatus = 'F'").select("l_orderkey", "l_linenumber", "l_partkey")
+        after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+        return lines.join(after, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+    @property
+    def edge_versions(self) -> DataFrame:
+        """(src, dst, kind, visible_from, visible_until): from a part to its supplier, of a kind by the line's return flag."""
+        kind = F.when(F.col("l_returnflag") == "A", "Calls").when(F.col("l_returnflag") == "N", "Imports").otherwise("Implements")
+        month = lambda c: (F.year(c) * 12 + F.month(c)).cast("long")
+        ends = F.when(F.col("l_linestatus") == "F", month(F.col("l_shipdate")) + 6)
+        return self.read("lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), kind.alias("kind"), month(F.col("l_shipdate")).alias("visible_from"), ends.alias("visible_until"))
 
     @property
     def versions(self) -> DataFrame:
@@ -60,17 +71,22 @@ class Tables:
 
     @property
     def symbols(self) -> DataFrame:
-        """Fewer symbols than names, so that every outcome of resolution occurs."""
-        picked = self.nodes.where("id % 29 = 0")
-        return picked.select(F.col("id").alias("identity"), F.col("file_path").alias("file_id"), "qualified_name", "name", F.col("id").alias("ord"))
+        """Parts, whose names repeat within and across files, and suppliers, whose names are unique."""
+        parts = self.nodes.select(F.col("id").alias("identity"), F.col("file_path").alias("file_id"), "qualified_name", "name", F.col("id").alias("ord"))
+        number = -F.col("s_suppkey")
+        return parts.unionAll(self.read("supplier").select(number.alias("identity"), F.lit("suppliers").alias("file_id"), F.concat(F.lit("suppliers::"), "s_name").alias("qualified_name"), F.col("s_name").alias("name"), number.alias("ord")))
 
     @property
     def references(self) -> DataFrame:
+        """From parts: to what they call, to their suppliers, and to their types, which are no symbols."""
         n = self.nodes
-        a = n.select(F.col("id").alias("src"), F.col("file_path").alias("file_id"), F.col("qualified_name").alias("from_qualified_name"))
+        a = n.select(F.col("id").alias("src"), F.col("file_path").alias("file_id"), F.col("qualified_name").alias("from_qualified_name"), "kind")
         b = n.select(F.col("id").alias("dst"), F.col("name").alias("to_name"))
-        rows = self.sparse_calls.join(a, "src").join(b, "dst")
-        return rows.select("file_id", "from_qualified_name", "to_name", F.lit(1).alias("kind"), (F.col("src") * 1000000 + F.col("dst")).alias("ord"))
+        calls = self.calls.join(b, "dst").select("src", "to_name", (F.col("src") * 1000000 + F.col("dst")).alias("ord"))
+        bought = self.read("lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+        supplied = bought.join(self.read("supplier").select("s_suppkey", "s_name"), "s_suppkey").select("src", F.col("s_name").alias("to_name"), (-(F.col("src") * 1000000 + F.col("s_suppkey"))).alias("ord"))
+        typed = a.select("src", F.col("kind").alias("to_name"), (F.col("src") * 1000000).alias("ord"))
+        return calls.unionAll(supplied).unionAll(typed).join(a.drop("kind"), "src").select("file_id", "from_qualified_name", "to_name", F.lit(1).alias("kind"), "ord")
 
     @property
     def feedback(self) -> DataFrame:
@@ -82,25 +98,16 @@ class Tables:
         return self.read("events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("times_included"))
 
 
-class AllTables(Tables):
-    """The same tables without the cuts: every call is walked and resolved, every node is a symbol."""
-
-    @property
-    def sparse_calls(self) -> DataFrame:
-        return self.calls
-
-    @property
-    def symbols(self) -> DataFrame:
-        return self.nodes.select(F.col("id").alias("identity"), F.col("file_path").alias("file_id"), "qualified_name", "name", F.col("id").alias("ord"))
-
-
 CTES = {
     "nodes": """nodes AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, p_brand || '::' || replace(p_name, ' ', '_') AS qualified_name,
   p_brand AS file_path, p_type AS kind, p_size AS start_line, (p_size * 40)::BIGINT AS byte_len FROM part)""",
     "bag": """bag AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)""",
     "calls": "calls AS (SELECT DISTINCT src, dst FROM bag)",
-    "sparse": "sparse AS (SELECT DISTINCT src, dst FROM bag WHERE (src + dst) % 11 = 0)",
+    "closed": """closed AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_partkey <> b.l_partkey AND a.l_linestatus = 'F' AND b.l_linestatus = 'F')""",
+    "edges": """edges AS (SELECT l_partkey AS src, l_suppkey AS dst, CASE l_returnflag WHEN 'A' THEN 'Calls' WHEN 'N' THEN 'Imports' ELSE 'Implements' END AS kind,
+  (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS visible_from, CASE WHEN l_linestatus = 'F' THEN (year(l_shipdate) * 12 + month(l_shipdate) + 6)::BIGINT END AS visible_until FROM lineitem)""",
     "versions": """versions AS (SELECT l_partkey AS identity, l_orderkey AS version, l_linenumber AS part_no,
   (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS visible_from,
   CASE WHEN l_linestatus = 'F' THEN (year(l_shipdate) * 12 + month(l_shipdate) + 1)::BIGINT END AS visible_until
@@ -108,14 +115,17 @@ CTES = {
   WHERE l_linestatus <> 'F' OR year(o_orderdate) * 12 + month(o_orderdate) < year(l_shipdate) * 12 + month(l_shipdate) + 1)""",
     "snapshots": """snapshots AS (SELECT id, CASE id % 4 WHEN 0 THEN 'anonymous' WHEN 1 THEN 'working_tree' WHEN 2 THEN 'commit' ELSE 'filehash' END AS kind,
   id * 2592000 AS created_at, id - 1 AS parent_id FROM (SELECT DISTINCT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS id FROM orders))""",
-    "symbols": "symbols AS (SELECT id AS identity, file_path AS file_id, qualified_name, name, id AS ord FROM nodes WHERE id % 29 = 0)",
-    "refs": """refs AS (SELECT a.file_path AS file_id, a.qualified_name AS from_qualified_name, b.name AS to_name, 1 AS kind, a.id * 1000000 + b.id AS ord
-  FROM sparse JOIN nodes a ON a.id = sparse.src JOIN nodes b ON b.id = sparse.dst)""",
+    "symbols": """symbols AS (SELECT id AS identity, file_path AS file_id, qualified_name, name, id AS ord FROM nodes
+  UNION ALL SELECT -s_suppkey, 'suppliers', 'suppliers::' || s_name, s_name, -s_suppkey FROM supplier)""",
+    "refs": """refs AS (SELECT a.file_path AS file_id, a.qualified_name AS from_qualified_name, r.to_name, 1 AS kind, r.ord FROM nodes a JOIN (
+  SELECT c.src, b.name AS to_name, c.src * 1000000 + b.id AS ord FROM calls c JOIN nodes b ON b.id = c.dst
+  UNION ALL SELECT l.src, s_name, -(l.src * 1000000 + s_suppkey) FROM (SELECT DISTINCT l_partkey AS src, l_suppkey FROM lineitem) l JOIN supplier ON s_suppkey = l.l_suppkey
+  UNION ALL SELECT id, kind, id * 1000000 FROM nodes) r ON r.src = a.id)""",
     "feedback": """feedback AS (SELECT user_id AS identity_id, event_id AS seq, greatest(0, least(1000, floor(value * 10)))::BIGINT AS score,
   floor(epoch(ts))::BIGINT AS seen_at FROM events)""",
     "uses": "uses AS (SELECT user_id AS id, count(*) AS times_included FROM events GROUP BY user_id)",
 }
-NEEDS = {"calls": ["bag"], "sparse": ["bag"], "symbols": ["nodes"], "refs": ["nodes", "bag", "sparse"]}
+NEEDS = {"calls": ["bag"], "symbols": ["nodes"], "refs": ["nodes", "bag", "calls"]}
 
 
 def with_ctes(names: str, body: str, recursive: bool = False, more: str = "") -> str:
@@ -128,7 +138,3 @@ def with_ctes(names: str, body: str, recursive: bool = False, more: str = "") ->
     parts = [CTES[n] for n in order] + ([more] if more else [])
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
 
-
-def without_cuts(sql: str) -> str:
-    """SQL of a query over ``Tables`` as SQL over ``AllTables``."""
-    return sql.replace(CTES["sparse"], "sparse AS (SELECT DISTINCT src, dst FROM bag)").replace(CTES["symbols"], CTES["symbols"].replace(" WHERE id % 29 = 0", ""))

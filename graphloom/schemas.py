@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
-
+# The tables and their columns.
 TABLES = {
     "meta": "key string, value string",
     "snapshot": "id bigint, uuid string, kind string, commit_sha string, label string, parent_id bigint, created_at bigint",
@@ -22,14 +21,13 @@ TABLES = {
     "memory_fact": "id string, kind string, promotion string, body string, confidence int, provenance string, created_at bigint, updated_at bigint",
     "project": "uuid string, canonical_path string, display_name string, snapshot_source string, created_at bigint, last_attached_at bigint, last_indexed_at bigint, db_size_bytes bigint, status string",
 }
-RAW_SYMBOL = "file_id string, rel_path string, name string, qualified_name string, kind int, start_byte bigint, end_byte bigint, start_line int, end_line int, start_column int, end_column int, content_hash string, ord int"
-RAW_EDGE = "file_id string, rel_path string, from_qualified_name string, to_name string, kind int, start_line int, end_line int, ord int"
-GRAPH_NODE = "identity string, name string, qualified_name string, kind int, file_id string, file_path string, start_line int, end_line int, byte_len bigint"
 
 # The stored numbers of symbol, edge and event kinds.
 SYMBOL_KINDS = {"Function": 1, "Struct": 2, "Enum": 3, "TypeAlias": 4, "Trait": 5, "Impl": 6, "Module": 7, "Variable": 8, "Macro": 9, "Other": 99}
 EDGE_KINDS = {"Calls": 1, "Imports": 2, "Contains": 3, "Implements": 4, "FileDepends": 5}
 EVENT_KINDS = {"pack_built": 1, "symbol_included": 2, "symbol_accepted": 3, "tool_invoked": 4}
+# The group of each kind of memory; a session is never stored.
+MEMORY_GROUPS = {"constitution": "semantic", "preference": "semantic", "outcome": "episodic", "skill": "procedural", "session": "working"}
 # File extensions of each language.
 EXTENSIONS = {"rust": ["rs"], "typescript": ["ts", "tsx", "js", "jsx", "mjs", "cjs"]}
 # Top-level folders that are never indexed.
@@ -66,3 +64,12 @@ def edge_kind_number(name: Column) -> Column:
 
 def edge_kind_name(number: Column) -> Column:
     return _name(EDGE_KINDS, number, "Calls")
+
+
+def memory_group(kind: Column) -> Column:
+    """semantic, episodic, procedural or working; null for an unknown kind."""
+    return F.coalesce(*(F.when(kind == k, F.lit(group)) for k, group in MEMORY_GROUPS.items()))
+
+
+def is_persistent(kind: Column) -> Column:
+    return kind != "session"

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, notebooks) a
-temporary folder is made and set. Tables written here survive the loss of executors, which cached or
+The folder is the session's ``spark.checkpoint.dir``. Only a session on one machine (tests, notebooks) that
+has none gets a temporary folder; on a cluster that is an error. Tables written here survive the loss of executors, which cached or
 locally checkpointed blocks would not.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import collection
+from graphloom.operators import changes, collection
 from graphloom.schemas import TABLES
 
 OPENED = {
@@ -75,6 +75,23 @@ class Store:
         row = self.spark.createDataFrame([(snapshot, f"{now:032x}{snapshot:016x}", kind, None, None, parent, now)], TABLES["snapshot"])
         row.write.mode("append").parquet(self._at("manifest"))
 
+    def set_meta(self, key: str, value: str) -> None:
+        at = self._read(f"{self.base}/meta", TABLES["meta"] + ", at bigint").count()
+        row = self.spark.createDataFrame([(key, value, at)], TABLES["meta"] + ", at bigint")
+        self.append("meta", row)
+
+    def get_meta(self, key: str) -> str | None:
+        """The last value set under the key; null if there is none."""
+        rows = self._read(f"{self.base}/meta", TABLES["meta"] + ", at bigint").where(F.col("key") == key)
+        found = changes.last_values(rows, "key", "value", "at").first()
+        return found["value"] if found else None
+
+    def size(self) -> int:
+        """Bytes of all the project's tables."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def latest(self) -> int:
         return self.manifest().agg(F.max("id").alias("n")).first()["n"] or 0
 
@@ -128,8 +145,8 @@ class Registry:
     def attached(self, uuid: str, path: str, at: int) -> None:
         self._log(at, uuid, canonical_path=path, display_name=path.rsplit("/", 1)[-1], snapshot_source="unknown", created_at=at, last_attached_at=at, status="active")
 
-    def indexed(self, uuid: str, at: int) -> None:
-        self._log(at, uuid, last_indexed_at=at)
+    def indexed(self, uuid: str, at: int, size: int) -> None:
+        self._log(at, uuid, last_indexed_at=at, db_size_bytes=size)
 
     def archive(self, uuid: str, at: int) -> None:
         self._log(at, uuid, status="archived")

@@ -39,9 +39,14 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, language, size_bytes, content) of every supported file below ``root``.
 
     Contents that are not UTF-8 raise an error when they are read, so that a run never indexes half a
-    file. The tree is only read. An empty tree gives an empty result.
+    file. Only supported files outside ignored folders are read, and nothing is written. An empty tree
+    gives an empty result.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    tops = _unignored(spark, root)
+    if not tops:
+        return spark.createDataFrame([], "rel_path string, language string, size_bytes long, content string")
+    supported = "*.{" + ",".join(sorted(x for names in EXTENSIONS.values() for x in names)) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", supported).load(tops)
     rel = relative(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root)
     rows = found.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), "content").withColumn("language", language_of(F.col("rel_path")))
     kept = rows.where(F.col("language").isNotNull() & ~is_ignored(F.col("rel_path")))
@@ -49,6 +54,14 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("rel_path", "language", "size_bytes", text.alias("content"))
 
 
+def _unignored(spark: SparkSession, root: str) -> list[str]:
+    """What lies directly below the root, without ignored folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    named = [(f.getPath().getName(), f) for f in found]
+    return [f.getPath().toString() for name, f in named if not (f.isDirectory() and name in IGNORED) and (f.isDirectory() or any(name.endswith("." + x) for names in EXTENSIONS.values() for x in names))]
+
+
 def _git(repository: str, *args: str) -> str:
     done = subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True)
     if done.returncode:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.sources import tree
+
 DEBOUNCE = "2 seconds"
 
 
@@ -17,10 +19,17 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, gap: str = DEBOUNCE, late: str = "1 minute") -> DataFrame:
-    """(path_root, started, paths) per burst of changes; works on a stream (with a watermark) and on a table."""
+    """(root, started, changes, paths) per burst of changes; works on a stream (with a watermark) and on a table."""
     rows = changes.withWatermark("at", late) if changes.isStreaming else changes
-    bursts = rows.groupBy("root", F.session_window("at", gap).alias("w")).agg(F.collect_set("path").alias("paths"))
-    return bursts.select("root", F.col("w.start").alias("started"), F.array_sort("paths").alias("paths"))
+    bursts = rows.groupBy("root", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("changes"), F.collect_set("path").alias("paths"))
+    return bursts.select("root", F.col("w.start").alias("started"), "changes", F.array_sort("paths").alias("paths"))
+
+
+def relevant(changes: DataFrame, root: str) -> DataFrame:
+    """Changes of supported files below the root and outside ignored folders, their path relative to it."""
+    below = changes.where(F.startswith("path", F.lit(root.rstrip("/") + "/")))
+    rows = below.withColumn("path", tree.relative(F.col("path"), root))
+    return rows.where(tree.language_of(F.col("path")).isNotNull() & ~tree.is_ignored(F.col("path")))
 
 
 def maintain(changes: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -13,14 +13,26 @@ from graphloom.sources import tree
 from graphloom.sources.parser import parse
 from graphloom.streaming import feedback_stream, overlay_state
 
-MATH = "pub fn add(a: i32, b: i32) -> i32 {\n    a + b\n}\n\npub fn mul(a: i32, b: i32) -> i32 {\n    a * b\n}\n\npub fn square(n: i32) -> i32 {\n    mul(n, n)\n}\n"
+BREW = """pub fn weigh(beans: f64) -> f64 {
+    beans.max(0.0)
+}
+
+pub fn grind(beans: f64, steps: u8) -> f64 {
+    weigh(beans) / f64::from(steps)
+}
+
+pub fn pour(water: f64) -> f64 {
+    grind(water, 4)
+}
+"""
 FILES = {
-    "src/lib.rs": "pub mod math;\n\npub struct Point {\n    pub x: i32,\n}\n\nimpl Point {\n    pub fn size(&self) -> i32 {\n        add(self.x.abs(), 1)\n    }\n}\n",
-    "src/main.rs": 'fn greet() -> String {\n    "hi".to_string()\n}\n\nfn main() {\n    println!("{}", greet());\n}\n',
-    "src/math.rs": MATH,
-    "web/app.ts": "export function boot() { return start(); }\nfunction start() { return 1; }\n",
-    "target/skip.rs": "fn skipped() {}\n",
-    "notes.md": "# nothing",
+    "kitchen/lib.rs": "pub mod brew;\n\npub enum Roast {\n    Light,\n    Dark,\n}\n\nimpl Roast {\n    pub fn cost(&self) -> f64 {\n        weigh(2.5)\n    }\n}\n",
+    "kitchen/brew.rs": BREW,
+    "kitchen/bar.rs": "fn bell() {}\n\nfn open_bar() {\n    bell();\n    eprintln!(\"open\");\n}\n",
+    "menu/list.ts": "export class Menu {\n  first() {\n    return pick(0);\n  }\n}\nfunction pick(n) { return n; }\n",
+    "node_modules/x/skip.ts": "function skipped() {}\n",
+    "build/skip.rs": "\u0000 not read",
+    "menu/plan.txt": "nothing",
 }
 
 
@@ -42,41 +54,44 @@ def test_index_ask_overlay_collect(spark, root, tmp_path):
     before = state(root)
     project = engine.attach(str(root))
     first = project.index(kind="anonymous")
-    assert (first.snapshot, first.files, first.new_symbols, first.new_edges) == (1, 4, 11, 3)
+    assert (first.snapshot, first.files, first.new_symbols, first.new_edges) == (1, 4, 12, 5)
     again = project.index(kind="anonymous")
     assert (again.snapshot, again.new_symbols, again.new_edges) == (2, 0, 0)
     assert state(root) == before
-    assert [r["related_name"] for r in project.callers("mul").collect()] == ["square"]
-    assert [r["related_name"] for r in project.callees("size").collect()] == ["add"]
-    assert {r["qualified_name"] for r in project.search("POINT").collect()} == {"Point", "Point::size"}
-
-    changed = MATH.replace("pub fn square(n: i32) -> i32 {\n    mul(n, n)\n}\n", "pub fn triple(n: i32) -> i32 {\n    add(n, add(n, n))\n}\n")
-    project.set_overlay(spark.createDataFrame([("src/math.rs", changed)], "rel_path string, content string"))
-    assert {r["related_name"] for r in project.callers("add").collect()} == {"size", "triple"}
-    assert project.symbol("square").count() == 0
+    assert sorted(r["related_name"] for r in project.callers("weigh").collect()) == ["cost", "grind"]
+    assert [r["related_name"] for r in project.callees("first").collect()] == ["pick"]
+    assert {r["qualified_name"] for r in project.search("ROAST").collect()} == {"Roast", "Roast::cost"}
+    assert project.edges().count() == 5 == project.edges(1).count() and project.edges(0).count() == 0
+    assert project.store.get_meta("project_uuid") == project.id and project.store.get_meta("other") is None
+    assert project.registry.all().first()["db_size_bytes"] > 0
+
+    changed = BREW.replace("pub fn pour(water: f64) -> f64 {\n    grind(water, 4)\n}\n", "pub fn steep(water: f64) -> f64 {\n    weigh(grind(water, 2))\n}\n")
+    project.set_overlay(spark.createDataFrame([("kitchen/brew.rs", changed)], "rel_path string, content string"))
+    assert {r["related_name"] for r in project.callers("weigh").collect()} == {"cost", "grind", "steep"}
+    assert project.symbol("pour").count() == 0
     project.clear_overlay()
-    assert project.symbol("triple").count() == 0 and project.symbol("square").count() == 1
+    assert project.symbol("steep").count() == 0 and project.symbol("pour").count() == 1
 
-    plan = {r["name"]: r for r in project.find_context(Task("square mul")).collect()}
-    assert plan["square"]["score"] == plan["mul"]["score"] == 1000 and plan["square"]["kept"]
-    assert project.usefulness().count() == 2
-    assert "previously useful" in {r["name"]: r for r in project.find_context(Task("square")).collect()}["mul"]["reason"]
+    plan = {r["name"]: r for r in project.find_context(Task("pour grind")).collect()}
+    assert plan["pour"]["score"] == plan["grind"]["score"] == 1000 and plan["pour"]["kept"]
+    assert project.usefulness().count() == 3
+    assert "previously useful" in {r["name"]: r for r in project.find_context(Task("pour")).collect()}["grind"]["reason"]
 
     old = [tuple(r) for r in project.graph(2)[0].select("id").orderBy("id").collect()]
-    (root / "src/math.rs").write_text(changed)
+    (root / "kitchen/brew.rs").write_text(changed)
     third = project.index(kind="filehash")
-    assert third.new_symbols == 1 and project.symbol("square").count() == 0
+    assert third.new_symbols == 1 and project.symbol("pour").count() == 0
     changed_symbols, reached = project.explain(2, 3)
     assert sorted(r["change"] for r in changed_symbols.collect()) == ["added", "removed"] and reached.count() == 0
-    assert [(r["file_path"], r["symbols"]) for r in project.impact("add").orderBy("file_path").collect()] == [("src/lib.rs", 1), ("src/math.rs", 1)]
+    assert [(r["file_path"], r["symbols"]) for r in project.impact("weigh").orderBy("file_path").collect()] == [("kitchen/brew.rs", 2), ("kitchen/lib.rs", 1)]
     assert [r["last_indexed_at"] for r in engine.known().collect()] == [clock[0]]
     assert [tuple(r) for r in project.graph(2)[0].select("id").orderBy("id").collect()] == old
-    clock[0] += 40 * 86400
+    clock[0] += 77 * 86400
     freed = project.collect_garbage(keep=1)
     assert freed["freed_snapshots"] == 1
-    assert project.symbol("triple").count() == 1
+    assert project.symbol("steep").count() == 1
 
-    main(["--warehouse", f"{tmp_path}/warehouse", "callers", str(root), "add"], spark)
+    main(["--warehouse", f"{tmp_path}/warehouse", "callers", str(root), "weigh"], spark)
 
 
 def test_unpublished_rows_stay_invisible(spark, root, tmp_path):
@@ -106,12 +121,12 @@ def test_broken_utf8_stops_the_run(spark, tmp_path):
 
 
 def test_typescript():
-    symbols, references = parse("interface Length { length(): number; }\nclass Vec2 implements Length {\n  magnitude(): number { return Math.sqrt(1); }\n  length(): number { return this.magnitude(); }\n}\n", "typescript")
-    assert {(s["qualified_name"], s["kind"]) for s in symbols} >= {("Length", 5), ("Vec2", 2), ("Vec2::magnitude", 1), ("Vec2::length", 1)}
-    assert {(r["from_qualified_name"], r["to_name"], r["kind"]) for r in references} >= {("Vec2::length", "magnitude", 1), ("Vec2", "Length", 4)}
-    names = [s["name"] for s in parse("function add(a) {}\nconst square = (n) => mul(n, n);\nconst dbl = function (n) {};\n", "typescript")[0] if s["kind"] == 1]
-    assert names == ["add", "square", "dbl"]
-    assert ("geom::distance", 1) in {(s["qualified_name"], s["kind"]) for s in parse("namespace geom { export function distance(a) { return a; } }", "typescript")[0]}
+    symbols, references = parse("interface Shape { area(): number; }\nclass Disc implements Shape {\n  radius(): number { return Math.abs(2); }\n  area(): number { return this.radius(); }\n}\n", "typescript")
+    assert {(s["qualified_name"], s["kind"]) for s in symbols} >= {("Shape", 5), ("Disc", 2), ("Disc::radius", 1), ("Disc::area", 1)}
+    assert {(r["from_qualified_name"], r["to_name"], r["kind"]) for r in references} >= {("Disc::area", "radius", 1), ("Disc", "Shape", 4)}
+    names = [s["name"] for s in parse("function fold(a) {}\nconst twice = (n) => fold(n, n);\nconst half = function (n) {};\n", "typescript")[0] if s["kind"] == 1]
+    assert names == ["fold", "twice", "half"]
+    assert ("tea::boil", 1) in {(s["qualified_name"], s["kind"]) for s in parse("namespace tea { export function boil(a) { return a; } }", "typescript")[0]}
 
 
 @pytest.mark.parametrize("text", ["fn {{{ impl for (", 'let s = "', "/* open", "class { function ((", "}}}}", "é" * 50, ""])
@@ -141,14 +156,14 @@ def test_git(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    events = [("x", 1, 800, 1), ("x", 2, 600, 2), ("y", 3, 10, 3), ("x", 4, 1000, 4)]
+    events = [("x", 1, 77, 1), ("x", 2, 910, 2), ("y", 3, 10, 3), ("x", 4, 305, 4)]
     schema = "identity_id string, seq long, score long, seen_at long"
     spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"{tmp_path}/events")
     stream = feedback_stream.running_usefulness(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"))
     query = stream.writeStream.outputMode("update").format("memory").queryName("uses").option("checkpointLocation", f"{tmp_path}/c1").start()
     query.processAllAvailable()
     query.stop()
-    assert {tuple(r) for r in spark.sql("SELECT identity_id, times_included, avg_score FROM uses").collect()} == {("x", 3, 800), ("y", 1, 10)}
+    assert {tuple(r) for r in spark.sql("SELECT identity_id, times_included, avg_score FROM uses").collect()} == {("x", 3, 430), ("y", 1, 10)}
 
     changes = spark.createDataFrame([("r", "a.rs", 1, "old"), ("r", "a.rs", 2, "new"), ("r", "b.rs", 3, None)], "root string, path string, seq long, content string").withColumn("at", F.timestamp_seconds("seq"))
     changes.coalesce(1).write.parquet(f"{tmp_path}/changes")
@@ -157,4 +172,7 @@ def test_streams(spark, tmp_path):
     query = overlay_state.maintain(source, lambda batch, number: got.extend((r["path"], r["content"]) for r in batch.collect()), f"{tmp_path}/c2")
     query.awaitTermination(60)
     assert sorted(got, key=str) == [("a.rs", "new"), ("b.rs", None)]
-    assert [r["paths"] for r in overlay_state.debounced(changes).collect()] == [["a.rs", "b.rs"]]
+    assert [(r["changes"], r["paths"]) for r in overlay_state.debounced(changes).collect()] == [(3, ["a.rs", "b.rs"])]
+    paths = ["/w/a/x.rs", "/w/a/target/y.rs", "/w/a/deep/target/z.ts", "/w/a/n.md", "/w/b/q.rs"]
+    found = overlay_state.relevant(spark.createDataFrame([(p,) for p in paths], "path string"), "/w/a")
+    assert sorted(r["path"] for r in found.collect()) == ["deep/target/z.ts", "x.rs"]

@@ -65,8 +65,10 @@ def test_resolution(spark):
 
 
 def test_running_mean_truncates_in_order(spark):
-    events = spark.createDataFrame([("x", 2, 600, 5), ("x", 1, 800, 4), ("x", 3, 1000, 6)], "identity_id string, seq long, score long, seen_at long")
-    assert pairs(feedback.usefulness(events)) == [("x", 3, 6, 800)]
+    events = spark.createDataFrame([("x", 2, 33, 5), ("x", 1, 990, 4), ("x", 3, 7, 6), ("x", 4, 500, 6)], "identity_id string, seq long, score long, seen_at long")
+    assert pairs(feedback.usefulness(events)) == [("x", 4, 6, 382)]  # 990, 511, 343, 382
+    again = feedback.with_inclusions(spark.createDataFrame([(1, 4), (2, 1)], "id long, times_included long"), spark.createDataFrame([(2,), (3,)], "id long"))
+    assert pairs(again) == [(1, 4), (2, 2), (3, 1)]
 
 
 def test_running_mean_over_many_batches(spark):
@@ -93,17 +95,29 @@ def snapshots(spark, rows):
 
 
 def test_collection(spark):
-    now = 1000 * DAY
-    s = snapshots(spark, [(1, "anonymous", now - 100 * DAY, None), (2, "anonymous", now - 1, 1)])
-    gone = collection.victims(s, now, 1, 30)
-    assert pairs(gone) == [(1,)]
-    v = spark.createDataFrame([(7, 1, 1, 2), (8, 1, 2, None)], VERSIONS)
-    assert pairs(collection.report(s, v, gone)) == [(1, 1)]
-    assert pairs(collection.survivors(s, gone).select("id", "parent_id")) == [(2, None)]
-    kept = snapshots(spark, [(1, "commit", now - 365 * DAY, None), (2, "filehash", now - 365 * DAY, 1)])
-    assert collection.victims(kept, now, 0, 30).count() == 0
-    three = snapshots(spark, [(i, "anonymous", now - (101 - i) * DAY, None) for i in (1, 2, 3)])
-    assert pairs(collection.victims(three, now, 2, 30)) == [(1,)]
+    """Random histories against a plain rule: old, ephemeral, and not among the newest."""
+    rng, now = random.Random(21), 1_700_000_000
+    for keep in (0, 2, 9):
+        kinds = ["anonymous", "working_tree", "commit", "filehash"]
+        rows = [(i, rng.choice(kinds), now - rng.randrange(0, 60 * DAY), rng.choice([None, *range(1, i)])) for i in range(1, 25)]
+        s = snapshots(spark, rows)
+        ephemeral = sorted((r for r in rows if r[1] in kinds[:2]), key=lambda r: (r[2], r[0]), reverse=True)
+        lost = sorted(r[0] for r in ephemeral[keep:] if r[2] < now - 30 * DAY)
+        gone = collection.victims(s, now, keep, 30)
+        assert [r["id"] for r in gone.collect()] == lost
+        parent = {r[0]: r[3] for r in rows}
+
+        def nearest(i):
+            while i in lost:
+                i = parent[i]
+            return i
+
+        assert pairs(collection.survivors(s, gone).select("id", "parent_id")) == [(i, nearest(parent[i])) for i in sorted(parent) if i not in lost]
+        v = [(i, rng.randrange(9), rng.randrange(1, 25), rng.choice([None, *range(1, 25)])) for i in range(60)]
+        freed = sum(r[2] in lost or r[3] in lost for r in v)
+        assert pairs(collection.report(s, spark.createDataFrame(v, VERSIONS), gone)) == [(len(lost), freed)]
+    loop = snapshots(spark, [(1, "anonymous", 0, 2), (2, "anonymous", 0, 1), (3, "commit", 0, 1), (4, "commit", 0, 3)])
+    assert pairs(collection.survivors(loop, collection.victims(loop, now, 0, 30)).select("id", "parent_id")) == [(3, None), (4, 3)]
 
 
 def test_changes(spark):
@@ -117,22 +131,27 @@ def test_changes(spark):
 
 
 def planned(spark, task, uses=()):
-    nodes = spark.createDataFrame([(1, "foo", "foo", "src/a.rs", 40), (2, "bar", "bar", "src/a.rs", 40), (3, "baz", "baz", "src/b.rs", 40)], "id long, name string, qualified_name string, file_path string, byte_len long")
-    calls = spark.createDataFrame([(1, 2)], "src long, dst long")
+    rows = [(1, "kettle", "tea::kettle", "tea/pot.rs", 96), (2, "lid", "tea::lid", "tea/pot.rs", 20), (3, "kettle_lid", "tea::kettle_lid", "tea/lid.rs", 200), (4, "saucer", "tea::saucer", "tea/cup.rs", 88)]
+    nodes = spark.createDataFrame(rows, "id long, name string, qualified_name string, file_path string, byte_len long")
+    calls = spark.createDataFrame([(4, 3), (4, 3), (2, 9)], "src long, dst long")
     plan = context.context_plan(nodes, calls, spark.createDataFrame(list(uses), "id long, times_included long"), task)
     return {r["name"]: r for r in plan.collect()}, plan, nodes
 
 
 def test_plan_scores(spark):
-    got, plan, nodes = planned(spark, context.Task("foo", budget=5000))
-    assert {k: r["score"] for k, r in got.items()} == {"foo": 1000, "bar": 400}
-    assert context.summary(plan, nodes, context.Task("foo")) == "Found 2 candidate(s) anchored on foo."
-    got, *_ = planned(spark, context.Task("foo", current_file="src/b.rs"))
-    assert got["baz"]["score"] == 250 and "current file" in got["baz"]["reason"]
-    got, *_ = planned(spark, context.Task("foo", budget=20))
-    assert [k for k, r in got.items() if r["kept"]] == ["foo"]
-    got, *_ = planned(spark, context.Task("foo"), [(2, 50), (3, 100)])
-    assert got["bar"]["score"] == 500 and got["foo"]["score"] == 1000 and "baz" not in got
+    got, plan, nodes = planned(spark, context.Task("mend the KETTLE"))
+    assert {k: r["score"] for k, r in got.items()} == {"kettle": 1000, "kettle_lid": 600, "saucer": 240}
+    assert context.summary(plan, nodes, context.Task("kettle")) == "Found 3 candidate(s) anchored on kettle, kettle_lid."
+    assert context.summary(plan, nodes, context.Task("zz")) == "No anchors matched the task; 3 candidate(s)."
+    got, *_ = planned(spark, context.Task("nothing", current_file="tea/cup.rs", changed_files=["tea/cup.rs", "tea/lid.rs"]))
+    assert {k: (r["score"], r["reason"]) for k, r in got.items()} == {"saucer": (500, "current file + diff overlap"), "kettle_lid": (250, "diff overlap")}
+    got, plan, _ = planned(spark, context.Task("kettle", budget=50))
+    assert {k for k, r in got.items() if r["kept"]} == {"kettle", "saucer"}  # 24 + 22 tokens; 50 do not fit between
+    assert pairs(context.omitted(plan)) == [(3, "tea/lid.rs", "token budget")]
+    assert pairs(context.pack_budget(plan, context.Task("kettle", budget=50))) == [(50, 46, 2, 1)]
+    got, *_ = planned(spark, context.Task("kettle"), [(4, 7), (3, 90), (2, 5)])
+    assert got["saucer"]["score"] == 275 and got["kettle_lid"]["score"] == 700 and "lid" not in got
+    assert got["saucer"]["reason"] == "near a task match + previously useful"
 
 
 @pytest.mark.parametrize("rows", [1, 3, 1000])
@@ -159,7 +178,18 @@ def test_functions(spark):
         schemas.edge_kind_number(F.lit("?")).alias("edge"),
         ids.is_id(ids.project_id(F.lit("/x"))).alias("ok"),
         ids.is_id(F.lit("abc")).alias("bad"),
+        keywords(F.lit("हिन्दी ภาษา e\u0301tat cafe\u0301s Ⅻ½x")).alias("marks"),
+        schemas.memory_group(F.lit("skill")).alias("memory"),
+        schemas.memory_group(F.lit("?")).alias("unknown"),
+        schemas.is_persistent(F.lit("session")).alias("stored"),
+        token_cost(F.lit(2**53 + 7)).alias("large"),
     ).first()
+    # Vowel signs belong to words; the virama and the combining acute do not.
+    assert row["marks"] == ["हिन", "दी", "ภาษา", "tat", "cafe", "ⅻ½x"]
+    assert (row["memory"], row["unknown"], row["stored"], row["large"]) == ("procedural", None, False, 2**51 + 1)
+    assert spark.range(1).select(ids.checked(ids.project_id(F.lit("/x")))).count() == 1
+    with pytest.raises(Exception, match="16-byte id"):
+        spark.range(1).select(ids.checked(F.lit("abcd"))).collect()
     assert row["k"] == ["fix", "über", "añ", "login_2fa"]
     assert (row["r"], row["t"], row["least"], row["cost"], row["trait"], row["other"], row["edge"], row["ok"], row["bad"]) == ("c", "c", 16, 100, 5, "Other", 1, True, False)
 
