@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join over word n-grams, returned as components of linked documents.
+"""Exact Jaccard self-join over word n-grams: links between classes of equal sets, or components of linked documents.
 
 A document's set holds its distinct ``k``-word shingles (64-bit hashes). Two documents link when
 ``den * |A & B| >= num * |A | B|``. The plan, in terms of Spark jobs:
@@ -6,24 +6,32 @@ A document's set holds its distinct ``k``-word shingles (64-bit hashes). Two doc
 1. *Order.* One pass counts all shingles (blocks of packed keys are shuffled and merged); those above a
    frequency that is chosen so that at most ``MAX_FREQUENT`` of them exist become a broadcast order:
    rare shingles first, frequent ones by class of frequency. Any order gives the same links.
-2. *Index.* A second pass keeps each set's size, its digest and its prefix in that order. Equal digests
-   are one class (answers of a class are those of its first member). Prefix entries are shuffled by
-   shingle into index lists with the entry's position; entries without a partner are dropped.
-3. *First answers.* Each list's entry with the earliest position acts as representative; the others are
-   verified against it, and the links give first components.
-4. *Skipping.* Lists are walked in blocks ordered by set size; a pair of blocks is skipped when the
-   positions left after its best entries cannot reach the needed overlap. A set that shares a component
-   with another takes over that set's answers, so such pairs are never formed. What is left is verified
-   exactly, and components are merged.
-
-Two shingles or sets are taken for equal when their 64-bit hashes are. Memory per task is bounded by
-``spark.sql.shuffle.partitions``; no list, link or component is collected to the driver.
+2. *Index.* A second pass keeps each set's size, its 128-bit digest and its prefix in that order. Equal
+   digests are one class, which gets a number. Prefix entries are shuffled by shingle into index lists
+   with the entry's position; entries without a partner are dropped.
+3. *Representatives' answers.* Each list's entry with the earliest position acts as representative; the
+   others are verified against it by their whole sets, which also gives what each lacks and adds.
+4. *Block skipping.* Lists are cut into blocks, and pairs of blocks are dealt as keys, so a long list
+   spreads over tasks. A pair of blocks (and within them of smaller ones, ordered by set size) is skipped
+   when the positions left after its best entries cannot reach the needed overlap.
+5. *Derived answers.* The overlap of two sets that are similar to one representative R follows from its
+   answers: ``|A & B| = |R| - |(R-A) | (R-B)| + |(A-R) & (B-R)|``; only the differences are looked at.
+   Other pairs are verified by their whole sets.
+
+For components (``jaccard_components``) step 5 is shorter still: sets that share a representative, or are
+joined over several, share its component already, so a set takes over the component of its answers, lists
+of one component are dropped before they are shuffled, and pairs within a component are never formed.
+
+Two shingles are taken for equal when their 64-bit hashes are. Lists and components are never held whole
+by a task; no list, link or component is collected to the driver. A very long text is hashed whole by one
+task, in arrays of some twenty times its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +47,10 @@ MAX_FREQUENT = 1 << 19
 #: Lowest frequency at which a shingle is moved behind rarer ones.
 MIN_FREQUENT = 8
 #: Most document ids that are broadcast to find the texts of candidate pairs.
-MAX_BROADCAST_IDS = 1 << 21
+MAX_BROADCAST_IDS = 1 << 20
 FLUSH = 1 << 20
-LIST_BLOCK = 64
+#: Entries of a block of an index list that is a key of its own, and of the smaller blocks in it.
+KEY_BLOCK, LIST_BLOCK = 4096, 64
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -149,15 +158,15 @@ def _signatures(k: int, num: int, den: int, frequent):
                 level = np.where(keys[at] == short, levels[at], 0) if len(keys) else np.zeros(len(values), np.uint8)
                 sizes = np.diff(bounds)
                 lengths = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
-                out, node = [], []
+                out, digest = [], []
                 for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
                     own = values[lo:hi]
-                    node.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     if level[lo:hi].any():
                         own = own[np.argsort(level[lo:hi], kind="stable")]
                     out.append(own[: lengths[i]])
                 prefix = ragged(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes), pa.array(node, pa.int64()), prefix], ["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes), pa.array(digest, pa.binary()), prefix], ["doc_id", "n", "digest", "prefix"])
 
     return run
 
@@ -168,68 +177,90 @@ def _needed(n_a, n_b, num: int, den: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of index lists that hold two sets or more."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    token = table.column("token").to_numpy()
-    order = np.argsort(token, kind="stable")
-    token = token[order]
-    same = token[1:] == token[:-1]
-    keep = np.zeros(len(token), dtype=bool)
-    keep[1:] = same
-    keep[:-1] |= same
-    yield from table.take(pa.array(order[keep])).combine_chunks().to_batches()
+    """Entries of index lists that hold two sets or more; entries come by token, one is held back."""
+    last, shared = None, False  # the entry held back, and whether the one before it had its token
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        token = table.column(0).to_numpy()
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([[shared], same]) | np.concatenate([same, [False]])
+        last, shared = table.slice(len(token) - 1), bool(same[-1]) if len(same) else shared
+        yield table.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
+    if last is not None and shared:
+        yield last
+
+
+def _pairs_of(num: int, den: int, node, comp, n, rem, block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list in different components whose sizes and positions allow a link.
+
+    ``block`` tells the two blocks of a key apart; pairs within a block belong to that block's own key.
+    """
+    order = np.lexsort((node, n))
+    node, comp, n, rem, block = node[order], comp[order], n[order], rem[order], block[order]
+    both = block.min() != block.max()
+    starts = np.arange(0, len(n), LIST_BLOCK)
+    low, best = n[starts], np.maximum.reduceat(rem, starts)
+    high = n[np.minimum(starts + LIST_BLOCK, len(n)) - 1]
+    one = np.minimum.reduceat(comp, starts)
+    alone = one == np.maximum.reduceat(comp, starts)  # blocks of one component
+    for i in range(len(starts)):
+        j = np.arange(i + 1)
+        need = _needed(low[i], low[j], num, den)
+        j = j[(den * high[j] >= num * low[i]) & (best[j] >= need) & (best[i] >= need) & ~(alone[j] & alone[i] & (one[j] == one[i]))]
+        mine = slice(starts[i], starts[i] + LIST_BLOCK)
+        for at in starts[j]:
+            other = slice(at, at + LIST_BLOCK)
+            need = _needed(n[mine][:, None], n[other][None, :], num, den)
+            ok = (comp[mine][:, None] != comp[other][None, :]) & (np.minimum(rem[mine][:, None], rem[other][None, :]) >= need)
+            if both:
+                ok &= block[mine][:, None] != block[other][None, :]
+            if at == starts[i]:
+                ok &= np.tri(*ok.shape, -1, dtype=bool)
+            a, b = np.nonzero(ok)
+            if len(a):
+                a, b = node[mine][a], node[other][b]
+                yield np.minimum(a, b), np.maximum(a, b)
 
 
 def _cross_pairs(num: int, den: int):
-    """Pairs of entries of one list in different components whose sizes and positions allow a link."""
-
-    def of_list(node, comp, n, rem) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((node, n))
-        node, comp, n, rem = node[order], comp[order], n[order], rem[order]
-        starts = np.arange(0, len(n), LIST_BLOCK)
-        low, best = n[starts], np.maximum.reduceat(rem, starts)
-        high = n[np.minimum(starts + LIST_BLOCK, len(n)) - 1]
-        one = np.minimum.reduceat(comp, starts)
-        alone = one == np.maximum.reduceat(comp, starts)  # blocks of one component
-        for i in range(len(starts)):
-            j = np.arange(i + 1)
-            need = _needed(low[i], low[j], num, den)
-            j = j[(den * high[j] >= num * low[i]) & (best[j] >= need) & (best[i] >= need) & ~(alone[j] & alone[i] & (one[j] == one[i]))]
-            mine = slice(starts[i], starts[i] + LIST_BLOCK)
-            for at in starts[j]:
-                other = slice(at, at + LIST_BLOCK)
-                need = _needed(n[mine][:, None], n[other][None, :], num, den)
-                ok = (comp[mine][:, None] != comp[other][None, :]) & (np.minimum(rem[mine][:, None], rem[other][None, :]) >= need)
-                if at == starts[i]:
-                    ok &= np.tri(*ok.shape, -1, dtype=bool)
-                a, b = np.nonzero(ok)
-                if len(a):
-                    a, b = node[mine][a], node[other][b]
-                    yield np.minimum(a, b), np.maximum(a, b)
+    """Candidate pairs of all keys (token, i, j); rows come by key, and only the last key of a batch is held back."""
+    columns = ("token", "i", "j", "node", "comp", "n", "pos", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        token, node, comp, n, pos = (table.column(c).to_numpy() for c in ("token", "node", "comp", "n", "pos"))
-        order = np.argsort(token, kind="stable")
-        token, node, comp, n, rem = token[order], node[order], comp[order], n[order], (n - pos)[order]
-        cut = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
-        mixed = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
+        rest: list[np.ndarray] | None = None
         held, size = [], 0  # pairs now
 
         def flush():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*held)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for i in np.flatnonzero(mixed):
-            s = slice(cut[i], cut[i + 1])
-            for a, b in of_list(node[s], comp[s], n[s], rem[s]):
+        def keys(parts: list[np.ndarray], closed: bool):
+            token, i, j, node, comp, n, pos, block = parts
+            cut = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            cut = np.append(cut, len(token))
+            for a, b in zip(cut[:-1], cut[1:] if closed else cut[1:-1]):
+                own = comp[a:b]
+                if own.min() != own.max():
+                    yield from _pairs_of(num, den, node[a:b], own, n[a:b], (n - pos)[a:b], block[a:b])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns]
+            if rest is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(rest, now)]
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            for a, b in keys(now, False):
+                held.append((a, b))
+                size += len(a)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+            rest = [x[last] for x in now]
+        if rest is not None:
+            for a, b in keys(rest, True):
                 held.append((a, b))
                 size += len(a)
                 if size >= FLUSH:
@@ -241,55 +272,105 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
+def _candidates(lists: DataFrame, placed: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """(a, b) of nodes in different components (``placed``: node, comp) that a list's sizes and positions allow to link."""
+    entries = lists.join(placed, "node")
+    mixed = entries.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("entries")).where("least <> most")
+    several = F.ceil(F.col("entries") / KEY_BLOCK).cast("int")
+    entries = entries.join(mixed.select("token", several.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", F.col("n").cast("long"), F.col("pos").cast("long"), "block")
+    dealt = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 values, bounds = distinct_sorted(*shingles(block.column(0), k))
-                node = [int.from_bytes(hashlib.blake2b(values[lo:hi].tobytes(), digest_size=8).digest(), "little", signed=True) for lo, hi in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), ragged(values.view(np.int64), bounds)], ["node", "shingles"])
+                digest = [hashlib.blake2b(values[lo:hi].tobytes(), digest_size=16).digest() for lo, hi in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), ragged(values.view(np.int64), bounds)], ["digest", "shingles"])
 
     return run
 
 
-def _linked(num: int, den: int):
+def _linked(num: int, den: int, differences: bool):
+    """Of pairs with both sets those that link; with ``differences`` also what b lacks of a and adds to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, lacks, adds, overlap = [], [], [], []
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
+                if keep[-1]:
+                    overlap.append(both)
+                    if differences:
+                        lacks.append(np.setdiff1d(x, y, assume_unique=True))
+                        adds.append(np.setdiff1d(y, x, assume_unique=True))
             out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
+            columns, names = [out.column(0), out.column(1), pa.array(overlap, pa.int64())], ["a", "b", "overlap"]
+            if differences:
+                columns += [pa.array(lacks, pa.list_(pa.int64())), pa.array(adds, pa.list_(pa.int64()))]
+                names += ["lacks", "adds"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, str]:
-    """Of candidate pairs those that link, by intersecting the whole sets of both."""
+def _derived(num: int, den: int):
+    """Links among pairs of sets whose differences from one representative are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keep, overlap = [], []
+            for i in range(batch.num_rows):
+                lacks_a, adds_a, lacks_b, adds_b = (columns[c][i].values.to_numpy() for c in ("lacks_a", "adds_a", "lacks_b", "adds_b"))
+                n = columns["n"][i].as_py()
+                both = n - len(np.union1d(lacks_a, lacks_b)) + len(np.intersect1d(adds_a, adds_b, assume_unique=True))
+                total = 2 * n - len(lacks_a) + len(adds_a) - len(lacks_b) + len(adds_b)
+                keep.append(den * both >= num * (total - both))
+                overlap.append(both)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([columns["a"].filter(mask), columns["b"].filter(mask), pa.array(overlap, pa.int64()).filter(mask)], ["a", "b", "overlap"])
+
+    return run
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, differences: bool = False) -> tuple[DataFrame, str]:
+    """Of candidate pairs those that link (a, b, overlap ...), by intersecting the whole sets of both."""
+    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = wanted.join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("id"))
-    ids, ids_path = write_shared(ids, "candidate-ids")
+    ids, ids_path = write_shared(wanted.join(nodes.select("node", "digest", "first_id"), "node"), "candidate-ids")
+    own = ids.select(F.col("first_id").alias("id"))
     few = ids.count() <= MAX_BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets, path = write_shared(texts.mapInArrow(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "candidate-sets")
-    drop_shared(docs.sparkSession, ids_path)
+    texts = docs.join(F.broadcast(own) if few else own, docs["doc_id"].eqNullSafe(own["id"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(k), "digest binary, shingles array<long>").dropDuplicates(["digest"])
+    sets, path = write_shared(sets.join(ids.select("digest", "node"), "digest").select("node", "shingles"), "candidate-sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    links, links_path = write_shared(both.select("a", "b", "left", "right").mapInArrow(_linked(num, den), "a long, b long"), "links")
-    drop_shared(docs.sparkSession, path)
+    schema = "a long, b long, overlap long" + (", lacks array<long>, adds array<long>" if differences else "")
+    links, links_path = write_shared(both.select("a", "b", "left", "right").mapInArrow(_linked(num, den, differences), schema), "links")
+    drop_shared(spark, ids_path, path)
     return links, links_path
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
+@dataclass
+class Index:
+    """What both outputs share: signatures of all rows, classes with numbers, lists and representatives' candidates."""
 
-    component_id is the smallest doc_id reachable over links. Null and empty texts, or texts without
-    words, have no shingles and link with nothing; a row with a null doc_id takes part and gets the
-    smallest known doc_id of its component, or null. Repeated rows stay repeated. An empty table gives
-    an empty result. doc_id may be of any type with an order.
-    """
+    docs: DataFrame
+    signed: DataFrame  # doc_id, n, digest of every row
+    nodes: DataFrame  # node, digest, first_id, n of every class
+    lists: DataFrame  # token, node, n, pos
+    star: DataFrame  # a: representative, b: another set of its list
+    paths: list[str]
+
+
+def _index(docs: DataFrame, k: int, num: int, den: int) -> Index:
     if not 0 < num <= den:
         raise ValueError("similarity must lie in (0, 1]")
     spark = docs.sparkSession
@@ -298,31 +379,76 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), f"doc_id {id_type}, n long, node long, prefix array<long>"), "signatures")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes, nodes_path = write_shared(nodes, "classes")
-
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"))
-    lists, lists_path = write_shared(entries.repartition(parts, "token").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists")
-
+    signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), f"doc_id {id_type}, n long, digest binary, prefix array<long>"), "signatures")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes, nodes_path = write_shared(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("int").alias("pos"))
+    entries = entries.repartition(parts, "token").sortWithinPartitions("token")
+    lists, lists_path = write_shared(entries.mapInArrow(_lists, "token long, node long, n int, pos int"), "lists")
     heads = lists.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("x"), "n", "node", "pos")).alias("h"))
     need = F.ceil((F.col("n") + F.col("h.n")) * F.lit(num) / F.lit(num + den))
     star = lists.join(heads, "token").where((F.col("node") != F.col("h.node")) & (F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")) >= need))
-    star, star_path = write_shared(star.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "star")
-    links, links_path = _verify(docs, nodes, star, k, num, den)
+    star, star_path = write_shared(star.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    return Index(docs, signed.select("doc_id", "n", "digest"), nodes.drop("prefix"), lists, star, [nodes_path, lists_path, star_path])
+
 
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and which class each row belongs to.
+
+    Returns (a, b, overlap) with a < b, one row per pair of classes that link, and (doc_id, n_shingles,
+    class) for every row of ``docs`` (doc_id, text; other columns are ignored); rows without shingles have
+    a null class. Rows of one class have equal sets; copies are not expanded into pairs. As many links as
+    there are come out, so a large group of different near copies has many. Null and empty texts, or texts
+    without words, link with nothing; null and repeated ids are rows like others; an empty table gives two
+    empty results.
+    """
+    x = _index(docs, k, num, den)
+    spark = docs.sparkSession
+    near, near_path = _verify(x.docs, x.nodes, x.star, k, num, den, differences=True)
+    # Of each set the representative it is most similar to, with the differences; a representative has none from itself.
+    best = near.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("overlap", F.col("a").alias("head"), "lacks", "adds")).alias("v")).select("node", "v.head", "v.lacks", "v.adds")
+    empty = F.array().cast("array<long>")
+    alone = near.select(F.col("a").alias("node")).distinct().join(best.select("node"), "node", "left_anti")
+    known, known_path = write_shared(best.unionAll(alone.select("node", F.col("node").alias("head"), empty, empty)), "representatives")
+    every = x.nodes.select("node", F.col("node").alias("comp"))
+    pairs = _candidates(x.lists, every, num, den, _partitions(spark))
+    done = x.star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs, pairs_path = write_shared(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("head").alias(f"head_{c}"), F.col("lacks").alias(f"lacks_{c}"), F.col("adds").alias(f"adds_{c}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    same = F.coalesce(F.col("head_a") == F.col("head_b"), F.lit(False))
+    sized = met.where(same).join(x.nodes.select(F.col("node").alias("head_a"), "n"), "head_a")
+    derived, derived_path = write_shared(sized.select("a", "b", "n", "lacks_a", "adds_a", "lacks_b", "adds_b").mapInArrow(_derived(num, den), "a long, b long, overlap long"), "derived")
+    whole, whole_path = _verify(x.docs, x.nodes, met.where(~same).select("a", "b"), k, num, den)
+    first = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").distinct()
+    links, _ = write_shared(first.unionAll(derived).unionAll(whole), "all-links")
+    members, _ = write_shared(x.signed.join(x.nodes.select("digest", F.col("node").alias("class")), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class")), "members")
+    drop_shared(spark, *x.paths, near_path, known_path, pairs_path, derived_path, whole_path)
+    return links, members
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    component_id is the smallest doc_id reachable over links. Null and empty texts, or texts without
+    words, have no shingles and link with nothing; a row with a null doc_id takes part and gets the
+    smallest known doc_id of its component, or null. Repeated rows stay repeated. An empty table gives
+    an empty result. doc_id may be of any type with an order.
+    """
+    x = _index(docs, k, num, den)
+    spark = docs.sparkSession
+    links, links_path = _verify(x.docs, x.nodes, x.star, k, num, den)
     first = connected_components(links)
-    placed = nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
-    pairs = lists.join(placed, "node").repartition(parts, "token").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    pairs, pairs_path = write_shared(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    more, more_path = _verify(docs, nodes, pairs, k, num, den)
+    placed, placed_path = write_shared(x.nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "placed")
+    pairs, pairs_path = write_shared(_candidates(x.lists, placed, num, den, _partitions(spark)), "pairs")
+    more, more_path = _verify(x.docs, x.nodes, pairs, k, num, den)
 
     component = connected_components(links.unionAll(more))
-    placed = nodes.select("node", "first_id").join(component, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("comp"))
+    placed = x.nodes.select("node", "digest", "first_id").join(component, "node", "left").select("digest", "first_id", F.coalesce("component", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    final, _ = write_shared(placed.join(least, "comp").select("node", "component_id"), "node-components")
-    drop_shared(spark, nodes_path, lists_path, star_path, links_path, pairs_path, more_path)
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(final, "node", "left")
+    final, _ = write_shared(placed.join(least, "comp").select("digest", "component_id"), "class-components")
+    drop_shared(spark, *x.paths, links_path, placed_path, pairs_path, more_path)
+    out = x.signed.withColumnRenamed("n", "n_shingles").join(final, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -106,6 +106,25 @@ def test_join_moves_frequent_shingles(spark, monkeypatch):
     assert got == components(texts, 5, 80, 100)
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_links_against_all_pairs(spark, monkeypatch, block):
+    """Every link between different sets, also those derived from a representative, and lists cut into blocks."""
+    monkeypatch.setattr(ngram_join, "KEY_BLOCK", block)
+    texts = dict(enumerate(variants(4) + ["", None, "a b", "a b", "A B"]))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, comp int").repartition(4)
+    links, members = ngram_join.jaccard_links(docs, 4, 75, 100)
+    of = {r["doc_id"]: r["class"] for r in members.collect()}
+    sets = {i: H.shingles(t, 4) for i, t in texts.items()}
+    assert {r["doc_id"]: r["n_shingles"] for r in members.collect()} == {i: len(x) for i, x in sets.items()}
+    assert len({of[i] for i in sets if sets[i]}) == len({frozenset(x) for x in sets.values() if x})
+    expected = {(*sorted((of[a], of[b])), len(sets[a] & sets[b])) for a in sets for b in sets if sets[a] and of[a] != of[b] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, 4, 75, 100).collect()}
+    assert got == components(texts, 4, 75, 100)
+    assert [x.count() for x in ngram_join.jaccard_links(docs.limit(0))] == [0, 0]
+
+
 def test_join_with_awkward_rows(spark):
     texts = H.awkward_texts()
     docs = H.documents(spark, texts)
