@@ -10,7 +10,7 @@ import helpers as H
 import numpy as np
 import pytest
 
-from graphloom.llm import byte_bpe, context_mixing, licenses, quality, token_files
+from graphloom.llm import byte_bpe, context_mixing, license_texts, licenses, quality, token_files
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -171,32 +171,67 @@ def test_short_document_access(tmp_path):
 # ---- licenses
 
 
-def test_license_scan(spark):
+def passages_of(text, name, template):
+    """All passages by direct comparison of words, without windows or hashes."""
+    w, t = H.words(text), H.words(template)
+    k = min(len(t), licenses.WORDS)
+    own = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)} if t else set()
+    hits = [(i, tuple(w[i : i + k])) for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in own] if own else []
+    needed, longest = math.ceil(licenses.CONTAINMENT * len(own)), max(len(t), len(t) * 5 // 4)
+    out, i = [], 0
+    while i < len(hits):
+        reach = [h for h in hits[i:] if h[0] + k <= hits[i][0] + longest]
+        if len({s for _, s in reach}) < needed:
+            i += 1
+            continue
+        most = next(n for n in range(1, len(reach) + 1) if {s for _, s in reach[:n]} == {s for _, s in reach})
+        found = reach[:most]
+        i += most
+        share = len({s for _, s in found}) / len(own)
+        while found[0][1] in [s for _, s in found[1:]]:
+            found = found[1:]
+        out.append((name, found[0][0], found[-1][0] + k, round(share, 9)))
+    return out
+
+
+@pytest.mark.parametrize("group", [20_000, 7])
+def test_license_scan_against_direct_comparison(spark, monkeypatch, group):
+    monkeypatch.setattr(licenses, "GROUP", group)
     rng = random.Random(4)
-    texts = list(H.awkward_texts())
-    marks = {}
-    for name, notice in licenses.NOTICES:
-        for place in (0, 1, 7, 150):
-            marks[len(texts)] = name
-            texts.append(" ".join([H.prose(rng, place), notice.upper() if place == 7 else notice, H.prose(rng, rng.randrange(0, 40))]).strip())
+    texts = [t for t in H.awkward_texts() if t is None or len(t) < 9000]
+    rows = [*license_texts.ROWS, ("two", "one two"), ("single", "tu"), ("none", ""), (None, "x y z w")]
+    for name, notice in rows[:-2]:
+        words = notice.split()
+        dropped = " ".join(w for w in words if rng.random() > 0.04)  # a few words lost
+        for body in (notice, notice.upper(), f"{notice} {notice}", f"{notice} {H.prose(rng, 30)} {dropped} {notice}"):
+            texts.append(" ".join([H.prose(rng, rng.choice([0, 1, 7, 150])), body, H.prose(rng, rng.randrange(0, 40))]).strip())
     docs = H.documents(spark, texts)
-    got = licenses.scan(docs, licenses.notices(spark)).toPandas()
-    assert {(i, n) for i, n in zip(got.doc_id, got.license)} == set(marks.items())
-    assert (got.containment >= licenses.CONTAINMENT).all()
-    assert licenses.scan(docs.limit(0), licenses.notices(spark)).count() == 0
-    assert licenses.scan(docs, licenses.notices(spark).limit(0)).count() == 0
+    templates = spark.createDataFrame(rows + rows[:5], "license string, text string")
+    got = collections.Counter((r["doc_id"], r["license"], r["first_word"], r["end_word"], round(r["containment"], 9)) for r in licenses.scan(docs, templates).collect())
+    expected = collections.Counter((r["doc_id"], *p) for r in docs.collect() for name, notice in rows if name for p in passages_of(r["text"], name, notice))
+    assert got == expected and len(expected) > 300
+    mit = [r for r in expected if r[1] == "MIT"]
+    assert {r[4] for r in mit} > {1.0} and len(mit) > 20
+    assert licenses.scan(docs.limit(0), templates).count() == 0 == licenses.scan(docs, templates.limit(0)).count()
+
+
+def test_adjacent_notices_are_apart():
+    notice = "Released under the MIT License."
+    t = licenses.Templates([("MIT", notice)], 3)
+    import pyarrow as pa
+
+    text = " ".join(["a b", notice, notice, "c", notice])
+    assert [x[2:4] for x in licenses.scan_block(pa.array([text]), [t])] == [(2, 7), (7, 12), (13, 18)]
 
 
 def test_bands_reach_their_probability():
     rng = np.random.default_rng(5)
     bands = licenses.n_bands(0.3, 0.01)
-    from graphloom.llm.textarrays import mix
-
     missed = 0
     for _ in range(400):
-        a = rng.integers(0, 2**63, 13).astype(np.uint64)
-        b = np.concatenate([a[:6], rng.integers(0, 2**63, 7).astype(np.uint64)])  # 6 of 20
-        missed += not any(mix(a ^ licenses.seed(i)).min() == mix(b ^ licenses.seed(i)).min() for i in range(bands))
+        a = rng.integers(0, 2**63, 13).astype(np.uint64) * np.uint64(2)
+        b = np.concatenate([a[:6], rng.integers(0, 2**63, 7).astype(np.uint64) * np.uint64(2)])  # 6 of 20
+        missed += not any((a * licenses.seed(i)).min() == (b * licenses.seed(i)).min() for i in range(bands))
     assert missed < 20
 
 
