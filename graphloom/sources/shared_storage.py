@@ -28,11 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
-def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_shared(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet and reads it back; cuts the lineage like ``checkpoint()`` but columnar."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
