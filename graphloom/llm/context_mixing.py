@@ -17,8 +17,8 @@ depends on nothing but the text and the counts. The bits add up to the score and
 
 *Counts at any size.* Nothing that grows with the corpus is broadcast. Texts lie in blocks; a block sends
 the distinct (context, symbol) pairs that its texts use, with their training counts, to the ranges of
-contexts (packed arrays, shuffled); a range adds up all counts and answers each block with the turns at
-the nodes on its pairs' paths; the block then scores its texts. Word counts take the same way. There are
+contexts (packed arrays, shuffled), the texts stay where they lie; a range adds up all counts and answers each block with the turns at
+the nodes on its pairs' paths, each node once; the block then scores its texts. Word counts take the same way. There are
 no samples, prefixes or left-out rows: every training row is counted, every whole text is scored.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +39,14 @@ from pyspark.sql import functions as F
 from graphloom.llm.memo import Runs
 from graphloom.llm.quality import in_fold
 from graphloom.llm.textarrays import LOWER, blocks, bounded_batches, mix, text_bytes, word_bounds, word_hashes
-from graphloom.sources.shared_storage import drop_shared, write_shared
+from graphloom.sources.shared_storage import drop_shared, new_path, write_shared
 
 #: Words that are symbols: at most so many, each counted so often at least.
 VOCABULARY, LEAST_COUNT = 1 << 16, 2
 #: Bytes of text in a block, and symbols that are mixed at once.
 BLOCK_BYTES, TILE = 2 << 20, 1 << 15
+#: Blocks that are scored as one group.
+BUNDLE = 8
 #: Weight of the shorter context when a longer one backs off to it.
 BACK_OFF = 1.0
 #: Where a text's segments end, in symbols: each is half as long as all before it, up to 4096.
@@ -63,7 +66,7 @@ MATCH_ODDS = np.array([0.5, 1.5, 2.5, 4.0], np.float32)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 TAGS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
 #: Turns at a node are answered as one byte: exact pairs of counts up to EXACT in sum, else their log odds.
-EXACT, ODDS_STEP, MANY = 10, 0.07, 60.0
+EXACT, ODDS_STEP, MANY = 10, 0.25, 60.0
 
 
 def _turn_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +85,8 @@ def _turn_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 TURN_CODE, TURN_ON, TURN_OFF = _turn_tables()
 FIRST_ODDS = (EXACT + 1) * (EXACT + 2) // 2
+#: The byte for the same turns counted the other way round.
+OTHER_WAY = np.concatenate([TURN_CODE[TURN_OFF[:FIRST_ODDS].astype(int), TURN_ON[:FIRST_ODDS].astype(int)], np.arange(255, FIRST_ODDS - 1, -1)]).astype(np.uint8)
 
 
 def turn_codes(on: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -270,7 +275,7 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
     two_back = back[0] + back[1] * np.uint64(257)
     four_back = two_back + back[2] * np.uint64(257**2) + back[3] * np.uint64(257**3)
     context[at_byte] = mix(two_back + TAGS[1])
-    own[at_byte] = _so_far(letter, step)
+    own[at_byte] = mix(_so_far(letter, step) + TAGS[3])
     return Stream(symbols, bounds, at_byte, [context, mix(four_back ^ TAGS[2])], own, n_words, words, np.where(is_known, at, -1))
 
 
@@ -289,6 +294,19 @@ def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (total[:-1] - total[begin]) * inverse[begin]
 
 
+def _paths(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for all runs of these lengths."""
+    upto = np.cumsum(lengths)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + lengths, lengths)
+
+
+def shared_turns(code: Code, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many turns the paths of two different symbols of a tree share."""
+    differ = code.word[a] ^ code.word[b]
+    high, low = (differ >> np.uint64(32)).astype(np.float64), (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 31 - np.log2(np.maximum(high, 1)).astype(np.int64), 63 - np.log2(np.maximum(low, 1)).astype(np.int64))
+
+
 @dataclass
 class Pairs:
     """Distinct (context, symbol) pairs of a block in ascending order of the context's hash, and which each symbol uses."""
@@ -318,7 +336,7 @@ def rare_words(s: Stream) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answers(code: Code, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> tuple[Runs, np.ndarray]:
-    """Turns at the nodes on the path of each distinct pair, and the pair's number for every given one."""
+    """Turns to 1 and to 0 at the nodes on the path of each distinct pair, and the pair's number for every given one."""
     _, number = _dense(contexts)
     leaves = len(code.leaf)
     place, of = _dense(number * leaves + code.leaf[symbols], (len(contexts) * leaves).bit_length())
@@ -328,7 +346,7 @@ def answers(code: Code, contexts: np.ndarray, symbols: np.ndarray, counts: np.nd
     np.cumsum(np.bincount(of, weights=counts, minlength=len(key)), out=upto[1:])
     lengths, starts = code.lengths[own_symbol], code.starts[own_symbol]
     out_at = np.concatenate([[0], np.cumsum(lengths)])
-    on, off = np.zeros(int(out_at[-1]), np.int64), np.zeros(int(out_at[-1]), np.int64)
+    one, zero = np.zeros(int(out_at[-1]), np.int64), np.zeros(int(out_at[-1]), np.int64)
     # All pairs of a context and tree, then at each level those on the same side of the node.
     words = code.end + 2
     tree = own_context * 2 + (own_symbol >= words)
@@ -343,17 +361,43 @@ def answers(code: Code, contexts: np.ndarray, symbols: np.ndarray, counts: np.nd
         middle[several] = np.searchsorted(key, own_context[active[several]] * leaves + code.middle[node[several]])
         alone = ~several
         middle[alone] = np.where(bit[alone] == 1, a[alone], b[alone])
-        left, right = upto[middle] - upto[a], upto[b] - upto[middle]
-        on[out_at[active] + depth] = np.where(bit == 1, right, left)
-        off[out_at[active] + depth] = np.where(bit == 1, left, right)
+        zero[out_at[active] + depth] = upto[middle] - upto[a]
+        one[out_at[active] + depth] = upto[b] - upto[middle]
         lo[active], hi[active] = np.where(bit == 1, middle, a), np.where(bit == 1, b, middle)
         depth += 1
         active = active[lengths[active] > depth]
     runs = Runs()
-    runs.values, runs.starts, runs.lengths = turn_codes(on, off), out_at[:-1], lengths
+    runs.values, runs.starts, runs.lengths = turn_codes(one, zero), out_at[:-1], lengths
     return runs, of
 
 
+def first_new(code: Code, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """For ascending pairs: from which depth on the nodes of a path are not those of the pair before."""
+    out = np.zeros(len(symbols), np.int64)
+    same = np.flatnonzero(contexts[1:] == contexts[:-1]) + 1
+    out[same] = shared_turns(code, symbols[same], symbols[same - 1]) + 1
+    return out
+
+
+def restored(code: Code, p: Pairs, nodes: np.ndarray) -> Runs:
+    """The turn taken and the other at each node of all pairs' paths, from those of the new nodes alone."""
+    new, lengths = first_new(code, p.contexts, p.symbols), code.lengths[p.symbols]
+    turns = Runs()
+    turns.lengths, turns.starts = lengths, np.cumsum(lengths) - lengths
+    sent = np.cumsum(np.maximum(lengths - new, 0)) - np.maximum(lengths - new, 0)
+    values = np.zeros(int(lengths.sum()), np.uint8)
+    active, depth = np.arange(len(lengths)), 0
+    while len(active):
+        is_new = new[active] <= depth
+        source = active[np.maximum.accumulate(np.where(is_new, np.arange(len(active)), 0))]
+        values[turns.starts[active] + depth] = nodes[sent[source] + depth - new[source]]
+        depth += 1
+        active = active[lengths[active] > depth]
+    taken = code.bits[_paths(code.starts[p.symbols], lengths)] == 1
+    turns.values = np.where(taken, values, OTHER_WAY[values])
+    return turns
+
+
 # ---- mixing
 
 
@@ -368,8 +412,7 @@ def _own_match(code: Code, s: Stream) -> tuple[np.ndarray, np.ndarray]:
     same = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
     shared = np.full(n, -1, np.int8)
     now, before = s.symbols[order[same]], s.symbols[order[same - 1]]
-    differ = code.word[now] ^ code.word[before]
-    shared[order[same]] = np.where(now == before, code.lengths[now], 63 - np.log2(np.maximum(differ, 1).astype(np.float64)).astype(np.int64))
+    shared[order[same]] = np.where(now == before, code.lengths[now], shared_turns(code, now, before))
     right = np.zeros(n, bool)
     right[order[same]] = now == before
     miss = np.where(right, -1, np.arange(n))
@@ -381,12 +424,6 @@ def _own_match(code: Code, s: Stream) -> tuple[np.ndarray, np.ndarray]:
     return shared, np.minimum(run, RUNS - 1).astype(np.int8)
 
 
-def _paths(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for all runs of these lengths."""
-    upto = np.cumsum(lengths)
-    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + lengths, lengths)
-
-
 def pair_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
     """Log odds of each turn of each pair's path, backed off to the shorter context of the same place."""
     n = len(s.symbols)
@@ -482,11 +519,14 @@ def _mixed_tile(code: Code, s: Stream, odds, short, long, shared, run, docs: np.
 
 
 def _packed(data: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(data).tobytes())
+    """Compressed byte plane by byte plane, as the leading bytes of small or sorted numbers are alike."""
+    planes = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _word_counts(parts: int):
@@ -504,7 +544,7 @@ def _word_counts(parts: int):
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(parts + 1))
-            return rows([(p, keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for p, a, b in zip(range(parts), cut[:-1], cut[1:]) if a < b])
+            return rows([(p, _packed(_steps(keys[a:b])), _packed(counts[a:b].astype(np.int64))) for p, a, b in zip(range(parts), cut[:-1], cut[1:]) if a < b])
 
         for batch in batches:
             for block in blocks(batch):
@@ -514,14 +554,14 @@ def _word_counts(parts: int):
                 size += len(starts)
                 totals[:256] += np.bincount(LOWER[data], minlength=256)
                 totals[256] += block.num_rows
-                if size >= 1 << 20:
+                if size >= 1 << 21:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
         if totals[256]:
             totals[[9, 10, 11, 12, 13, 32]] = 0  # between words
-            yield rows([(0, b"", totals.tobytes())])
+            yield rows([(0, b"", _packed(totals))])
 
     return run
 
@@ -539,10 +579,10 @@ def _merged_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for k, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if k:
-                more.append((np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)))
+                more.append((_summed(k, np.uint64), _unpacked(n, np.int64)))
                 size += len(more[-1][0])
             else:
-                totals += np.frombuffer(n, np.int64)
+                totals += _unpacked(n, np.int64)
         if size > max(1 << 20, len(keys)):
             keys, counts = merged()
             more, size = [], 0
@@ -577,12 +617,12 @@ def train(docs: DataFrame, training: Column) -> Code:
 
 
 def _parts(spark: SparkSession) -> int:
-    """Ranges of hashes, a power of two: twice the shuffle partitions or more."""
-    return 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """Ranges of hashes, a power of two: four times the shuffle partitions or more."""
+    return 1 << max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, ids, training, offsets, texts): consecutive texts of about BLOCK_BYTES, or one longer text."""
+    """Rows of (bundle, block, ids, training, offsets, texts): consecutive texts of about BLOCK_BYTES, or one longer text."""
     from pyspark import TaskContext
 
     block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -593,7 +633,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = table.column(0).combine_chunks()
         listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         training = np.array(table.column(2).to_pylist(), np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), listed, *(pa.array([_packed(x)], pa.binary()) for x in (training, offsets, data))], ["block", "ids", "training", "offsets", "texts"])
+        bundle = block // BUNDLE
+        return pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), listed, *(pa.array([_packed(x)], pa.binary()) for x in (training, offsets, data))], ["bundle", "block", "ids", "training", "offsets", "texts"])
 
     for batch in batches:
         for part in blocks(batch, "text", BLOCK_BYTES // 8):
@@ -613,13 +654,21 @@ def _stream_of(code: Code, row) -> tuple[Stream, np.ndarray, np.ndarray]:
     return stream(code, _unpacked(row["texts"].as_py(), np.uint8), offsets), _unpacked(row["training"].as_py(), np.uint8), offsets
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _summed(data: bytes, kind) -> np.ndarray:
+    return np.cumsum(_unpacked(data, kind), dtype=kind)
+
+
 def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each range of ascending hashes begins (total last)."""
     return np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(64 - parts.bit_length() + 1)), len(keys))
 
 
 def _requests(shared, parts: int):
-    names = ["part", "block", "contexts", "runs", "symbols", "counts", "words", "word_counts"]
+    names = ["part", "bundle", "block", "contexts", "runs", "symbols", "counts", "words", "word_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
@@ -641,9 +690,10 @@ def _requests(shared, parts: int):
                         contexts = p.contexts[a:b]
                         first = np.flatnonzero(np.concatenate([np.ones(min(1, b - a), bool), contexts[1:] != contexts[:-1]]))
                         runs = np.diff(np.append(first, b - a)).astype(np.uint32)
-                        out.append((i, row["block"].as_py(), *map(_packed, (contexts[first], runs, p.symbols[a:b], counts[a:b], words[c:d], word_counts[c:d]))))
+                        columns = (_steps(contexts[first]), runs, _steps(code.leaf[p.symbols[a:b]].astype(np.int32)), counts[a:b], _steps(words[c:d]), word_counts[c:d])
+                        out.append((i, row["bundle"].as_py(), row["block"].as_py(), *map(_packed, columns)))
                 if out:
-                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
@@ -654,42 +704,47 @@ def _answered(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
+        of_leaf = np.argsort(code.leaf).astype(np.int32)
         where, contexts, symbols, counts, words, word_counts = [], [], [], [], [], []
         for batch in batches:
-            for part, block, c, r, s, n, w, m in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                contexts.append(np.repeat(_unpacked(c, np.uint64), _unpacked(r, np.uint32)))
-                symbols.append(_unpacked(s, np.int32))
+            for *place, c, r, s, n, w, m in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                contexts.append(np.repeat(_summed(c, np.uint64), _unpacked(r, np.uint32)))
+                symbols.append(of_leaf[_summed(s, np.int32)])
                 counts.append(_unpacked(n, np.uint32))
-                words.append(_unpacked(w, np.uint64))
+                words.append(_summed(w, np.uint64))
                 word_counts.append(_unpacked(m, np.uint32))
-                where.append((part, block))
+                where.append(place)
         if not where:
             return
         runs, of = answers(code, *map(np.concatenate, (contexts, symbols, counts)))
         place, word_of = _dense(np.concatenate(words))
         total = np.bincount(word_of, weights=np.concatenate(word_counts), minlength=len(place)).astype(np.int64)
         a = c = 0
-        for (part, block), x, y in zip(where, symbols, words):
-            turns, _ = runs.take(of[a : a + len(x)])
+        for (part, bundle, block), k, x, y in zip(where, contexts, symbols, words):
+            new, pair = first_new(code, k, x), of[a : a + len(x)]
+            turns = runs.values[_paths(runs.starts[pair] + new, np.maximum(runs.lengths[pair] - new, 0))]
             own = total[word_of[c : c + len(y)]]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(turns)], pa.binary()), pa.array([_packed(own)], pa.binary())], ["block", "part", "turns", "word_counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(turns)], pa.binary()), pa.array([_packed(own)], pa.binary())], ["bundle", "block", "part", "turns", "word_counts"])
             a, c = a + len(x), c + len(y)
 
     return run
 
 
 def _scored(shared, id_type: pa.DataType):
-    def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
+
+    def run(bundle: pa.Table, answered: pa.Table) -> pa.Table:
+        own = answered.column("block").to_numpy()
+        rows = [{c: bundle.column(c)[i] for c in bundle.column_names} for i in range(bundle.num_rows)]
+        return pa.concat_tables([block(row, answered.filter(pa.array(own == row["block"].as_py()))) for row in rows])
+
+    def block(row: dict, answered: pa.Table) -> pa.Table:
         code = shared.value
-        row = {c: block.column(c)[0] for c in block.column_names}
         s, _, offsets = _stream_of(code, row)
         p = pairs(code, s)
         order = np.argsort(answered.column("part").to_numpy())
         joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(_unpacked(answered.column(c)[int(i)].as_py(), kind) for i in order)])
-        turns = Runs()
-        turns.values, turns.lengths = joined("turns", np.uint8), code.lengths[p.symbols]
-        turns.starts = np.cumsum(turns.lengths) - turns.lengths
-        ln = mixed(code, s, p, turns)
+        ln = mixed(code, s, p, restored(code, p, joined("turns", np.uint8)))
         floor = math.log10(code.tokens + 0.1 * (code.distinct + 1)) if code.tokens else math.log10(0.1)
         count = np.zeros(len(s.words), np.int64)
         count[s.known >= 0] = code.counts[s.known[s.known >= 0]]
@@ -699,7 +754,7 @@ def _scored(shared, id_type: pa.DataType):
         known = np.bincount(doc, weights=count > 0, minlength=len(s.n_words)).astype(np.int64) + (code.documents > 0)
         bits = -ln / math.log(2) / np.maximum(np.diff(offsets), 1)
         ids = pa.array(row["ids"].values, id_type)
-        return pa.table([ids, pa.array(s.n_words + 1), pa.array(known), pa.array(base), pa.array(ln / math.log(10)), pa.array(bits)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        return pa.table([ids, pa.array(s.n_words + 1), pa.array(known), pa.array(base), pa.array(ln / math.log(10)), pa.array(bits)], names=names)
 
     return run
 
@@ -720,13 +775,17 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     parts = _parts(spark)
     id_field = docs.select("doc_id").schema[0].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), training.alias("training"))
-    packed, _ = write_shared(rows.mapInArrow(_blocks, f"block long, ids array<{id_field}>, training binary, offsets binary, texts binary"), "lm-blocks")
-    asked = packed.mapInArrow(_requests(code, parts), "part int, block long, contexts binary, runs binary, symbols binary, counts binary, words binary, word_counts binary")
-    answered = asked.repartitionById(parts, "part").mapInArrow(_answered(code), "block long, part int, turns binary, word_counts binary")
+    packed = rows.mapInArrow(_blocks, f"bundle long, block long, ids array<{id_field}>, training binary, offsets binary, texts binary")
+    # Bucketed, so that texts are not shuffled when their answers come back to them.
+    table, buckets = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.write.format("parquet").bucketBy(buckets, "bundle").option("path", new_path(spark, "lm-blocks")).saveAsTable(table)
+    packed = spark.table(table)
+    asked = packed.mapInArrow(_requests(code, parts), "part int, bundle long, block long, contexts binary, runs binary, symbols binary, counts binary, words binary, word_counts binary")
+    answered = asked.repartitionById(parts, "part").mapInArrow(_answered(code), "bundle long, block long, part int, turns binary, word_counts binary")
     from pyspark.sql.pandas.types import to_arrow_type
 
     run = _scored(code, to_arrow_type(docs.schema["doc_id"].dataType))
-    scored = packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"doc_id {id_field}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    scored = packed.groupBy("bundle").cogroup(answered.groupBy("bundle")).applyInArrow(run, f"doc_id {id_field}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.withColumn("train_tokens", F.lit(code.value.tokens).cast("long"))
 
 
