@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from graphloom.llm.memo import Codes, Runs, grouped
-from graphloom.llm.textarrays import blocks, bounded_batches, ragged, text_bytes
+from graphloom.llm.textarrays import blocks, bounded_batches, free_name, ragged, text_bytes
 
 #: Words that a worker keeps with their ids; beyond it the memory starts anew.
 MEMO_WORDS = 300_000
@@ -152,12 +152,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     table = spark.sparkContext.broadcast(_token_bytes(ranks)[1])
     extra = ["ids", "starts", "ends"] if offsets else ["ids"]
     keep = [c for c in docs.columns if c not in {text, *extra}]
+    own = free_name("text", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(description.value, pattern)
         for batch in batches:
-            for block in blocks(batch, "__text"):
-                column = block.column(block.schema.get_field_index("__text"))
+            for block in blocks(batch, own):
+                column = block.column(block.schema.get_field_index(own))
                 ids, bounds = encoder.encode([t or "" for t in column.to_pylist()])
                 out = [block.column(block.schema.get_field_index(c)) for c in keep] + [ragged(ids, bounds)]
                 if offsets:
@@ -174,7 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     schema = docs.select(*keep).schema
     for c in extra:
         schema = schema.add(c, ArrayType(IntegerType()))
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias(own)).mapInArrow(run, schema)
 
 
 def joined_bytes(ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +212,9 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     """Per document the number of ids, and digests of the ids and of the bytes that decoding them gives.
 
     Encodes, decodes and digests in one worker, so that neither ids nor bytes travel and an executor
-    runs one worker for each core.
+    runs one worker for each core. Null texts are empty: no ids, and the digests of nothing. Rows that
+    repeat, and null ids, are rows like others; columns besides doc_id and text are ignored; an empty
+    table gives an empty result. A very long text is held whole by one task, in some hundred times its bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.ordered import ranged
 from graphloom.llm.textarrays import blocks, bounded_batches, mix, shingles
+from graphloom.sources.shared_storage import write_shared
 
 #: Words of a shingle, bins (a power of two) and stored bits per bin (1, 2, 4 or 8).
 WORDS, BINS, BITS = 5, 512, 4
@@ -99,44 +99,65 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, bi
     return docs.withColumn(name, fingerprint(F.col(text).cast("string")))
 
 
-def _edited(words: int, bins: int, bits: int):
-    def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
-        """Results of all rows but the last, which is only the next document of the one before it."""
-        column = pa.array(texts, pa.large_string())
-        low, known = fingerprints(column, words, bins, bits)
-        changed = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:])]
-        low_e, known_e = fingerprints(pa.array(changed, pa.large_string()), words, bins, bits)
-        a, ok = low[:-1], known[:-1]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[:-1], pa.int64()),
-                pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-                pa.array(as_strings(a, ok, bits), pa.string()),
-                pa.array(as_strings(low_e, known_e, bits), pa.string()),
-                pa.array(likeness(a, ok, low_e, known_e, bits)),
-                pa.array(likeness(a, ok, low[1:], known[1:], bits)),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+RESULT = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a row of the first pass is: a result, the text that a range begins with, or that it ends with.
+DONE, HEAD, TAIL = 0, 1, 2
+
+
+def _edited(texts: list[str], words: int, bins: int, bits: int) -> list[pa.Array]:
+    """Columns of the results of all texts but the last, each edited with the one behind it."""
+    low, known = fingerprints(pa.array(texts, pa.large_string()), words, bins, bits)
+    changed = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:])]
+    low_e, known_e = fingerprints(pa.array(changed, pa.large_string()), words, bins, bits)
+    a, ok = low[:-1], known[:-1]
+    return [
+        pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+        pa.array(as_strings(a, ok, bits), pa.string()),
+        pa.array(as_strings(low_e, known_e, bits), pa.string()),
+        pa.array(likeness(a, ok, low_e, known_e, bits)),
+        pa.array(likeness(a, ok, low[1:], known[1:], bits)),
+    ]
+
+
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def _edited_ranges(words: int, bins: int, bits: int):
+    """Results of a range's rows in order; its last row, and a copy of its first, are left for ``_edited_ends``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, ended = [], [], False
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), None
+
+        def end(kind: int, row: pa.RecordBatch) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([row.column(0), *(pa.nulls(1, k) for k in kinds), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), row.column(1).cast(pa.string())], [*NAMES, "kind", "part", "text"])
+
         for batch in batches:
-            if ended:
-                continue
             for block in blocks(batch):
-                for doc_id, text, peek in zip(*(block.column(i).to_pylist() for i in range(3))):
-                    ids.append(doc_id)
-                    texts.append(text or "")
-                    if peek:
-                        ended = True
-                        break
-                if len(ids) > 1:
-                    yield rows(ids, texts)
-                    ids, texts = ids[-1:], texts[-1:]
-                if ended:
-                    break
+                if held is None:
+                    yield end(HEAD, block.slice(0, 1))
+                else:
+                    block = pa.Table.from_batches([held, block]).combine_chunks().to_batches()[0]
+                n = block.num_rows - 1
+                if n:
+                    done = _edited([t or "" for t in block.column(1).to_pylist()], words, bins, bits)
+                    yield pa.RecordBatch.from_arrays([block.column(0).slice(0, n), *done, pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.string())], [*NAMES, "kind", "part", "text"])
+                held = block.slice(n, 1)
+        if held is not None:
+            yield end(TAIL, held)
+
+    return run
+
+
+def _edited_ends(words: int, bins: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                done = _edited([batch.column(1)[i].as_py() or "", batch.column(2)[i].as_py() or ""], words, bins, bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *done], NAMES)
 
     return run
 
@@ -144,23 +165,28 @@ def _edited(words: int, bins: int, bits: int):
 def edit_fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, whose second half comes from the next document.
 
-    The next document is that with the next smaller doc_id; after the last comes the first again. Null
-    ids come last; equal ids are ordered by text. Null texts count as empty. Texts are shuffled once, by
-    ranges of doc_id; a range gets a copy of the document that follows its last. An empty table gives an
-    empty result.
+    The next document is that with the next smaller doc_id; after the last comes the first again. Null ids
+    come last; equal ids are ordered by a hash of their texts, equal rows anyhow. Null texts count as empty;
+    other columns are ignored; an empty table gives an empty result. Texts are shuffled once, by ranges of
+    id, hash and row, so that an id with many rows spreads over tasks; the two texts at the border of two
+    ranges meet afterwards. A very long text is held whole by one task, in some forty times its bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows, parts = ranged(docs.select("doc_id", "text"))
-    heads = rows.groupBy("_range").agg(F.max("doc_id").alias("head")).orderBy("_range").collect()  # a row per range
-    if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    follow = [(heads[i - 1]["head"], heads[i]["_range"]) for i in range(len(heads))]  # of the lowest range: the highest
-    follow = spark.createDataFrame(follow, "head long, _range int")
-    peeks = docs.select("doc_id", "text").join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.lit(True).alias("peek"), "_range")
-    dealt = rows.select("doc_id", "text", F.lit(False).alias("peek"), "_range").unionAll(peeks).repartitionById(parts, "_range")
-    ordered = dealt.sortWithinPartitions("peek", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "peek")
-    return ordered.mapInArrow(_edited(words, bins, bits), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t"), F.col("row")]
+    text = F.col("text").cast("string")
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    result = RESULT.format(docs.schema["doc_id"].dataType.simpleString())
+    found = ordered.mapInArrow(_edited_ranges(words, bins, bits), result + ", kind int, part int, text string")
+    found, _ = write_shared(found, "edited", compression="zstd")
+    used = [r["part"] for r in found.where(F.col("kind") == HEAD).select("part").orderBy("part").collect()]  # a row per range
+    following = spark.createDataFrame(list(zip(used, used[1:] + used[:1])), "part int, next int")
+    tails = found.where(F.col("kind") == TAIL).select("doc_id", "text", "part").join(F.broadcast(following), "part")
+    heads = found.where(F.col("kind") == HEAD).select(F.col("text").alias("after"), F.col("part").alias("next"))
+    ends = tails.join(heads, "next").select("doc_id", "text", "after").mapInArrow(_edited_ends(words, bins, bits), result)
+    return found.where(F.col("kind") == DONE).select(*NAMES).unionAll(ends)
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

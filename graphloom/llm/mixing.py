@@ -9,16 +9,16 @@ source's size takes whole epochs first.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.textarrays import free_name
+from graphloom.operators.statistics import ranked
 from graphloom.sources.shared_storage import write_shared
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-#: Rows aimed at in a range of keys, over all sources.
-RANGE_ROWS = 2048
+#: Rows aimed at in a range of a source's keys.
+RANGE_ROWS = 512
 #: Most sources for which the table of sources is broadcast.
 MAX_BROADCAST_SOURCES = 1 << 18
 
@@ -35,27 +35,31 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """A row per source of ``sized`` (source, size): its number in code-point order (null last), size and target.
 
     All targets add up to ``share`` of all sizes; a target stops at ``cap`` times its source's size and
-    the others share the excess by weight: targets are weight * level, for the one level that fits.
+    the others share the excess by weight: targets are weight * level, for the one level that fits. The
+    level rises round by round: what the sources below it cannot take is shared by those above, until no
+    further source falls below. Sources are numbered by ranges, so there may be any number of them.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row per source
+    number = F.col("rank") - 1
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (number % len(weights) + 1).cast("int"))
-    s = sources.withColumn("source_no", number).withColumn("weight", weight)
-    s = s.withColumn("limit", F.col("source_size") * cap).withColumn("ratio", F.col("limit").cast("double") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", "source_no")
-    capped = F.coalesce(F.sum("limit").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
-    s = s.withColumn("level", (F.lit(float(share)) * total - capped) / left)
-    level = F.max_by(F.col("level"), F.when(F.col("ratio") >= F.col("level"), -F.col("ratio"))).over(Window.partitionBy(F.lit(1)))
-    target = F.least(F.col("weight") * level, F.col("limit").cast("double"))
+    s = ranked(sources, F.col("source").asc_nulls_last()).withColumn("source_no", number.cast("int")).withColumn("weight", weight)
+    s = s.withColumn("limit", F.col("source_size") * cap).withColumn("ratio", F.col("limit").cast("double") / F.col("weight")).drop("rank")
+    s, _ = write_shared(s, "source-sizes")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, None
+    while True:
+        full = F.col("ratio") < F.lit(level)
+        r = s.agg(F.sum(F.when(full, F.col("limit"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("left"), F.count(F.when(full, 1)).alias("n")).first()
+        if r["n"] == before or not r["left"]:
+            break
+        before, level = r["n"], (share * total - (r["taken"] or 0)) / r["left"]
+    target = F.least(F.col("weight") * F.lit(level), F.col("limit").cast("double"))
     return s.select("source", "source_no", "source_size", "rows", target.alias("target"))
 
 
-def _sources(sized: DataFrame) -> tuple[DataFrame, int]:
+def _sources(sized: DataFrame) -> DataFrame:
     table, _ = write_shared(source_targets(sized), "sources")
-    n, rows = table.agg(F.count("*"), F.sum("rows")).first()
-    return (F.broadcast(table) if n <= MAX_BROADCAST_SOURCES else table), rows or 0
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_SOURCES else table
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -64,14 +68,13 @@ def mix(docs: DataFrame) -> DataFrame:
     size counts words of the whole text (null: 0); taken counts the words that the mix takes, up to
     twice the size. A source's taken words add up to the whole part of its target. Null ids share one
     key, equal ids too; within a key rows are ordered by size. Other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result. Texts are only counted, so a very long one costs no more than reading it.
     """
     sized, _ = write_shared(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    sources, rows = _sources(sized)
-    bits = min(24, max(0, math.ceil(math.log2(max(rows, 1) / RANGE_ROWS)))) if rows else 0
-    keyed = sized.withColumn("mix_key", _key())
-    keyed = keyed.withColumn("range", F.shiftrightunsigned(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long"), 32 - bits))
-    keyed = keyed.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "mix_key", "range", "source_no", "source_size", "target")
+    bits = F.least(F.lit(30), F.ceil(F.log2(F.greatest(F.col("rows") / RANGE_ROWS, F.lit(1.0))))).cast("int")
+    sources = _sources(sized).withColumn("bits", bits).drop("rows")
+    keyed = sized.withColumn("mix_key", _key()).alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    keyed = keyed.select("doc_id", "d.source", "size", "mix_key", "source_no", "source_size", "target", F.expr("shiftrightunsigned(cast(conv(substring(mix_key, 1, 8), 16, 10) as long), 32 - bits)").alias("range"))
     spread = keyed.groupBy("source_no", "range").agg(F.sum("size").alias("range_size"))
     start = F.sum("range_size").over(Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = spread.select("source_no", "range", F.coalesce(start, F.lit(0)).alias("start"))
@@ -88,18 +91,21 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each document as often as the mix takes part of it: once per epoch, not at all if never.
 
     The document that a source's budget ends in stays whole. Since a source is taken in key order, its
-    last key taken tells which rows belong to the last epoch, so texts are not shuffled.
+    last key taken tells which rows belong to the last epoch, so texts are not shuffled. All columns stay,
+    whatever their names; rows without words stay as often as rows beside them in key order; nulls,
+    repeats and empty tables are as in ``mix``.
     """
     taken = mix(docs)
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     cuts = taken.groupBy("source").agg(F.first(whole).alias("epochs"), F.max(F.when(F.col("taken") > whole * F.col("size"), F.col("mix_key"))).alias("last_key"))
     cuts, _ = write_shared(cuts, "cuts")
-    if cuts.count() <= MAX_BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
-    times = F.col("epochs") + F.coalesce((_key() <= F.col("last_key")).cast("int"), F.lit(0))
-    own = [F.col(f"d.{c}") for c in docs.columns]
-    repeated = docs.alias("d").join(cuts.alias("c"), F.col("d.source").cast("string").eqNullSafe(F.col("c.source"))).select(*own, times.cast("int").alias("_times"))
-    return repeated.where("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    few = cuts.count() <= MAX_BROADCAST_SOURCES
+    name = {c: free_name(c, docs.columns) for c in ("mix_source", "epochs", "last_key", "times")}
+    cuts = cuts.select(F.col("source").alias(name["mix_source"]), F.col("epochs").alias(name["epochs"]), F.col("last_key").alias(name["last_key"]))
+    met = docs.join(F.broadcast(cuts) if few else cuts, F.col("source").cast("string").eqNullSafe(F.col(name["mix_source"])))
+    times = F.col(name["epochs"]) + F.coalesce((_key() <= F.col(name["last_key"])).cast("int"), F.lit(0))
+    each = F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(name["times"])
+    return met.where(times > 0).select(*(F.col(f"`{c}`") for c in docs.columns), each).drop(name["times"])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

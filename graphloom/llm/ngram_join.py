@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.textarrays import blocks, bounded_batches, distinct_sorted, ragged, shingles
+from graphloom.llm.textarrays import blocks, bounded_batches, distinct_sorted, free_name, ragged, shingles
 from graphloom.operators.components import connected_components
 from graphloom.sources.shared_storage import drop_shared, write_shared
 
@@ -460,15 +460,13 @@ def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     texts link with nothing and stay, whatever their doc_id; rows that repeat a doc_id with texts that do
     not link all stay.
     """
-    row = "_row"
-    while row in docs.columns:
-        row = f"_{row}"
+    row, gone_row = free_name("row", docs.columns), free_name("gone_row", docs.columns)
     rows, _ = write_shared(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = jaccard_components(rows.select(key.alias("doc_id"), "text"), k, num, den)
-    gone, _ = write_shared(found.where("component_id.row <> doc_id.row").select(F.col("doc_id.row").alias("gone_row")), "gone")
+    gone, _ = write_shared(found.where("component_id.row <> doc_id.row").select(F.col("doc_id.row").alias(gone_row)), "gone")
     few = gone.count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, rows[row] == gone["gone_row"], "left_anti").drop(row)
+    return rows.join(F.broadcast(gone) if few else gone, rows[row] == gone[gone_row], "left_anti").drop(row)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

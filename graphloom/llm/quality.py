@@ -5,8 +5,9 @@ Learned filters of ``WIDTH`` bytes slide over each chunk and are max-pooled; the
 for each filter, the mean and the largest of its chunks' rectified maxima, and a logistic layer turns it
 into one probability. The network sees nothing but the text.
 
-It is fitted on a bounded sample of labelled documents: ``TRAIN_DOCS`` at most (those with the smallest
-hashes of doc_id), ``TRAIN_CHUNKS`` evenly spread chunks of each. Scores always use whole texts.
+It is fitted on a bounded sample of labelled rows, in the order of a hash of doc_id: ``TRAIN_DOCS`` at most,
+and of these as many as have ``TRAIN_BYTES`` of text together. Training sees whole texts through the same
+chunks as scoring.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql.functions import pandas_udf
 from graphloom.llm.textarrays import blocks, bounded_batches, text_bytes
 
 STEP, WIDTH, FILTERS = 128, 4, 16
-#: Bounds of the training sample.
-TRAIN_DOCS, TRAIN_CHUNKS = 5000, 12
+#: Bounds of the training sample: labelled rows, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 5000, 32 << 20
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Positions handled at once while scoring.
 TILE = 1 << 15
@@ -87,8 +88,27 @@ def document_vectors(net: Network, data: np.ndarray, offsets: np.ndarray) -> tup
     return mean, most
 
 
-def fit(chunks: list[np.ndarray], labels: np.ndarray) -> Network:
-    """Trains on documents given as arrays of chunks (chunks x bytes), by Adam with a fixed seed."""
+def _step_maxima(filters: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest value of each filter in each step of STEP bytes and where it is, and each text's first step."""
+    starts, first = _steps(offsets)
+    end = np.repeat(offsets[1:], np.diff(first))
+    best, at = np.zeros((len(starts), FILTERS), np.float32), np.zeros((len(starts), FILTERS), np.int64)
+    padded = np.concatenate([data, np.zeros(STEP + WIDTH, np.uint8)])
+    for lo in range(0, len(starts), TILE // STEP):
+        own = starts[lo : lo + TILE // STEP]
+        place = own[:, None] + np.arange(STEP)
+        value = filters[0][padded[place]]
+        for w in range(1, WIDTH):
+            value += filters[w][padded[place + w]]
+        value[place > end[lo : lo + len(own), None] - WIDTH] = -1e9  # would reach behind the text
+        top = value.argmax(axis=1)
+        best[lo : lo + len(own)] = np.take_along_axis(value, top[:, None, :], 1)[:, 0]
+        at[lo : lo + len(own)] = own[:, None] + top
+    return best, at, first
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray) -> Network:
+    """Trains on whole texts (arrays of bytes), by Adam with a fixed seed."""
     rng = np.random.default_rng(SEED)
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, (2, FILTERS)), 0.0)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("filters", net.filters), ("bias", net.bias), ("weights", net.weights), ("offset", np.zeros(())))}
@@ -101,20 +121,22 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray) -> Network:
         change = RATE * (m / (1 - 0.9**rounds)) / (np.sqrt(v / (1 - 0.999**rounds)) + 1e-8)
         setattr(net, name, getattr(net, name) - change.astype(getattr(net, name).dtype if name != "offset" else np.float64))
 
-    for _ in range(EPOCHS if len(labels) else 0):
-        order = rng.permutation(len(labels))
+    usable = np.array([i for i, t in enumerate(texts) if len(t)], dtype=np.int64)
+    for _ in range(EPOCHS if len(usable) else 0):
+        order = usable[rng.permutation(len(usable))]
         for lo in range(0, len(order), BATCH):
             picked = order[lo : lo + BATCH]
-            sizes = np.array([len(chunks[i]) for i in picked])
-            x = np.concatenate([chunks[i] for i in picked])
-            first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            reach = x.shape[1] - WIDTH + 1
-            score = net.filters[0][x[:, :reach]]
-            for w in range(1, WIDTH):
-                score += net.filters[w][x[:, w : w + reach]]
-            at = score.argmax(axis=1)
-            rows = np.arange(len(x))[:, None]
-            top = score[rows, at, np.arange(FILTERS)[None, :]] + net.bias
+            data = np.concatenate([texts[i] for i in picked])
+            best, at, first = _step_maxima(net.filters, data, np.concatenate([[0], np.cumsum([len(texts[i]) for i in picked])]))
+            sizes, first, last = np.diff(first), first[:-1], first[1:] - 1
+            follows = np.ones(len(best), bool)
+            follows[last] = False
+            after = np.flatnonzero(follows)  # a chunk is a step and the next one of its text
+            later = best[after + 1] > best[after]
+            top, where = best.copy(), at.copy()
+            top[after] = np.where(later, best[after + 1], best[after])
+            where[after] = np.where(later, at[after + 1], at[after])
+            top += net.bias
             hidden = np.maximum(top, 0)
             mean = np.add.reduceat(hidden, first, axis=0) / sizes[:, None]
             most = np.maximum.reduceat(hidden, first, axis=0)
@@ -123,8 +145,9 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray) -> Network:
             back = (error / sizes)[owner, None] * net.weights[0] + (hidden == most[owner]) * error[owner, None] * net.weights[1]
             back = np.where(top > 0, back, 0)
             gradient = np.zeros_like(net.filters)
+            padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
             for w in range(WIDTH):
-                np.add.at(gradient[w], (x[rows, at + w], np.broadcast_to(np.arange(FILTERS), at.shape)), back)
+                np.add.at(gradient[w], (padded[where + w], np.broadcast_to(np.arange(FILTERS), where.shape)), back)
             rounds += 1
             update("filters", gradient)
             update("bias", back.sum(axis=0))
@@ -133,37 +156,29 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray) -> Network:
     return net
 
 
-def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        data, offsets = text_bytes(batch.column(2))
-        for lo, hi in zip(offsets[:-1], offsets[1:]):
-            starts = np.arange(0, max(hi - lo, 1), STEP)
-            if len(starts) > TRAIN_CHUNKS:
-                starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
-            rows = np.zeros((len(starts), 2 * STEP), np.uint8)
-            for row, s in zip(rows, starts):
-                part = data[lo + s : min(lo + s + 2 * STEP, hi)]
-                row[:] = np.resize(part, 2 * STEP) if len(part) >= WIDTH else 0
-            out.append(rows.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["h", "label", "chunks"])
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Network:
     """Fits the network to ``labels`` (doc_id, quality) of ``docs`` (doc_id, text); ``usable`` limits labels.
 
-    Null labels are left out; a document with several labels counts with their rounded mean. Without
-    labels the network gives one half for every text.
+    Null labels are left out; a document with several labels counts with their rounded mean, one that is
+    repeated with the same text once. Rows that do not fit into TRAIN_BYTES any more are not in the sample.
+    Without labels, or where no labelled text has bytes, the network gives one half for every text.
     """
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if usable is None else rows.where(usable)
     picked = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     picked = picked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TRAIN_DOCS)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = texts.select("h", "label", "text").mapInArrow(_training_chunks, "h long, label int, chunks binary").toArrow()
-    found = sorted(zip(*(sample.column(i).to_pylist() for i in range(3))))
-    chunks = [np.frombuffer(c, np.uint8).reshape(-1, 2 * STEP) for _, _, c in found]
-    net = fit(chunks, np.array([y for _, y, _ in found], dtype=np.float64))
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+    keyed = texts.select("h", F.xxhash64("text").alias("t"), "label", F.octet_length("text").alias("n"), "text")
+    sizes = keyed.where("n > 0").groupBy("h", "t").agg(F.max("n").alias("n")).orderBy("h", "t").limit(TRAIN_DOCS).collect()  # TRAIN_DOCS rows
+    chosen, left = [], TRAIN_BYTES
+    for r in sizes:
+        if r["n"] <= left:
+            chosen.append((r["h"], r["t"]))
+            left -= r["n"]
+    keys = docs.sparkSession.createDataFrame(chosen, "h long, t long")
+    sample = keyed.join(F.broadcast(keys), ["h", "t"]).dropDuplicates(["h", "t"]).select("h", "t", "label", "text").toArrow()  # TRAIN_BYTES at most
+    found = sorted(zip(*(sample.column(i).to_pylist() for i in range(4))))
+    net = fit([np.frombuffer(x, np.uint8) for *_, x in found], np.array([y for _, _, y, _ in found], dtype=np.float64))
     if not found:
         net.weights[:] = 0
     return net
@@ -172,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> N
 def score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality of each whole text (null and empty texts too).
 
-    Rows, other columns and repeated rows stay; an existing column of that name is replaced.
+    Rows, other columns and repeated rows stay, equal texts have equal scores; an existing column of that
+    name is replaced. An empty table gives an empty result. A very long text is held whole by one task,
+    in some ten times its bytes at most.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)

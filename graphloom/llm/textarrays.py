@@ -48,6 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """A column name that none of these is, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def bounded_batches(spark) -> None:
     """Sets smaller Arrow batches for whole texts, unless the session sets a number of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,8 +7,12 @@ A file holds consecutive documents in ascending doc_id order:
 The index is four arrays of u64/i64 per document: doc_id, start of its frame, end of its frame, number of
 ids. A frame is the document's ids as little-endian u32, compressed with the shared dictionary, which
 lies beside the files. A reader opens a file, checks the dictionary's hash, and range-reads the frames
-it wants. Files are named by range of doc_id and renamed into place when complete, so a task that runs
-twice leaves one file.
+it wants. Files are renamed into place when complete, under names that no other attempt of a task uses; the
+table of files names those of the attempts that counted.
+
+The dictionary is trained on pieces of PIECE characters, spread evenly over all texts: those with the
+smallest hashes of document and place, SAMPLE_PIECES of them. Where there is too little to train on, the
+pieces' ids themselves are the dictionary.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.memo import Codes, Runs, grouped
-from graphloom.llm.ordered import ranged
 from graphloom.llm.textarrays import blocks, bounded_batches
 from graphloom.sources.shared_storage import new_path
 
@@ -36,8 +39,8 @@ MAGIC = b"GLTOKID1"
 HEAD = struct.Struct("<8sQQ")
 #: Words that a worker keeps with their ids.
 MEMO_WORDS = 400_000
-#: Documents and bytes that the dictionary is trained on at most, and its size.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 64 << 10
+#: Pieces of texts that the dictionary is trained on, characters of a piece, bytes of the dictionary at most.
+SAMPLE_PIECES, PIECE, DICTIONARY_BYTES = 4096, 2048, 64 << 10
 LEVEL = 1
 PROBES = ["a", "the", "tokens", "xyzzyqqj", "internationalization"]
 
@@ -48,11 +51,11 @@ class WordEncoder:
     Such a tokenizer treats what stands between ASCII spaces, tabs and line ends alike wherever it stands.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, description: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(description)
         self.model = self.tokenizer.model
         # Whether lower-case ASCII letters alone pass to the model as they are, so that the steps before it can be left out.
         self.plain = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
@@ -106,31 +109,32 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(description: str) -> WordEncoder:
+    return WordEncoder(description)
 
 
-def _encoded(block: pa.RecordBatch, column: str, path: str, end_id: int | None) -> list[np.ndarray]:
+def _encoded(block: pa.RecordBatch, column: str, description: str, end_id: int | None) -> list[np.ndarray]:
     texts = block.column(block.schema.get_field_index(column)).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pylist()
-    ids, n = _encoder(path).encode(texts)
+    ids, n = _encoder(description).encode(texts)
     runs = np.split(ids.astype("<u4"), np.cumsum(n)[:-1])
     return runs if end_id is None else [np.append(x, np.uint32(end_id)).astype("<u4") for x in runs]
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents (those with the smallest hashes of doc_id), or b''."""
+def train_dictionary(docs: DataFrame, description: str, end_id: int | None) -> bytes:
+    """A dictionary from pieces of the texts (doc_id, text); b'' only if no text has a character."""
     import zstandard
 
-    picked = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
-    chosen = docs.join(F.broadcast(picked), "doc_id").select("h", F.substring("text", 1, SAMPLE_BYTES // SAMPLE_DOCS).alias("text"))
-    rows = chosen.orderBy("h", "text").limit(SAMPLE_DOCS).select("text").toArrow()
-    if rows.num_rows < 8:
-        return b""
-    parts = [x.tobytes() for b in rows.to_batches() for x in _encoded(b, "text", path, end_id)]
+    place = F.explode(F.sequence(F.lit(0), F.call_function("div", F.length("text") - 1, F.lit(PIECE)).cast("int"))).alias("place")
+    pieces = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("t"), place)
+    picked = pieces.select("t", "place", F.xxhash64("doc_id", "t", "place").alias("h")).orderBy("h", "t", "place").limit(SAMPLE_PIECES).dropDuplicates(["t", "place"])
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(F.broadcast(picked), "t").dropDuplicates(["t", "place"])
+    rows = texts.select("h", F.substring(F.col("text"), F.col("place") * PIECE + 1, F.lit(PIECE)).alias("text")).orderBy("h", "text").select("text").toArrow()  # SAMPLE_PIECES rows of PIECE characters
+    parts = [x.tobytes() for b in rows.to_batches() for x in _encoded(b, "text", description, end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from
-        return b""
+    except (zstandard.ZstdError, ValueError):  # too little to learn from
+        whole = b"".join(parts)[-DICTIONARY_BYTES:]
+        return whole if len(whole) >= 8 else b""
 
 
 def dictionary_hash(dictionary: bytes) -> int:
@@ -208,37 +212,40 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     """Encodes whole texts and writes them under ``out``, one file per range of doc_id.
 
     Returns the table of files (file, path, documents, ids), itself stored under ``out``, and the
-    dictionary. Null texts are empty documents, rows that repeat a doc_id follow one another ordered by
-    text, null ids come first. The files' names ascend with doc_id.
+    dictionary. ``tokenizer_path`` is read by the driver. Null texts are empty documents, null ids come
+    first, rows that repeat a doc_id follow one another in an order by their text; a repeated id with many
+    rows spreads over files. Other columns are ignored; an empty table gives no file. A very long text is
+    held whole by one task, in some fifty times its bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        description = f.read()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    dictionary = train_dictionary(docs, tokenizer_path, end_id)
-    shared = spark.sparkContext.broadcast(dictionary)
-    rows, parts = ranged(docs)
-    ordered = rows.repartitionById(parts, "_range").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dictionary = train_dictionary(docs, description, end_id)
+    shared, tokenizer = spark.sparkContext.broadcast(dictionary), spark.sparkContext.broadcast(description)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("t"), F.col("row")]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {}
+        from pyspark import TaskContext
 
-        def documents():
-            for batch in batches:
+        def documents(first):
+            for batch in chain([first], batches):
                 for block in blocks(batch):
-                    if not state:
-                        state["file"] = block.column(2)[0].as_py()
-                        yield None
-                    for doc_id, ids in zip(block.column(0).fill_null(NULL_ID).to_pylist(), _encoded(block, "text", tokenizer_path, end_id)):
-                        yield doc_id, ids
-
-        rows = documents()
-        if next(rows, "none") == "none":
+                    yield from zip(block.column(0).fill_null(NULL_ID).to_pylist(), _encoded(block, "text", tokenizer.value, end_id))
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
-        path = f"{out}/ids-{state['file']:08d}.gltok"
-        n, ids = write_file(path, shared.value, rows)
-        yield pa.RecordBatch.from_arrays([pa.array([state["file"]], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "path", "documents", "ids"])
+        file = TaskContext.get().partitionId()  # ranges of doc_id ascend with their partitions
+        path = f"{out}/ids-{file:08d}-{uuid.uuid4().hex[:8]}.gltok"
+        n, ids = write_file(path, shared.value, documents(first))
+        yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "path", "documents", "ids"])
 
-    files = ordered.select("doc_id", "text", "_range").mapInArrow(run, "file int, path string, documents long, ids long")
+    files = ordered.select("doc_id", "text").mapInArrow(run, "file int, path string, documents long, ids long")
     files.write.parquet(f"{out}/_files")
     return spark.read.schema(files.schema).parquet(f"{out}/_files"), dictionary
 
@@ -281,11 +288,14 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Writes token files to the shared folder, reads them back and returns each document's place and digest."""
+    """Writes token files to the shared folder, reads them back and returns each document's place and digest.
+
+    (doc_id, start, n_tokens, ids_crc32) of every row; nulls, repeats and empty tables as in ``write_token_files``.
+    """
     spark = docs.sparkSession
     files, dictionary = write_token_files(docs, tokenizer_path, new_path(spark, "token-files"), end_id)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # a row per file, and no more files than ranges
+    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # a row per file, and no more files than shuffle partitions
     digests = read_token_files(files, dictionary).mapInArrow(_crc, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return digests.join(F.broadcast(starts), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -49,6 +49,65 @@ def test_edit_fingerprints(spark):
     assert one["near_next"] == 1
 
 
+def fingerprint_directly(text, words=5, bins=512, bits=4):
+    """One hash per shingle of words, a minimum per bin, and empty bins filled along the probe sequence, in plain loops."""
+    mask = 2**64 - 1
+
+    def mix(h):
+        for shift, factor in ((30, int(textarrays.MIX_1)), (27, int(textarrays.MIX_2))):
+            h = (h ^ (h >> shift)) * factor & mask
+        return h ^ (h >> 31)
+
+    word = lambda w: mix(sum((b + 1) * pow(int(textarrays.BASE), i, 1 << 64) for i, b in enumerate(w.encode())) & mask)
+    own = H.shingles(text, words)
+    if not own:
+        return None
+    minima = [None] * bins
+    for s in own:
+        h = mix(sum(word(w) * pow(textarrays.STEP, j, 1 << 64) for j, w in enumerate(s)) & mask)
+        b, rest = h >> 55, h & (2**55 - 1)
+        minima[b] = rest if minima[b] is None else min(minima[b], rest)
+    filled = list(minima)
+    for b in range(bins):
+        i = 0
+        while filled[b] is None:
+            filled[b] = minima[mix((b << 32) + i) % bins]
+            i += 1
+    return [x % 2**bits for x in filled]
+
+
+def test_fingerprints_against_direct_computation(spark):
+    texts = [t for t in H.awkward_texts() if t is None or len(t) < 5000] + [""]
+    docs = H.documents(spark, texts)
+    rows = sorted(((-1 if i is None else i, t or "") for i, t in docs.select("doc_id", "text").collect()), key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in minhash.edit_fingerprints(docs).where("doc_id IS NOT NULL").collect()}
+
+    def packed(x):
+        return "" if x is None else bytes(x[i] | x[i + 1] << 4 for i in range(0, len(x), 2)).hex()
+
+    def like(x, y):
+        if x is None or y is None:
+            return float(x is y)
+        return max(0.0, (sum(a == b for a, b in zip(x, y)) / len(x) - 1 / 16) / (15 / 16))
+
+    for k, (i, t) in enumerate(rows):
+        if i >= 0:
+            after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+            a, e, n = (fingerprint_directly(x) for x in (t, t[: len(t) - half] + after[:half], after))
+            r = got[i]
+            assert r["fingerprint"] == packed(a)
+            if i != 6:  # of its two rows one is edited with the other
+                assert r["edited_fingerprint"] == packed(e)
+                assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(a, e)), pytest.approx(like(a, n)))
+
+
+def test_many_rows_of_one_id(spark):
+    """They spread over ranges; every row is edited with its follower in one round."""
+    rows = [(None if i % 3 else i, f"w{i} " * 9) for i in range(500)] + [(None, "same words " * 5)] * 200
+    got = minhash.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == 700 and len({r["edited_sha256"] for r in got}) > 490
+
+
 def test_with_fingerprint_keeps_rows(spark):
     docs = H.documents(spark, H.awkward_texts())
     got = minhash.with_fingerprint(docs)

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import ball_tree, mixing, registry, warc
+from graphloom.llm import ball_tree, byte_bpe, mixing, quality, registry, warc
 from graphloom.sources.shared_storage import new_path, write_shared
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -229,6 +229,74 @@ def test_pipeline(spark):
     assert docs.count() > 0 and docs.where("n_tokens IS NULL").count() == 0
 
 
+def test_pipeline_rows_against_direct_computation(spark, tmp_path):
+    """Every stage by plain loops or DuckDB on awkward rows, with columns whose names clash."""
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(31)
+    good = [H.prose(rng, rng.randrange(10, 200)) for _ in range(60)]
+    bad = [" | ".join(w + "!!" for w in H.prose(rng, 60).upper().split()) for _ in range(30)]
+    texts = good + bad + [good[4], good[5] + " end", None, "", "é 日本 🤗 x"]
+    rows = [(i, t, f"s{i % 4}" if i % 7 else None, 1, "q", "t", 5) for i, t in enumerate(texts)] + [(None, good[7], "s1", 1, "q", "t", 5), (3, H.prose(rng, 50), "s1", 1, "q", "t", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, quality string, times string, epochs int")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60)) for i in range(90)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+
+    net = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = []
+    for row in rows:
+        data = np.frombuffer((row[1] or "").encode(), np.uint8)
+        values = [sum(net.filters[w][data[i + w]] for w in range(quality.WIDTH)) for i in range(len(data) - quality.WIDTH + 1)]
+        chunks = [np.maximum(np.max(values[i : i + 2 * quality.STEP], axis=0) + net.bias, 0) if values[i : i + 2 * quality.STEP] else np.zeros(quality.FILTERS) for i in range(0, len(data), quality.STEP)] or [np.zeros(quality.FILTERS)]
+        z = np.mean(chunks, axis=0) @ net.weights[0] + np.max(chunks, axis=0) @ net.weights[1] + net.offset
+        if 1 / (1 + np.exp(-z)) >= corpus_pipeline.REJECT_BELOW:
+            kept.append(row)
+    assert 55 < len(kept) < len(rows) - 20
+    sets = [H.shingles(r[1], 5) for r in kept]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if sets[i] and sets[j] and H.jaccard(sets[i], sets[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for i, r in enumerate(kept):
+        key = (r[0] is None, r[0] or 0, i)
+        first[group[i]] = min(first.get(group[i], (key, r)), (key, r), key=lambda x: x[0])
+    left = [r for _, r in first.values()]
+    assert len(left) < len(kept)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [r[:3] for r in left])
+    targets = {}
+    for r, (size, total, target) in zip(left, (con.execute(f"SELECT size, source_size, target FROM ({mixing.ORACLE_SQL['op4_mix_sources']}) WHERE doc_id IS NOT DISTINCT FROM ? ", [r[0]]).fetchone() for r in left)):
+        targets.setdefault(r[2], (total, target))
+    ranks, pattern = byte_bpe.public_ranks()
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for source, (total, target) in targets.items():
+        own = sorted((hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, len(H.words(r[1])), r) for r in left if r[2] == source)
+        epochs, rest = divmod(int(target), total) if total else (0, 0)
+        last, before = "", 0
+        for key, _, size, r in own:
+            last = key if size and before < rest else last
+            before += size
+        for key, _, _, r in own:
+            ids = encoding.encode_ordinary(r[1] or "")
+            out = (r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())
+            expected += [out] * (epochs + (key <= last))
+    assert got == sorted(expected, key=str)
+
+
+def test_stages_on_empty_and_extra_columns(spark, tmp_path):
+    docs = H.documents(spark, H.awkward_texts()).withColumn("gone_row", F.lit(1)).withColumn("last_key", F.lit("k"))
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= 2 * max(1, some.count())
+        assert corpus_pipeline.STAGES[-1][1](spark, some, str(tmp_path)).count() == some.count()
+
+
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)

@@ -3,14 +3,17 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
 import helpers as H
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import byte_bpe, context_mixing, license_texts, licenses, quality, token_files
+from graphloom.sources.shared_storage import new_path
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -68,16 +71,37 @@ def test_document_vectors_cover_whole_texts():
         assert np.allclose(m, chunks.mean(0), atol=1e-3) and np.allclose(b, chunks.max(0), atol=1e-3)
 
 
+def test_training_sees_whole_texts(spark):
+    """What tells good texts from bad may stand anywhere: here only behind the first 20,000 characters."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(120):
+        words = H.prose(rng, 4000)
+        rows.append((i, words + (" #!$%&*#!$%&*" * 40 if i % 2 else " " + H.prose(rng, 60))))
+        labels.append((i, 1 - i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = quality.score(docs, net).toPandas()
+    assert ((got.score >= 0.5) == (got.doc_id % 2 == 0)).mean() > 0.95
+
+
+def test_training_bound_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 20_000)
+    docs, labels = labelled(spark, 90)
+    net = quality.train(docs.unionAll(docs), labels)
+    assert quality.score(docs, net).where("score BETWEEN 0 AND 1").count() == 90
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 10)
+    assert {r["score"] for r in quality.score(docs, quality.train(docs, labels)).collect()} == {0.5}
+
+
 # ---- language-model scores
 
 
-@pytest.mark.parametrize("frequent", [5, 1 << 20])
-def test_base_scores(spark, monkeypatch, frequent):
-    monkeypatch.setattr(context_mixing, "MAX_FREQUENT", frequent)
+def test_base_scores(spark):
     texts = H.awkward_texts()
     docs = H.documents(spark, texts)
     held = quality.in_fold("doc_id", 10, 0)
-    got = context_mixing.score(docs, *context_mixing.train(docs, ~held)).toPandas()
+    got = context_mixing.lm_scores(docs, ~held).toPandas()
     assert len(got) == docs.count()
     counts, rows = collections.Counter(), [(r["doc_id"], [*H.words(r["text"]), None]) for r in docs.collect()]
     for i, tokens in rows:
@@ -86,56 +110,143 @@ def test_base_scores(spark, monkeypatch, frequent):
     n, v = sum(counts.values()), len(counts)
     expected = sorted((-1 if i is None else i, len(t), sum(counts[x] > 0 for x in t), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 4)) for i, t in rows)
     assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.n_tokens, got.n_known, got.train_tokens, got.base_score.round(4))) == expected
-    assert (got.score < 0).all()
-
-
-def test_model_is_a_distribution_and_learns():
-    """Probabilities of all continuations add up to one, and text like the corpus costs less than other text."""
-    rng = random.Random(1)
-    import pyarrow as pa
-
-    from graphloom.llm.textarrays import LOWER, text_bytes, word_bounds
-
-    def normal(texts):
-        data, offsets = text_bytes(pa.array(texts))
-        return context_mixing.normalised(data, *word_bounds(data, offsets))
-
-    corpus, bounds = normal([H.prose(rng, 400) for _ in range(40)])
-    code = context_mixing.make_code(np.bincount(LOWER[corpus], minlength=256))
-    assert abs(sum(2.0 ** -code.lengths) - 1) < 1e-9
-    cells = np.zeros(context_mixing.PARTS * context_mixing.PART_CELLS, np.int64)
-    symbols = code.symbol[corpus]
-    for i, number in enumerate(context_mixing.contexts(symbols, corpus, bounds)):
-        np.add.at(cells, context_mixing.OFFSETS[i] + (number.astype(np.int64) << 6) + symbols, 1)
-    table = context_mixing.predictions(cells.reshape(-1, context_mixing.SYMBOLS), code).ravel()
-    mixer = context_mixing.Mixer.start()
-    context_mixing.mixed(code, table, mixer, *normal([H.prose(rng, 400) for _ in range(10)]), learn=0.1)
-    one = np.concatenate([[b, context_mixing.END] for b in range(256)]).astype(np.uint8)
-    first = context_mixing.mixed(code, table, mixer, one, np.arange(0, 514, 2))
-    second = [context_mixing.mixed(code, table, mixer, np.concatenate([[b, c] for c in range(256)]).astype(np.uint8), np.arange(0, 514, 2)) for b in (97, 0)]
-    del first
-    for row in second:  # P(b, c) over all c is P(b), which is the same for each
-        assert np.exp(row).sum() <= 1 + 1e-3
-    like, unlike = H.prose(rng, 300), "".join(rng.choice("qxzjvw ") for _ in range(1500))
-    bits = [-context_mixing.mixed(code, table, mixer, *normal([t]))[0] / math.log(2) / len(t) for t in (like, unlike)]
-    assert bits[0] < 2.5 < 5 < bits[1]
-
-
-def test_scores_do_not_depend_on_neighbours():
-    import pyarrow as pa
-
-    from graphloom.llm.textarrays import text_bytes, word_bounds
-
-    rng = np.random.default_rng(2)
-    code = context_mixing.make_code(np.arange(256))
-    table = rng.integers(-60, 60, context_mixing.PARTS * context_mixing.PART_CELLS).astype(np.int8)
-    texts = [t or "" for t in H.awkward_texts() if t is None or len(t) < 9000]
-
-    def run(some):
-        data, offsets = text_bytes(pa.array(some, pa.large_string()))
-        return context_mixing.mixed(code, table, context_mixing.Mixer.start(), *context_mixing.normalised(data, *word_bounds(data, offsets)))
-
-    assert np.allclose(run(texts), np.concatenate([run([t]) for t in texts]), rtol=1e-4)
+    assert (got.score < 0).all() and (got.bits_per_byte > 0).all()
+    by_id = got.groupby("doc_id").score.nunique()
+    assert (by_id == 1).all()  # equal texts have equal scores, wherever they stand
+    assert context_mixing.lm_scores(docs.limit(0), ~held).count() == 0
+    nothing = context_mixing.lm_scores(docs, F.lit(None).cast("boolean")).toPandas()
+    assert len(nothing) == len(got) and (nothing.n_known == 0).all() and (nothing.train_tokens == 0).all() and (nothing.score < 0).all()
+
+
+def scored_directly(code, texts, training):
+    """ln probability of each text, symbol by symbol, with contexts and counts in dictionaries."""
+    m = context_mixing
+    known = {int(h): i for i, h in enumerate(code.hashes)}
+    path = lambda s: [(int(code.nodes[code.starts[s] + d]), int(code.bits[code.starts[s] + d]), float(code.odds[code.starts[s] + d])) for d in range(code.lengths[s])]
+
+    def steps(text):  # symbol, contexts from short to long, the text's own context
+        out, words = [], H.words(text)
+        for k, w in enumerate([*words, None]):
+            before = ("word", words[k - 1] if k else None)
+            own = (words[k - 1] if k else None, words[k - 2] if k > 1 else None)
+            h = None if w is None else int(licenses.template_hashes(w)[0])
+            symbol = code.end if w is None else known.get(h, code.end + 1)
+            out.append((symbol, [before], own))
+            if symbol == code.end + 1:
+                b = w.encode()
+                for j in range(len(b) + 1):
+                    out.append((code.end + 2 + (b[j] if j < len(b) else 256), [("two", b[max(0, j - 2) : j]), ("four", b[max(0, j - 4) : j])], b[:j]))
+        return out
+
+    turns = collections.defaultdict(lambda: [0, 0])
+    for text, learn in zip(texts, training):
+        if learn:
+            for symbol, contexts, _ in steps(text):
+                for c in contexts:
+                    for node, bit, _ in path(symbol):
+                        turns[c, node][bit] += 1
+
+    def odds(contexts, node, bit, base):
+        share = 1 / (1 + math.exp(-base))
+        out = []
+        for c in contexts:
+            zero, one = turns.get((c, node), (0, 0))
+            byte = m.turn_codes(np.array([one]), np.array([zero]))[0]
+            byte = byte if bit else m.OTHER_WAY[byte]
+            on, off = m.TURN_ON[byte] + m.BACK_OFF * share, m.TURN_OFF[byte] + m.BACK_OFF * (1 - share)
+            share = on / (on + off)
+            out.append(math.log(on / off))
+        return out
+
+    results = []
+    for text in texts:
+        follows, run, at, total = {}, 0, 0, 0.0
+        weights, bend = collections.defaultdict(lambda: [0.0, 1.0, 1.0]), collections.defaultdict(lambda: [m.WEIGHT_PRIOR] * 3)
+        tilt, tilt_bend = collections.defaultdict(float), collections.defaultdict(lambda: m.MAP_PRIOR)
+        all_steps = steps(text)
+        for cut in range(m.SEGMENTS):
+            events = []
+            for symbol, contexts, own in all_steps[m.CUTS[cut] : m.CUTS[cut + 1]]:
+                guess, agreed = follows.get(own), True
+                for d, (node, bit, base) in enumerate(path(symbol)):
+                    x = [base, *odds(contexts, node, bit, base)]
+                    x = x if len(x) == 2 else x[1:]
+                    said, state = 0.0, 0
+                    if guess is not None and agreed and d < code.lengths[guess]:
+                        right = path(guess)[d][1] == bit
+                        said, state, agreed = m.MATCH_ODDS[run] * (1 if right else -1), max(run, 1), right
+                    gate = (node >= len(code.hashes) + 1, min(d // 3, m.DEPTHS - 1), state)
+                    z = max(-11.9, min(11.9, sum(w * v for w, v in zip(weights[gate], [*x, said]))))
+                    sign = 1 if bit else -1
+                    bucket = int((z * sign + 12) * (m.BUCKETS / 24))
+                    z += sign * tilt[bucket]
+                    chance = 1 / (1 + math.exp(-z))
+                    total += math.log(chance)
+                    events.append((gate, [*x, said], chance, bucket, sign))
+                run = min(run + 1, m.RUNS - 1) if guess == symbol else 0
+                follows[own] = symbol
+            gains, maps = collections.defaultdict(lambda: [0.0] * 3), collections.defaultdict(float)
+            for gate, x, chance, bucket, sign in events:
+                for i in range(3):
+                    bend[gate] = [b + (chance * (1 - chance) * x[i] ** 2 if j == i else 0) for j, b in enumerate(bend[gate])]
+                    gains[gate][i] += (1 - chance) * x[i]
+                tilt_bend[bucket] += chance * (1 - chance)
+                maps[bucket] += (1 - chance) * sign
+            for gate, gain in gains.items():
+                weights[gate] = [w + g / b for w, g, b in zip(weights[gate], gain, bend[gate])]
+            for bucket, gain in maps.items():
+                tilt[bucket] += gain / tilt_bend[bucket]
+        results.append(total)
+    return results
+
+
+@pytest.mark.parametrize("block", [2 << 20, 900])
+def test_scores_against_direct_computation(spark, monkeypatch, block):
+    """Counts gathered by Spark and mixing in arrays give what dictionaries and a loop over bits give."""
+    monkeypatch.setattr(context_mixing, "BLOCK_BYTES", block)
+    monkeypatch.setattr(context_mixing, "BUNDLE", 2)
+    monkeypatch.setattr(context_mixing, "VOCABULARY", 24)
+    rng = random.Random(21)
+    texts = [H.prose(rng, rng.randrange(1, 120)) for _ in range(14)] + [None, "", "é 日本 x", "the the the the the the"]
+    texts += [texts[3], texts[5] + " " + texts[5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") % 4 != 0
+    got = {r["doc_id"]: (r["score"], r["bits_per_byte"]) for r in context_mixing.lm_scores(docs, learn).collect()}
+    code = context_mixing.train(docs, learn)
+    expected = scored_directly(code, texts, [i % 4 != 0 for i in range(len(texts))])
+    for i, ln in enumerate(expected):
+        assert got[i][0] == pytest.approx(ln / math.log(10), rel=2e-3)
+        assert got[i][1] == pytest.approx(-ln / math.log(2) / max(1, len((texts[i] or "").encode())), rel=2e-3)
+
+
+def test_paths_make_a_prefix_code():
+    rng = np.random.default_rng(3)
+    code = context_mixing.make_code(np.sort(rng.integers(0, 2**63, 500).astype(np.uint64)), rng.integers(1, 10**9, 500), rng.integers(0, 10**6, 256), 10**12, 10**6, 1000)
+    words = 502
+    assert abs(sum(2.0 ** -code.lengths[:words]) - 1) < 1e-9 and abs(sum(2.0 ** -code.lengths[words:]) - 1) < 1e-9
+    a, b = rng.integers(0, words, 400), rng.integers(0, words, 400)
+    a, b = a[a != b], b[a != b]
+    shared = context_mixing.shared_turns(code, a, b)
+    for x, y, n in zip(a, b, shared):
+        p, q = (code.bits[code.starts[s] : code.starts[s] + code.lengths[s]].tolist() for s in (x, y))
+        assert p[:n] == q[:n] and p[n] != q[n]
+
+
+def test_orders_of_packed_keys():
+    """Keys whose leading bits agree are put in order by all bits, and equal ones stay in place."""
+    rng = np.random.default_rng(9)
+    top = rng.integers(0, 5, 3000).astype(np.uint64) << np.uint64(60)
+    for keys in (top + rng.integers(0, 50, 3000).astype(np.uint64), rng.integers(0, 2**64, 3000, dtype=np.uint64), top):
+        assert np.array_equal(context_mixing.order_of(keys), np.argsort(keys, kind="stable"))
+    assert np.array_equal(context_mixing.order_of(np.array([5, 1, 5, 0], np.uint64), 3), [3, 1, 0, 2])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_model_beats_word_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = quality.in_fold("doc_id", 10, 0)
+    r = context_mixing.lm_scores(docs, ~held).where(held).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r["s"] > 0.95 * r["b"]
 
 
 # ---- token files
@@ -157,6 +268,29 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_file_digests(docs.limit(0), path, 2).count() == 0
 
 
+def test_dictionaries_of_any_corpus(spark):
+    """Pieces come from everywhere in long texts, and a few short texts give a dictionary too."""
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        description = f.read()
+    few = token_files.train_dictionary(H.documents(spark, ["a few words", None, ""], extra=False), description, 2)
+    assert 0 < len(few) < 200
+    assert token_files.train_dictionary(H.documents(spark, [None, ""], extra=False), description, 2) == b""
+    rng = random.Random(2)
+    mark = " xylophone quixotic zephyr"
+    texts = [H.prose(rng, 3000) + mark * 300 for _ in range(30)]
+    one = token_files.train_dictionary(H.documents(spark, texts, extra=False), description, None)
+    ids = tokenizers.Tokenizer.from_str(description).encode(mark, add_special_tokens=False).ids
+    assert np.array(ids, "<u4").tobytes() in one
+
+
+def test_a_hot_id_spreads_over_files(spark):
+    rows = [(None if i % 2 else i, f"text {i}") for i in range(600)] + [(None, "same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    files, _ = token_files.write_token_files(docs, public.path("word_bpe_49k.json"), new_path(spark, "test-hot"), 2)
+    sizes = sorted(r["documents"] for r in files.collect())
+    assert sum(sizes) == 900 and len(sizes) == 4 and sizes[-1] < 400
+
+
 def test_short_document_access(tmp_path):
     documents = [(i, np.arange(i * 3, dtype="<u4")) for i in range(50)]
     dictionary = b""
@@ -265,3 +399,6 @@ def test_offsets_cover_split_characters(spark):
         assert set(range(len(t))) == {p for a, b in zip(r["starts"], r["ends"]) for p in range(a, b)}
     odd = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert byte_bpe.decode(odd, ranks).first()["decoded"] == b""
+    clash = spark.createDataFrame([("ab", 1, "x", None)], "text string, __text int, _text string, ids int")
+    got = byte_bpe.encode(clash, ranks, pattern)
+    assert got.columns == ["__text", "_text", "ids"] and [got.first()[c] for c in ("__text", "_text")] == [1, "x"]
