@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids
-from graphloom.functions.text import span_length
+from graphloom.functions.text import confidence, parsed, payload, span_length
 from graphloom.operators import changes, feedback, graph, resolver
 from graphloom.operators.dedup import keep_first
 from graphloom.operators.visibility import open_rows, snapshot_diff, visible_at
@@ -21,7 +21,8 @@ from graphloom.sources import parser, tree
 from graphloom.sources.store import Registry, Store
 
 MAX_ACTIVE = 5
-CONFIDENCE = 100
+#: Of edges found by name, stored in hundredths.
+CONFIDENCE = 1.0
 
 
 class GraphError(Exception):
@@ -77,13 +78,14 @@ class Project:
         Symbols, edges and files that are gone are closed; unchanged ones stay as they are.
         """
         files = tree.source_tree(self.spark, self.root).withColumn("hash", ids.content_hash(F.col("content")))
-        p, snapshot = F.lit(self.id), self.store.next_snapshot()
+        base = self.store.latest()
+        p, snapshot = F.lit(self.id), self.store.claim(base + 1)
         walked = files.select("rel_path", "language", "size_bytes", "content", "hash", ids.file_id(p, F.col("rel_path")).alias("identity_id")).cache()
         parsed = parser.parse_tree(walked).cache()
         symbols = symbols_of(parsed, self.id).cache()
         edges = edges_of(parsed, symbols, self.id)[0]
         now_symbols = symbols.select(ids.symbol_version_id(F.col("identity"), F.col("content_hash")).alias("id"), F.col("identity").alias("identity_id"), "start_byte", "end_byte", "start_line", "end_line", "content_hash")
-        now_edges = edges.select(F.col("src").alias("from_symbol_identity"), F.col("dst").alias("to_symbol_identity"), "kind", F.lit(CONFIDENCE).alias("confidence"))
+        now_edges = edges.select(F.col("src").alias("from_symbol_identity"), F.col("dst").alias("to_symbol_identity"), "kind", (confidence(F.lit(CONFIDENCE)) * 100).cast("int").alias("confidence"))
         now_files = walked.select(ids.symbol_version_id(F.col("identity_id"), F.col("hash")).alias("id"), "identity_id", F.col("hash").alias("content_hash"), "size_bytes")
         # A symbol that only moved has a new span and so a new version row.
         same = {"symbol": ["id", "start_byte", "end_byte"], "edge": ["from_symbol_identity", "to_symbol_identity", "kind"], "file": ["id"]}
@@ -98,7 +100,7 @@ class Project:
             "file_identity": walked.select(F.col("identity_id").alias("id"), F.col("rel_path").alias("path"), "language"),
             "symbol_identity": symbols.select(F.col("identity").alias("id"), F.col("file_id").alias("file_identity_id"), "qualified_name", "name", "kind"),
         }
-        self.store.publish(opened, closed, identities, snapshot, kind, self.clock())
+        self.store.publish(opened, closed, identities, snapshot, base, kind, self.clock())
         self.store.set_meta("project_uuid", self.id)
         self.registry.indexed(self.id, self.clock(), self.store.size())
         for df in (walked, parsed, symbols, *opened.values(), *closed.values()):
@@ -177,9 +179,9 @@ class Project:
 
     def usefulness(self) -> DataFrame:
         events = self.store.log("telemetry_event").where(F.col("event_kind") == EVENT_KINDS["symbol_included"])
-        fields = F.from_json("payload", "identity string, score bigint")
+        fields = parsed(F.col("payload"), "identity string, score bigint")
         rows = events.select(fields["identity"].alias("identity_id"), F.col("id").alias("seq"), fields["score"].alias("score"), F.col("created_at").alias("seen_at"))
-        return feedback.usefulness(rows.where("identity_id IS NOT NULL"))
+        return feedback.clamped(feedback.usefulness(rows.where("identity_id IS NOT NULL")))
 
     def find_context(self, task: context.Task) -> DataFrame:
         """The ranked plan; its pack is logged, and its items count as included from then on."""
@@ -189,9 +191,9 @@ class Project:
         items = context.pack_rows(plan).select("id", "score", "rank").collect()  # at most budget / 16 rows
         first = (self.store.log("telemetry_event").agg(F.max("id").alias("n")).first()["n"] or 0) + 1
         now = self.clock()
-        head = self.spark.createDataFrame([(first, EVENT_KINDS["pack_built"], task.text, now)], "id bigint, event_kind int, task string, created_at bigint").select("id", "event_kind", F.to_json(F.struct("task")).alias("payload"), "created_at")
+        head = self.spark.createDataFrame([(first, EVENT_KINDS["pack_built"], task.text, now)], "id bigint, event_kind int, task string, created_at bigint").select("id", "event_kind", payload(task=F.col("task")).alias("payload"), "created_at")
         rows = [(first + r["rank"], EVENT_KINDS["symbol_included"], r["id"], r["score"], now) for r in items]
-        body = self.spark.createDataFrame(rows, "id bigint, event_kind int, identity string, score int, created_at bigint").select("id", "event_kind", F.to_json(F.struct("identity", "score")).alias("payload"), "created_at")
+        body = self.spark.createDataFrame(rows, "id bigint, event_kind int, identity string, score int, created_at bigint").select("id", "event_kind", payload(identity=F.col("identity"), score=F.col("score")).alias("payload"), "created_at")
         self.store.append("telemetry_event", head.unionByName(body))
         return plan
 

@@ -47,6 +47,11 @@ def is_id(identity: Column) -> Column:
     return F.coalesce(identity.rlike("^[0-9a-f]{32}$"), F.lit(False))
 
 
+def snapshot_uuid(nanoseconds: Column, sequence: Column) -> Column:
+    """Time and sequence number in hex, 32 and 16 digits."""
+    return F.concat(F.lpad(F.lower(F.hex(nanoseconds.cast("long"))), 32, "0"), F.lpad(F.lower(F.hex(sequence.cast("long"))), 16, "0"))
+
+
 def checked(identity: Column) -> Column:
     """The id itself; an error where it is not 16 bytes in hex."""
     return F.when(is_id(identity), identity).otherwise(F.raise_error(F.concat(F.lit("not a 16-byte id: "), F.coalesce(identity, F.lit("null")))).cast("string"))

@@ -38,6 +38,22 @@ def span_length(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), (end - start).cast("long"))
 
 
+def confidence(x: Column) -> Column:
+    """A confidence within its bounds, 0 to 1; NaN stays."""
+    x = x.cast("double")
+    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def payload(**fields: Column) -> Column:
+    """A JSON object of these fields; nulls are left out."""
+    return F.to_json(F.struct(*(c.alias(name) for name, c in fields.items())))
+
+
+def parsed(text: Column, schema: str) -> Column:
+    """Fields of a JSON object; null where it is malformed or a field is missing."""
+    return F.from_json(text, schema)
+
+
 def contains_any_case(column: Column, needle: str) -> Column:
     """Literal, case-insensitive containment; ``%`` and ``_`` have no special meaning."""
     return F.contains(F.lower(column), F.lit(needle.lower()))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from graphloom import schemas
 from graphloom.functions import ids
-from graphloom.functions.text import keywords, last_segment, qualify, span_length, token_cost
+from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
 from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, visibility
 from graphloom.plans import context
 from graphloom.plans.stand_ins import Tables, with_ctes
+from graphloom.sources import tree
 from graphloom.streaming import overlay_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,9 +539,54 @@ def _(t):
     return t.nodes.select("id", token_cost(F.col("byte_len")).alias("cost"))
 
 
-@query("f23_json_payload", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("f22_payloads", "SELECT event_id, json_object('event_type', event_type, 'user_id', user_id)::VARCHAR AS payload FROM events")
 def _(t):
-    return t.read("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return t.read("events").select("event_id", payload(event_type=F.col("event_type"), user_id=F.col("user_id")).alias("payload"))
+
+
+@query("f23_json_payload", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::BIGINT AS missing FROM events")
+def _(t):
+    fields = parsed(F.col("props"), "k string, missing bigint")
+    return t.read("events").select("event_id", fields["k"].alias("k"), fields["missing"].alias("missing"))
+
+
+@query("f19_confidence", "SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal::DOUBLE / 5000)) AS confidence FROM customer")
+def _(t):
+    return t.read("customer").select("c_custkey", confidence(F.col("c_acctbal").cast("double") / 5000).alias("confidence"))
+
+
+@query("f21_snapshot_uuids", with_ctes("snapshots", "SELECT id, lpad(lower(to_hex(created_at * 1000)), 32, '0') || lpad(lower(to_hex(id)), 16, '0') AS uuid FROM snapshots"))
+def _(t):
+    return t.snapshots.select("id", ids.snapshot_uuid(F.col("created_at") * 1000, F.col("id")).alias("uuid"))
+
+
+@query("s10_usefulness", "SELECT s_suppkey AS identity_id, greatest(0, trunc(s_acctbal)::BIGINT)::BIGINT AS times_included, greatest(0, trunc(-s_acctbal)::BIGINT)::BIGINT AS avg_score FROM supplier")
+def _(t):
+    rows = t.read("supplier").select(F.col("s_suppkey").alias("identity_id"), F.col("s_acctbal").cast("long").alias("times_included"), (-F.col("s_acctbal")).cast("long").alias("avg_score"))
+    return feedback.clamped(rows)
+
+
+# Paths of every case: folders of which some are ignored, at the top or deeper, and endings of which some are supported.
+_TOPS = {"STANDARD": "src", "SMALL": "lib/target", "MEDIUM": "node_modules", "LARGE": "build", "ECONOMY": "dist.d", "PROMO": "target"}
+_ENDS = {"TIN": "rs", "NICKEL": "tsx", "BRASS": "RS", "STEEL": "mjs", "COPPER": "py"}
+
+
+def _case(words: dict[str, str], part: str) -> str:
+    return f"CASE {part} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + " ELSE 'x' END"
+
+
+_PATHS = f"paths AS (SELECT p_partkey AS id, {_case(_TOPS, 'string_split(p_type, chr(32))[1]')} || '/' || replace(p_name, ' ', '_') || '.' || {_case(_ENDS, 'string_split(p_type, chr(32))[-1]')} AS path FROM part)"
+
+
+@query("s1_tree_paths", f"""WITH {_PATHS} SELECT id, path, CASE WHEN path LIKE '%.rs' THEN 'rust' ELSE 'typescript' END AS language FROM paths
+  WHERE string_split(path, '/')[1] NOT IN ('node_modules', 'build', 'target') AND (path LIKE '%.rs' OR path LIKE '%.tsx' OR path LIKE '%.mjs')""")
+def _(t):
+    words = F.split("p_type", " ")
+    pick = lambda names, i: F.coalesce(*(F.when(F.element_at(words, i) == k, F.lit(v)) for k, v in names.items()), F.lit("x"))
+    found = F.concat(F.lit("file:///w/tree/"), pick(_TOPS, 1), F.lit("\\"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), pick(_ENDS, -1))
+    rows = t.read("part").select(F.col("p_partkey").alias("id"), tree.relative(found, "/w/tree").alias("path"))
+    rows = rows.withColumn("language", tree.language_of(F.col("path")))
+    return rows.where(F.col("language").isNotNull() & ~tree.is_ignored(F.col("path")))
 
 
 # ---- writes as sets, collection, overlay state

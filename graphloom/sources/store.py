@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.ids import snapshot_uuid
 from graphloom.operators import changes, collection
 from graphloom.schemas import TABLES
 
@@ -22,6 +23,10 @@ OPENED = {
 KEYS = {"symbol": ["id", "visible_from"], "edge": ["from_symbol_identity", "to_symbol_identity", "kind", "visible_from"], "file": ["id", "visible_from"]}
 
 
+class ConcurrentWriter(Exception):
+    """Another writer published a snapshot in between."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, project: str):
         self.spark, self.base = spark, f"{root.rstrip('/')}/{project}"
@@ -63,16 +68,30 @@ class Store:
         ends = closed.groupBy(*keys).agg(F.min("snapshot").alias("visible_until"))
         return opened.join(ends, keys, "left")
 
-    def publish(self, opened: dict[str, DataFrame], closed: dict[str, DataFrame], identities: dict[str, DataFrame], snapshot: int, kind: str, now: int) -> None:
-        """Writes a snapshot's rows and then its manifest row, the point at which they become visible."""
+    def claim(self, snapshot: int) -> int:
+        """The first free snapshot number from this one on: no two writers get the same, and a crashed one's stays unused."""
+        while True:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("claims", str(snapshot)))
+            if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(p):
+                return snapshot
+            snapshot += 1
+
+    def publish(self, opened: dict[str, DataFrame], closed: dict[str, DataFrame], identities: dict[str, DataFrame], snapshot: int, base: int, kind: str, now: int) -> None:
+        """Writes a snapshot's rows and then its manifest row, the point at which they become visible.
+
+        ``base`` is the snapshot that the rows were compared with; if another writer has published since,
+        nothing of this one becomes visible.
+        """
         for name, rows in identities.items():
             rows.write.mode("overwrite").parquet(self._at(name, f"snapshot={snapshot}"))
         for name, rows in opened.items():
             rows.withColumn("visible_from", F.lit(snapshot).cast("long")).write.mode("overwrite").parquet(self._at(f"{name}_open", f"snapshot={snapshot}"))
         for name, rows in closed.items():
             rows.select(*KEYS[name]).write.mode("overwrite").parquet(self._at(f"{name}_close", f"snapshot={snapshot}"))
-        parent = snapshot - 1 if snapshot > 1 else None
-        row = self.spark.createDataFrame([(snapshot, f"{now:032x}{snapshot:016x}", kind, None, None, parent, now)], TABLES["snapshot"])
+        if self.latest() != base:
+            raise ConcurrentWriter(f"snapshot {self.latest()} was published while {snapshot} was written over {base}")
+        row = self.spark.createDataFrame([(snapshot, "", kind, None, None, base or None, now)], TABLES["snapshot"])
+        row = row.withColumn("uuid", snapshot_uuid(F.col("created_at") * 1_000_000_000, F.col("id")))
         row.write.mode("append").parquet(self._at("manifest"))
 
     def set_meta(self, key: str, value: str) -> None:
@@ -95,9 +114,6 @@ class Store:
     def latest(self) -> int:
         return self.manifest().agg(F.max("id").alias("n")).first()["n"] or 0
 
-    def next_snapshot(self) -> int:
-        return self.latest() + 1
-
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.base}/{name}")
 

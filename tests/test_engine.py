@@ -11,6 +11,7 @@ from graphloom.engine import Engine, UnknownProject
 from graphloom.plans.context import Task
 from graphloom.sources import tree
 from graphloom.sources.parser import parse
+from graphloom.sources.store import ConcurrentWriter
 from graphloom.streaming import feedback_stream, overlay_state
 
 BREW = """pub fn weigh(beans: f64) -> f64 {
@@ -103,6 +104,19 @@ def test_unpublished_rows_stay_invisible(spark, root, tmp_path):
     assert store.versions("symbol").where("visible_from = 2").count() == 0
 
 
+def test_two_writers(spark, root, tmp_path):
+    """Each gets a number of its own, and the one that comes second publishes nothing."""
+    project = Engine(spark, f"{tmp_path}/warehouse").attach(str(root))
+    store = project.store
+    crashed = store.claim(1)
+    assert (crashed, project.index().snapshot) == (1, 2)
+    late, nodes = store.claim(1), project.graph()[0].count()
+    with pytest.raises(ConcurrentWriter):
+        store.publish({}, {}, {}, late, 0, "filehash", 7)
+    assert late == 3 and store.latest() == 2 and project.graph()[0].count() == nodes > 0
+    assert len(store.manifest().first()["uuid"]) == 48
+
+
 def test_engine_lets_the_oldest_go(spark, tmp_path):
     engine = Engine(spark, f"{tmp_path}/warehouse", max_active=2)
     for name in "abc":
