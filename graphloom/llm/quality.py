@@ -27,7 +27,9 @@ from graphloom.llm.textarrays import blocks, bounded_batches, text_bytes
 STEP, WIDTH, FILTERS = 128, 4, 16
 #: Bounds of the training sample: labelled rows, and bytes of their whole texts.
 TRAIN_DOCS, TRAIN_BYTES = 5000, 32 << 20
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
+#: Steps of training at least, however few the rows are; whole rounds over the sample are made.
+UPDATES = 480
+BATCH, RATE, SEED = 64, 0.01, 7
 #: Positions handled at once while scoring.
 TILE = 1 << 15
 THRESHOLD = 0.7
@@ -122,7 +124,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> Network:
         setattr(net, name, getattr(net, name) - change.astype(getattr(net, name).dtype if name != "offset" else np.float64))
 
     usable = np.array([i for i, t in enumerate(texts) if len(t)], dtype=np.int64)
-    for _ in range(EPOCHS if len(usable) else 0):
+    for _ in range(-(-UPDATES // -(-len(usable) // BATCH)) if len(usable) else 0):
         order = usable[rng.permutation(len(usable))]
         for lo in range(0, len(order), BATCH):
             picked = order[lo : lo + BATCH]
