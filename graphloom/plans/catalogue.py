@@ -568,22 +568,21 @@ def _(t):
 
 # Paths of every case: folders of which some are ignored, at the top or deeper, and endings of which some are supported.
 _TOPS = {"STANDARD": "src", "SMALL": "lib/target", "MEDIUM": "node_modules", "LARGE": "build", "ECONOMY": "dist.d", "PROMO": "target"}
-_ENDS = {"TIN": "rs", "NICKEL": "tsx", "BRASS": "RS", "STEEL": "mjs", "COPPER": "py"}
+_ENDS = {"plate": "rs", "widget": "tsx", "ring": "RS", "rod": "mjs"}
 
 
 def _case(words: dict[str, str], part: str) -> str:
     return f"CASE {part} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + " ELSE 'x' END"
 
 
-_PATHS = f"paths AS (SELECT p_partkey AS id, {_case(_TOPS, 'string_split(p_type, chr(32))[1]')} || '/' || replace(p_name, ' ', '_') || '.' || {_case(_ENDS, 'string_split(p_type, chr(32))[-1]')} AS path FROM part)"
+_PATHS = f"paths AS (SELECT p_partkey AS id, {_case(_TOPS, 'p_type')} || '/' || replace(p_name, ' ', '_') || '.' || {_case(_ENDS, 'string_split(p_name, chr(32))[-1]')} AS path FROM part)"
 
 
 @query("s1_tree_paths", f"""WITH {_PATHS} SELECT id, path, CASE WHEN path LIKE '%.rs' THEN 'rust' ELSE 'typescript' END AS language FROM paths
   WHERE string_split(path, '/')[1] NOT IN ('node_modules', 'build', 'target') AND (path LIKE '%.rs' OR path LIKE '%.tsx' OR path LIKE '%.mjs')""")
 def _(t):
-    words = F.split("p_type", " ")
-    pick = lambda names, i: F.coalesce(*(F.when(F.element_at(words, i) == k, F.lit(v)) for k, v in names.items()), F.lit("x"))
-    found = F.concat(F.lit("file:///w/tree/"), pick(_TOPS, 1), F.lit("\\"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), pick(_ENDS, -1))
+    pick = lambda names, word: F.coalesce(*(F.when(word == k, F.lit(v)) for k, v in names.items()), F.lit("x"))
+    found = F.concat(F.lit("file:///w/tree/"), pick(_TOPS, F.col("p_type")), F.lit("\\"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), pick(_ENDS, F.element_at(F.split("p_name", " "), -1)))
     rows = t.read("part").select(F.col("p_partkey").alias("id"), tree.relative(found, "/w/tree").alias("path"))
     rows = rows.withColumn("language", tree.language_of(F.col("path")))
     return rows.where(F.col("language").isNotNull() & ~tree.is_ignored(F.col("path")))

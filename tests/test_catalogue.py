@@ -60,6 +60,8 @@ def test_every_outcome_occurs(spark):
     assert 0 < run("g4_impact").where("tests > 0").count() < run("g4_impact").count()
     assert run("a4_schema_version").where("version = 0").count() > 0 < run("a4_schema_version").where("version > 0").count()
     assert {r["symbol_kind"] for r in run("f8_kind_numbers").collect()} == {1, 5, 99}
+    found = run("s1_tree_paths").select("path", "language").collect()
+    assert {r["language"] for r in found} == {"rust", "typescript"} and {r["path"].split("/")[0] for r in found} == {"src", "lib", "dist.d"}
     for name, sql in catalogue.ORACLE_SQL.items():
         assert "% 11" not in sql and "% 29" not in sql, name
 
