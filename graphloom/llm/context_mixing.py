@@ -17,7 +17,7 @@ depends on nothing but the text and the counts. The bits add up to the score and
 
 *Counts at any size.* Nothing that grows with the corpus is broadcast. Texts lie in blocks; a block sends
 the distinct (context, symbol) pairs that its texts use, with their training counts, to the ranges of
-contexts (packed arrays, shuffled), the texts stay where they lie; a range adds up all counts and answers each block with the turns at
+contexts (packed arrays, shuffled; contexts are hashes of 47 bits), the texts stay where they lie; a range adds up all counts and answers each block with the turns at
 the nodes on its pairs' paths, each node once; the block then scores its texts. Word counts take the same way. There are
 no samples, prefixes or left-out rows: every training row is counted, every whole text is scored.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.memo import Runs
 from graphloom.llm.quality import in_fold
-from graphloom.llm.textarrays import LOWER, blocks, bounded_batches, mix, text_bytes, word_bounds, word_hashes
+from graphloom.llm.textarrays import LOWER, blocks, bounded_batches, mix, powers, text_bytes, word_bounds, word_hashes
 from graphloom.sources.shared_storage import drop_shared, new_path, write_shared
 
 #: Words that are symbols: at most so many, each counted so often at least.
@@ -56,15 +56,17 @@ while CUTS[-1] < 12288:
 CUTS = np.concatenate([CUTS, np.arange(CUTS[-1] + 4096, 1 << 22, 4096), [1 << 40]])
 SEGMENTS = len(CUTS) - 1
 #: Inputs of the mixer, sets of weights, buckets of the refinement map.
-INPUTS, DEPTHS, RUNS, BUCKETS = 3, 4, 4, 24
+INPUTS, DEPTHS, RUNS, BUCKETS = 3, 4, 4, 12
 GATES = 2 * DEPTHS * RUNS
 #: What a starting weight and a starting map entry count for, in curvature.
-WEIGHT_PRIOR, MAP_PRIOR = 30.0, 40.0
+WEIGHT_PRIOR, MAP_PRIOR = 15.0, 40.0
 #: Log odds of the text's own match after 0, 1, 2 and more matches in a row.
 MATCH_ODDS = np.array([0.5, 1.5, 2.5, 4.0], np.float32)
 # Odd multipliers and tags that keep kinds of contexts apart.
 ODD = np.uint64(0x9E3779B97F4A7C15)
 TAGS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
+#: Bits of a pair's key that are the symbol's leaf; the others are the hash of its context.
+LEAF_BITS = np.uint64(17)
 #: Turns at a node are answered as one byte: exact pairs of counts up to EXACT in sum, else their log odds.
 EXACT, ODDS_STEP, MANY = 10, 0.25, 60.0
 
@@ -90,10 +92,12 @@ OTHER_WAY = np.concatenate([TURN_CODE[TURN_OFF[:FIRST_ODDS].astype(int), TURN_ON
 
 
 def turn_codes(on: np.ndarray, off: np.ndarray) -> np.ndarray:
-    odds = np.log((on + 0.3) / (off + 0.3)) / ODDS_STEP + (FIRST_ODDS + 255) / 2
-    out = np.clip(np.rint(odds), FIRST_ODDS, 255).astype(np.uint8)
     few = on + off <= EXACT
+    out = np.empty(len(on), np.uint8)
     out[few] = TURN_CODE[on[few], off[few]]
+    many = ~few
+    odds = np.log((on[many] + 0.3) / (off[many] + 0.3)) / ODDS_STEP + (FIRST_ODDS + 255) / 2
+    out[many] = np.clip(np.rint(odds), FIRST_ODDS, 255)
     return out
 
 
@@ -110,10 +114,10 @@ class Code:
     bits: np.ndarray
     odds: np.ndarray  # log odds of each turn of these paths, by the symbols' frequencies
     share: np.ndarray  # their probabilities
-    signs: np.ndarray  # of each turn: 1 for a 1, -1 for a 0
     gates: np.ndarray  # of each turn: the set of weights, but for the text's own match
     word: np.ndarray  # of each symbol: its path as the leading bits of a number
     middle: np.ndarray  # of each node: first leaf of its 1 side
+    of_leaf: np.ndarray  # the symbol of each leaf
     tokens: int
     distinct: int
     documents: int
@@ -164,9 +168,10 @@ def make_code(hashes: np.ndarray, counts: np.ndarray, byte_counts: np.ndarray, t
     turn = np.array(odds + odds_b, np.float32)[nodes] * (2 * bits - 1)
     depth = np.arange(len(nodes)) - np.repeat(starts, lengths)
     word = np.add.reduceat(np.where(depth < 64, bits.astype(np.uint64) << np.minimum(63 - depth, 63).clip(0).astype(np.uint64), np.uint64(0)), starts)
-    gates = (RUNS * (np.minimum(depth // 3, DEPTHS - 1) + DEPTHS * (nodes >= len(middle)))).astype(np.int16)
+    gates = (RUNS * (np.minimum(depth // 3, DEPTHS - 1) + DEPTHS * (nodes >= len(middle)))).astype(np.int8)
     share = 1 / (1 + np.exp(-turn))
-    return Code(hashes, counts, np.concatenate([leaf, leaf_b]), lengths, starts, nodes, bits, turn, share, (2 * bits - 1).astype(np.float32), gates, word, np.array(middle + middle_b), tokens, distinct, documents)
+    leaf = np.concatenate([leaf, leaf_b])
+    return Code(hashes, counts, leaf, lengths, starts, nodes, bits, turn, share, gates, word, np.array(middle + middle_b), np.argsort(leaf).astype(np.int32), tokens, distinct, documents)
 
 
 # ---- a block's symbols and contexts
@@ -209,6 +214,13 @@ def _dense(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
+def _dense_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_dense`` of pairs' keys: contexts first, then their numbers with the leaves, which leaves no bits to mend."""
+    _, number = _dense(keys >> LEAF_BITS, 64 - int(LEAF_BITS))
+    own = number.astype(np.uint64) << LEAF_BITS | keys & ((np.uint64(1) << LEAF_BITS) - np.uint64(1))
+    return _dense(own, len(keys).bit_length() + int(LEAF_BITS))
+
+
 @dataclass
 class Stream:
     """Symbols of a block's texts, one after another."""
@@ -282,14 +294,9 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
 def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each word before each of its bytes."""
     n = len(letter)
-    steps = np.full(n + 1, ODD, np.uint64)
-    steps[0] = 1
-    np.cumprod(steps, out=steps)
-    inverse = np.full(n + 1, np.uint64(pow(int(ODD), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
+    steps, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((letter.astype(np.uint64) + np.uint64(1)) * steps[:-1], out=total[1:])
+    np.cumsum((letter.astype(np.uint64) + np.uint64(1)) * steps, out=total[1:])
     begin = np.arange(n) - step
     return (total[:-1] - total[begin]) * inverse[begin]
 
@@ -309,20 +316,19 @@ def shared_turns(code: Code, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pairs:
-    """Distinct (context, symbol) pairs of a block in ascending order of the context's hash, and which each symbol uses."""
+    """Distinct (context, symbol) pairs of a block, as ascending keys: hash of the context, then leaf of the symbol."""
 
-    contexts: np.ndarray
+    keys: np.ndarray
     symbols: np.ndarray
-    of: np.ndarray  # of every context of a stream, one kind after another
+    of: np.ndarray  # the pair of every context of a stream, one kind after another
     place: np.ndarray  # where each pair occurs first
 
 
 def pairs(code: Code, s: Stream) -> Pairs:
-    contexts = np.concatenate(s.contexts)
     symbols = np.concatenate([s.symbols, s.symbols[s.at_byte]])
-    _, number = _dense(contexts)
-    place, of = _dense(number * len(code.leaf) + code.leaf[symbols], (len(contexts) * len(code.leaf)).bit_length())
-    return Pairs(contexts[place], symbols[place], of, place)
+    keys = np.concatenate(s.contexts) >> LEAF_BITS << LEAF_BITS | code.leaf[symbols].astype(np.uint64)
+    place, of = _dense_pairs(keys)
+    return Pairs(keys[place], symbols[place], of, place)
 
 
 def rare_words(s: Stream) -> tuple[np.ndarray, np.ndarray]:
@@ -335,53 +341,57 @@ def rare_words(s: Stream) -> tuple[np.ndarray, np.ndarray]:
 # ---- a range's counts
 
 
-def answers(code: Code, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> tuple[Runs, np.ndarray]:
+def answers(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[Runs, np.ndarray]:
     """Turns to 1 and to 0 at the nodes on the path of each distinct pair, and the pair's number for every given one."""
-    _, number = _dense(contexts)
-    leaves = len(code.leaf)
-    place, of = _dense(number * leaves + code.leaf[symbols], (len(contexts) * leaves).bit_length())
-    own_context, own_symbol = number[place], symbols[place]
-    key = own_context * leaves + code.leaf[own_symbol]
-    upto = np.zeros(len(key) + 1, np.int64)
-    np.cumsum(np.bincount(of, weights=counts, minlength=len(key)), out=upto[1:])
-    lengths, starts = code.lengths[own_symbol], code.starts[own_symbol]
+    place, of = _dense_pairs(keys)
+    key = keys[place]
+    symbol = code.of_leaf[(key & ((np.uint64(1) << LEAF_BITS) - np.uint64(1))).astype(np.int64)]
+    context = key >> LEAF_BITS << LEAF_BITS
+    own = np.bincount(of, weights=counts, minlength=len(key)).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(own)])
+    lengths, starts = code.lengths[symbol], code.starts[symbol]
     out_at = np.concatenate([[0], np.cumsum(lengths)])
-    one, zero = np.zeros(int(out_at[-1]), np.int64), np.zeros(int(out_at[-1]), np.int64)
+    # What holds where a pair is the only one left: all of its own count takes its own turn.
+    path, many = _paths(starts, lengths), np.repeat(own, lengths)
+    one = many * code.bits[path]
+    zero = many - one
     # All pairs of a context and tree, then at each level those on the same side of the node.
-    words = code.end + 2
-    tree = own_context * 2 + (own_symbol >= words)
-    lo, hi = np.searchsorted(tree, tree, side="left"), np.searchsorted(tree, tree, side="right")
-    active, depth = np.arange(len(key)), 0
+    change = np.ones(len(key) + 1, bool)
+    tree = symbol >= code.end + 2
+    change[1:-1] = (context[1:] != context[:-1]) | (tree[1:] != tree[:-1])
+    first = np.flatnonzero(change)
+    group = np.cumsum(change[:-1]) - 1
+    lo, hi = first[group], first[group + 1]
+    active, depth = np.flatnonzero(hi - lo > 1), 0
+    lo, hi = lo[active], hi[active]
     while len(active):
         step = starts[active] + depth
-        node, bit = code.nodes[step], code.bits[step]
-        a, b = lo[active], hi[active]
-        middle = np.full(len(active), -1, np.int64)
-        several = b - a > 1
-        middle[several] = np.searchsorted(key, own_context[active[several]] * leaves + code.middle[node[several]])
-        alone = ~several
-        middle[alone] = np.where(bit[alone] == 1, a[alone], b[alone])
-        zero[out_at[active] + depth] = upto[middle] - upto[a]
-        one[out_at[active] + depth] = upto[b] - upto[middle]
-        lo[active], hi[active] = np.where(bit == 1, middle, a), np.where(bit == 1, b, middle)
+        middle = np.searchsorted(key, context[active] + code.middle[code.nodes[step]].astype(np.uint64))
+        at = out_at[active] + depth
+        zero[at], one[at] = upto[middle] - upto[lo], upto[hi] - upto[middle]
+        right = code.bits[step] == 1
+        lo, hi = np.where(right, middle, lo), np.where(right, hi, middle)
         depth += 1
-        active = active[lengths[active] > depth]
+        going = (hi - lo > 1) & (lengths[active] > depth)
+        active, lo, hi = active[going], lo[going], hi[going]
     runs = Runs()
     runs.values, runs.starts, runs.lengths = turn_codes(one, zero), out_at[:-1], lengths
     return runs, of
 
 
-def first_new(code: Code, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+def first_new(code: Code, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """For ascending pairs: from which depth on the nodes of a path are not those of the pair before."""
     out = np.zeros(len(symbols), np.int64)
-    same = np.flatnonzero(contexts[1:] == contexts[:-1]) + 1
+    words = code.end + 2
+    same = (keys[1:] >> LEAF_BITS == keys[:-1] >> LEAF_BITS) & ((symbols[1:] >= words) == (symbols[:-1] >= words))
+    same = np.flatnonzero(same) + 1
     out[same] = shared_turns(code, symbols[same], symbols[same - 1]) + 1
     return out
 
 
 def restored(code: Code, p: Pairs, nodes: np.ndarray) -> Runs:
     """The turn taken and the other at each node of all pairs' paths, from those of the new nodes alone."""
-    new, lengths = first_new(code, p.contexts, p.symbols), code.lengths[p.symbols]
+    new, lengths = first_new(code, p.keys, p.symbols), code.lengths[p.symbols]
     turns = Runs()
     turns.lengths, turns.starts = lengths, np.cumsum(lengths) - lengths
     sent = np.cumsum(np.maximum(lengths - new, 0)) - np.maximum(lengths - new, 0)
@@ -424,25 +434,27 @@ def _own_match(code: Code, s: Stream) -> tuple[np.ndarray, np.ndarray]:
     return shared, np.minimum(run, RUNS - 1).astype(np.int8)
 
 
-def pair_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
-    """Log odds of each turn of each pair's path, backed off to the shorter context of the same place."""
+def pair_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At each turn of each pair's path: log odds by the shorter context of the same place, log odds by the pair's
+    context, backed off to the shorter one, and the set of weights."""
     n = len(s.symbols)
     path = _paths(code.starts[p.symbols], turns.lengths)
-    share = code.share[path]
-    longer = np.flatnonzero(p.place >= n)
+    share, short = code.share[path], code.odds[path]
     on, off = TURN_ON[turns.values] + BACK_OFF * share, TURN_OFF[turns.values] + BACK_OFF * (1 - share)
+    longer = np.flatnonzero(p.place >= n)
     if len(longer):  # of four bytes before: back off to the two bytes before
         own = _paths(turns.starts[longer], turns.lengths[longer])
         shorter = p.of[s.at_byte[p.place[longer] - n]]
         base = _paths(turns.starts[shorter], turns.lengths[longer])
         share = on[base] / (on[base] + off[base])
+        short[own] = np.log(on[base] / off[base])
         on[own], off[own] = TURN_ON[turns.values[own]] + BACK_OFF * share, TURN_OFF[turns.values[own]] + BACK_OFF * (1 - share)
-    return np.log(on / off)
+    return short, np.log(on / off), code.gates[path]
 
 
 # What the text's own match says of a turn: nothing, against it, for it; after 0, 1, 2 or more matches in a row.
 MATCH_INPUT = np.stack([0 * MATCH_ODDS, -MATCH_ODDS, MATCH_ODDS], 1).ravel()
-MATCH_GATE = np.repeat(np.arange(RUNS), 3).clip(1).astype(np.int16)
+MATCH_GATE = np.repeat(np.arange(RUNS), 3).clip(1)
 MATCH_GATE[::3] = 0
 
 
@@ -451,30 +463,28 @@ def mixed(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
     out = np.zeros(len(s.bounds) - 1)
     n = len(s.symbols)
     shared, run = _own_match(code, s)
-    odds = pair_odds(code, s, p, turns)
-    # The two corpus inputs of each symbol: words have their frequency and the word before, bytes two and four bytes before.
-    short = code.starts[s.symbols]
-    long = len(code.odds) + turns.starts[p.of[:n]]
-    short[s.at_byte] = long[s.at_byte]
-    long[s.at_byte] = len(code.odds) + turns.starts[p.of[n:]]
-    odds = np.concatenate([code.odds, odds])
+    inputs = pair_odds(code, s, p, turns)
+    # Where each symbol's turns are: words have one corpus context, bytes have the longer of theirs.
+    begin = turns.starts[p.of[:n]]
+    begin[s.at_byte] = turns.starts[p.of[n:]]
     sizes = np.diff(s.bounds)
     tile = 0
     while tile < len(sizes):  # consecutive texts with about TILE symbols
         stop = max(tile + 1, int(np.searchsorted(s.bounds, s.bounds[tile] + TILE, side="right")) - 1)
         docs = tile + np.argsort(-sizes[tile:stop], kind="stable")
-        out[docs] = _mixed_tile(code, s, odds, short, long, shared, run, docs)
+        out[docs] = _mixed_tile(code, s, inputs, begin, shared, run, docs)
         tile = stop
     return out
 
 
-def _mixed_tile(code: Code, s: Stream, odds, short, long, shared, run, docs: np.ndarray) -> np.ndarray:
+def _mixed_tile(code: Code, s: Stream, inputs, begin, shared, run, docs: np.ndarray) -> np.ndarray:
     """``docs`` are ordered by falling size, so that those with a further segment come first."""
-    sizes, begin = np.diff(s.bounds)[docs], s.bounds[docs]
+    short, long, gates = inputs
+    sizes, first = np.diff(s.bounds)[docs], s.bounds[docs]
     out = np.zeros(len(docs))
     weights = np.zeros((INPUTS, len(docs) * GATES), np.float32)
     weights[1:] = 1.0  # the longer corpus context, and the text's own match
-    bend = np.full((INPUTS, len(docs) * GATES), WEIGHT_PRIOR, np.float32)
+    bend = np.full(len(docs) * GATES, WEIGHT_PRIOR, np.float32)
     tilt, tilt_bend = np.zeros(len(docs) * BUCKETS, np.float32), np.full(len(docs) * BUCKETS, MAP_PRIOR, np.float32)
     for r in range(SEGMENTS):
         live = int(np.searchsorted(-sizes, -CUTS[r], side="left"))
@@ -482,36 +492,49 @@ def _mixed_tile(code: Code, s: Stream, odds, short, long, shared, run, docs: np.
             break
         going = int(np.searchsorted(-sizes, -CUTS[r + 1], side="left"))
         length = np.minimum(CUTS[r + 1], sizes[:live]) - CUTS[r]
-        at = _paths(begin[:live] + CUTS[r], length)
-        symbol = s.symbols[at]
-        n_bits = code.lengths[symbol]
+        at = _paths(first[:live] + CUTS[r], length)
+        n_bits = code.lengths[s.symbols[at]]
         upto = np.cumsum(n_bits)
-        depth = np.arange(int(upto[-1]), dtype=np.int32) - np.repeat((upto - n_bits).astype(np.int32), n_bits)
-        step = np.repeat(code.starts[symbol].astype(np.int32), n_bits) + depth
+        event = np.arange(int(upto[-1]))
+        turn = event + np.repeat(begin[at] - upto + n_bits, n_bits)
         # All log odds are those of the turn taken, so the wanted outcome is always 1.
-        x = [odds[np.repeat(short[at], n_bits) + depth], odds[np.repeat(long[at], n_bits) + depth]]
-        said = np.repeat(run[at] * np.int8(3), n_bits) + (np.clip(np.repeat(shared[at], n_bits) - depth, -1, 1) + 1).astype(np.int8)
-        x.append(MATCH_INPUT[said])
+        x = [short[turn], long[turn]]
+        # Turns that the guess still shares: more than none speaks for the turn taken, none against it.
+        left = np.repeat(shared[at] + upto - n_bits, n_bits)
+        left -= event
+        np.minimum(np.maximum(left, -1, out=left), 1, out=left)
+        left += np.repeat(run[at] * 3 + 1, n_bits)
+        x.append(MATCH_INPUT[left])
         doc_bits = np.add.reduceat(n_bits, np.cumsum(length) - length)
-        doc = np.repeat(np.arange(live, dtype=np.int32), doc_bits)
-        key = doc * GATES + code.gates[step] + MATCH_GATE[said]
-        z = weights[0][key] * x[0] + weights[1][key] * x[1] + weights[2][key] * x[2]
-        np.clip(z, -11.9, 11.9, out=z)
-        sign = code.signs[step]
-        bucket = doc * BUCKETS + ((z * sign + 12) * (BUCKETS / 24)).astype(np.int32)
-        z += sign * tilt[bucket]
+        key = np.repeat(np.arange(live) * GATES, doc_bits)
+        key += gates[turn]
+        key += MATCH_GATE[left]
+        z = weights[0][key]
+        z *= x[0]
+        for i in (1, 2):
+            more = weights[i][key]
+            more *= x[i]
+            z += more
+        np.minimum(np.maximum(z, np.float32(-11.9), out=z), np.float32(11.9), out=z)
+        # The map adds to the size of the log odds, whichever turn they favour.
+        bucket = np.repeat(np.arange(live) * BUCKETS, doc_bits)
+        bucket += (np.abs(z) * np.float32(BUCKETS / 12)).astype(np.int64)
+        side = np.copysign(np.float32(1), z)
+        z += side * tilt[bucket]
         chance = 1 / (1 + np.exp(-z))
         out[:live] += np.add.reduceat(np.log(chance), np.cumsum(doc_bits) - doc_bits, dtype=np.float64)
         if going:
             m = int(doc_bits[:going].sum())
             error, key, bucket = 1 - chance[:m], key[:m], bucket[:m]
             curve = chance[:m] * error
+            x = [v[:m] for v in x]
+            size = x[0] * x[0] + x[1] * x[1] + x[2] * x[2]
+            size *= curve
+            bend += np.bincount(key, weights=size, minlength=len(bend))
             for i in range(INPUTS):
-                v = x[i][:m]
-                bend[i] += np.bincount(key, weights=curve * v * v, minlength=bend.shape[1])
-                weights[i] += np.bincount(key, weights=error * v, minlength=bend.shape[1]) / bend[i]
+                weights[i] += np.bincount(key, weights=error * x[i], minlength=len(bend)) / bend
             tilt_bend += np.bincount(bucket, weights=curve, minlength=len(tilt))
-            tilt += np.bincount(bucket, weights=error * sign[:m], minlength=len(tilt)) / tilt_bend
+            tilt += np.bincount(bucket, weights=error * side[:m], minlength=len(tilt)) / tilt_bend
     return out
 
 
@@ -668,7 +691,7 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _requests(shared, parts: int):
-    names = ["part", "bundle", "block", "contexts", "runs", "symbols", "counts", "words", "word_counts"]
+    names = ["part", "bundle", "block", "keys", "counts", "words", "word_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
@@ -682,18 +705,15 @@ def _requests(shared, parts: int):
                 words, of = rare_words(s)
                 own = np.repeat(training, s.n_words)[s.known < 0]
                 word_counts = np.bincount(of, weights=own, minlength=len(words)).astype(np.uint32)
-                cut, word_cut = _ranges(p.contexts, parts), _ranges(words, parts)
+                cut, word_cut = _ranges(p.keys, parts), _ranges(words, parts)
                 out = []
                 for i in range(parts):
                     a, b, c, d = cut[i], cut[i + 1], word_cut[i], word_cut[i + 1]
                     if a < b or c < d:
-                        contexts = p.contexts[a:b]
-                        first = np.flatnonzero(np.concatenate([np.ones(min(1, b - a), bool), contexts[1:] != contexts[:-1]]))
-                        runs = np.diff(np.append(first, b - a)).astype(np.uint32)
-                        columns = (_steps(contexts[first]), runs, _steps(code.leaf[p.symbols[a:b]].astype(np.int32)), counts[a:b], _steps(words[c:d]), word_counts[c:d])
+                        columns = (_steps(p.keys[a:b]), counts[a:b], _steps(words[c:d]), word_counts[c:d])
                         out.append((i, row["bundle"].as_py(), row["block"].as_py(), *map(_packed, columns)))
                 if out:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
@@ -704,24 +724,23 @@ def _answered(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        of_leaf = np.argsort(code.leaf).astype(np.int32)
-        where, contexts, symbols, counts, words, word_counts = [], [], [], [], [], []
+        where, keys, counts, words, word_counts = [], [], [], [], []
         for batch in batches:
-            for *place, c, r, s, n, w, m in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                contexts.append(np.repeat(_summed(c, np.uint64), _unpacked(r, np.uint32)))
-                symbols.append(of_leaf[_summed(s, np.int32)])
+            for *place, k, n, w, m in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                keys.append(_summed(k, np.uint64))
                 counts.append(_unpacked(n, np.uint32))
                 words.append(_summed(w, np.uint64))
                 word_counts.append(_unpacked(m, np.uint32))
                 where.append(place)
         if not where:
             return
-        runs, of = answers(code, *map(np.concatenate, (contexts, symbols, counts)))
+        runs, of = answers(code, np.concatenate(keys), np.concatenate(counts))
         place, word_of = _dense(np.concatenate(words))
         total = np.bincount(word_of, weights=np.concatenate(word_counts), minlength=len(place)).astype(np.int64)
         a = c = 0
-        for (part, bundle, block), k, x, y in zip(where, contexts, symbols, words):
-            new, pair = first_new(code, k, x), of[a : a + len(x)]
+        leaf = (np.uint64(1) << LEAF_BITS) - np.uint64(1)
+        for (part, bundle, block), x, y in zip(where, keys, words):
+            new, pair = first_new(code, x, code.of_leaf[(x & leaf).astype(np.int64)]), of[a : a + len(x)]
             turns = runs.values[_paths(runs.starts[pair] + new, np.maximum(runs.lengths[pair] - new, 0))]
             own = total[word_of[c : c + len(y)]]
             yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(turns)], pa.binary()), pa.array([_packed(own)], pa.binary())], ["bundle", "block", "part", "turns", "word_counts"])
@@ -780,7 +799,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     table, buckets = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.format("parquet").bucketBy(buckets, "bundle").option("path", new_path(spark, "lm-blocks")).saveAsTable(table)
     packed = spark.table(table)
-    asked = packed.mapInArrow(_requests(code, parts), "part int, bundle long, block long, contexts binary, runs binary, symbols binary, counts binary, words binary, word_counts binary")
+    asked = packed.mapInArrow(_requests(code, parts), "part int, bundle long, block long, keys binary, counts binary, words binary, word_counts binary")
     answered = asked.repartitionById(parts, "part").mapInArrow(_answered(code), "bundle long, block long, part int, turns binary, word_counts binary")
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -42,6 +42,11 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of polynomial hashes, and of its inverse."""
+    return _power(BASE, "base", n), _power(_INVERSE, "inverse", n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX_1
     h = (h ^ (h >> np.uint64(27))) * MIX_2

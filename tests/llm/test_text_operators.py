@@ -161,7 +161,7 @@ def scored_directly(code, texts, training):
     results = []
     for text in texts:
         follows, run, at, total = {}, 0, 0, 0.0
-        weights, bend = collections.defaultdict(lambda: [0.0, 1.0, 1.0]), collections.defaultdict(lambda: [m.WEIGHT_PRIOR] * 3)
+        weights, bend = collections.defaultdict(lambda: [0.0, 1.0, 1.0]), collections.defaultdict(lambda: m.WEIGHT_PRIOR)
         tilt, tilt_bend = collections.defaultdict(float), collections.defaultdict(lambda: m.MAP_PRIOR)
         all_steps = steps(text)
         for cut in range(m.SEGMENTS):
@@ -177,8 +177,8 @@ def scored_directly(code, texts, training):
                         said, state, agreed = m.MATCH_ODDS[run] * (1 if right else -1), max(run, 1), right
                     gate = (node >= len(code.hashes) + 1, min(d // 3, m.DEPTHS - 1), state)
                     z = max(-11.9, min(11.9, sum(w * v for w, v in zip(weights[gate], [*x, said]))))
-                    sign = 1 if bit else -1
-                    bucket = int((z * sign + 12) * (m.BUCKETS / 24))
+                    sign = math.copysign(1, z)
+                    bucket = int(abs(z) * (m.BUCKETS / 12))
                     z += sign * tilt[bucket]
                     chance = 1 / (1 + math.exp(-z))
                     total += math.log(chance)
@@ -187,13 +187,12 @@ def scored_directly(code, texts, training):
                 follows[own] = symbol
             gains, maps = collections.defaultdict(lambda: [0.0] * 3), collections.defaultdict(float)
             for gate, x, chance, bucket, sign in events:
-                for i in range(3):
-                    bend[gate] = [b + (chance * (1 - chance) * x[i] ** 2 if j == i else 0) for j, b in enumerate(bend[gate])]
-                    gains[gate][i] += (1 - chance) * x[i]
+                bend[gate] += chance * (1 - chance) * sum(v * v for v in x)
+                gains[gate] = [g + (1 - chance) * v for g, v in zip(gains[gate], x)]
                 tilt_bend[bucket] += chance * (1 - chance)
                 maps[bucket] += (1 - chance) * sign
             for gate, gain in gains.items():
-                weights[gate] = [w + g / b for w, g, b in zip(weights[gate], gain, bend[gate])]
+                weights[gate] = [w + g / bend[gate] for w, g in zip(weights[gate], gain)]
             for bucket, gain in maps.items():
                 tilt[bucket] += gain / tilt_bend[bucket]
         results.append(total)
