@@ -26,7 +26,7 @@ from graphloom.llm.memo import Codes, Runs, grouped
 from graphloom.llm.textarrays import blocks, bounded_batches, free_name, ragged, text_bytes
 
 #: Words that a worker keeps with their ids; beyond it the memory starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 #: Ids decoded at once.
 DECODE_IDS = 1 << 18
 
