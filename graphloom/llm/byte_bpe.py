@@ -26,7 +26,7 @@ from graphloom.llm.memo import Codes, Runs, grouped
 from graphloom.llm.textarrays import blocks, bounded_batches, free_name, ragged, text_bytes
 
 #: Words that a worker keeps with their ids; beyond it the memory starts anew.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 80_000
 #: Ids decoded at once.
 DECODE_IDS = 1 << 18
 
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                     begun = char[np.minimum(end - width + 1, len(data))] - 1 - first
                     out += [ragged(begun.astype(np.int32), bounds), ragged((char[end] - first).astype(np.int32), bounds)]
                 yield pa.RecordBatch.from_arrays(out, keep + extra)
-        encoder.reset()  # an idle worker holds no words
+        _encoder.cache_clear()  # an idle worker holds no words and no model
 
     schema = docs.select(*keep).schema
     for c in extra:
@@ -233,7 +233,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                 of_ids = [hashlib.sha256(" ".join(map(names.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]
                 of_text = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(cuts)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.reset()  # an idle worker holds no words
+        _encoder.cache_clear()  # an idle worker holds no words and no model
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

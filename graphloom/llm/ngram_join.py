@@ -48,7 +48,7 @@ MAX_FREQUENT = 1 << 19
 MIN_FREQUENT = 8
 #: Most document ids that are broadcast to find the texts of candidate pairs.
 MAX_BROADCAST_IDS = 1 << 20
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Entries of a block of an index list that is a key of its own, and of the smaller blocks in it.
 KEY_BLOCK, LIST_BLOCK = 4096, 64
 
