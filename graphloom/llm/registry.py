@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "quality", "context_mixing", "mixing", "token_files", "licenses", "byte_bpe", "ball_tree", "warc", "ngram_join", "exact_dedup", "filter_audit"]
+MODULES = ["minhash", "quality", "context_mixing", "mixing", "token_files", "licenses", "byte_bpe", "ball_tree", "warc", "ngram_join", "exact_dedup", "filter_audit", "whitening"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
