@@ -57,6 +57,18 @@ def report(snapshots: DataFrame, versions: DataFrame, gone: DataFrame) -> DataFr
     return freed.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(kept)).select("freed_snapshots", (F.col("total") - F.col("kept")).alias("freed_versions"))  # one row each
 
 
+def freed_by_snapshot(versions: DataFrame, gone: DataFrame) -> DataFrame:
+    """(snapshot_id, begins, ends): how many versions begin and end at each snapshot that goes, zeros included.
+
+    Versions are counted per point before they meet the snapshots, so what moves is a row per point.
+    """
+    ids = gone.select(F.col("id").alias("snapshot_id")).distinct()
+    points = versions.select(F.col("visible_from").alias("at"), F.lit(1).cast("long").alias("begins"), F.lit(0).cast("long").alias("ends"))
+    points = points.unionAll(versions.where(F.col("visible_until").isNotNull()).select("visible_until", F.lit(0).cast("long"), F.lit(1).cast("long")))
+    counts = points.groupBy("at").agg(F.sum("begins").alias("begins"), F.sum("ends").alias("ends"))
+    return ids.join(counts, F.col("snapshot_id") == F.col("at"), "left").na.fill(0, ["begins", "ends"]).select("snapshot_id", "begins", "ends")
+
+
 def newest_rank(snapshots: DataFrame) -> DataFrame:
     """Rank of each snapshot within its kind, the newest first."""
     order = Window.partitionBy("kind").orderBy(F.desc("created_at"), F.desc("id"))

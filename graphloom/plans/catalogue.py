@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.functions import ids
 from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
-from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, visibility
+from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, sweep, visibility
 from graphloom.plans import context
 from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.sources import tree
@@ -197,10 +197,28 @@ def _(t):
     return t.nodes.select("id").join(t.uses, "id", "left").na.fill(0, ["times_included"]).select("id", "times_included", F.least(F.col("times_included") * 5, F.lit(100)).cast("long").alias("boost"))
 
 
-@query("j14_live_versions", with_ctes("versions snapshots", "SELECT s.id AS snapshot_id, count(*) AS live, sum(v.identity)::BIGINT AS checksum FROM snapshots s JOIN versions v ON v.visible_from <= s.id AND (v.visible_until IS NULL OR v.visible_until > s.id) GROUP BY s.id"))
+@query("j14_live_versions", with_ctes("versions snapshots", "SELECT s.id AS snapshot_id, count(v.identity) AS live, coalesce(sum(v.identity), 0)::BIGINT AS checksum FROM snapshots s LEFT JOIN versions v ON v.visible_from <= s.id AND (v.visible_until IS NULL OR v.visible_until > s.id) GROUP BY s.id"))
 def _(t):
-    live = visibility.live_versions(t.versions, t.snapshots.select("id"))
-    return live.groupBy("snapshot_id").agg(F.count("*").alias("live"), F.sum("identity").alias("checksum"))
+    return sweep.live_at(t.versions, t.snapshots, checksum=F.col("identity"))
+
+
+@query("j14_live_by_file", with_ctes("versions nodes", """SELECT file_path, since, until, live, checksum FROM (
+    SELECT file_path, pt AS since, lead(pt) OVER w AS until, (sum(d) OVER w)::BIGINT AS live, (sum(s) OVER w)::BIGINT AS checksum FROM (
+      SELECT file_path, pt, sum(d) AS d, sum(d * identity) AS s FROM (SELECT file_path, identity, visible_from AS pt, 1 AS d FROM versions JOIN nodes ON identity = id
+        UNION ALL SELECT file_path, identity, visible_until, -1 FROM versions JOIN nodes ON identity = id WHERE visible_until IS NOT NULL) GROUP BY file_path, pt HAVING sum(d) <> 0 OR sum(d * identity) <> 0)
+    WINDOW w AS (PARTITION BY file_path ORDER BY pt)) WHERE live <> 0"""))
+def _(t):
+    files = t.nodes.select(F.col("id").alias("identity"), "file_path")
+    return sweep.live_spans(t.versions.join(files, "identity"), ["file_path"], checksum=F.col("identity"))
+
+
+@query("a15_freed_by_snapshot", with_ctes("versions snapshots", f"""SELECT s.id AS snapshot_id, coalesce(b.n, 0)::BIGINT AS begins, coalesce(e.n, 0)::BIGINT AS ends FROM snapshots s
+  LEFT JOIN (SELECT visible_from AS pt, count(*) AS n FROM versions GROUP BY 1) b ON b.pt = s.id LEFT JOIN (SELECT visible_until AS pt, count(*) AS n FROM versions GROUP BY 1) e ON e.pt = s.id
+  WHERE s.id IN (FROM victims)""", more=f"""
+victims AS (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') AND created_at < {NOW - 30 * 86400}
+  AND id NOT IN (SELECT id FROM snapshots WHERE kind IN ('anonymous', 'working_tree') ORDER BY created_at DESC, id DESC LIMIT {KEEP}))"""))
+def _(t):
+    return collection.freed_by_snapshot(t.versions, collection.victims(t.snapshots, NOW, KEEP))
 
 
 @query("j15_keyword_match", with_ctes("nodes", "SELECT id, k AS keyword FROM nodes, (VALUES ('fix'), ('small_ring'), ('hot')) w(k) WHERE contains(lower(name), k) OR contains(lower(qualified_name), k)"))
