@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.functions import ids
 from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
-from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, sweep, visibility
+from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, sweep, text_index, visibility
 from graphloom.plans import context
 from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.sources import tree
@@ -64,6 +64,21 @@ def _(t):
     return graph.search(t.nodes, "RING").select("id", "name", "qualified_name").orderBy("qualified_name", "id")
 
 
+@query("p5_indexed_search", with_ctes("nodes", "SELECT id, name, qualified_name FROM nodes WHERE contains(lower(name), 'mall_ring') OR contains(lower(qualified_name), 'mall_ring')"))
+def _(t):
+    index = text_index.TextIndex.build(t.nodes, ["name", "qualified_name"])
+    return index.search("mall_RING").select("id", "name", "qualified_name")
+
+
+@query("p5_search_many", with_ctes("nodes", """SELECT needle, id FROM nodes JOIN (SELECT upper(right(p_name, 6)) AS needle FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT p_brand || '::' || left(p_name, 3) FROM part UNION SELECT p_type FROM part) n
+  ON contains(lower(name), lower(needle)) OR contains(lower(qualified_name), lower(needle))"""))
+def _(t):
+    part = t.read("part")
+    sides = [F.upper(F.right("p_name", F.lit(6))), F.left("p_name", F.lit(2)), F.concat("p_brand", F.lit("::"), F.left("p_name", F.lit(3))), F.col("p_type")]
+    needles = part.select(F.explode(F.array(*sides)).alias("needle"))
+    return text_index.TextIndex.build(t.nodes, ["name", "qualified_name"]).search_many(needles)
+
+
 @query("p6_point_lookup", with_ctes("nodes", "SELECT id, name, file_path FROM nodes WHERE id = 42"))
 def _(t):
     return t.nodes.where("id = 42").select("id", "name", "file_path")
