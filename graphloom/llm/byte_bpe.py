@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from graphloom.llm.memo import Codes, Runs, grouped
-from graphloom.llm.textarrays import blocks, bounded_batches, free_name, ragged, text_bytes
+from graphloom.llm.textarrays import blocks, bounded_batches, free_name, ragged, text_bytes, trimmed
 
 #: Words that a worker keeps with their ids; beyond it the memory starts anew.
 MEMO_WORDS = 80_000
@@ -170,12 +170,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                     begun = char[np.minimum(end - width + 1, len(data))] - 1 - first
                     out += [ragged(begun.astype(np.int32), bounds), ragged((char[end] - first).astype(np.int32), bounds)]
                 yield pa.RecordBatch.from_arrays(out, keep + extra)
-        _encoder.cache_clear()  # an idle worker holds no words and no model
 
     schema = docs.select(*keep).schema
     for c in extra:
         schema = schema.add(c, ArrayType(IntegerType()))
-    return docs.select(*keep, F.col(text).cast("string").alias(own)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias(own)).mapInArrow(trimmed(run, _encoder.cache_clear), schema)
 
 
 def joined_bytes(ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +232,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                 of_ids = [hashlib.sha256(" ".join(map(names.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]
                 of_text = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(cuts)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        _encoder.cache_clear()  # an idle worker holds no words and no model
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run, _encoder.cache_clear), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_ranks(path: str | None = None) -> tuple[dict[bytes, int], str]:

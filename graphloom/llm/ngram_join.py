@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.textarrays import blocks, bounded_batches, distinct_sorted, free_name, ragged, shingles
+from graphloom.llm.textarrays import blocks, bounded_batches, distinct_sorted, free_name, ragged, shingles, trimmed
 from graphloom.operators.components import connected_components
 from graphloom.sources.shared_storage import drop_shared, write_shared
 
@@ -128,8 +128,8 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
     """(keys ascending, class of frequency, bits of a key): at most MAX_FREQUENT keys, counted over all texts."""
     spark = docs.sparkSession
     parts = _partitions(spark)
-    packed = docs.select("text").mapInArrow(_packed_counts(k, parts), "part int, keys binary, counts binary")
-    counted, path = write_shared(packed.repartitionById(parts, "part").mapInArrow(_merged_counts(MIN_FREQUENT), "key long, df long"), "shingle-df")
+    packed = docs.select("text").mapInArrow(trimmed(_packed_counts(k, parts)), "part int, keys binary, counts binary")
+    counted, path = write_shared(packed.repartitionById(parts, "part").mapInArrow(trimmed(_merged_counts(MIN_FREQUENT)), "key long, df long"), "shingle-df")
     level = F.floor(F.log2("df")).cast("int")
     start, total = 63, 0
     for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 63 levels at most
@@ -281,7 +281,7 @@ def _candidates(lists: DataFrame, placed: DataFrame, num: int, den: int, parts:
     dealt = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", F.col("n").cast("long"), F.col("pos").cast("long"), "block")
     dealt = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(_cross_pairs(num, den)), "a long, b long").distinct()
 
 
 def _sets(k: int):
@@ -349,11 +349,11 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: in
     own = ids.select(F.col("first_id").alias("id"))
     few = ids.count() <= MAX_BROADCAST_IDS
     texts = docs.join(F.broadcast(own) if few else own, docs["doc_id"].eqNullSafe(own["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "digest binary, shingles array<long>").dropDuplicates(["digest"])
+    sets = texts.mapInArrow(trimmed(_sets(k)), "digest binary, shingles array<long>").dropDuplicates(["digest"])
     sets, path = write_shared(sets.join(ids.select("digest", "node"), "digest").select("node", "shingles"), "candidate-sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     schema = "a long, b long, overlap long" + (", lacks array<long>, adds array<long>" if differences else "")
-    links, links_path = write_shared(both.select("a", "b", "left", "right").mapInArrow(_linked(num, den, differences), schema), "links")
+    links, links_path = write_shared(both.select("a", "b", "left", "right").mapInArrow(trimmed(_linked(num, den, differences)), schema), "links")
     drop_shared(spark, ids_path, path)
     return links, links_path
 
@@ -379,12 +379,12 @@ def _index(docs: DataFrame, k: int, num: int, den: int) -> Index:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed, _ = write_shared(docs.mapInArrow(_signatures(k, num, den, frequent), f"doc_id {id_type}, n long, digest binary, prefix array<long>"), "signatures")
+    signed, _ = write_shared(docs.mapInArrow(trimmed(_signatures(k, num, den, frequent)), f"doc_id {id_type}, n long, digest binary, prefix array<long>"), "signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes, nodes_path = write_shared(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("int").alias("pos"))
     entries = entries.repartition(parts, "token").sortWithinPartitions("token")
-    lists, lists_path = write_shared(entries.mapInArrow(_lists, "token long, node long, n int, pos int"), "lists")
+    lists, lists_path = write_shared(entries.mapInArrow(trimmed(_lists), "token long, node long, n int, pos int"), "lists")
     heads = lists.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("x"), "n", "node", "pos")).alias("h"))
     need = F.ceil((F.col("n") + F.col("h.n")) * F.lit(num) / F.lit(num + den))
     star = lists.join(heads, "token").where((F.col("node") != F.col("h.node")) & (F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")) >= need))
@@ -418,7 +418,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     same = F.coalesce(F.col("head_a") == F.col("head_b"), F.lit(False))
     sized = met.where(same).join(x.nodes.select(F.col("node").alias("head_a"), "n"), "head_a")
-    derived, derived_path = write_shared(sized.select("a", "b", "n", "lacks_a", "adds_a", "lacks_b", "adds_b").mapInArrow(_derived(num, den), "a long, b long, overlap long"), "derived")
+    derived, derived_path = write_shared(sized.select("a", "b", "n", "lacks_a", "adds_a", "lacks_b", "adds_b").mapInArrow(trimmed(_derived(num, den)), "a long, b long, overlap long"), "derived")
     whole, whole_path = _verify(x.docs, x.nodes, met.where(~same).select("a", "b"), k, num, den)
     first = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").distinct()
     links, _ = write_shared(first.unionAll(derived).unionAll(whole), "all-links")

@@ -6,7 +6,9 @@ block of many documents at once; a block holds about ``BLOCK_BYTES`` of text, or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,27 @@ def bounded_batches(spark) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def trimmed(run: Callable, *clear: Callable[[], None]) -> Callable:
+    """``run`` over a task's batches; at its end, or failure, caches are cleared and freed memory goes back to the system.
+
+    Workers wait idle for further tasks, and an executor's memory has to hold them beside Spark and each other.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for done in clear:
+                done()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offsets of the texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
