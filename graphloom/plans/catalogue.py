@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.functions import ids
 from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
-from graphloom.operators import changes, collection, dedup, feedback, graph, resolver, statistics, sweep, text_index, visibility
-from graphloom.plans import context
+from graphloom.operators import changes, collection, dedup, feedback, graph, packing, resolver, statistics, sweep, text_index, visibility
+from graphloom.plans import context, many_tasks
 from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.sources import tree
 from graphloom.streaming import overlay_state
@@ -417,6 +417,43 @@ def _(t):
     return context.pack_rows(context.context_plan(t.nodes, t.calls, t.uses, TASK)).select("id", "cost", "rank")
 
 
+@query("o5_pack_budgets", with_ctes("nodes calls uses", """SELECT p.budget, r.id, row_number() OVER (PARTITION BY p.budget ORDER BY r.rn)::INTEGER AS rank FROM ranked r JOIN packs p ON p.rn = r.rn WHERE p.kept""", recursive=True, more=_CANDIDATES + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, qualified_name, id) AS rn FROM candidates),
+packs AS (SELECT DISTINCT 0::BIGINT AS rn, p_size::BIGINT * 100 AS budget, p_size::BIGINT * 100 AS remaining, false AS kept FROM part UNION ALL
+  SELECT r.rn, p.budget, CASE WHEN r.cost <= p.remaining THEN p.remaining - r.cost ELSE p.remaining END, r.cost <= p.remaining FROM packs p JOIN ranked r ON r.rn = p.rn + 1)"""))
+def _(t):
+    found = context.candidates(t.nodes, t.calls, t.uses, TASK).withColumn("task", F.lit("one"))
+    budgets = t.read("part").select(F.lit("one").alias("task"), (F.col("p_size") * 100).alias("budget")).distinct()
+    return packing.pack(found, budgets).select("budget", "id", "rank")
+
+
+@query("a9_task_anchors", with_ctes("nodes customers tasks", "SELECT task, id, anchor FROM task_anchors"))
+def _(t):
+    return many_tasks.anchors(t.tasks("customer", "c_custkey"), t.nodes)
+
+
+_MANY = """
+near AS (SELECT task, id, max(part)::INTEGER AS near FROM (SELECT task, dst AS id, anchor * 2 // 5 AS part FROM calls JOIN task_anchors a ON a.id = src
+  UNION ALL SELECT task, src, anchor * 2 // 5 FROM calls JOIN task_anchors a ON a.id = dst) GROUP BY ALL),
+scored AS (SELECT t.task, t.budget, n.id, n.name, n.qualified_name, n.file_path, greatest(n.byte_len // 4, 16) AS cost, coalesce(a.anchor, 0) AS anchor, coalesce(p.near, 0) AS near,
+    coalesce(u.times_included, 0) AS uses, coalesce(n.file_path = t.current_file, false) AS cur, list_contains(t.changed_files, n.file_path) AS dif
+  FROM tasks t CROSS JOIN nodes n LEFT JOIN task_anchors a ON a.id = n.id AND a.task = t.task LEFT JOIN near p ON p.id = n.id AND p.task = t.task LEFT JOIN uses u ON u.id = n.id),
+candidates AS (SELECT task, budget, id, name, qualified_name, file_path, cost::BIGINT AS cost,
+    least(greatest(anchor, near) + CASE WHEN cur THEN 250 ELSE 0 END + CASE WHEN dif THEN 250 ELSE 0 END + least(uses * 5, 100), 1000)::INTEGER AS score,
+    concat_ws(' + ', CASE WHEN anchor = 1000 THEN 'exact name match' WHEN anchor > 0 THEN 'matches task token' END, CASE WHEN anchor = 0 AND near > 0 THEN 'near a task match' END,
+      CASE WHEN cur THEN 'current file' END, CASE WHEN dif THEN 'diff overlap' END, CASE WHEN uses > 0 THEN 'previously useful' END) AS reason
+  FROM scored WHERE greatest(anchor, near) + CASE WHEN cur THEN 250 ELSE 0 END + CASE WHEN dif THEN 250 ELSE 0 END > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, qualified_name, id) AS rn FROM candidates),
+pack AS (SELECT task, 0::BIGINT AS rn, CASE WHEN budget > 0 THEN budget ELSE 5000 END::BIGINT AS remaining, false AS kept FROM tasks UNION ALL
+  SELECT r.task, r.rn, CASE WHEN r.cost <= p.remaining THEN p.remaining - r.cost ELSE p.remaining END, r.cost <= p.remaining FROM pack p JOIN ranked r ON r.task = p.task AND r.rn = p.rn + 1)"""
+
+
+@query("c1_task_plans", with_ctes("nodes calls uses suppliers tasks", """SELECT r.task, r.id, r.name, r.qualified_name, r.file_path, r.score, r.reason, r.cost, p.kept,
+  CASE WHEN p.kept THEN row_number() OVER (PARTITION BY r.task, p.kept ORDER BY r.rn) END::INTEGER AS rank FROM ranked r JOIN pack p ON p.task = r.task AND p.rn = r.rn""", recursive=True, more=_MANY))
+def _(t):
+    return many_tasks.context_plans(t.tasks("supplier", "s_suppkey"), t.nodes, t.calls, t.uses)
+
+
 @query("a14_pack_budget", with_ctes("nodes calls uses", "SELECT 5000::BIGINT AS requested, sum(CASE WHEN p.kept THEN r.cost ELSE 0 END)::BIGINT AS estimated, count(*) FILTER (p.kept) AS items, count(*) FILTER (NOT p.kept) AS omitted FROM ranked r JOIN pack p ON p.rn = r.rn", recursive=True, more=_PACKED))
 def _(t):
     return context.pack_budget(context.context_plan(t.nodes, t.calls, t.uses, TASK), TASK)

@@ -97,6 +97,16 @@ class Tables:
     def uses(self) -> DataFrame:
         return self.read("events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("times_included"))
 
+    def tasks(self, owner: str, key: str) -> DataFrame:
+        """A task for each row of a table, about the part of its number and two files; budgets differ."""
+        n = self.nodes.select("id", "name", "file_path")
+        own = self.read(owner).select(F.col(key).alias("task"))
+        after = n.select((F.col("id") - 1).alias("task"), F.col("file_path").alias("next_file"))
+        rows = own.join(n, F.col("task") == F.col("id")).join(after, "task", "left")
+        text = F.concat(F.lit("Mend "), F.upper("name"), F.lit(" (#"), F.col("task").cast("string"), F.lit(")"))
+        files = F.when(F.col("next_file").isNotNull(), F.array("next_file", "file_path")).otherwise(F.array())
+        return rows.select("task", text.alias("text"), F.when(F.col("task") % 2 == 0, F.col("file_path")).alias("current_file"), F.when(F.col("task") % 3 == 0, files).otherwise(F.array()).alias("changed_files"), (F.col("task") % 7 * 400).alias("budget"))
+
 
 CTES = {
     "nodes": """nodes AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, p_brand || '::' || replace(p_name, ' ', '_') AS qualified_name,
@@ -123,9 +133,15 @@ CTES = {
   UNION ALL SELECT id, kind, id * 1000000 FROM nodes) r ON r.src = a.id)""",
     "feedback": """feedback AS (SELECT user_id AS identity_id, event_id AS seq, greatest(0, least(1000, floor(value * 10)))::BIGINT AS score,
   floor(epoch(ts))::BIGINT AS seen_at FROM events)""",
+    "tasks": r"""tasks AS (SELECT k AS task, 'Mend ' || upper(n.name) || ' (#' || k || ')' AS text, CASE WHEN k % 2 = 0 THEN n.file_path END AS current_file,
+  CASE WHEN k % 3 = 0 AND m.id IS NOT NULL THEN [m.file_path, n.file_path] ELSE [] END AS changed_files, k % 7 * 400 AS budget FROM owners JOIN nodes n ON n.id = k LEFT JOIN nodes m ON m.id = k + 1),
+task_words AS (SELECT DISTINCT task, lower(w) AS word FROM (SELECT task, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_]+')) AS w FROM tasks) WHERE strlen(w) >= 3),
+task_anchors AS (SELECT task, id, max(CASE WHEN lower(name) = word THEN 1000 ELSE 600 END)::INTEGER AS anchor FROM task_words JOIN nodes ON contains(lower(name), word) OR contains(lower(qualified_name), word) GROUP BY ALL)""",
+    "customers": "owners AS (SELECT c_custkey AS k FROM customer)",
+    "suppliers": "owners AS (SELECT s_suppkey AS k FROM supplier)",
     "uses": "uses AS (SELECT user_id AS id, count(*) AS times_included FROM events GROUP BY user_id)",
 }
-NEEDS = {"calls": ["bag"], "symbols": ["nodes"], "refs": ["nodes", "bag", "calls"]}
+NEEDS = {"calls": ["bag"], "symbols": ["nodes"], "refs": ["nodes", "bag", "calls"], "tasks": ["nodes"]}
 
 
 def with_ctes(names: str, body: str, recursive: bool = False, more: str = "") -> str:
