@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import contains_any_case
+from graphloom.operators import reach
 from graphloom.operators.visibility import visible_at
 from graphloom.schemas import EDGE_KINDS
-from graphloom.sources.shared_storage import drop_shared, write_shared
 
 
 def named(nodes: DataFrame, name: str) -> DataFrame:
@@ -54,30 +54,21 @@ def degrees(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").na.fill(0, ["callers", "callees"])
 
 
+def _backwards(calls: DataFrame) -> DataFrame:
+    return calls.select(F.col("dst").alias("at"), F.col("src").alias("to"))
+
+
 def reverse_reach(calls: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(id, depth): every transitive caller of the ``start`` ids at its smallest depth, up to ``max_depth``.
 
-    The start itself is never reported, in cycles either. What was seen is one table, written to the
-    shared folder after each round, so the plan stays short; a round joins its last ring to the edges and
-    takes the smallest depth of each id, which keeps what was seen before.
+    The start itself is never reported, in cycles either.
     """
-    spark = calls.sparkSession
-    steps, steps_path = write_shared(calls.select("src", "dst").distinct(), "reverse-edges") if max_depth > 1 else (calls.select("src", "dst"), None)
-    seen, path, size = start.select("id").distinct().withColumn("depth", F.lit(0)), None, -1
-    for depth in range(1, max_depth + 1):
-        ring = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("dst"))
-        found = steps.join(ring, "dst", "left_semi").select(F.col("src").alias("id"), F.lit(depth).alias("depth"))
-        new, new_path = write_shared(seen.unionAll(found).groupBy("id").agg(F.min("depth").alias("depth")), "reached")
-        if path:
-            drop_shared(spark, path)
-        seen, path = new, new_path
-        now = seen.count()
-        if now == size:
-            break
-        size = now
-    if steps_path:
-        drop_shared(spark, steps_path)
-    return seen.where("depth > 0")
+    return reach.distances(_backwards(calls), start, max_depth)
+
+
+def reverse_reach_of_each(calls: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(group, id, depth): the transitive callers of each group of ``starts`` (group, id), all groups in one walk."""
+    return reach.reach(_backwards(calls), starts, max_depth).pairs()
 
 
 def explained(nodes: DataFrame, calls: DataFrame, versions_changed: DataFrame, identity: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
@@ -98,3 +89,10 @@ def impact(nodes: DataFrame, calls: DataFrame, start: DataFrame, max_depth: int)
     reached = reverse_reach(calls, start, max_depth).join(nodes, "id")
     is_test = contains_any_case(F.col("name"), "test") | contains_any_case(F.col("file_path"), "test")
     return reached.groupBy("file_path").agg(F.count("*").alias("symbols"), F.min("depth").alias("nearest"), F.sum(is_test.cast("int")).alias("tests"))
+
+
+def impact_of_each(nodes: DataFrame, calls: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(group, file_path, symbols, nearest, tests): as ``impact``, for each group of ``starts`` (group, id) in one walk."""
+    reached = reverse_reach_of_each(calls, starts, max_depth).join(nodes, "id")
+    is_test = contains_any_case(F.col("name"), "test") | contains_any_case(F.col("file_path"), "test")
+    return reached.groupBy("group", "file_path").agg(F.count("*").alias("symbols"), F.min("depth").alias("nearest"), F.sum(is_test.cast("int")).alias("tests"))

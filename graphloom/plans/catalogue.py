@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.functions import ids
 from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
-from graphloom.operators import changes, collection, dedup, feedback, graph, packing, resolver, statistics, sweep, text_index, visibility
+from graphloom.operators import changes, collection, dedup, feedback, graph, keyword_match, packing, resolver, statistics, sweep, text_index, visibility
 from graphloom.plans import context, many_tasks
 from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.sources import tree
@@ -243,6 +243,11 @@ def _(t):
     return t.nodes.select("id", F.explode(hit).alias("keyword"))
 
 
+@query("j15_task_words", with_ctes("nodes customers tasks", "SELECT id, word, lower(name) = word AS whole FROM (SELECT DISTINCT word FROM task_words) JOIN nodes ON contains(lower(name), word) OR contains(lower(qualified_name), word)"))
+def _(t):
+    return keyword_match.matches(t.nodes, many_tasks.task_words(t.tasks("customer", "c_custkey")))
+
+
 _EDGES = f"""
 resolved AS ({_RESOLVED}),
 known AS (SELECT o.from_identity AS src, r.to_name, r.target, r.reason, r.ord FROM resolved r JOIN
@@ -513,6 +518,23 @@ def _(t):
     return graph.impact(t.nodes.withColumn("file_path", path), t.calls, _most_called(t), 3)
 
 
+@query("g3_reach_of_each", with_ctes("nodes calls", """SELECT start, count(*) FILTER (depth = 1) AS direct, count(*) AS reached, sum(id * depth)::BIGINT AS checksum FROM (
+  SELECT start, id, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0) GROUP BY start""", recursive=True, more="""
+walk AS (SELECT id AS start, id, 0 AS depth FROM nodes UNION SELECT w.start, s.src, w.depth + 1 FROM walk w JOIN calls s ON s.dst = w.id WHERE w.depth < 2)"""))
+def _(t):
+    found = graph.reverse_reach_of_each(t.calls, t.nodes.select(F.col("id").alias("group"), "id"), 2)
+    direct = F.count(F.when(F.col("depth") == 1, 1)).alias("direct")
+    return found.groupBy(F.col("group").alias("start")).agg(direct, F.count("*").alias("reached"), F.sum(F.col("id") * F.col("depth")).alias("checksum"))
+
+
+@query("g4_impact_of_files", with_ctes("nodes calls", """SELECT changed, file_path, count(*) AS symbols, min(depth)::INTEGER AS nearest, sum(CASE WHEN contains(lower(name), 'test') OR contains(lower(file_path), 'test') THEN 1 ELSE 0 END)::BIGINT AS tests
+  FROM (SELECT changed, id, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0) JOIN nodes USING (id) GROUP BY changed, file_path""", recursive=True, more="""
+walk AS (SELECT file_path AS changed, id, 0 AS depth FROM nodes UNION SELECT w.changed, s.src, w.depth + 1 FROM walk w JOIN calls s ON s.dst = w.id WHERE w.depth < 2)"""))
+def _(t):
+    starts = t.nodes.select(F.col("file_path").alias("group"), "id")
+    return graph.impact_of_each(t.nodes, t.calls, starts, 2).withColumnRenamed("group", "changed")
+
+
 @query("g5_explain", with_ctes("nodes calls versions", f"""SELECT file_path, count(*) AS symbols, min(depth) AS nearest FROM reach JOIN nodes USING (id) GROUP BY file_path""", recursive=True, more=f"""
 changed AS (SELECT identity AS id FROM (SELECT identity, version, bool_or(visible_from <= {AT} AND (visible_until IS NULL OR visible_until > {AT})) AS b,
   bool_or(visible_from <= {AT + 1} AND (visible_until IS NULL OR visible_until > {AT + 1})) AS h FROM versions GROUP BY ALL) WHERE b <> h GROUP BY identity),
