@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.schemas import EXTENSIONS, IGNORED
+from graphloom.sources.tree_source import SourceTree
 
 
 def language_of(path: Column) -> Column:
@@ -35,31 +36,16 @@ def _quoted(text: str) -> str:
     return r"\Q" + text.removeprefix("file://").replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, language, size_bytes, content) of every supported file below ``root``.
+def source_tree(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
+    """(rel_path, language, size_bytes, content) of every supported file below ``root``, by the data source of ``tree_source``.
 
     Contents that are not UTF-8 raise an error when they are read, so that a run never indexes half a
-    file. Only supported files outside ignored folders are read, and nothing is written. An empty tree
-    gives an empty result.
+    file. Filters on rel_path and language of the result reach the listing: other files are not opened.
+    Nothing is written; links to folders are not followed. An empty tree gives an empty result.
     """
-    tops = _unignored(spark, root)
-    if not tops:
-        return spark.createDataFrame([], "rel_path string, language string, size_bytes long, content string")
-    supported = "*.{" + ",".join(sorted(x for names in EXTENSIONS.values() for x in names)) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", supported).load(tops)
-    rel = relative(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root)
-    rows = found.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), "content").withColumn("language", language_of(F.col("rel_path")))
-    kept = rows.where(F.col("language").isNotNull() & ~is_ignored(F.col("rel_path")))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "rel_path")).cast("string"))
-    return kept.select("rel_path", "language", "size_bytes", text.alias("content"))
-
-
-def _unignored(spark: SparkSession, root: str) -> list[str]:
-    """What lies directly below the root, without ignored folders."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    named = [(f.getPath().getName(), f) for f in found]
-    return [f.getPath().toString() for name, f in named if not (f.isDirectory() and name in IGNORED) and (f.isDirectory() or any(name.endswith("." + x) for names in EXTENSIONS.values() for x in names))]
+    spark.dataSource.register(SourceTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(SourceTree.name()).option("contents", contents).load(root)
 
 
 def _git(repository: str, *args: str) -> str:
