@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.functions import ids
 from graphloom.functions.text import confidence, keywords, last_segment, parsed, payload, qualify, span_length, token_cost
-from graphloom.operators import changes, collection, dedup, feedback, graph, keyword_match, packing, resolver, statistics, sweep, text_index, visibility
+from graphloom.operators import changes, collection, dedup, digest_tree, feedback, graph, keyword_match, packing, resolver, statistics, sweep, text_index, visibility
 from graphloom.plans import context, many_tasks
 from graphloom.plans.stand_ins import Tables, with_ctes
 from graphloom.sources import tree
@@ -175,6 +175,26 @@ def _(t):
     return changes.detect(side("F"), side("P"), "o_custkey", "h")
 
 
+def _tree_at(t: Tables, snapshot: int) -> digest_tree.DigestTree:
+    """A file for each order, in folders by number; its content is what parts of it are visible."""
+    rows = visibility.visible_at(t.versions, snapshot).groupBy("version").agg(F.sum("identity").cast("string").alias("content_hash"))
+    part = lambda n: F.expr(f"version div {n}").cast("string")
+    return digest_tree.DigestTree.build(rows.select(F.concat(part(1000), F.lit("/"), part(100), F.lit("/"), F.col("version").cast("string")).alias("path"), "content_hash"))
+
+
+_AT_FILES = "SELECT (version // 1000) || '/' || (version // 100) || '/' || version AS path, sum(identity)::VARCHAR AS h FROM versions WHERE visible_from <= {0} AND (visible_until IS NULL OR visible_until > {0}) GROUP BY version"
+
+
+@query("j7_tree_changes", with_ctes("versions", """SELECT path, change, NULL AS old_path FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE (change = 'Deleted' AND r.old_path = d.path) OR (change = 'Added' AND r.path = d.path))
+  UNION ALL SELECT path, 'Renamed', old_path FROM r""", more=f"""
+a AS ({_AT_FILES.format(AT)}), b AS ({_AT_FILES.format(AT + 3)}),
+d AS (SELECT path, CASE WHEN a.h IS NULL THEN 'Added' WHEN b.h IS NULL THEN 'Deleted' ELSE 'Modified' END AS change, coalesce(a.h, b.h) AS h FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h),
+n AS (SELECT *, row_number() OVER (PARTITION BY change, h ORDER BY path) AS n FROM d),
+r AS (SELECT o.path AS old_path, i.path FROM n o JOIN n i ON o.h = i.h AND o.n = i.n WHERE o.change = 'Deleted' AND i.change = 'Added')"""))
+def _(t):
+    return digest_tree.changes(_tree_at(t, AT), _tree_at(t, AT + 3))
+
+
 @query("j8_new_symbol_versions", with_ctes("versions", "SELECT identity, version FROM (SELECT DISTINCT identity, version FROM versions) c ANTI JOIN (SELECT identity, version FROM versions WHERE visible_until IS NULL) o USING (identity, version)"))
 def _(t):
     return changes.new_versions(t.versions.select("identity", "version").distinct(), t.versions, ["identity", "version"])
