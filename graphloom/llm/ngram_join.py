@@ -461,7 +461,7 @@ def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     not link all stay.
     """
     row, gone_row = free_name("row", docs.columns), free_name("gone_row", docs.columns)
-    rows, _ = write_shared(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    rows, _ = write_shared(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows", compression="zstd")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = jaccard_components(rows.select(key.alias("doc_id"), "text"), k, num, den)
     gone, _ = write_shared(found.where("component_id.row <> doc_id.row").select(F.col("doc_id.row").alias(gone_row)), "gone")
