@@ -30,6 +30,7 @@ from graphloom.sources.shared_storage import drop_shared, new_path, write_shared
 
 # Fixed values of the formats.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
+GZIP = b"\x1f\x8b"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:page:"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -64,13 +65,18 @@ def central_directory(f) -> list[Member]:
     if at < 0:
         raise ValueError("not a ZIP archive: it has no end of central directory")
     count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
+    ends = begin + at  # where the directory ends
     if at >= 20 and tail[at - 20 : at - 16] == LOCATOR64:
         (end64,) = struct.unpack("<Q", tail[at - 12 : at - 4])
-        record = f.read_at(56, end64)
-        if record[:4] != END64:
+        there = [p for p in (end64, ends - 76) if 0 <= p <= size - 56 and f.read_at(4, p) == END64]
+        if not there:
             raise ValueError("broken ZIP64 end of central directory")
-        count, length, start = struct.unpack("<QQQ", record[32:56])
-    data, found, at = f.read_at(length, start), [], 0
+        ends = there[0]
+        count, length, start = struct.unpack("<QQQ", f.read_at(56, ends)[32:56])
+    shift = ends - length - start  # bytes in front that no offset counts, as of a self-extracting archive
+    if count and (shift < 0 or f.read_at(4, start + shift) != ENTRY):
+        shift = 0
+    data, found, at = f.read_at(length, start + shift), [], 0
     for _ in range(count):
         if data[at : at + 4] != ENTRY:
             raise ValueError("broken central directory")
@@ -87,7 +93,7 @@ def central_directory(f) -> list[Member]:
                 packed = next(values) if packed == 0xFFFFFFFF else packed
                 header = next(values) if header == 0xFFFFFFFF else header
             extra = extra[4 + n :]
-        found.append(Member(name, method, size, header))
+        found.append(Member(name, method, size, header + shift))
         at += 46 + n_name + n_extra + n_comment
     return found
 
@@ -177,25 +183,56 @@ def write_archive(path: str, rows: Iterator[tuple], date: str) -> int:
     return len(index)
 
 
+def _index_lines(f, member: Member) -> Iterator[dict]:
+    """The JSON parts of an index's lines, compressed or not."""
+    data = f.read_at(member.size, stored_start(f, member))
+    if data[:2] == GZIP:
+        data = gzip.decompress(data)
+    for line in data.splitlines():
+        if line.strip() and not line.startswith(b"!"):
+            parts = line.split(b" ", 2)
+            if len(parts) < 3 or not parts[2].lstrip().startswith(b"{"):
+                raise ValueError(f"{member.name} has a line that is not CDXJ: {line[:80]!r}")
+            yield json.loads(parts[2])
+
+
+def _member_of(filename: str, archives: dict[str, Member]) -> Member:
+    """The WARC member that an index entry names: by its path, below archive/ or in full, or by a file name that only one has."""
+    for name in (f"archive/{filename}", filename):
+        if name in archives:
+            return archives[name]
+    alike = [m for n, m in archives.items() if n.rpartition("/")[2] == filename.rpartition("/")[2]]
+    if len(alike) != 1:
+        raise ValueError(f"the index names {filename}, which {'no member is' if not alike else 'several members are'}")
+    return alike[0]
+
+
 def read_archive(path: str, wanted: set[int] | None = None) -> Iterator[dict]:
     """Records of an archive in the order they lie in, or those of the wanted pages only.
 
-    Reads the directory, all stored ``indexes/*.cdxj`` and the ranges they name in ``archive/*``; entries
-    may come from other writers (numbers as text or not, several WARC members, no page).
+    Reads the directory, all stored ``indexes/*.cdxj`` and ``*.cdx``, gzipped or not, and the ranges they
+    name in ``archive/*``. Entries may come from other writers (numbers as text or not, several WARC
+    members in folders, no page); an entry that several indexes hold is read once. What cannot be read is
+    an error: WARC members without any index, lines that are not CDXJ, entries of no or an unclear member.
     """
     system, name = _filesystem(path)
     with system.open_input_file(name) as f:
-        members = {m.name: m for m in central_directory(f)}
-        starts = {m.rpartition("/")[2]: stored_start(f, members[m]) for m in members if m.startswith("archive/") and not m.endswith("/")}
-        entries = []
-        for m in members.values():
-            if m.name.startswith("indexes/") and m.name.endswith(".cdxj"):
-                for line in f.read_at(m.size, stored_start(f, m)).splitlines():
-                    if line.strip() and not line.startswith(b"!"):
-                        e = json.loads(line.split(b" ", 2)[2])
-                        if wanted is None or e.get("page") in wanted:
-                            begin = starts[e["filename"].rpartition("/")[2]] + int(e["offset"])
-                            entries.append((begin, begin + int(e["length"])))
+        members = central_directory(f)
+        archives = {m.name: m for m in members if m.name.startswith("archive/") and not m.name.endswith("/")}
+        indexes = [m for m in members if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdxj", ".cdx"))]
+        if archives and not indexes:
+            raise ValueError(f"{path} has WARC members but no index of them")
+        starts: dict[str, int] = {}
+        found: set[tuple[int, int]] = set()
+        for index in indexes:
+            for e in _index_lines(f, index):
+                if wanted is None or e.get("page") in wanted:
+                    member = _member_of(e["filename"], archives)
+                    if member.name not in starts:
+                        starts[member.name] = stored_start(f, member)
+                    begin = starts[member.name] + int(e["offset"])
+                    found.add((begin, begin + int(e["length"])))
+        entries = list(found)
         entries.sort()
         i = 0
         while i < len(entries):
@@ -204,7 +241,8 @@ def read_archive(path: str, wanted: set[int] | None = None) -> Iterator[dict]:
                 j += 1
             data = memoryview(f.read_at(entries[j - 1][1] - base, base))
             for a, b in entries[i:j]:
-                yield parse(gzip.decompress(data[a - base : b - base]))
+                packed = data[a - base : b - base]
+                yield parse(gzip.decompress(packed) if packed[:2] == GZIP else bytes(packed))
             i = j
 
 
@@ -286,7 +324,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records; payloads are checked against digests."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records; payloads are checked against digests.
+
+    ``archives`` (path, records) is the table that ``write_archives`` gives; other columns are ignored. An
+    archive is read by one task, a range of it at a time, and a very long record whole. Records without a
+    page have a null page_id, empty payloads no bytes; repeated records are rows each. No archive, or none
+    with records, gives an empty result. What cannot be read is an error.
+    """
     paths = archives.where("records > 0").select("path")
     return paths.repartition(max(1, paths.count())).mapInArrow(_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

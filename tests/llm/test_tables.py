@@ -212,6 +212,39 @@ def test_archive_of_another_writer(tmp_path):
     assert [r["payload"] for r in warc.read_archive(f"{tmp_path}/other.wacz")] == [b"y", b"yy", b"yyy", b"yyyy"]
 
 
+def foreign(i):
+    return gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {9 + i}\r\n\r\nHTTP\r\n\r\n{'y' * (i + 1)}\r\n\r\n".encode())
+
+
+@pytest.mark.parametrize("front", [b"", b"#!/bin/sh\n" * 30])
+def test_archives_in_folders_behind_other_bytes(tmp_path, front):
+    """Members of one base name in two folders, gzipped and repeated indexes, a record that is not compressed, bytes in front of the archive."""
+    plain = gzip.decompress(foreign(4))
+    places = [("x/a.warc.gz", foreign(0)), ("archive/y/a.warc.gz", foreign(1)), ("only.warc.gz", foreign(2)), ("some/where/only.warc.gz", foreign(2)), ("raw.warc", plain)]
+    lines = "".join(f"k{i} 2021 {json.dumps({'offset': '0', 'length': len(data), 'filename': name})}\n" for i, (name, data) in enumerate(places)).encode()
+    path = f"{tmp_path}/other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, data in (("x/a.warc.gz", foreign(0)), ("y/a.warc.gz", foreign(1)), ("only.warc.gz", foreign(2)), ("raw.warc", plain)):
+            z.writestr(f"archive/{name}", data)
+        z.writestr("indexes/index.cdx.gz", gzip.compress(lines[: len(lines) // 2].rpartition(b"\n")[0] + b"\n") + gzip.compress(lines))
+        z.writestr("indexes/index.idx", "not read")
+    with open(path, "rb") as f:
+        whole = f.read()
+    with open(path, "wb") as f:
+        f.write(front + whole)
+    assert [r["payload"] for r in warc.read_archive(path)] == [b"y", b"yy", b"yyy", b"yyyyy"]
+
+
+@pytest.mark.parametrize("index, line, said", [("readme.txt", "", "no index"), ("indexes/index.cdx", "k 2021 text/html", "not CDXJ"), ("indexes/index.cdxj", 'k 2021 {"filename": "a.warc.gz", "offset": 0, "length": 1}', "several members"), ("indexes/index.cdxj", 'k 2021 {"filename": "b.warc.gz", "offset": 0, "length": 1}', "no member")])
+def test_what_cannot_be_read_is_an_error(tmp_path, index, line, said):
+    with zipfile.ZipFile(f"{tmp_path}/other.wacz", "w", zipfile.ZIP_STORED) as z:
+        for folder in "xy":
+            z.writestr(f"archive/{folder}/a.warc.gz", foreign(0))
+        z.writestr(index, line + "\n")
+    with pytest.raises(ValueError, match=said):
+        list(warc.read_archive(f"{tmp_path}/other.wacz"))
+
+
 # ---- everything together
 
 
