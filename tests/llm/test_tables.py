@@ -331,5 +331,5 @@ def test_stages_on_empty_and_extra_columns(spark, tmp_path):
 
 
 def test_registry_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
