@@ -29,12 +29,14 @@ class _Edges:
     def __init__(self, edges: DataFrame):
         self.spark = edges.sparkSession
         self.name, self.path = f"reach_{uuid.uuid4().hex}", new_path(self.spark, "reach-edges")
+        edges, edges_path = write_shared(edges, "reach-plain")  # derived once, for counting and for writing
         counts, self.hub_path = write_shared(edges.groupBy("at").count().where(F.col("count") > HUB_EDGES).select("at", F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("salts")), "reach-hubs")
         few = counts.count() <= MAX_BROADCAST_HUBS
         self.hubs = F.broadcast(counts) if few else counts
         salted = edges.join(self.hubs, "at", "left").select("at", "to", F.coalesce(F.pmod(F.xxhash64("to"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         salted.repartition(buckets, "at", "salt").write.bucketBy(buckets, "at", "salt").sortBy("at").option("path", self.path).saveAsTable(self.name)
+        drop_shared(self.spark, edges_path)
 
     def follow(self, frontier: DataFrame) -> DataFrame:
         """(id, block, bits) of what the frontier (id, block, bits) reaches in one step, once for each vertex and block."""
