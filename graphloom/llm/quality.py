@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> N
     """Fits the network to ``labels`` (doc_id, quality) of ``docs`` (doc_id, text); ``usable`` limits labels.
 
     Null labels are left out; a document with several labels counts with their rounded mean, one that is
-    repeated with the same text once. Rows that do not fit into TRAIN_BYTES any more are not in the sample.
+    repeated with the same text once. The sample is the first rows by hash of the id, whatever their lengths:
+    it ends with TRAIN_DOCS rows, or with the row that brings its texts to TRAIN_BYTES.
     Without labels, or where no labelled text has bytes, the network gives one half for every text.
     """
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -174,11 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> N
     sizes = keyed.where("n > 0").groupBy("h", "t").agg(F.max("n").alias("n")).orderBy("h", "t").limit(TRAIN_DOCS).collect()  # TRAIN_DOCS rows
     chosen, left = [], TRAIN_BYTES
     for r in sizes:
-        if r["n"] <= left:
-            chosen.append((r["h"], r["t"]))
-            left -= r["n"]
+        if left <= 0:
+            break
+        chosen.append((r["h"], r["t"]))
+        left -= r["n"]
     keys = docs.sparkSession.createDataFrame(chosen, "h long, t long")
-    sample = keyed.join(F.broadcast(keys), ["h", "t"]).dropDuplicates(["h", "t"]).select("h", "t", "label", "text").toArrow()  # TRAIN_BYTES at most
+    sample = keyed.join(F.broadcast(keys), ["h", "t"]).dropDuplicates(["h", "t"]).select("h", "t", "label", "text").toArrow()  # TRAIN_BYTES and one text at most
     found = sorted(zip(*(sample.column(i).to_pylist() for i in range(4))))
     net = fit([np.frombuffer(x, np.uint8) for *_, x in found], np.array([y for _, _, y, _ in found], dtype=np.float64))
     if not found:
