@@ -5,15 +5,17 @@ symbols of a Huffman tree; any other word is an escape, then its bytes (all 256)
 symbols of a second tree. So every text is a sequence of bits: the turns taken at the trees' nodes.
 
 *Predictors.* At each node several contexts give a probability: at words the corpus' word frequencies, the
-word before (hashed), and the text's own last continuation of its last two words; at bytes the two bytes
-before, the four before (hashed), and the text's own last continuation of the word so far. Corpus contexts
-count the turns that training texts took there and back off to the next shorter context, the shortest to
-the symbols' frequencies; the text's own ones are updated after each symbol.
+word before and the two words before (hashed), and the text's own last continuation of its last two words;
+at bytes the two bytes before, the four before, the word so far (all hashed), and the text's own last
+continuation of the word so far. Corpus contexts count the turns that training texts took there and back
+off to the next shorter context, the shortest to the symbols' frequencies; the text's own ones are updated
+after each symbol.
 
 *Mixing.* The predictions are added in the logistic domain with weights gated by tree, depth and state of
 the text's own match; a map of the text's own refines the sum. Weights and map start from constants and are
-learned online from the text itself, segment by segment (segments grow with the position), so a score
-depends on nothing but the text and the counts. The bits add up to the score and to bits per byte.
+learned online from the text itself, segment by segment (the first has four symbols, later ones grow with
+the position up to 4096 symbols, however long the text is), so a score depends on nothing but the text and
+the counts. The bits add up to the score and to bits per byte.
 
 *Counts at any size.* Nothing that grows with the corpus is broadcast. Texts lie in blocks; a block sends
 the distinct (context, symbol) pairs that its texts use, with their training counts, to the ranges of
@@ -48,18 +50,16 @@ BLOCK_BYTES, TILE = 2 << 20, 1 << 15
 #: Blocks that are scored as one group.
 BUNDLE = 8
 #: Weight of the shorter context when a longer one backs off to it.
-BACK_OFF = 1.0
-#: Where a text's segments end, in symbols: each is half as long as all before it, up to 4096.
-CUTS = [0, 24]
-while CUTS[-1] < 12288:
-    CUTS.append(CUTS[-1] * 3 // 2)
-CUTS = np.concatenate([CUTS, np.arange(CUTS[-1] + 4096, 1 << 22, 4096), [1 << 40]])
-SEGMENTS = len(CUTS) - 1
+BACK_OFF = 0.5
+#: Symbols of a text's first segment, and of its longest ones.
+FIRST_SEGMENT, LONGEST_SEGMENT = 4, 4096
 #: Inputs of the mixer, sets of weights, buckets of the refinement map.
-INPUTS, DEPTHS, RUNS, BUCKETS = 3, 4, 4, 12
+INPUTS, DEPTHS, RUNS, BUCKETS = 4, 4, 4, 12
+#: Weights before anything is learned: of the shortest corpus context first, of the text's own match last.
+FIRST_WEIGHTS = (0.0, 0.2, 0.8, 0.5)
 GATES = 2 * DEPTHS * RUNS
 #: What a starting weight and a starting map entry count for, in curvature.
-WEIGHT_PRIOR, MAP_PRIOR = 15.0, 40.0
+WEIGHT_PRIOR, MAP_PRIOR = 8.0, 40.0
 #: Log odds of the text's own match after 0, 1, 2 and more matches in a row.
 MATCH_ODDS = np.array([0.5, 1.5, 2.5, 4.0], np.float32)
 # Odd multipliers and tags that keep kinds of contexts apart.
@@ -101,6 +101,11 @@ def turn_codes(on: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def next_cut(cut: int) -> int:
+    """Where the segment ends that begins there: segments are half as long as all before them, within bounds."""
+    return cut + min(max(cut // 2, FIRST_SEGMENT), LONGEST_SEGMENT)
+
+
 @dataclass
 class Code:
     """The two code trees. Symbols: words (in the order of ``hashes``), end, escape, 256 bytes, word end."""
@@ -228,7 +233,7 @@ class Stream:
     symbols: np.ndarray
     bounds: np.ndarray  # of the texts
     at_byte: np.ndarray  # places of the symbols of the byte tree
-    contexts: list[np.ndarray]  # hashes: the first of every symbol, the others of those at at_byte
+    contexts: list[np.ndarray]  # hashes, from short to long: the first two of every symbol, the third of those at at_byte
     own: np.ndarray  # hash of the text's own context of every symbol
     n_words: np.ndarray
     words: np.ndarray  # hashes of all words
@@ -288,7 +293,9 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
     four_back = two_back + back[2] * np.uint64(257**2) + back[3] * np.uint64(257**3)
     context[at_byte] = mix(two_back + TAGS[1])
     own[at_byte] = mix(_so_far(letter, step) + TAGS[3])
-    return Stream(symbols, bounds, at_byte, [context, mix(four_back ^ TAGS[2])], own, n_words, words, np.where(is_known, at, -1))
+    longer = own.copy()
+    longer[at_byte] = mix(four_back ^ TAGS[2])
+    return Stream(symbols, bounds, at_byte, [context, longer, own[at_byte]], own, n_words, words, np.where(is_known, at, -1))
 
 
 def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -325,7 +332,7 @@ class Pairs:
 
 
 def pairs(code: Code, s: Stream) -> Pairs:
-    symbols = np.concatenate([s.symbols, s.symbols[s.at_byte]])
+    symbols = np.concatenate([s.symbols, s.symbols, s.symbols[s.at_byte]])
     keys = np.concatenate(s.contexts) >> LEAF_BITS << LEAF_BITS | code.leaf[symbols].astype(np.uint64)
     place, of = _dense_pairs(keys)
     return Pairs(keys[place], symbols[place], of, place)
@@ -434,22 +441,37 @@ def _own_match(code: Code, s: Stream) -> tuple[np.ndarray, np.ndarray]:
     return shared, np.minimum(run, RUNS - 1).astype(np.int8)
 
 
-def pair_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At each turn of each pair's path: log odds by the shorter context of the same place, log odds by the pair's
-    context, backed off to the shorter one, and the set of weights."""
+def corpus_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Where each symbol's turns begin, and at each turn the log odds by the corpus contexts, from short to long,
+    and the set of weights. Symbols with the same longest context and so the same turns share one run of them."""
     n = len(s.symbols)
     path = _paths(code.starts[p.symbols], turns.lengths)
-    share, short = code.share[path], code.odds[path]
+    share = code.share[path]
     on, off = TURN_ON[turns.values] + BACK_OFF * share, TURN_OFF[turns.values] + BACK_OFF * (1 - share)
-    longer = np.flatnonzero(p.place >= n)
-    if len(longer):  # of four bytes before: back off to the two bytes before
-        own = _paths(turns.starts[longer], turns.lengths[longer])
-        shorter = p.of[s.at_byte[p.place[longer] - n]]
-        base = _paths(turns.starts[shorter], turns.lengths[longer])
+    # Longer contexts back off to the next shorter one of the place, which is done before them.
+    for low, high in ((n, 2 * n), (2 * n, 2 * n + len(s.at_byte))):
+        longer = np.flatnonzero((p.place >= low) & (p.place < high))
+        place = p.place[longer] - low
+        shorter = p.of[place if low == n else n + s.at_byte[place]]
+        own, base = _paths(turns.starts[longer], turns.lengths[longer]), _paths(turns.starts[shorter], turns.lengths[longer])
         share = on[base] / (on[base] + off[base])
-        short[own] = np.log(on[base] / off[base])
         on[own], off[own] = TURN_ON[turns.values[own]] + BACK_OFF * share, TURN_OFF[turns.values[own]] + BACK_OFF * (1 - share)
-    return short, np.log(on / off), code.gates[path]
+    odds = np.log(on / off)
+    longest = p.of[n : 2 * n].copy()
+    longest[s.at_byte] = p.of[2 * n :]
+    at = np.full(len(p.symbols), -1)
+    at[longest[::-1]] = np.arange(n)[::-1]
+    used = np.flatnonzero(at >= 0)
+    at, lengths = at[used], turns.lengths[used]
+    starts = np.zeros(len(p.symbols), np.int64)
+    starts[used] = np.cumsum(lengths) - lengths
+    path = _paths(code.starts[p.symbols[used]], lengths)
+    is_byte = p.symbols[used] >= code.end + 2
+    first = odds[_paths(turns.starts[p.of[at]], lengths)]
+    x = [np.where(np.repeat(is_byte, lengths), first, code.odds[path]), first, odds[_paths(turns.starts[used], lengths)]]
+    own = np.flatnonzero(np.repeat(is_byte, lengths))
+    x[1][own] = odds[_paths(turns.starts[p.of[n + at[is_byte]]], lengths[is_byte])]
+    return starts[longest], x, code.gates[path]
 
 
 # What the text's own match says of a turn: nothing, against it, for it; after 0, 1, 2 or more matches in a row.
@@ -461,44 +483,37 @@ MATCH_GATE[::3] = 0
 def mixed(code: Code, s: Stream, p: Pairs, turns: Runs) -> np.ndarray:
     """ln probability of each text of the block; ``turns`` are those at the nodes of the pairs' paths."""
     out = np.zeros(len(s.bounds) - 1)
-    n = len(s.symbols)
     shared, run = _own_match(code, s)
-    inputs = pair_odds(code, s, p, turns)
-    # Where each symbol's turns are: words have one corpus context, bytes have the longer of theirs.
-    begin = turns.starts[p.of[:n]]
-    begin[s.at_byte] = turns.starts[p.of[n:]]
+    begin, x, gates = corpus_odds(code, s, p, turns)
     sizes = np.diff(s.bounds)
     tile = 0
     while tile < len(sizes):  # consecutive texts with about TILE symbols
         stop = max(tile + 1, int(np.searchsorted(s.bounds, s.bounds[tile] + TILE, side="right")) - 1)
         docs = tile + np.argsort(-sizes[tile:stop], kind="stable")
-        out[docs] = _mixed_tile(code, s, inputs, begin, shared, run, docs)
+        out[docs] = _mixed_tile(code, s, x, gates, begin, shared, run, docs)
         tile = stop
     return out
 
 
-def _mixed_tile(code: Code, s: Stream, inputs, begin, shared, run, docs: np.ndarray) -> np.ndarray:
+def _mixed_tile(code: Code, s: Stream, odds, gates, begin, shared, run, docs: np.ndarray) -> np.ndarray:
     """``docs`` are ordered by falling size, so that those with a further segment come first."""
-    short, long, gates = inputs
     sizes, first = np.diff(s.bounds)[docs], s.bounds[docs]
     out = np.zeros(len(docs))
-    weights = np.zeros((INPUTS, len(docs) * GATES), np.float32)
-    weights[1:] = 1.0  # the longer corpus context, and the text's own match
+    weights = np.repeat(np.array(FIRST_WEIGHTS, np.float32)[:, None], len(docs) * GATES, axis=1)
     bend = np.full(len(docs) * GATES, WEIGHT_PRIOR, np.float32)
     tilt, tilt_bend = np.zeros(len(docs) * BUCKETS, np.float32), np.full(len(docs) * BUCKETS, MAP_PRIOR, np.float32)
-    for r in range(SEGMENTS):
-        live = int(np.searchsorted(-sizes, -CUTS[r], side="left"))
-        if not live:
-            break
-        going = int(np.searchsorted(-sizes, -CUTS[r + 1], side="left"))
-        length = np.minimum(CUTS[r + 1], sizes[:live]) - CUTS[r]
-        at = _paths(first[:live] + CUTS[r], length)
+    cut, end = 0, next_cut(0)
+    while live := int(np.searchsorted(-sizes, -cut, side="left")):
+        going = int(np.searchsorted(-sizes, -end, side="left"))
+        length = np.minimum(end, sizes[:live]) - cut
+        at = _paths(first[:live] + cut, length)
+        cut, end = end, next_cut(end)
         n_bits = code.lengths[s.symbols[at]]
         upto = np.cumsum(n_bits)
         event = np.arange(int(upto[-1]))
         turn = event + np.repeat(begin[at] - upto + n_bits, n_bits)
         # All log odds are those of the turn taken, so the wanted outcome is always 1.
-        x = [short[turn], long[turn]]
+        x = [v[turn] for v in odds]
         # Turns that the guess still shares: more than none speaks for the turn taken, none against it.
         left = np.repeat(shared[at] + upto - n_bits, n_bits)
         left -= event
@@ -511,7 +526,7 @@ def _mixed_tile(code: Code, s: Stream, inputs, begin, shared, run, docs: np.ndar
         key += MATCH_GATE[left]
         z = weights[0][key]
         z *= x[0]
-        for i in (1, 2):
+        for i in range(1, INPUTS):
             more = weights[i][key]
             more *= x[i]
             z += more
@@ -528,7 +543,7 @@ def _mixed_tile(code: Code, s: Stream, inputs, begin, shared, run, docs: np.ndar
             error, key, bucket = 1 - chance[:m], key[:m], bucket[:m]
             curve = chance[:m] * error
             x = [v[:m] for v in x]
-            size = x[0] * x[0] + x[1] * x[1] + x[2] * x[2]
+            size = sum(v * v for v in x)
             size *= curve
             bend += np.bincount(key, weights=size, minlength=len(bend))
             for i in range(INPUTS):
@@ -644,31 +659,35 @@ def _parts(spark: SparkSession) -> int:
     return 1 << max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (bundle, block, ids, training, offsets, texts): consecutive texts of about BLOCK_BYTES, or one longer text."""
-    from pyspark import TaskContext
+def _blocks(block_bytes: int, per_bundle: int):
+    """Rows of (bundle, block, ids, training, offsets, texts): consecutive texts of about so many bytes, or one longer text."""
 
-    block, held, size = TaskContext.get().partitionId() << 32, [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def row():
-        table = pa.Table.from_batches(held).combine_chunks()
-        data, offsets = text_bytes(table.column(1))
-        ids = table.column(0).combine_chunks()
-        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        training = np.array(table.column(2).to_pylist(), np.uint8)
-        bundle = block // BUNDLE
-        return pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), listed, *(pa.array([_packed(x)], pa.binary()) for x in (training, offsets, data))], ["bundle", "block", "ids", "training", "offsets", "texts"])
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    for batch in batches:
-        for part in blocks(batch, "text", BLOCK_BYTES // 8):
-            n = len(text_bytes(part.column(1))[0])
-            if held and size + n > BLOCK_BYTES:
-                yield row()
-                block, held, size = block + 1, [], 0
-            held.append(part)
-            size += n
-    if held:
-        yield row()
+        def row():
+            table = pa.Table.from_batches(held).combine_chunks()
+            data, offsets = text_bytes(table.column(1))
+            ids = table.column(0).combine_chunks()
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            training = np.array(table.column(2).to_pylist(), np.uint8)
+            bundle = block // per_bundle
+            return pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), listed, *(pa.array([_packed(x)], pa.binary()) for x in (training, offsets, data))], ["bundle", "block", "ids", "training", "offsets", "texts"])
+
+        for batch in batches:
+            for part in blocks(batch, "text", block_bytes // 8):
+                n = len(text_bytes(part.column(1))[0])
+                if held and size + n > block_bytes:
+                    yield row()
+                    block, held, size = block + 1, [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield row()
+
+    return run
 
 
 def _stream_of(code: Code, row) -> tuple[Stream, np.ndarray, np.ndarray]:
@@ -701,7 +720,7 @@ def _requests(shared, parts: int):
                 s, training, _ = _stream_of(code, row)
                 p = pairs(code, s)
                 own = np.repeat(training, np.diff(s.bounds))
-                counts = np.bincount(p.of, weights=np.concatenate([own, own[s.at_byte]]), minlength=len(p.symbols)).astype(np.uint32)
+                counts = np.bincount(p.of, weights=np.concatenate([own, own, own[s.at_byte]]), minlength=len(p.symbols)).astype(np.uint32)
                 words, of = rare_words(s)
                 own = np.repeat(training, s.n_words)[s.known < 0]
                 word_counts = np.bincount(of, weights=own, minlength=len(words)).astype(np.uint32)
@@ -794,7 +813,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     parts = _parts(spark)
     id_field = docs.select("doc_id").schema[0].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), training.alias("training"))
-    packed = rows.mapInArrow(_blocks, f"bundle long, block long, ids array<{id_field}>, training binary, offsets binary, texts binary")
+    packed = rows.mapInArrow(_blocks(BLOCK_BYTES, BUNDLE), f"bundle long, block long, ids array<{id_field}>, training binary, offsets binary, texts binary")
     # Bucketed, so that texts are not shuffled when their answers come back to them.
     table, buckets = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.format("parquet").bucketBy(buckets, "bundle").option("path", new_path(spark, "lm-blocks")).saveAsTable(table)
