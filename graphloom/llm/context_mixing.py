@@ -5,11 +5,10 @@ symbols of a Huffman tree; any other word is an escape, then its bytes (all 256)
 symbols of a second tree. So every text is a sequence of bits: the turns taken at the trees' nodes.
 
 *Predictors.* At each node several contexts give a probability: at words the corpus' word frequencies, the
-word before and the two words before (hashed), and the text's own last continuation of its last two words;
-at bytes the two bytes before, the four before, the word so far (all hashed), and the text's own last
-continuation of the word so far. Corpus contexts count the turns that training texts took there and back
-off to the next shorter context, the shortest to the symbols' frequencies; the text's own ones are updated
-after each symbol.
+word before and the two words before (hashed), and the text's own last continuation of its last two words; at bytes the two, three and five bytes before (hashed, within the word), and the
+text's own last continuation of the word so far. Corpus contexts count the turns that training texts took
+there and back off to the next shorter context, the shortest to the symbols' frequencies; the text's own
+ones are updated after each symbol. Where a longer context is no longer than the shorter one, both are one.
 
 *Mixing.* The predictions are added in the logistic domain with weights gated by tree, depth and state of
 the text's own match; a map of the text's own refines the sum. Weights and map start from constants and are
@@ -51,6 +50,8 @@ BLOCK_BYTES, TILE = 2 << 20, 1 << 15
 BUNDLE = 8
 #: Weight of the shorter context when a longer one backs off to it.
 BACK_OFF = 0.5
+#: Bytes before that are contexts of a byte.
+BYTES_BEFORE = (2, 3, 5)
 #: Symbols of a text's first segment, and of its longest ones.
 FIRST_SEGMENT, LONGEST_SEGMENT = 4, 4096
 #: Inputs of the mixer, sets of weights, buckets of the refinement map.
@@ -64,7 +65,9 @@ WEIGHT_PRIOR, MAP_PRIOR = 8.0, 40.0
 MATCH_ODDS = np.array([0.5, 1.5, 2.5, 4.0], np.float32)
 # Odd multipliers and tags that keep kinds of contexts apart.
 ODD = np.uint64(0x9E3779B97F4A7C15)
-TAGS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
+TAGS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x589965CC75374CC3), np.uint64(0x8EBC6AF09C88C6E3)]
+#: Trailing bits of a context of two words that tell the first of them (of these, the last 17 give way to the leaf).
+SECOND_BITS = np.uint64(34)
 #: Bits of a pair's key that are the symbol's leaf; the others are the hash of its context.
 LEAF_BITS = np.uint64(17)
 #: Turns at a node are answered as one byte: exact pairs of counts up to EXACT in sum, else their log odds.
@@ -265,8 +268,10 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
     not_first = np.ones(n, bool)
     not_first[first[:-1][n_words > 0]] = False
     two[last[not_first]] = words[np.flatnonzero(not_first) - 1]
+    behind = np.zeros(n + n_texts, bool)  # two words
+    behind[last[not_first]] = True
     begin = first[:-1] + np.arange(n_texts)
-    before[begin] = two[begin] = 0
+    before[begin] = two[begin] = behind[begin] = 0
     word_places = np.empty(n + n_texts, np.int64)
     word_places[slot] = place
     word_places[first[1:] + np.arange(n_texts)] = bounds[1:] - 1
@@ -283,19 +288,21 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
     inner = step < np.repeat(letters, each)
     letter[inner] = LOWER[data[(np.repeat(starts[rare], each) + step)[inner]]]
     symbols[at_byte] = np.where(inner, letter, 256) + code.end + 2
-    back = []
-    for k in range(1, 5):
+    back, total = [], np.zeros(len(step), np.uint64)
+    for k in range(1, BYTES_BEFORE[-1] + 1):
         prior = np.zeros(len(step), np.uint64)
         prior[k:] = letter[:-k] + 1 if k < len(step) else 0
         prior[step < k] = 0
-        back.append(prior)
-    two_back = back[0] + back[1] * np.uint64(257)
-    four_back = two_back + back[2] * np.uint64(257**2) + back[3] * np.uint64(257**3)
-    context[at_byte] = mix(two_back + TAGS[1])
-    own[at_byte] = mix(_so_far(letter, step) + TAGS[3])
-    longer = own.copy()
-    longer[at_byte] = mix(four_back ^ TAGS[2])
-    return Stream(symbols, bounds, at_byte, [context, longer, own[at_byte]], own, n_words, words, np.where(is_known, at, -1))
+        total = total + prior * np.uint64(257 ** (k - 1))
+        if k in BYTES_BEFORE:
+            back.append(mix(total + TAGS[1]))
+    own[at_byte] = mix(_so_far(letter, step) + TAGS[2])
+    longer = context.copy()
+    # The leading bits are those of the word before: keys of one word lie together and so pack well.
+    head = mix(before + TAGS[3])[behind] >> SECOND_BITS << SECOND_BITS
+    longer[word_places[behind]] = head | mix(two[behind]) >> (np.uint64(64) - SECOND_BITS)
+    context[at_byte], longer[at_byte] = back[:2]
+    return Stream(symbols, bounds, at_byte, [context, longer, back[2]], own, n_words, words, np.where(is_known, at, -1))
 
 
 def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -338,6 +345,14 @@ def pairs(code: Code, s: Stream) -> Pairs:
     return Pairs(keys[place], symbols[place], of, place)
 
 
+def training_counts(s: Stream, p: Pairs, training: np.ndarray) -> np.ndarray:
+    """How often training texts have each pair; a context that is one with the next shorter one counts once."""
+    own = np.repeat(training, np.diff(s.bounds))
+    first, second, third = s.contexts
+    weights = np.concatenate([own, own * (first != second), own[s.at_byte] * (second[s.at_byte] != third)])
+    return np.bincount(p.of, weights=weights, minlength=len(p.symbols)).astype(np.uint32)
+
+
 def rare_words(s: Stream) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the words that are no symbols, ascending, and the number of each such word."""
     rare = s.words[s.known < 0]
@@ -396,9 +411,17 @@ def first_new(code: Code, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def turned(code: Code, symbols: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Turns to 1 and to 0 at the new nodes as the turns that each pair takes and the others, which are much alike and
+    pack well; and back, as this is its own inverse."""
+    taken = code.bits[_paths(code.starts[symbols] + new, np.maximum(code.lengths[symbols] - new, 0))] == 1
+    return np.where(taken, values, OTHER_WAY[values])
+
+
 def restored(code: Code, p: Pairs, nodes: np.ndarray) -> Runs:
     """The turn taken and the other at each node of all pairs' paths, from those of the new nodes alone."""
     new, lengths = first_new(code, p.keys, p.symbols), code.lengths[p.symbols]
+    nodes = turned(code, p.symbols, new, nodes)
     turns = Runs()
     turns.lengths, turns.starts = lengths, np.cumsum(lengths) - lengths
     sent = np.cumsum(np.maximum(lengths - new, 0)) - np.maximum(lengths - new, 0)
@@ -719,8 +742,7 @@ def _requests(shared, parts: int):
                 row = {c: row.column(i)[0] for i, c in enumerate(row.schema.names)}
                 s, training, _ = _stream_of(code, row)
                 p = pairs(code, s)
-                own = np.repeat(training, np.diff(s.bounds))
-                counts = np.bincount(p.of, weights=np.concatenate([own, own, own[s.at_byte]]), minlength=len(p.symbols)).astype(np.uint32)
+                counts = training_counts(s, p, training)
                 words, of = rare_words(s)
                 own = np.repeat(training, s.n_words)[s.known < 0]
                 word_counts = np.bincount(of, weights=own, minlength=len(words)).astype(np.uint32)
@@ -759,8 +781,9 @@ def _answered(shared):
         a = c = 0
         leaf = (np.uint64(1) << LEAF_BITS) - np.uint64(1)
         for (part, bundle, block), x, y in zip(where, keys, words):
-            new, pair = first_new(code, x, code.of_leaf[(x & leaf).astype(np.int64)]), of[a : a + len(x)]
-            turns = runs.values[_paths(runs.starts[pair] + new, np.maximum(runs.lengths[pair] - new, 0))]
+            symbols, pair = code.of_leaf[(x & leaf).astype(np.int64)], of[a : a + len(x)]
+            new = first_new(code, x, symbols)
+            turns = turned(code, symbols, new, runs.values[_paths(runs.starts[pair] + new, np.maximum(runs.lengths[pair] - new, 0))])
             own = total[word_of[c : c + len(y)]]
             yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(turns)], pa.binary()), pa.array([_packed(own)], pa.binary())], ["bundle", "block", "part", "turns", "word_counts"])
             a, c = a + len(x), c + len(y)

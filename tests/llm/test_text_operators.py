@@ -138,25 +138,28 @@ def scored_directly(code, texts, training):
             own = (words[k - 1] if k else None, words[k - 2] if k > 1 else None)
             h = None if w is None else int(licenses.template_hashes(w)[0])
             symbol = code.end if w is None else known.get(h, code.end + 1)
-            out.append((symbol, [before, own], own))
+            out.append((symbol, [before, own if k > 1 else before], own))
             if symbol == code.end + 1:
                 b = w.encode()
                 for j in range(len(b) + 1):
-                    out.append((code.end + 2 + (b[j] if j < len(b) else 256), [("two", b[max(0, j - 2) : j]), ("four", b[max(0, j - 4) : j]), ("all", b[:j])], b[:j]))
+                    out.append((code.end + 2 + (b[j] if j < len(b) else 256), [("bytes", b[max(0, j - n) : j]) for n in m.BYTES_BEFORE], b[:j]))
         return out
 
     turns = collections.defaultdict(lambda: [0, 0])
     for text, learn in zip(texts, training):
         if learn:
             for symbol, contexts, _ in steps(text):
-                for c in contexts:
+                for c in dict.fromkeys(contexts):
                     for node, bit, _ in path(symbol):
                         turns[c, node][bit] += 1
 
     def odds(contexts, node, bit, base):
         share = 1 / (1 + math.exp(-base))
         out = []
-        for c in contexts:
+        for n, c in enumerate(contexts):
+            if n and c == contexts[n - 1]:
+                out.append(out[-1])
+                continue
             zero, one = turns.get((c, node), (0, 0))
             byte = m.turn_codes(np.array([one]), np.array([zero]))[0]
             byte = byte if bit else m.OTHER_WAY[byte]
@@ -270,7 +273,7 @@ def test_segments_against_direct_computation(monkeypatch, longest):
     code = context_mixing.make_code(hashes[few], counts[few], np.bincount(data, minlength=256), len(words) + 7, len(hashes) + 1, 7)
     s = context_mixing.stream(code, data, offsets)
     p = context_mixing.pairs(code, s)
-    runs, _ = context_mixing.answers(code, p.keys, np.bincount(p.of, minlength=len(p.keys)).astype(np.uint32))
+    runs, _ = context_mixing.answers(code, p.keys, context_mixing.training_counts(s, p, np.ones(7, np.uint8)))
     runs.values = np.where(code.bits[context_mixing._paths(code.starts[p.symbols], runs.lengths)] == 1, runs.values, context_mixing.OTHER_WAY[runs.values])
     assert context_mixing.mixed(code, s, p, runs) == pytest.approx(scored_directly(code, texts, [True] * 7), rel=1e-4)
 
