@@ -5,7 +5,8 @@ symbols of a Huffman tree; any other word is an escape, then its bytes (all 256)
 symbols of a second tree. So every text is a sequence of bits: the turns taken at the trees' nodes.
 
 *Predictors.* At each node several contexts give a probability: at words the corpus' word frequencies, the
-word before and the two words before (hashed), and the text's own last continuation of its last two words; at bytes the two, three and five bytes before (hashed, within the word), and the
+word before and, behind a frequent word, the two words before (hashed), and the text's own last continuation
+of its last two words; at bytes the two, three and five bytes before (hashed, within the word), and the
 text's own last continuation of the word so far. Corpus contexts count the turns that training texts took
 there and back off to the next shorter context, the shortest to the symbols' frequencies; the text's own
 ones are updated after each symbol. Where a longer context is no longer than the shorter one, both are one.
@@ -50,8 +51,8 @@ BLOCK_BYTES, TILE = 2 << 20, 1 << 15
 BUNDLE = 8
 #: Weight of the shorter context when a longer one backs off to it.
 BACK_OFF = 0.5
-#: Bytes before that are contexts of a byte.
-BYTES_BEFORE = (2, 3, 5)
+#: Bytes before that are contexts of a byte, and the share of all tokens that makes a word frequent.
+BYTES_BEFORE, FREQUENT = (2, 3, 5), 1 / 256
 #: Symbols of a text's first segment, and of its longest ones.
 FIRST_SEGMENT, LONGEST_SEGMENT = 4, 4096
 #: Inputs of the mixer, sets of weights, buckets of the refinement map.
@@ -268,8 +269,9 @@ def stream(code: Code, data: np.ndarray, offsets: np.ndarray) -> Stream:
     not_first = np.ones(n, bool)
     not_first[first[:-1][n_words > 0]] = False
     two[last[not_first]] = words[np.flatnonzero(not_first) - 1]
-    behind = np.zeros(n + n_texts, bool)  # two words
-    behind[last[not_first]] = True
+    behind = np.zeros(n + n_texts, bool)  # a frequent word and another one
+    if len(code.hashes):
+        behind[last[not_first]] = (is_known & (code.counts[at] >= FREQUENT * code.tokens))[np.flatnonzero(not_first) - 1]
     begin = first[:-1] + np.arange(n_texts)
     before[begin] = two[begin] = behind[begin] = 0
     word_places = np.empty(n + n_texts, np.int64)
@@ -678,8 +680,8 @@ def train(docs: DataFrame, training: Column) -> Code:
 
 
 def _parts(spark: SparkSession) -> int:
-    """Ranges of hashes, a power of two: four times the shuffle partitions or more."""
-    return 1 << max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """Ranges of hashes, a power of two: eight times the shuffle partitions or more."""
+    return 1 << max(4, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def _blocks(block_bytes: int, per_bundle: int):
