@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count, islice
+
 import numpy as np
 
 
@@ -18,6 +21,19 @@ class Codes(dict):
         return code
 
 
+class Numbers(defaultdict):
+    """Numbers keys in the order they are met, from 0, without a call of Python code for each."""
+
+    def __init__(self, keys=()):
+        super().__init__(count().__next__)
+        for key in keys:
+            self[key]
+
+    def since(self, n: int) -> list:
+        """The keys but for the first n, in order."""
+        return list(islice(reversed(self), len(self) - n))[::-1]
+
+
 class Runs:
     """Runs of integers, one after another."""
 
@@ -32,6 +48,12 @@ class Runs:
         self.starts = np.concatenate([self.starts, ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
 
+    def first(self, n: int) -> Runs:
+        """A copy of the first n runs."""
+        out = Runs()
+        out.append(self.values[: int(self.lengths[:n].sum())], self.lengths[:n])
+        return out
+
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs with these numbers, one after another, and their lengths."""
         lengths = self.lengths[codes]

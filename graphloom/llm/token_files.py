@@ -23,7 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.memo import Codes, Runs, grouped
+from graphloom.llm.memo import Numbers, Runs, grouped
 from graphloom.llm.textarrays import blocks, bounded_batches
 from graphloom.sources.shared_storage import new_path
 
@@ -43,6 +43,32 @@ MEMO_WORDS = 400_000
 SAMPLE_PIECES, PIECE, DICTIONARY_BYTES = 4096, 2048, 64 << 10
 LEVEL = 1
 PROBES = ["a", "the", "tokens", "xyzzyqqj", "internationalization"]
+#: Behind the letters that are taken as Latin.
+LATIN_END = "\u0250"
+
+
+def _byte_letters() -> list[str]:
+    """The letters that byte-level tokenizers write for bytes: printable ones for themselves, others from U+0100 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in kept else next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _lettered(text: str) -> str:
+    return "".join([BYTE_LETTERS[b] for b in text.encode()])
+
+
+def _latin(text: str) -> bool:
+    """Whether these are letters below U+0250 alone, for which all versions of Unicode in use agree; I with a dot
+    above is none of them, as its lower case is a letter and a mark."""
+    return text.isalpha() and max(text) < LATIN_END and "\u0130" not in text
+
+
+#: Every such letter by itself, and some words.
+LATIN_PROBES = [c for c in map(chr, range(0x80, 0x250)) if _latin(c)] + ["été", "ÉTÉ", "Straße", "œuvre", "žluťoučký"]
 
 
 class WordEncoder:
@@ -59,48 +85,61 @@ class WordEncoder:
         self.model = self.tokenizer.model
         # Whether lower-case ASCII letters alone pass to the model as they are, so that the steps before it can be left out.
         self.plain = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
+        # Whether words of Latin letters pass to it in lower case, as the letters that stand for their bytes.
+        self.latin = self.plain and all([t.id for t in self.model.tokenize(_lettered(w.lower()))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in LATIN_PROBES)
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.word_ids = Codes(), Runs()
-        self.stems, self.stem_ids = Codes(), Runs()
+        self.words, self.word_ids = Numbers(), Runs()
+        self.stems, self.stem_ids = Numbers(), Runs()
+
+    def forget(self, keep: int) -> None:
+        """Keeps the words and stems that were met first, among them most of the frequent ones."""
+        self.words, self.word_ids = Numbers(islice(self.words, keep)), self.word_ids.first(keep)
+        self.stems, self.stem_ids = Numbers(islice(self.stems, keep)), self.stem_ids.first(keep)
 
     def learn(self, step: int = 4000) -> None:
         """Encodes words met since the last call: new stems, many in one text; a token belongs to the stem it starts in.
 
-        A full stop or comma after an ASCII letter or digit ends a word, so it is a stem of its own.
+        A full stop or comma after an ASCII letter or digit, or after a Latin letter, ends a word, so it is a stem of its own.
         """
-        codes, sizes = [], []
-        for word in self.words.new:
-            if word[-1:] in (b".", b",") and word[-2:-1].isalnum():
-                codes += (self.stems[word[:-1]], self.stems[word[-1:]])
-                sizes.append(2)
+        words, stems, codes = self.words.since(len(self.word_ids.lengths)), self.stems, []
+        sizes = np.ones(len(words), np.int64)
+        for i, word in enumerate(words):
+            if word[-1] in b".," and (word[-2:-1].isalnum() or word[-2:-1] > b"\x7f" and _latin(word[:-1].decode("utf-8", "replace")[-1:])):
+                codes += (stems[word[:-1]], stems[word[-1:]])
+                sizes[i] = 2
+            else:
+                codes.append(stems[word])
+        new = stems.since(len(self.stem_ids.lengths))
+        found: list[list[int]] = [[]] * len(new)
+        others, tokenize = [], self.model.tokenize
+        for i, stem in enumerate(new):
+            if self.plain and stem.isalpha() and stem.islower():
+                found[i] = [t.id for t in tokenize(stem.decode())]
+            elif self.latin and _latin(text := stem.decode("utf-8", "replace")):
+                found[i] = [t.id for t in tokenize(_lettered(text.lower()))]
             else:
-                codes.append(self.stems[word])
-                sizes.append(1)
-        new = self.stems.new
-        found: list[list[int]] = [[t.id for t in self.model.tokenize(w.decode())] if self.plain and w.isalpha() and w.islower() else [] for w in new]
-        others = [i for i, w in enumerate(new) if not (self.plain and w.isalpha() and w.islower())]
+                others.append(i)
         for lo in range(0, len(others), step):
-            stems = [new[i].decode("utf-8", "replace") for i in others[lo : lo + step]]
-            got = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in stems)])
+            texts = [new[i].decode("utf-8", "replace") for i in others[lo : lo + step]]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in texts)])
             at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got.ids))
             cut, ids = np.searchsorted(at, starts), got.ids
             for i, x, y in zip(others[lo : lo + step], cut[:-1], cut[1:]):
                 found[i] = ids[x:y]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.stem_ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
-        new.clear()
-        self.words.new.clear()
         ids, lengths = self.stem_ids.take(np.array(codes, np.int64))
-        self.word_ids.append(ids, grouped(lengths, np.array(sizes, np.int64)))
+        self.word_ids.append(ids, grouped(lengths, sizes))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the number of ids of each."""
         if len(self.words) > MEMO_WORDS:
-            self.reset()
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the tokenizer lower-cases, but for special tokens
+            self.forget(MEMO_WORDS // 4)
+        # The tokenizer lower-cases, but for special tokens, and after it has composed letters with marks (whose first bytes are CC and CD).
+        words = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         self.learn()

@@ -321,6 +321,24 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_file_digests(docs.limit(0), path, 2).count() == 0
 
 
+def test_memory_of_words_keeps_the_first(monkeypatch):
+    """Latin words are encoded as in whole texts, and words met first stay known when the memory is full."""
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 200)
+    path = public.path("word_bpe_49k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    assert encoder.plain and encoder.latin
+    letters = [chr(c) for c in range(0x80, 0x250)]
+    first = ["the", "été", "ÉTÉ.", "straße,", "Œuvre.", "…."]
+    texts = [" ".join(first), *(f"{c} a{c}b {c}. x{c}, {c.upper()}{c}." for c in letters), "İstanbul ǅ ﬁn e\u0301. ə. ΑΣ.", " ".join(first)]
+    for text in texts:
+        ids, n = encoder.encode([text.encode()])
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)], text
+        assert all(w.encode() in encoder.words for w in first if w.isascii())
+        assert len(encoder.words) == len(encoder.word_ids.lengths) < 300
+
+
 def test_dictionaries_of_any_corpus(spark):
     """Pieces come from everywhere in long texts, and a few short texts give a dictionary too."""
     with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
