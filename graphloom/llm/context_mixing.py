@@ -90,6 +90,7 @@ def _turn_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 TURN_CODE, TURN_ON, TURN_OFF = _turn_tables()
+TURN_SUM = TURN_ON + TURN_OFF
 FIRST_ODDS = (EXACT + 1) * (EXACT + 2) // 2
 #: The byte for the same turns counted the other way round.
 OTHER_WAY = np.concatenate([TURN_CODE[TURN_OFF[:FIRST_ODDS].astype(int), TURN_ON[:FIRST_ODDS].astype(int)], np.arange(255, FIRST_ODDS - 1, -1)]).astype(np.uint8)
@@ -224,10 +225,36 @@ def _dense(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dense_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``_dense`` of pairs' keys: contexts first, then their numbers with the leaves, which leaves no bits to mend."""
-    _, number = _dense(keys >> LEAF_BITS, 64 - int(LEAF_BITS))
-    own = number.astype(np.uint64) << LEAF_BITS | keys & ((np.uint64(1) << LEAF_BITS) - np.uint64(1))
-    return _dense(own, len(keys).bit_length() + int(LEAF_BITS))
+    """``_dense`` of pairs' keys: sorts as many leading bits of the contexts as have room beside the leaves and the
+    places, and then mends the runs in which these bits stand for several contexts."""
+    n = len(keys)
+    if n < 2:
+        return np.arange(n), np.arange(n)
+    b, leaf = np.uint64((n - 1).bit_length()), (np.uint64(1) << LEAF_BITS) - np.uint64(1)
+    ranked = keys >> (b + LEAF_BITS) << LEAF_BITS
+    ranked |= keys & leaf
+    ranked <<= b
+    ranked |= np.arange(n, dtype=np.uint64)
+    ranked.sort()
+    order = (ranked & ((np.uint64(1) << b) - np.uint64(1))).astype(np.int64)
+    head = ranked >> (b + LEAF_BITS)
+    ranked = keys[order]
+    other = ranked[1:] ^ ranked[:-1]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(head[1:], head[:-1], out=new[1:])
+    mixed_up = np.flatnonzero((other > leaf) & ~new[1:])
+    if len(mixed_up):
+        first = np.flatnonzero(new)
+        runs = np.unique(np.searchsorted(first, mixed_up, side="right") - 1)
+        rows = _paths(first[runs], np.append(first, n)[runs + 1] - first[runs])
+        order[rows] = order[rows][np.argsort(ranked[rows], kind="stable")]
+        ranked[rows] = keys[order[rows]]
+        other = ranked[1:] ^ ranked[:-1]
+    np.not_equal(other, 0, out=new[1:])
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 @dataclass
@@ -319,8 +346,16 @@ def _so_far(letter: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 def _paths(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for all runs of these lengths."""
+    some = lengths > 0
+    if not some.all():
+        starts, lengths = starts[some], lengths[some]
+    if not len(lengths):
+        return np.zeros(0, np.int64)
     upto = np.cumsum(lengths)
-    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + lengths, lengths)
+    steps = np.ones(int(upto[-1]), np.int64)
+    steps[0] = starts[0]
+    steps[upto[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+    return np.cumsum(steps, out=steps)
 
 
 def shared_turns(code: Code, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -341,10 +376,20 @@ class Pairs:
 
 
 def pairs(code: Code, s: Stream) -> Pairs:
-    symbols = np.concatenate([s.symbols, s.symbols, s.symbols[s.at_byte]])
-    keys = np.concatenate(s.contexts) >> LEAF_BITS << LEAF_BITS | code.leaf[symbols].astype(np.uint64)
-    place, of = _dense_pairs(keys)
-    return Pairs(keys[place], symbols[place], of, place)
+    n, (first, second, third) = len(s.symbols), s.contexts
+    # A context that is one with the next shorter one has its pair.
+    longer = np.flatnonzero(first != second)
+    longest = np.flatnonzero(second[s.at_byte] != third)
+    at = np.concatenate([np.arange(n), longer, s.at_byte[longest]])
+    keys = np.concatenate([first, second[longer], third[longest]]) >> LEAF_BITS << LEAF_BITS
+    keys |= code.leaf[s.symbols].astype(np.uint64)[at]
+    place, number = _dense_pairs(keys)
+    of = np.empty(2 * n + len(s.at_byte), np.int64)
+    of[:n] = of[n : 2 * n] = number[:n]
+    of[n + longer] = number[n : n + len(longer)]
+    of[2 * n :] = of[n + s.at_byte]
+    of[2 * n + longest] = number[n + len(longer) :]
+    return Pairs(keys[place], s.symbols[at[place]], of, np.concatenate([np.arange(n), n + longer, 2 * n + longest])[place])
 
 
 def training_counts(s: Stream, p: Pairs, training: np.ndarray) -> np.ndarray:
@@ -376,30 +421,31 @@ def answers(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[Runs, np.
     lengths, starts = code.lengths[symbol], code.starts[symbol]
     out_at = np.concatenate([[0], np.cumsum(lengths)])
     # What holds where a pair is the only one left: all of its own count takes its own turn.
-    path, many = _paths(starts, lengths), np.repeat(own, lengths)
-    one = many * code.bits[path]
-    zero = many - one
-    # All pairs of a context and tree, then at each level those on the same side of the node.
-    change = np.ones(len(key) + 1, bool)
+    alone = turn_codes(own, np.zeros_like(own))
+    values = np.where(code.bits[_paths(starts, lengths)] == 1, np.repeat(alone, lengths), np.repeat(OTHER_WAY[alone], lengths))
+    # Pairs of a context and tree stand in the order of its leaves, so those that are on the same side of all nodes
+    # down to a depth are runs: neighbours part where their paths do.
+    parted = np.full(len(key), -1, np.int8)
     tree = symbol >= code.end + 2
-    change[1:-1] = (context[1:] != context[:-1]) | (tree[1:] != tree[:-1])
-    first = np.flatnonzero(change)
-    group = np.cumsum(change[:-1]) - 1
-    lo, hi = first[group], first[group + 1]
-    active, depth = np.flatnonzero(hi - lo > 1), 0
-    lo, hi = lo[active], hi[active]
-    while len(active):
-        step = starts[active] + depth
-        middle = np.searchsorted(key, context[active] + code.middle[code.nodes[step]].astype(np.uint64))
-        at = out_at[active] + depth
-        zero[at], one[at] = upto[middle] - upto[lo], upto[hi] - upto[middle]
-        right = code.bits[step] == 1
-        lo, hi = np.where(right, middle, lo), np.where(right, hi, middle)
-        depth += 1
-        going = (hi - lo > 1) & (lengths[active] > depth)
-        active, lo, hi = active[going], lo[going], hi[going]
+    beside = np.flatnonzero((context[1:] == context[:-1]) & (tree[1:] == tree[:-1])) + 1
+    parted[beside] = shared_turns(code, symbol[beside], symbol[beside - 1])
+    active, depth = np.arange(len(key)), -1
+    while True:
+        first = np.flatnonzero(parted[active] <= depth)
+        sizes = np.diff(np.append(first, len(active)))
+        active = active[np.repeat(sizes > 1, sizes)]
+        sizes, depth = sizes[sizes > 1], depth + 1
+        if not len(active):
+            break
+        lo = active[np.cumsum(sizes) - sizes]
+        hi = lo + sizes
+        # Without a parting at this node all are on one side of it.
+        middle = np.where(code.bits[starts[lo] + depth] == 1, lo, hi)
+        split = np.flatnonzero(parted[active] == depth)
+        middle[np.searchsorted(lo, active[split], side="right") - 1] = active[split]
+        values[out_at[active] + depth] = np.repeat(turn_codes(upto[hi] - upto[middle], upto[middle] - upto[lo]), sizes)
     runs = Runs()
-    runs.values, runs.starts, runs.lengths = turn_codes(one, zero), out_at[:-1], lengths
+    runs.values, runs.starts, runs.lengths = values, out_at[:-1], lengths
     return runs, of
 
 
@@ -470,18 +516,21 @@ def corpus_odds(code: Code, s: Stream, p: Pairs, turns: Runs) -> tuple[np.ndarra
     """Where each symbol's turns begin, and at each turn the log odds by the corpus contexts, from short to long,
     and the set of weights. Symbols with the same longest context and so the same turns share one run of them."""
     n = len(s.symbols)
-    path = _paths(code.starts[p.symbols], turns.lengths)
-    share = code.share[path]
-    on, off = TURN_ON[turns.values] + BACK_OFF * share, TURN_OFF[turns.values] + BACK_OFF * (1 - share)
+    share = code.share[_paths(code.starts[p.symbols], turns.lengths)]
     # Longer contexts back off to the next shorter one of the place, which is done before them.
     for low, high in ((n, 2 * n), (2 * n, 2 * n + len(s.at_byte))):
         longer = np.flatnonzero((p.place >= low) & (p.place < high))
         place = p.place[longer] - low
         shorter = p.of[place if low == n else n + s.at_byte[place]]
         own, base = _paths(turns.starts[longer], turns.lengths[longer]), _paths(turns.starts[shorter], turns.lengths[longer])
-        share = on[base] / (on[base] + off[base])
-        on[own], off[own] = TURN_ON[turns.values[own]] + BACK_OFF * share, TURN_OFF[turns.values[own]] + BACK_OFF * (1 - share)
-    odds = np.log(on / off)
+        values = turns.values[base]
+        share[own] = (TURN_ON[values] + BACK_OFF * share[base]) / (TURN_SUM[values] + BACK_OFF)
+    on = TURN_ON[turns.values]
+    on += BACK_OFF * share
+    off = TURN_OFF[turns.values]
+    off += BACK_OFF * (1 - share)
+    on /= off
+    odds = np.log(on, out=on)
     longest = p.of[n : 2 * n].copy()
     longest[s.at_byte] = p.of[2 * n :]
     at = np.full(len(p.symbols), -1)

@@ -255,6 +255,52 @@ def test_orders_of_packed_keys():
     assert np.array_equal(context_mixing.order_of(np.array([5, 1, 5, 0], np.uint64), 3), [3, 1, 0, 2])
 
 
+def test_pairs_are_sorted_once(monkeypatch):
+    """Numbers of pairs are right where leading bits stand for several contexts; equal contexts are left out of the sort."""
+    m = context_mixing
+    rng = np.random.default_rng(4)
+    near = rng.integers(0, 3, 5000).astype(np.uint64) << np.uint64(60) | rng.integers(0, 1 << 22, 5000).astype(np.uint64)
+    for keys in (near, near[:1], near[:0], rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 9, 3000).astype(np.uint64)):
+        place, number = m._dense_pairs(keys)
+        distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        assert np.array_equal(place, first) and np.array_equal(number, of) and np.array_equal(keys[place], distinct)
+    data = np.frombuffer(b"ab abc the " * 50, np.uint8)
+    hashes = np.sort(licenses.template_hashes("the"))
+    code = m.make_code(hashes, np.array([50]), np.bincount(data, minlength=256), 151, 4, 1)
+    s = m.stream(code, data, np.array([0, len(data)]))
+    sorted_keys = []
+    monkeypatch.setattr(m, "_dense_pairs", lambda keys, plain=m._dense_pairs: sorted_keys.append(len(keys)) or plain(keys))
+    p = m.pairs(code, s)
+    symbols = np.concatenate([s.symbols, s.symbols, s.symbols[s.at_byte]])
+    keys = np.concatenate(s.contexts) >> m.LEAF_BITS << m.LEAF_BITS | code.leaf[symbols].astype(np.uint64)
+    distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    assert np.array_equal(p.keys, distinct) and np.array_equal(p.place, first) and np.array_equal(p.of, of) and np.array_equal(p.symbols, symbols[first])
+    assert sorted_keys[0] < len(keys)
+
+
+def test_nodes_of_a_context_are_coded_once(monkeypatch):
+    """A context with very many followers takes work by its nodes, and not by all steps of all their paths."""
+    m = context_mixing
+    n = 3000
+    code = m.make_code(np.arange(n).astype(np.uint64), np.full(n, 5), np.ones(256, np.int64), 6 * n, n + 1, 9)
+    keys = np.sort(np.concatenate([np.uint64(7) << m.LEAF_BITS | code.leaf[:n].astype(np.uint64), np.uint64(8) << m.LEAF_BITS | code.leaf[:3].astype(np.uint64)]))
+    coded = []
+    monkeypatch.setattr(m, "turn_codes", lambda on, off, plain=m.turn_codes: coded.append(len(on)) or plain(on, off))
+    counts = np.arange(len(keys)).astype(np.uint32) % 7
+    runs, of = m.answers(code, keys, counts)
+    assert sum(coded) < 3 * len(keys) and np.array_equal(of, np.arange(len(keys)))
+    symbols = code.of_leaf[(keys & np.uint64((1 << 17) - 1)).astype(np.int64)]
+    sums = collections.defaultdict(lambda: [0, 0])
+    for context, symbol, c in zip(keys >> m.LEAF_BITS, symbols, counts):
+        for d in range(code.lengths[symbol]):
+            at = code.starts[symbol] + d
+            sums[context, code.nodes[at]][code.bits[at]] += int(c)
+    for i in [0, 1, 2, 3, 4, 5, n // 2, n, n + 1, n + 2]:
+        at = code.starts[symbols[i]] + np.arange(code.lengths[symbols[i]])
+        zero, one = np.array([sums[keys[i] >> m.LEAF_BITS, node] for node in code.nodes[at]]).T
+        assert np.array_equal(runs.values[runs.starts[i] : runs.starts[i] + runs.lengths[i]], m.turn_codes(one, zero))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_model_beats_word_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
