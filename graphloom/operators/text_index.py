@@ -3,7 +3,8 @@
 Every three code points in a row of a lower-cased text are a posting (gram, id, field, pos). Postings lie
 in folders by a hash of the gram and sorted by gram within, so that a lookup reads its grams' folders, and
 in them the row groups that hold them. A search takes the needle's rarest grams, whose numbers are known,
-intersects their postings by where the needle would begin, and checks what is left against the texts.
+intersects their postings by where the needle would begin, and checks what is left against the texts; a
+table of needles meets the postings of each needle's rarest gram, and then the texts.
 Needles of one or two code points have no gram and are looked for in the texts themselves.
 """
 
@@ -13,23 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import contains_any_case
-from graphloom.sources.shared_storage import drop_shared, new_path
+from graphloom.sources.shared_storage import drop_shared, new_path, write_shared
 
 GRAM, BUCKETS = 3, 64
 #: Grams of a needle that are intersected, and most postings of the rarest for which its ids are broadcast.
 RAREST, MAX_BROADCAST_POSTINGS = 3, 1 << 18
+#: Most bytes of needles, each with its lower-cased form and 64 more, for which they are broadcast.
+MAX_BROADCAST_NEEDLES = 8 << 20
 
 
 def code_points(text: Column) -> Column:
     """The code points of a text as an array of strings."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
     """The runs of ``size`` code points of a text, in order; none where it is shorter."""
-    points = code_points(text)
-    starts = F.when(F.size(points) >= size, F.sequence(F.lit(0), F.size(points) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(*(F.get(points, i + j) for j in range(size))))
+
+    def runs(points: Column) -> Column:
+        starts = F.when(F.size(points) >= size, F.sequence(F.lit(0), F.size(points) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*(F.get(points, i + j) for j in range(size))))
+
+    return F.transform(F.array(code_points(text)), runs)[0]  # the code points as a variable, found once and not once for each run
 
 
 def _bucket(gram: Column) -> Column:
@@ -50,8 +56,8 @@ class TextIndex:
         that a large part of all texts hold spreads over tasks and files.
         """
         index = cls(nodes, columns, path or new_path(nodes.sparkSession, "text-index"))
-        rows = index._texts().select("id", "field", F.posexplode(grams(F.col("text"))).alias("pos", "gram")).withColumn("bucket", _bucket(F.col("gram")))
-        parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = index._parts()
+        rows = index._dealt().select("id", "field", F.posexplode(grams(F.col("text"))).alias("pos", "gram")).withColumn("bucket", _bucket(F.col("gram")))
         order = ["bucket", "gram", "id", "field", "pos"]
         rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings")
         counts = index.postings.groupBy("gram").agg(F.count("*").alias("n"))
@@ -65,6 +71,13 @@ class TextIndex:
         texts = F.posexplode(F.array(*(F.lower(F.col(c).cast("string")) for c in self.columns))).alias("field", "text")
         return self.nodes.where("id IS NOT NULL").select("id", texts).where("text IS NOT NULL")
 
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _dealt(self) -> DataFrame:
+        """The texts over all tasks, for what makes many rows of each: a small file is a single task's otherwise."""
+        return self._texts().repartition(self._parts())
+
     @property
     def postings(self) -> DataFrame:
         kind = self.nodes.schema["id"].dataType.simpleString()
@@ -108,24 +121,21 @@ class TextIndex:
     def search_many(self, needles: DataFrame) -> DataFrame:
         """(needle, id) for every node id and every different needle of ``needles`` (needle) that one of its columns holds.
 
-        Needles meet the postings of their rarest gram, those of the next rarest that lie at the right
-        distance, and then the texts. Null needles and nodes without id have no row; an empty needle is
-        held by every text.
+        Needles meet the postings of their rarest gram, and what is found meets the texts; no other posting
+        is read. Needles of some number are broadcast, more are joined by gram. Null needles and nodes
+        without id have no row; an empty needle is held by every text.
         """
         asked = needles.where("needle IS NOT NULL").select("needle").distinct().withColumn("low", F.lower("needle"))
-        size = F.char_length("low")
+        asked, _ = write_shared(asked, "needles")  # derived once, and of a known size from here on
+        size = asked.agg(F.sum(F.octet_length("needle") + F.octet_length("low") + 64)).first()[0] or 0
+        dealt = F.broadcast if size <= MAX_BROADCAST_NEEDLES else lambda rows: rows
+        length = F.char_length("low")
         by_rarity = Window.partitionBy("needle").orderBy("n", "gram", "offset")  # a row per code point of a needle
-        spread = asked.where(size >= GRAM).select("needle", "low", F.posexplode(grams(F.col("low"))).alias("offset", "gram"))
-        counted = spread.join(self.counts, "gram", "left").na.fill(0, ["n"]).withColumn("place", F.row_number().over(by_rarity)).where("place <= 2")
-        chosen = counted.groupBy("needle", "low").agg(F.min("n").alias("n"), *(F.max(F.when(F.col("place") == p, F.col(c))).alias(f"{c}_{p}") for p in (1, 2) for c in ("gram", "offset")))
-        chosen = chosen.where("n > 0")
-        postings = self.postings.drop("bucket")
-        hits = chosen.join(postings.withColumnRenamed("gram", "gram_1"), "gram_1").withColumn("start", F.col("pos") - F.col("offset_1")).where("start >= 0").drop("pos")
-        second = postings.select("id", "field", F.col("gram").alias("gram_2"), F.col("pos").alias("pos_2"))
-        single = hits.where("gram_2 IS NULL")
-        double = hits.where("gram_2 IS NOT NULL").withColumn("pos_2", F.col("start") + F.col("offset_2")).join(second, ["id", "field", "gram_2", "pos_2"], "left_semi")
-        both = single.select("needle", "low", "id", "field", "start").unionAll(double.select("needle", "low", "id", "field", "start"))
-        long = both.join(self._texts(), ["id", "field"]).where(F.substring("text", F.col("start") + 1, F.char_length("low")) == F.col("low")).select("needle", "id")
+        spread = asked.where(length >= GRAM).select("needle", "low", F.posexplode(grams(F.col("low"))).alias("offset", "gram"))
+        counted = spread.join(self.counts, "gram", "left").na.fill(0, ["n"]).withColumn("place", F.row_number().over(by_rarity))
+        chosen = counted.where("place = 1 AND n > 0").select("needle", "low", "gram", "offset")
+        hits = self.postings.drop("bucket").join(dealt(chosen), "gram").where("pos >= offset").select("needle", "low", "id", "field", (F.col("pos") - F.col("offset")).alias("start"))
+        long = hits.join(self._texts(), ["id", "field"]).where(F.substring("text", F.col("start") + 1, F.char_length("low")) == F.col("low")).select("needle", "id")
         pieces = F.array_distinct(F.concat(F.array(F.lit("")), code_points(F.col("text")), grams(F.col("text"), 2)))
-        short = self._texts().select("id", F.explode(pieces).alias("low")).join(asked.where(size < GRAM), "low").select("needle", "id")
+        short = self._dealt().select("id", F.explode(pieces).alias("low")).join(dealt(asked.where(length < GRAM)), "low").select("needle", "id")
         return long.unionAll(short).distinct()

@@ -58,6 +58,33 @@ def test_many_needles_at_once(spark, table):
     assert set(got) == expected and len(got) == len(set(got))
 
 
+def test_many_needles_read_one_list_each(table):
+    """No other gram's postings are joined, needles go to the postings, and a text is taken apart once, not once for each gram."""
+    nodes, index = table[1:]
+    plan = index.search_many(nodes.select(F.col("name").alias("needle")))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "pos#" in line]
+    assert len(scans) == 1 and plan.count("BroadcastHashJoin [gram") + plan.count("BroadcastHashJoin [low") >= 2
+    taken = nodes.select(text_index.grams(F.col("name")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert taken.count("split(") + taken.count("regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_needles_broadcast_or_not(spark, table, monkeypatch, most):
+    monkeypatch.setattr(text_index, "MAX_BROADCAST_NEEDLES", most)
+    rows, nodes, index = table
+    needles = nodes.select(F.col("name").alias("needle")).unionAll(spark.createDataFrame([("",), ("e",), ("İ",), ("語🤗",)], "needle string"))
+    asked = {r["needle"] for r in needles.collect()} - {None}
+    got = [tuple(r) for r in index.search_many(needles).collect()]
+    low = {r["needle"]: r["low"] for r in needles.select("needle", F.lower("needle").alias("low")).collect()}
+    texts = [(r["id"], [c for c in (r["a"], r["b"]) if c is not None]) for r in nodes.select("id", F.lower("name").alias("a"), F.lower("qualified_name").alias("b")).collect()]
+    assert set(got) == {(a, i) for a in asked for i, held in texts if i is not None and any(low[a] in c for c in held)} and len(got) == len(set(got))
+
+
+def test_a_small_file_is_many_tasks_work(spark, table):
+    index = text_index.TextIndex(table[1].coalesce(1), ["name"], table[2].path)
+    assert index._dealt().rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_common_gram_spreads(spark):
     nodes = spark.range(4000).select("id", F.concat(F.lit("aaa"), F.col("id")).alias("name"))
     old = spark.conf.get("spark.sql.shuffle.partitions")
