@@ -6,7 +6,7 @@ bags: repeated edges give repeated neighbours.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import contains_any_case
@@ -71,6 +71,11 @@ def reverse_reach_of_each(calls: DataFrame, starts: DataFrame, max_depth: int) -
     return reach.reach(_backwards(calls), starts, max_depth).pairs()
 
 
+def reverse_reach_totals(calls: DataFrame, starts: DataFrame, max_depth: int, *totals: Column) -> DataFrame:
+    """(group, totals ...): ``totals`` over the (id, depth) of each group's transitive callers, in waves of groups."""
+    return reach.summed(_backwards(calls), starts, max_depth, *totals)
+
+
 def explained(nodes: DataFrame, calls: DataFrame, versions_changed: DataFrame, identity: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """What changed: (id, change) of symbols (both added and removed: modified), and the files that callers carry it to."""
     sides = versions_changed.groupBy(F.col(identity).alias("id")).agg(F.min("change").alias("a"), F.max("change").alias("b"))

@@ -59,6 +59,37 @@ def test_edges_are_not_shuffled_in_a_round(spark):
     assert not any("Exchange" in line for line in lines[join:scan])
 
 
+@pytest.mark.parametrize("rows", [1 << 27, 150])
+def test_sums_in_waves(spark, monkeypatch, rows):
+    """As the pairs summed up, in one wave or in many; a wave's tables are gone at the end, and the session is as before."""
+    monkeypatch.setattr(reach, "WAVE_ROWS", rows)
+    rng = random.Random(rows)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(500)] + [(3, 3), (None, 4), (4, None), (900, 901)]
+    table = spark.createDataFrame(edges + edges[:50], "at long, to long")
+    starts = [(f"g{i}", i % 320) for i in range(400)] + [("both", 1), ("both", 2), (None, 5), ("nobody", None), ("far", 900)]
+    walked, levels = [], reach._levels
+    monkeypatch.setattr(reach, "_levels", lambda *a, **k: walked.append(levels(*a, **k)) or walked[-1])
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    found = reach.summed(table, spark.createDataFrame(starts, "group string, id long"), 3, F.count("*").alias("n"), F.sum(F.col("id") * F.col("depth")).alias("s"))
+    assert (len(walked) > 3) == (rows == 150) and spark.conf.get(name) == before
+    members = defaultdict(set)
+    for g, i in starts:
+        if g is not None and i is not None:
+            members[g].add(i)
+    reached = {g: far for g, ids in members.items() if (far := plain(edges, ids, 3))}
+    assert sorted(map(tuple, found.collect())) == sorted((g, len(far), sum(i * d for i, d in far.items())) for g, far in reached.items())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("reach_")]
+    path = spark._jvm.org.apache.hadoop.fs.Path(walked[0][1][0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_nothing_to_sum(spark):
+    edges, one = spark.createDataFrame([(1, 2)], "at long, to long"), spark.createDataFrame([(1, 1)], "group long, id long")
+    for e, starts, depth in ((edges, one.limit(0), 3), (edges.limit(0), one, 3), (edges, one, 0)):
+        assert reach.summed(e, starts, depth, F.count("*").alias("n")).count() == 0
+
+
 def test_nothing_to_walk(spark):
     edges = spark.createDataFrame([(1, 2)], "at long, to long")
     none = spark.createDataFrame([], "group long, id long")
